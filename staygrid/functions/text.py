@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .urls import let
+
 # Vietnamese letters and the ASCII letter each folds to.
 FOLDED_LETTERS = {
     "a": "àáảãạăằắẳẵặâầấẩẫậ",
@@ -116,26 +118,27 @@ def address_fields(address: Column) -> Column:
     s = strip(F.coalesce(to_country, address))
     s = F.regexp_replace(s, r"(?U)\b\d{5,6}\b\s*,?\s*", "")
     s = F.regexp_replace(s, r"\s*,\s*", ", ")
-    full = F.btrim(F.regexp_replace(s, r",\s*,", ","), F.lit(", "))
-    parts = F.transform(F.split(full, ","), lambda p: strip(p))
-    n = F.size(parts)
-    last = F.element_at(parts, -1)
-    ends_with_country = (n >= 2) & (F.lower(last) == "việt nam")
-
-    def join_first(k: Column) -> Column:
-        return F.array_join(F.slice(parts, F.lit(1), k), ", ")
-
-    empty = F.lit("")
-    missing = address.isNull() | (address == "")
-    street = F.when(ends_with_country, join_first(n - 2)).when(n >= 2, join_first(n - 1)).otherwise(full)
-    city = F.when(ends_with_country, F.try_element_at(parts, F.lit(-2))).when(n >= 2, last).otherwise("Đà Nẵng")
-    country = F.when(ends_with_country, last).otherwise("Việt Nam")
-    return F.struct(
-        F.when(missing, empty).otherwise(street).alias("street_address"),
-        F.when(missing, empty).otherwise(city).alias("city"),
-        F.when(missing, empty).otherwise(country).alias("country"),
-        F.when(missing, empty).otherwise(full).alias("full_address"),
-    )
+    full_text = F.btrim(F.regexp_replace(s, r",\s*,", ","), F.lit(", "))
+
+    def pack(street, city, country, full) -> Column:
+        return F.struct(street.alias("street_address"), city.alias("city"), country.alias("country"), full.alias("full_address"))
+
+    def from_parts(v: Column) -> Column:
+        full, parts = v["full"], v["parts"]
+        n, last = F.size(parts), F.element_at(parts, -1)
+        with_country = (n >= 2) & (F.lower(last) == "việt nam")
+        first = lambda k: F.array_join(F.slice(parts, F.lit(1), k), ", ")
+        return pack(
+            F.when(with_country, first(n - 2)).when(n >= 2, first(n - 1)).otherwise(full),
+            F.when(with_country, F.try_element_at(parts, F.lit(-2))).when(n >= 2, last).otherwise("Đà Nẵng"),
+            F.when(with_country, last).otherwise("Việt Nam"),
+            full,
+        )
+
+    split_up = let(full_text, lambda full: F.struct(
+        full.alias("full"), F.transform(F.split(full, ","), lambda p: strip(p)).alias("parts")))
+    empty = pack(F.lit(""), F.lit(""), F.lit(""), F.lit(""))
+    return F.when(address.isNull() | (address == ""), empty).otherwise(let(split_up, from_parts))
 
 
 def policy_times(policy: Column) -> Column:
@@ -190,19 +193,22 @@ def room_item(item: Column) -> Column:
 
 def price_number(c: Column) -> Column:
     """Price text to number; a two-digit tail after the last mark is decimals."""
-    s = F.regexp_replace(c, r"(?iu)[VNDđ$US\x{200B}\s]", "")
-    comma, dot = F.instr(s, ","), F.instr(s, ".")
-    no_comma = F.replace(s, F.lit(","), F.lit(""))
-    dot_to_none = F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    decimal_tail = F.regexp_replace(F.regexp_replace(s, r"[.,](?=.*[.,])", ""), ",", ".")
-    no_marks = F.regexp_replace(s, "[.,]", "")
-    two_digits = F.regexp_like(s, F.lit(r"[.,][^.,]{2}$"))
-    plain = (
-        F.when((comma > 0) & (dot > 0), F.when(comma < dot, no_comma).otherwise(dot_to_none))
-        .when((comma > 0) | (dot > 0), F.when(two_digits, decimal_tail).otherwise(no_marks))
-        .otherwise(s)
-    )
-    return F.coalesce(F.regexp_replace(plain, r"[^\d.]", "").try_cast("double"), F.lit(0.0))
+
+    def plain(s: Column) -> Column:
+        comma, dot = F.instr(s, ","), F.instr(s, ".")
+        no_comma = F.replace(s, F.lit(","), F.lit(""))
+        comma_is_point = F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        decimal_tail = F.replace(F.regexp_replace(s, r"[.,](?=.*[.,])", ""), F.lit(","), F.lit("."))
+        no_marks = F.regexp_replace(s, "[.,]", "")
+        two_digits = F.regexp_like(s, F.lit(r"[.,][^.,]{2}$"))
+        return (
+            F.when((comma > 0) & (dot > 0), F.when(comma < dot, no_comma).otherwise(comma_is_point))
+            .when((comma > 0) | (dot > 0), F.when(two_digits, decimal_tail).otherwise(no_marks))
+            .otherwise(s)
+        )
+
+    bare = F.regexp_replace(c, r"(?iu)[VNDđ$US\x{200B}\s]", "")
+    return F.coalesce(F.regexp_replace(let(bare, plain), r"[^\d.]", "").try_cast("double"), F.lit(0.0))
 
 
 def vnd_text(amount: Column) -> Column:

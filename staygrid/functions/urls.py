@@ -31,6 +31,15 @@ TWO_LABEL_SUFFIXES = [
 _SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    Nested expressions repeat their argument; without the binding the tree of a
+    URL resolution would grow exponentially.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def scheme(u: Column) -> Column:
     return F.lower(F.regexp_extract(u, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1))
 
@@ -50,8 +59,7 @@ def port(u: Column) -> Column:
 
 def path(u: Column) -> Column:
     """Path, at least '/'."""
-    p = F.regexp_extract(u, _SCHEME + r"(?://[^/?#]*)?([^?#]*)", 1)
-    return F.when(p == "", "/").otherwise(p)
+    return F.regexp_replace(F.regexp_extract(u, _SCHEME + r"(?://[^/?#]*)?([^?#]*)", 1), "^$", "/")
 
 
 def query(u: Column) -> Column:
@@ -72,61 +80,78 @@ def drop_www(h: Column) -> Column:
     return F.regexp_replace(h, r"^www\.", "")
 
 
+# Encoded form of marks that a URL carries literally.
+LITERAL_MARKS = {
+    "%2F": "/", "%3A": ":", "%3F": "?", "%23": "#", "%26": "&", "%3D": "=", "%2B": "+", "%2C": ",", "%3B": ";",
+    "%40": "@", "%21": "!", "%24": "$", "%27": "'", "%28": "(", "%29": ")", "%7E": "~", "%5B": "[", "%5D": "]",
+    "%7C": "|", "%25": "%",
+}
+
+
 def percent_encode(c: Column) -> Column:
     """Encode what a URL may not carry literally; leave reserved marks alone."""
-    restored = F.url_encode(c)
-    for code, mark in [
-        ("+", "%20"), ("%2F", "/"), ("%3A", ":"), ("%3F", "?"), ("%23", "#"), ("%26", "&"), ("%3D", "="),
-        ("%2B", "+"), ("%2C", ","), ("%3B", ";"), ("%40", "@"), ("%21", "!"), ("%24", "$"), ("%27", "'"),
-        ("%28", "("), ("%29", ")"), ("%7E", "~"), ("%5B", "["), ("%5D", "]"), ("%7C", "|"), ("%25", "%"),
-    ]:
-        restored = F.replace(restored, F.lit(code), F.lit(mark))
-    return F.when(F.regexp_like(c, F.lit(r"""[^!-~]|["<>`{}\\^]""")), restored).otherwise(c)
 
+    def encoded(v: Column) -> Column:
+        out = F.replace(F.url_encode(v), F.lit("+"), F.lit("%20"))
+        for code, mark in LITERAL_MARKS.items():
+            out = F.replace(out, F.lit(code), F.lit(mark))
+        return F.when(F.regexp_like(v, F.lit(r"""[^!-~]|["<>`{}\\^]""")), out).otherwise(v)
+
+    return let(c, encoded)
 
-def _collapse_dots(p: Column) -> Column:
+
+def _collapse_dots(c: Column) -> Column:
     """Resolve '.' and '..' segments of an absolute path."""
-    walked = F.aggregate(
-        F.split(p, "/"),
-        F.expr("cast(array() as array<string>)"),
-        lambda kept, seg: F.when(seg == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1))))
-        .when(seg == ".", kept)
-        .otherwise(F.concat(kept, F.array(seg))),
-    )
-    ends_in_dot = F.regexp_like(p, F.lit(r"/\.{1,2}$"))
-    joined = F.array_join(walked, "/")
-    cleaned = F.when(ends_in_dot, F.concat(joined, F.lit("/"))).otherwise(joined)
-    return F.when(F.regexp_like(p, F.lit(r"/\.{1,2}(/|$)")), cleaned).otherwise(p)
 
+    def walked(p: Column) -> Column:
+        kept = F.aggregate(
+            F.split(p, "/"),
+            F.expr("cast(array() as array<string>)"),
+            lambda acc, seg: F.when(seg == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))))
+            .when(seg == ".", acc)
+            .otherwise(F.concat(acc, F.array(seg))),
+        )
+        tail = F.when(F.regexp_like(p, F.lit(r"/\.{1,2}$")), "/").otherwise("")
+        return F.when(F.regexp_like(p, F.lit(r"/\.{1,2}(/|$)")), F.concat(F.array_join(kept, "/"), tail)).otherwise(p)
 
-def href(u: Column) -> Column:
+    return let(c, walked)
+
+
+def href(url: Column) -> Column:
     """Standard serialisation of an absolute web URL."""
-    s, p = scheme(u), port(u)
-    default = ((s == "http") & (p == "80")) | ((s == "https") & (p == "443")) | (p == "")
-    return F.concat(
-        s, F.lit("://"), host(u),
-        F.when(default, "").otherwise(F.concat(F.lit(":"), p)),
-        percent_encode(_collapse_dots(path(u))), percent_encode(query(u)), percent_encode(fragment(u)),
-    )
 
+    def serialised(u: Column) -> Column:
+        port_part = F.regexp_replace(
+            F.concat(scheme(u), F.lit(":"), port(u)), r"^(?:http:80|https:443|\w+:)$|^\w+(?=:)", "")
+        return F.concat(
+            scheme(u), F.lit("://"), host(u), port_part,
+            percent_encode(F.concat(_collapse_dots(path(u)), query(u), fragment(u))),
+        )
 
-def resolve(base: Column, ref: Column) -> Column:
+    return let(url, serialised)
+
+
+def resolve(base: Column, reference: Column) -> Column:
     """Join a reference to an absolute web base URL; NULL when it has no target."""
-    origin = F.concat(scheme(base), F.lit("://"), authority(base))
-    no_fragment = F.regexp_replace(base, r"#.*$", "")
-    no_query = F.regexp_replace(no_fragment, r"\?.*$", "")
-    folder = F.regexp_replace(path(base), r"[^/]*$", "")
-    joined = (
-        F.when(F.regexp_like(ref, F.lit(r"^(?i)https?://")), ref)
-        .when(ref.startswith("//"), F.concat(scheme(base), F.lit(":"), ref))
-        .when(ref == "", no_fragment)
-        .when(ref.startswith("#"), F.concat(no_fragment, ref))
-        .when(ref.startswith("?"), F.concat(no_query, ref))
-        .when(ref.startswith("/"), F.concat(origin, ref))
-        .otherwise(F.concat(origin, folder, ref))
-    )
-    other_scheme = F.regexp_like(ref, F.lit(_SCHEME)) & ~F.regexp_like(ref, F.lit(r"^(?i)https?:"))
-    return F.when(other_scheme, ref).when(is_web_url(joined), href(joined))
+
+    def joined(ref: Column) -> Column:
+        origin = F.concat(scheme(base), F.lit("://"), authority(base))
+        no_fragment = F.regexp_replace(base, r"#.*$", "")
+        no_query = F.regexp_replace(base, r"[?#].*$", "")
+        folder = F.regexp_replace(path(base), r"[^/]*$", "")
+        return (
+            F.when(F.regexp_like(ref, F.lit(r"^(?i)https?://")), ref)
+            .when(F.regexp_like(ref, F.lit(_SCHEME)) & ~F.regexp_like(ref, F.lit(r"^(?i)https?:")), ref)
+            .when(ref.startswith("//"), F.concat(scheme(base), F.lit(":"), ref))
+            .when(ref == "", no_fragment)
+            .when(ref.startswith("#"), F.concat(no_fragment, ref))
+            .when(ref.startswith("?"), F.concat(no_query, ref))
+            .when(ref.startswith("/"), F.concat(origin, ref))
+            .otherwise(F.concat(origin, folder, ref))
+        )
+
+    return let(let(reference, joined), lambda u: F.when(is_web_url(u), href(u)).when(
+        F.regexp_like(u, F.lit(_SCHEME)) & ~F.regexp_like(u, F.lit(r"^(?i)https?:")), u))
 
 
 def depth(p: Column) -> Column:

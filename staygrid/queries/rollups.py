@@ -208,7 +208,7 @@ def a14(t):
 
 @query("A15_search_credits", """
 SELECT user_id, event_type, CAST(ceil(count(*) / 10.0) AS BIGINT) * CASE WHEN user_id % 5 = 0 THEN 10 ELSE 2 END AS credits
-FROM events GROUP BY ALL""")
+FROM events GROUP BY user_id, event_type""")
 def a15(t):
     n = t.events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
     return n.select("user_id", "event_type", usage.search_credits(F.col("n"), F.pmod("user_id", F.lit(5)) == 0).alias("credits"))
