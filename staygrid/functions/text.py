@@ -271,16 +271,38 @@ def without_inline_images(markdown: Column) -> Column:
     )
 
 
+def compared_text(markdown: Column) -> Column:
+    """What counts when captures are compared: no white space, no iframe links."""
+    return F.regexp_replace(F.regexp_replace(markdown, r"(?U)\s+", ""), r"\[iframe\]\(.+?\)", "")
+
+
 def change_signature(markdown: Column, strict: bool = False) -> Column:
     """Hash that is equal when two captures count as the same page.
 
     The comparison ignores white space, iframe links and the *order of
     characters*; ``strict`` keeps the order.
     """
-    s = F.regexp_replace(F.regexp_replace(markdown, r"(?U)\s+", ""), r"\[iframe\]\(.+?\)", "")
-    if not strict:
-        s = F.array_join(F.array_sort(F.split(s, "")), "")
-    return F.sha2(s, 256)
+    return F.sha2(compared_text(markdown) if strict else sorted_characters(compared_text(markdown)), 256)
+
+
+def sorted_characters(c: Column) -> Column:
+    return F.array_join(F.sort_array(F.split(c, "")), "")
+
+
+def same_capture(a: Column, b: Column, strict: bool = False) -> Column:
+    """Whether two captures count as the same page.
+
+    Sorting a page's characters is the costly part, so it is only done for
+    texts that differ but have the same length.
+    """
+    def compare(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        if strict:
+            return x == y
+        return F.when(x == y, F.lit(True)).when(F.length(x) != F.length(y), F.lit(False)).otherwise(
+            sorted_characters(x) == sorted_characters(y))
+
+    return let(F.struct(compared_text(a).alias("x"), compared_text(b).alias("y")), compare)
 
 
 def word_set(c: Column) -> Column:

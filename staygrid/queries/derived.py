@@ -171,3 +171,53 @@ USAGE_SQL = """(SELECT event_id, CASE WHEN user_id % 10 = 0 THEN 'preview_' || u
   event_type = 'purchase' AS is_extract, CASE WHEN user_id % 7 <> 0 THEN user_id % 5 END AS api_key_id,
   CAST(floor(value) AS BIGINT) AS credits, CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0 AS tracked, ts
   FROM events)"""
+
+
+def flat_hotels(t) -> DataFrame:
+    """Suppliers as flat crawled hotel records (34 columns).
+
+    List fields hold distinct part types, sizes and names, whose number is
+    bounded by the catalogue, not by the number of order lines.
+    """
+    key = F.col("s_suppkey")
+    sold = t.lineitem.select("l_suppkey", "l_partkey", "l_extendedprice").join(
+        t.part.select("p_partkey", "p_name", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    places = sold.select("l_suppkey", "p_type", "p_size").distinct().groupBy("l_suppkey").agg(
+        F.array_sort(F.collect_list(F.struct("p_type", "p_size"))).alias("ps"))
+    rooms = sold.groupBy("l_suppkey", "p_name").agg(F.floor(F.min("l_extendedprice")).alias("price")).groupBy("l_suppkey").agg(
+        F.array_sort(F.collect_list(F.struct("p_name", "price"))).alias("rs"))
+    base = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").join(
+        places.withColumnRenamed("l_suppkey", "_p"), key == F.col("_p"), "left").join(
+        rooms.withColumnRenamed("l_suppkey", "_r"), key == F.col("_r"), "left")
+    m = lambda n: F.pmod(key, F.lit(n))
+    none = lambda kind: F.lit(None).cast(kind)
+    near = F.array_join(F.transform("ps", lambda p: F.concat(
+        p["p_type"], F.lit(" "), p["p_size"], F.lit(" "), F.format_number(p["p_size"] / 10, 1), F.lit(" km"))), "; ")
+    by_foot = F.array_join(F.transform("ps", lambda p: F.concat(F.lit("Chợ "), p["p_type"], F.lit(" "), p["p_size"] * 10, F.lit(" m"))), "; ")
+    room_list = F.array_join(F.transform("rs", lambda r: F.concat(
+        r["p_name"], F.lit(" ("), F.format_number(r["price"], 0), F.lit(" VND)"))), "; ")
+    score = lambda n: F.when(m(5) != 0, F.pmod(key * n, F.lit(50)) / 10 + 5)
+    return base.select(
+        F.concat(F.lit("s"), key).alias("hotel_id"),
+        F.concat(F.lit(" "), "s_name", F.lit(" ")).alias("hotel_name"),
+        F.concat(F.lit("https://travel.example/hotel/vn/s"), key, F.lit(".vi.html")).alias("canonical_url"),
+        F.when(m(3) == 1, F.concat(m(5), F.lit(" trên 5 sao"))).alias("stars_rating"),
+        F.when(m(3) == 0, m(6) + 0.5).alias("stars_rating_value"),
+        F.when(m(4) != 0, key / 64 + 10).alias("latitude"), F.when(m(4) != 0, key / 64 + 100).alias("longitude"),
+        score(3).alias("review_score"), F.when(m(7) != 0, m(400).cast("int")).alias("review_count"),
+        F.lit("Tốt").alias("review_score_word"), none("double").alias("gia_thap_nhat"), none("double").alias("gia_cao_nhat"),
+        F.when(m(6) != 0, F.concat(key, F.lit(" Phố Một, Quận Hai, 550000 "), "n_name", F.lit(", Việt Nam, Đông Nam Á"))).alias("address"),
+        F.when(m(8) != 0, F.concat(F.lit("Hồ bơi, WiFi miễn phí, hồ bơi, "), F.lower("n_name"))).alias("popular_facilities"),
+        F.concat(F.lit('Mô tả "'), "n_name", F.lit('"\ndòng hai, hết')).alias("description"),
+        F.when(m(2) == 0, "Nhận phòng\nTừ 15:00 - 22:00\nTrả phòng\nTừ 06:00 - 11:30").alias("hotel_policies"),
+        F.when(m(3) != 2, "2026-08-01").alias("ngay_checkin"), F.when(m(3) != 2, "2026-08-02").alias("ngay_checkout"),
+        none("string").alias("whats_nearby"), F.concat(near, F.lit("; lỗi 1.200,5 km; ; không rõ")).alias("top_attractions"),
+        none("string").alias("natural_beauty"), none("string").alias("nearest_airports"),
+        F.concat(by_foot, F.lit("; "), by_foot).alias("restaurants_cafes"), none("string").alias("beaches_in_area"), none("string").alias("public_transport"),
+        *[score(n).alias(c) for n, c in ((3, "staff_score"), (7, "facilities_score"), (11, "cleanliness_score"), (13, "comfort_score"),
+                                         (17, "value_for_money_score"), (19, "location_score"), (23, "free_wifi_score"))],
+        none("string").alias("hotel_images"),
+        F.concat(F.lit("Không giá; "), room_list, F.lit("; Phòng Đơn (1.200.000 VND)")).alias("danh_sach_phong_va_gia"))
+
+
+SOLD_SQL = "(SELECT l_suppkey, l_extendedprice, p_name, p_type, p_size FROM lineitem JOIN part ON l_partkey = p_partkey)"
