@@ -64,35 +64,36 @@ def merge_records(
     joined = keyed.join(touched, [*block, "_row"], "left_semi").drop("_row")
     out_cols = [*block, *fields, *arrays, "first_ord", "sources"]
     work = gappy.unionByName(joined).select(*out_cols)
-    schema = work.schema
-    merged = work.groupBy(*block).applyInPandas(_merger(block, fields, arrays, schema), schema)
+    inner = [c for c in out_cols if c not in block]
+    item = F.struct("first_ord", *[F.col(c) for c in inner if c != "first_ord"])
+    schema = T.StructType([work.schema[c] for c in inner])
+    merge = F.pandas_udf(_merger(fields, arrays, inner), T.ArrayType(schema))
+    # One row per block of records that really can merge.
+    blocks = work.groupBy(*block).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    merged = blocks.select(*block, F.explode(merge("_items")).alias("_m")).select(*block, "_m.*").select(*out_cols)
     alone = tagged.filter(F.col("_lone")).unionByName(apart).select(*out_cols)
     return merged.unionByName(alone)
 
 
-def _merger(block: list[str], fields: list[str], arrays: list[str], schema: T.StructType):
-    columns = [f.name for f in schema.fields]
-
-    def missing(v) -> bool:
-        return v is None or v is pd.NaT or (isinstance(v, float) and v != v) or v is pd.NA
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def _merger(fields: list[str], arrays: list[str], columns: list[str]):
+    def merge_block(rows) -> list[dict]:
         kept: list[dict] = []
-        for row in pdf.sort_values("first_ord", kind="stable").to_dict("records"):
-            values = {f: (None if missing(row[f]) else row[f]) for f in fields}
+        for row in rows:
             home = next((k for k in kept if all(
-                values[f] is None or k[f] is None or values[f] == k[f] for f in fields)), None)
-            lists = {a: list(row[a]) if row[a] is not None else None for a in arrays}
+                row[f] is None or k[f] is None or row[f] == k[f] for f in fields)), None)
             if home is None:
-                kept.append({**{b: row[b] for b in block}, **values, **lists, "first_ord": row["first_ord"], "sources": list(row["sources"])})
+                kept.append({c: (list(row[c]) if c in arrays and row[c] is not None else row[c]) for c in columns})
                 continue
             for f in fields:
-                home[f] = values[f] if values[f] is not None else home[f]
+                home[f] = row[f] if row[f] is not None else home[f]
             for a in arrays:
-                if lists[a] is not None:
-                    home[a] = distinct_items((home[a] or []) + lists[a])
+                if row[a] is not None:
+                    home[a] = distinct_items([*(home[a] or []), *row[a]])
             home["sources"] = sorted({*home["sources"], *row["sources"]})
-        return pd.DataFrame(kept, columns=columns)
+        return kept
+
+    def run(blocks: pd.Series) -> pd.Series:
+        return blocks.map(merge_block)
 
     return run
 

@@ -100,13 +100,30 @@ def s1(t):
     return files.read_flat_hotels(t.spark, files.first_existing(t.spark, [path + "-missing", path])).select("hotel_id", "description", "latitude")
 
 
-@query("S3_html_folder", "SELECT CAST(page_id AS VARCHAR) AS key, length(html) AS n_chars FROM pages")
+@query("S3_html_folder", "SELECT sha256(html) AS html_hash, length(html) AS n_chars FROM pages")
 def s3(t):
-    # One file per page, as a crawler leaves them; partition folders give the names.
+    # One file per page, as a crawler leaves them.
     path = work_path(t.spark, "html")
-    t.pages.select(F.concat("page_id", F.lit("#"), "html").alias("value")).repartitionByRange(8, "value").write.option("lineSep", "\u0001").text(path)
-    rows = t.spark.read.option("lineSep", "\u0001").text(path)
-    return rows.select(F.substring_index("value", "#", 1).alias("key"), (F.length("value") - F.length(F.substring_index("value", "#", 1)) - 1).alias("n_chars"))
+    t.pages.select("html").write.option("maxRecordsPerFile", 1).text(path)
+    page = F.regexp_replace("html", r"\n\z", "")
+    rows = files.read_html_folder(t.spark, path, ".txt")
+    return rows.select(F.sha2(page, 256).alias("html_hash"), F.length(page).alias("n_chars"))
+
+
+@query("S14_text_documents", "SELECT sha256(text) AS text_hash FROM benchmark")
+def s14(t):
+    path = work_path(t.spark, "texts")
+    t.benchmark.select("text").write.option("maxRecordsPerFile", 1).text(path)
+    rows = files.read_text_documents(t.spark, path)
+    return rows.select(F.sha2(F.regexp_replace("content", r"\n\z", ""), 256).alias("text_hash"))
+
+
+@query("S13_sitemap_files", "SELECT DISTINCT url AS loc FROM pages")
+def s13x(t):
+    # Sitemap files on disk, read with the XML source: 1000 entries per file.
+    path = work_path(t.spark, "sitemaps")
+    t.pages.select(F.col("url").alias("loc")).write.format("xml").option("rootTag", "urlset").option("rowTag", "url").save(path)
+    return files.read_sitemap_urls(t.spark, path).distinct()
 
 
 @query("S4_nested_json_round_trip", """

@@ -29,17 +29,18 @@ def file_stem(path: Column, suffix: str) -> Column:
     return F.regexp_replace(F.url_decode(F.substring_index(path, "/", -1)), suffix.replace(".", r"\.") + "$", "")
 
 
-def read_html_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per .html file: key (file name), html."""
-    pages = spark.read.option("pathGlobFilter", "*.html").text(folder, wholetext=True)
-    return pages.select(file_stem(F.col("_metadata.file_name"), ".html").alias("key"), F.col("value").alias("html"))
+def read_html_folder(spark: SparkSession, folder: str, ending: str = ".html") -> DataFrame:
+    """One row per page file: key (file name), html."""
+    pages = spark.read.option("pathGlobFilter", "*" + ending).text(folder, wholetext=True)
+    return pages.select(file_stem(F.col("_metadata.file_name"), ending).alias("key"), F.col("value").alias("html"))
 
 
 def read_text_documents(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """Bytes decoded as UTF-8, broken sequences replaced: source, content."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    decoded = F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "")
-    return files.select(file_stem(F.col("path"), "").alias("source"), F.validate_utf8(F.make_valid_utf8(decoded)).alias("content"))
+    # Broken byte sequences become U+FFFD.
+    decoded = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^\ufeff", "")
+    return files.select(file_stem(F.col("path"), "").alias("source"), decoded.alias("content"))
 
 
 def read_nested_hotels(spark: SparkSession, path, schema: str = schemas.RAW_HOTEL) -> DataFrame:
