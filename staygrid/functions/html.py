@@ -146,69 +146,68 @@ def image_url(page_url: Column, base: Column, raw: Column) -> Column:
     return F.when(~F.lower(out).startswith("javascript:"), out)
 
 
-def metadata(html: Column) -> Column:
+def meta_entries(html: Column) -> Column:
+    """array<struct<name, property, itemprop, content>> of a page's meta tags."""
+    names = ("name", "property", "itemprop", "content")
+    return F.transform(tags(html, "meta"), lambda a: F.struct(*[attr(a, n).alias(n) for n in names]))
+
+
+def icon_entries(html: Column) -> Column:
+    """array<struct<rel, href>> of the head's icon links."""
+    links = F.transform(tags(head(html), "link"), lambda a: F.struct(attr(a, "rel").alias("rel"), attr(a, "href").alias("href")))
+    return F.filter(links, lambda e: F.coalesce(e["rel"].contains("icon"), F.lit(False)))
+
+
+def metadata(metas: Column, head_count: Column, icons: Column, page_title: Column, language: Column) -> Column:
     """map<string, string> of page metadata (values still entity-encoded).
 
-    A repeated ``description`` is joined by ', '; other repeated keys keep all
-    values as a JSON array.
+    ``metas`` are ``meta_entries`` of the whole page, the first ``head_count``
+    of them in its head.  A repeated ``description`` is joined by ', '; other
+    repeated keys keep all values as a JSON array.
     """
-    top = head(html)
-    metas = tags(html, "meta")
-    head_metas = tags(top, "meta")
+    head_metas = F.slice(metas, F.lit(1), head_count)
 
-    def named(source: Column, key: str, value: str) -> Column:
-        hits = F.filter(source, lambda a: F.coalesce(attr(a, key) == value, F.lit(False)))
-        return F.try_element_at(F.filter(F.transform(hits, lambda a: attr(a, "content")), lambda v: v.isNotNull()), F.lit(1))
+    def first(source: Column, key: str, value: str) -> Column:
+        hits = F.filter(source, lambda m: F.coalesce(m[key] == value, F.lit(False)) & m["content"].isNotNull())
+        return F.try_element_at(hits, F.lit(1))["content"]
 
     pairs = F.filter(
-        F.transform(metas, lambda a: F.struct(
-            F.coalesce(attr(a, "name"), attr(a, "property"), attr(a, "itemprop")).alias("k"),
-            attr(a, "content").alias("v"),
-        )),
+        F.transform(metas, lambda m: F.struct(F.coalesce(m["name"], m["property"], m["itemprop"]).alias("k"), m["content"].alias("v"))),
         lambda p: p["k"].isNotNull() & p["v"].isNotNull(),
     )
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-
-    def value_of(k: Column) -> Column:
-        vs = F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"])
-        return (
-            F.when(k == "description", F.array_join(vs, ", "))
-            .when(F.size(vs) == 1, F.element_at(vs, 1))
-            .otherwise(F.to_json(vs))
-        )
-
-    generic = F.map_from_arrays(keys, F.transform(keys, value_of))
-    generic = F.map_filter(generic, lambda k, v: k != "title")
-    meta_title = named(metas, "name", "title")
-    page_title = F.coalesce(
-        title(html),
-        F.nullif(named(head_metas, "property", "og:title"), F.lit("")),
-        F.nullif(named(metas, "name", "twitter:title"), F.lit("")),
-        meta_title,
-    )
-    icons = F.filter(tags(top, "link"), lambda a: F.coalesce(attr(a, "rel").contains("icon"), F.lit(False)))
-    exact_icon = F.filter(icons, lambda a: attr(a, "rel") == "icon")
+
+    def grouped(ps: Column) -> Column:
+        def value_of(k: Column) -> Column:
+            vs = F.transform(F.filter(ps, lambda p: p["k"] == k), lambda p: p["v"])
+            return (
+                F.when(k == "description", F.array_join(vs, ", ")).when(F.size(vs) == 1, F.element_at(vs, 1)).otherwise(F.to_json(vs)))
+
+        keys = F.array_distinct(F.transform(ps, lambda p: p["k"]))
+        return F.map_from_arrays(keys, F.transform(keys, value_of))
+
+    best_title = F.coalesce(
+        page_title, F.nullif(first(head_metas, "property", "og:title"), F.lit("")),
+        F.nullif(first(metas, "name", "twitter:title"), F.lit("")), first(metas, "name", "title"))
     favicon = F.coalesce(
-        attr(F.try_element_at(exact_icon, F.lit(1)), "href"), attr(F.try_element_at(icons, F.lit(1)), "href")
-    )
+        F.try_element_at(F.filter(icons, lambda e: e["rel"] == "icon"), F.lit(1))["href"], F.try_element_at(icons, F.lit(1))["href"])
     alternates = F.transform(
-        F.filter(head_metas, lambda a: F.coalesce(attr(a, "property") == "og:locale:alternate", F.lit(False))),
-        lambda a: attr(a, "content"),
-    )
+        F.filter(head_metas, lambda m: F.coalesce(m["property"] == "og:locale:alternate", F.lit(False))), lambda m: m["content"])
     fixed = [
-        (F.lit("title"), page_title),
-        (F.lit("favicon"), favicon),
-        (F.lit("language"), first_attr(html, "html", "lang")),
-        (F.lit("ogLocaleAlternate"), F.when(F.size(alternates) > 0, F.to_json(alternates))),
+        ("title", best_title), ("favicon", favicon), ("language", language),
+        ("ogLocaleAlternate", F.when(F.size(alternates) > 0, F.to_json(alternates))),
     ]
-    fixed += [(F.lit(out), named(head_metas, "property", src)) for out, src in META_PROPERTIES.items()]
-    fixed += [(F.lit(out), named(metas, "name", src)) for out, src in META_NAMES.items()]
+    fixed += [(out, first(head_metas, "property", src)) for out, src in META_PROPERTIES.items()]
+    fixed += [(out, first(metas, "name", src)) for out, src in META_NAMES.items()]
     known = F.map_filter(
-        F.map_from_arrays(F.array(*[k for k, _ in fixed]), F.array(*[v for _, v in fixed])),
-        lambda k, v: v.isNotNull(),
-    )
-    rest = F.map_filter(generic, lambda k, v: ~F.map_contains_key(known, k))
-    return F.map_concat(known, rest)
+        F.map_from_arrays(F.array(*[F.lit(k) for k, _ in fixed]), F.array(*[v for _, v in fixed])), lambda k, v: v.isNotNull())
+    names = F.array(*[F.lit(k) for k, _ in fixed])
+
+    def merged(k: Column) -> Column:
+        # A page's own key of the same name only counts where the fixed one is missing.
+        rest = urls.let(pairs, grouped)
+        return F.map_concat(k, F.map_filter(rest, lambda n, v: ~(F.array_contains(names, n) & F.map_contains_key(k, n)) & (n != "title")))
+
+    return urls.let(known, merged)
 
 
 def attribute_values(html: Column, tag: str, attribute: str, css_class: str | None = None, element_id: str | None = None) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import spread
 
 
 def change_status(previous: Column, current: Column, status_code: Column, strict: bool = False) -> Column:
@@ -41,7 +42,7 @@ def line_diff(pairs: DataFrame, keys: list[str], previous: str, current: str) ->
     def diff(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([line_changes(x or "", y or "") for x, y in zip(a, b)])
 
-    rows = pairs.select(*keys, F.posexplode(diff(previous, current)).alias("pos", "_d"))
+    rows = spread(pairs, *keys).select(*keys, F.posexplode(diff(previous, current)).alias("pos", "_d"))
     return rows.select(*keys, "pos", "_d.type", "_d.old_line", "_d.new_line", "_d.content")
 
 
@@ -90,7 +91,7 @@ def json_diff(pairs: DataFrame, keys: list[str], previous: str, current: str) ->
     def diff(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([json_changes(x, y) for x, y in zip(a, b)])
 
-    rows = pairs.select(*keys, F.explode(diff(previous, current)).alias("_d"))
+    rows = spread(pairs, *keys).select(*keys, F.explode(diff(previous, current)).alias("_d"))
     return rows.select(*keys, "_d.path", "_d.previous", "_d.current")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, strip
+from ..session import spread
 
 MAX_CHARS = 28_000
 MAX_BYTES = 95_000
@@ -25,7 +26,7 @@ def overlapping(docs: DataFrame, keys: list[str], body: str, size: int = 1000, o
     pattern = rf"(?s)(?=(.{{1,{size}}})).{{1,{size - overlap}}}"
     pieces = F.transform(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)), lambda c: strip(c))
     kept = F.filter(pieces, lambda c: c != "")
-    return docs.select(*keys, F.posexplode(kept).alias("chunk_no", "content"))
+    return spread(docs, *keys).select(*keys, F.posexplode(kept).alias("chunk_no", "content"))
 
 
 def ingest(docs: DataFrame, source: str, body: str, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -74,7 +75,7 @@ def at_boundaries(docs: DataFrame, keys: list[str], body: str, max_chars: int =
     def split(s: pd.Series) -> pd.Series:
         return s.map(lambda v: [{"start": a, "content": p} for a, p in boundary_pieces(v, max_chars, max_bytes)], na_action="ignore")
 
-    rows = docs.select(*keys, F.posexplode(split(body)).alias("chunk_no", "_c"))
+    rows = spread(docs, *keys).select(*keys, F.posexplode(split(body)).alias("chunk_no", "_c"))
     return rows.select(*keys, "chunk_no", "_c.start", "_c.content")
 
 
@@ -164,7 +165,7 @@ def spans_of(docs: DataFrame, keys: list[str], body: str) -> DataFrame:
     def split(s: pd.Series) -> pd.Series:
         return s.map(markdown_spans, na_action="ignore")
 
-    rows = docs.select(*keys, F.posexplode(split(body)).alias("pos", "_s"))
+    rows = spread(docs, *keys).select(*keys, F.posexplode(split(body)).alias("pos", "_s"))
     return rows.select(*keys, "pos", "_s.block", "_s.kind", "_s.text", "_s.lang", "_s.is_header")
 
 
@@ -174,19 +175,22 @@ def assembled(spans: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame
     A chosen table row brings its header, code lines get their fence back, text
     spans of one block become one paragraph.  A group is one document's block.
     """
-    picked = spans.join(chosen.select(*keys, "pos").distinct(), [*keys, "pos"], "left_semi")
-    rows_of = picked.filter((F.col("kind") == "table") & ~F.col("is_header")).select(*keys, "block").distinct()
-    heads = spans.filter(F.col("is_header")).join(rows_of, [*keys, "block"], "left_semi")
-    every = picked.unionByName(heads).dropDuplicates([*keys, "pos"])
+    marks = chosen.select(*keys, "pos", F.lit(True).alias("_chosen")).distinct()
+    tagged = spans.join(marks, [*keys, "pos"], "left")
     cells = F.split("text", r" \| ")
     header = F.concat(
         F.lit("| "), F.array_join(F.transform(cells, lambda c: F.replace(c, F.lit("*"), F.lit("\\*"))), " | "), F.lit(" |\n| "),
         F.array_join(F.transform(cells, lambda c: F.lit("---")), " | "), F.lit(" |"))
     line = F.when(F.col("kind") != "table", F.col("text")).when(F.col("is_header"), header).otherwise(
         F.concat(F.lit("| "), "text", F.lit(" |")))
-    parts = every.groupBy(*keys, "block", "kind").agg(
-        F.min("pos").alias("at"), F.first("lang", True).alias("lang"),
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda e: e["line"]).alias("lines"))
+    picked = F.coalesce("_chosen", F.lit(False))
+    entry = F.struct("pos", line.alias("line"))
+    # A header joins when it was chosen or any row of its table was.
+    wanted = F.when(picked | F.col("is_header"), entry)
+    grouped = tagged.groupBy(*keys, "block", "kind").agg(
+        F.bool_or(picked).alias("_any"), F.first("lang", True).alias("lang"), F.array_sort(F.collect_list(wanted)).alias("_lines"))
+    parts = grouped.filter("_any").select(
+        *keys, "kind", "lang", F.col("_lines")[0]["pos"].alias("at"), F.transform("_lines", lambda e: e["line"]).alias("lines"))
     text = F.when(F.col("kind") == "code", F.concat(
         F.lit("```"), F.coalesce("lang", F.lit("")), F.lit("\n"), F.array_join("lines", "\n"), F.lit("\n```"))
     ).when(F.col("kind") == "table", F.array_join("lines", "\n")).otherwise(F.array_join("lines", " "))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html
+from ..session import spread
 
 
 @dataclass(frozen=True)
@@ -27,7 +28,7 @@ class FieldRule:
 
 def extract_fields(pages: DataFrame, keys: list[str], rules: list[FieldRule], body: str = "html") -> DataFrame:
     """One row per page with one column per rule."""
-    seen = pages.select(*keys, html.visible(F.col(body)).alias("_v"))
+    seen = spread(pages, *keys).select(*keys, html.visible(F.col(body)).alias("_v"))
     columns = []
     for r in rules:
         if r.count:

@@ -2,7 +2,8 @@
 
 Link, image, metadata and attribute extraction are JVM expressions; cleaning
 and Markdown need the tag tree and run as one Arrow-batched map.  No job here
-shuffles: every page is handled where it was read.
+shuffles a large input: every page is handled where it was read (``spread``
+only evens out inputs with fewer splits than cores).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, markup, urls
+from ..session import spread
 
 
 _SEP = "\x1f"
@@ -25,7 +27,7 @@ def _decoded(raw: Column) -> Column:
 
 def page_links(pages: DataFrame, keys: list[str], url: str = "url", body: str = "html") -> DataFrame:
     """Distinct links of each page as rows (keys, url, link)."""
-    seen = pages.select(*keys, F.col(url).alias("url"), html.visible(F.col(body)).alias("_v"))
+    seen = spread(pages, *keys).select(*keys, F.col(url).alias("url"), html.visible(F.col(body)).alias("_v"))
     raw = F.transform(html.tags(F.col("_v"), "a"), lambda a: html.attr(a, "href"))
     rows = seen.select(
         *keys, "url", html.base_url(F.col("_v"), F.col("url")).alias("_base"),
@@ -41,7 +43,7 @@ def page_links(pages: DataFrame, keys: list[str], url: str = "url", body: str =
 
 def page_images(pages: DataFrame, keys: list[str], url: str = "url", body: str = "html") -> DataFrame:
     """Distinct image URLs of each page as rows (keys, image)."""
-    seen = pages.select(*keys, F.col(url).alias("url"), html.visible(F.col(body)).alias("_v"))
+    seen = spread(pages, *keys).select(*keys, F.col(url).alias("url"), html.visible(F.col(body)).alias("_v"))
     rows = seen.select(
         *keys, "url", html.base_url(F.col("_v"), F.col("url")).alias("_base"),
         _decoded(html.image_candidates(F.col("_v"))).alias("_raw"))
@@ -52,8 +54,14 @@ def page_images(pages: DataFrame, keys: list[str], url: str = "url", body: str =
 
 def page_metadata(pages: DataFrame, keys: list[str], body: str = "html") -> DataFrame:
     """map of metadata per page, entities decoded."""
-    seen = pages.select(*keys, html.visible(F.col(body)).alias("_v"))
-    meta = seen.select(*keys, html.metadata(F.col("_v")).alias("_m"))
+    seen = spread(pages, *keys).select(*keys, html.visible(F.col(body)).alias("_v"))
+    v = F.col("_v")
+    # Tags are matched once per page here; the map below only looks values up.
+    parsed = seen.select(
+        *keys, html.meta_entries(v).alias("_metas"), html.icon_entries(v).alias("_icons"), html.title(v).alias("_title"),
+        html.first_attr(v, "html", "lang").alias("_lang"), F.size(html.tags(html.head(v), "meta")).alias("_n"))
+    meta = parsed.select(*keys, html.metadata(
+        F.col("_metas"), F.col("_n"), F.col("_icons"), F.col("_title"), F.col("_lang")).alias("_m"))
     rows = meta.select(*keys, F.map_keys("_m").alias("_k"), _decoded(F.map_values("_m")).alias("_x"))
     return rows.select(*keys, F.map_from_arrays("_k", "_x").alias("metadata"))
 
@@ -63,7 +71,7 @@ def page_attributes(
     element_id: str | None = None, body: str = "html",
 ) -> DataFrame:
     """Attribute values of the selected elements as rows (keys, position, value)."""
-    seen = pages.select(*keys, html.visible(F.col(body)).alias("_v"))
+    seen = spread(pages, *keys).select(*keys, html.visible(F.col(body)).alias("_v"))
     values = html.attribute_values(F.col("_v"), tag, attribute, css_class, element_id)
     return seen.select(*keys, F.posexplode(_decoded(values)).alias("position", "value"))
 
@@ -99,4 +107,4 @@ def clean_pages(
             rows = [{key: k, **render(h or "", u or "")} for k, u, h in zip(pdf[key], pdf["_u"], pdf["_h"])]
             yield pd.DataFrame(rows, columns=[key, *formats])
 
-    return pages.select(key, F.col(url).alias("_u"), F.col(body).alias("_h")).mapInPandas(run, schema)
+    return spread(pages, key).select(key, F.col(url).alias("_u"), F.col(body).alias("_h")).mapInPandas(run, schema)

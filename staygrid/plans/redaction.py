@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import let
+from ..session import spread
 
 MAX_BYTES = 250_000
 
@@ -67,7 +68,7 @@ def detected(text: Column, patterns: dict[str, str] | None = None) -> Column:
 
 def span_rows(docs: DataFrame, keys: list[str], body: str, patterns: dict[str, str] | None = None) -> DataFrame:
     """Rows (keys, start, end, kind, entity)."""
-    rows = docs.select(*keys, F.explode(detected(F.col(body), patterns)).alias("_s"))
+    rows = spread(docs, *keys).select(*keys, F.explode(detected(F.col(body), patterns)).alias("_s"))
     return rows.select(*keys, "_s.start", "_s.end", "_s.kind", entity_of(F.col("_s.kind")).alias("entity"))
 
 
@@ -123,7 +124,7 @@ def document_status(chunks: DataFrame, keys: list[str], ok: str = "ok", reason:
 
 def redact_documents(docs: DataFrame, keys: list[str], body: str, style: str = "tag", entities: list[str] | None = None, patterns: dict[str, str] | None = None) -> DataFrame:
     """(keys, status, reason, redacted, n_spans) per document."""
-    staged = docs.select(*keys, F.col(body).alias("_t"), gate(F.col(body)).alias("reason"))
+    staged = spread(docs, *keys).select(*keys, F.col(body).alias("_t"), gate(F.col(body)).alias("reason"))
     found = staged.withColumn("_s", allowed(detected(F.col("_t"), patterns), entities))
     plain = F.col("reason").isNull()
     return found.select(

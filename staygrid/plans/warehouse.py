@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators.ordered import row_number_in_order
+from ..session import cut_lineage, spread
 
 # Flat column -> place type, in source order.
 PLACE_COLUMNS = [
@@ -16,6 +17,8 @@ PLACE_COLUMNS = [
 ]
 SCORES = ["staff_score", "facilities_score", "cleanliness_score", "comfort_score", "value_for_money_score", "location_score", "free_wifi_score"]
 DEFAULT_CHECKIN, DEFAULT_CHECKOUT = "2026-07-06", "2026-07-07"
+# List columns hold hundreds of items each, so little input is much work.
+LIST_BYTES = 64 * 1024
 PRIMARY_KEYS = {
     "hotels": ["hotel_id"], "hotel_locations": ["hotel_id"], "hotel_facilities": ["hotel_id", "facility_name"],
     "hotel_nearby_places": None, "hotel_reviews": ["review_id"], "room_types": ["room_type_id"], "room_prices": ["booking_id"],
@@ -62,14 +65,15 @@ def nearby_places(flat: DataFrame) -> DataFrame:
     # One normalisation call for all columns of a record.
     joined = F.array_join(F.array(*[F.coalesce(F.col(c), F.lit("")) for _, c, _ in present]), "\x1f")
     lists = F.split(text.nfc(joined), "\x1f")
-    rows = flat.select("hotel_id", F.posexplode(lists).alias("_c", "_list"))
+    rows = spread(flat, "hotel_id", bytes_per_task=LIST_BYTES).select("hotel_id", F.posexplode(lists).alias("_c", "_list"))
     items = rows.select("hotel_id", "_c", F.posexplode(F.split("_list", ";")).alias("_pos", "_item"))
     found = items.select("hotel_id", "_c", "_pos", text.nearby_item(text.strip(F.col("_item"))).alias("_p"))
     kind = F.element_at(F.array(*[F.lit(k) for _, _, k in present]), F.col("_c") + 1)
     places = found.filter(F.col("_p.distance_value").isNotNull()).select(
         "hotel_id", "_p.place_name", kind.alias("place_type"), "_p.distance_value", "_p.distance_unit", "_p.distance_in_meters",
         (F.col("_c") * 100_000 + F.col("_pos")).alias("_ord"))
-    unique = places.groupBy([c for c in places.columns if c != "_ord"]).agg(F.min("_ord").alias("_ord"))
+    # Ranking reads its input twice; the parsed places are written once instead.
+    unique = cut_lineage(places.groupBy([c for c in places.columns if c != "_ord"]).agg(F.min("_ord").alias("_ord")))
     ranked = row_number_in_order(
         unique, ["hotel_id", "place_type"], ["distance_in_meters", "_ord"], F.floor(F.col("distance_in_meters") / 500), "distance_rank")
     return ranked.drop("_ord").withColumn("distance_value", F.col("distance_value").cast("decimal(6,2)"))
@@ -83,7 +87,7 @@ def reviews(flat: DataFrame) -> DataFrame:
 
 
 def _rooms(flat: DataFrame) -> DataFrame:
-    rows = flat.select(
+    rows = spread(flat, "hotel_id", bytes_per_task=LIST_BYTES).select(
         "hotel_id", F.coalesce("ngay_checkin", F.lit(DEFAULT_CHECKIN)).alias("checkin"),
         F.coalesce("ngay_checkout", F.lit(DEFAULT_CHECKOUT)).alias("checkout"),
         F.posexplode(F.split("danh_sach_phong_va_gia", ";")).alias("_pos", "_item"))

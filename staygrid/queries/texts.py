@@ -6,6 +6,7 @@ from ..functions import text, vectors
 from ..operators import changes
 from ..operators.ordered import previous_in_order
 from ..plans import chunks, redaction
+from ..session import spread
 from .registry import query
 
 FROM_LETTERS = "".join(text.FOLDED_LETTERS.values())
@@ -16,6 +17,11 @@ def _d():
 
 
 
+def _docs(t):
+    """Documents on all cores; every text is processed whole."""
+    return spread(t.documents, "doc_id")
+
+
 def _mod(n):
     return F.pmod(_d(), F.lit(n))
 
@@ -24,19 +30,19 @@ def _mod(n):
 SELECT doc_id, sha256(nfc_normalize(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) AS text_hash FROM documents""")
 def c1(t):
     decomposed = F.replace(F.concat(F.lit(" \n"), "text", F.lit("\t ")), F.lit("é"), F.lit("é"))
-    return t.documents.select("doc_id", F.sha2(text.normalize_text(decomposed), 256).alias("text_hash"))
+    return _docs(t).select("doc_id", F.sha2(text.normalize_text(decomposed), 256).alias("text_hash"))
 
 
 @query("C2_slug", f"""
 SELECT doc_id, sha256(trim(regexp_replace({FOLDED.format(c='text')}, '[^a-z0-9]+', '_', 'g'), '_')) AS slug_hash FROM documents""")
 def c2(t):
-    return t.documents.select("doc_id", F.sha2(text.slug(F.col("text")), 256).alias("slug_hash"))
+    return _docs(t).select("doc_id", F.sha2(text.slug(F.col("text")), 256).alias("slug_hash"))
 
 
 @query("C3_dash_slug", f"""
 SELECT doc_id, sha256(coalesce(nullif(trim(regexp_replace(regexp_replace({FOLDED.format(c='text')}, '[^a-z0-9\\s-]', '', 'g'), '[\\s-]+', '-', 'g'), '-'), ''), 'standard-room')) AS slug_hash FROM documents""")
 def c3(t):
-    return t.documents.select("doc_id", F.sha2(text.dash_slug(F.col("text")), 256).alias("slug_hash"))
+    return _docs(t).select("doc_id", F.sha2(text.dash_slug(F.col("text")), 256).alias("slug_hash"))
 
 
 @query("C4_stars", """
@@ -126,21 +132,21 @@ SELECT doc_id, coalesce(string_agg(trim(s), '; ' ORDER BY pos) FILTER (WHERE len
  SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS pos FROM (
   SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents)) GROUP BY 1""")
 def c14(t):
-    return t.documents.select("doc_id", text.sentences_with(F.col("text"), WORDS).alias("sentences"))
+    return _docs(t).select("doc_id", text.sentences_with(F.col("text"), WORDS).alias("sentences"))
 
 
 @query("C15_comparison_form", """
 SELECT doc_id, sha256(trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g'))) AS text_hash FROM documents""")
 def c15(t):
     noisy = F.concat(F.lit("\ufeff  "), F.replace("text", F.lit(" "), F.lit("\u200b \n ")))
-    return t.documents.select("doc_id", F.sha2(text.comparison_form(noisy), 256).alias("text_hash"))
+    return _docs(t).select("doc_id", F.sha2(text.comparison_form(noisy), 256).alias("text_hash"))
 
 
 @query("C16_strip_junk", """
 SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[ \\t]{2,}', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) AS text_hash FROM documents""")
 def c16(t):
     noisy = F.replace("text", F.lit(" "), F.lit(" \u200b\u0007"))
-    return t.documents.select("doc_id", F.sha2(text.strip_junk(F.concat(noisy, F.lit(" \ufeff"))), 256).alias("text_hash"))
+    return _docs(t).select("doc_id", F.sha2(text.strip_junk(F.concat(noisy, F.lit(" \ufeff"))), 256).alias("text_hash"))
 
 
 @query("C18_C19_schedule", """
@@ -158,7 +164,7 @@ def c18(t):
 SELECT doc_id, sha256('![a](<Base64-Image-Removed>) ' || text || ' ![](<Base64-Image-Removed>)![k](x.png)') AS text_hash FROM documents""")
 def c20(t):
     md = F.concat(F.lit("![a](data:image/png;base64,AAAA==) "), "text", F.lit(" ![](data:image/svg+xml;base64,QQ==)![k](x.png)"))
-    return t.documents.select("doc_id", F.sha2(text.without_inline_images(md), 256).alias("text_hash"))
+    return _docs(t).select("doc_id", F.sha2(text.without_inline_images(md), 256).alias("text_hash"))
 
 
 @query("C21_json_path", """
@@ -210,7 +216,7 @@ SELECT doc_id, 'Title ' || doc_id || chr(10) || chr(10) || '| name | size |' ||
  || '```sql' || chr(10) || 'from t' || chr(10) || '```' AS answer FROM documents""")
 def x4(t):
     spans = chunks.spans_of(_markdown(t), ["doc_id"], "md")
-    chosen = spans.filter(F.col("pos").isin(0, 3, 5)).select("doc_id", "pos")
+    chosen = t.documents.select("doc_id", F.explode(F.array(F.lit(0), F.lit(3), F.lit(5))).alias("pos"))
     return chunks.assembled(spans, chosen, ["doc_id"])
 
 
@@ -299,7 +305,7 @@ def k1(t):
 SELECT doc_id, round({SCORE_SQL.replace('1.0 / 6', '1.0 / 8').format(len='length(text)')}, 6) AS score FROM (
  SELECT doc_id, text, len(regexp_extract_all(lower(text), 'the')) AS n1, len(regexp_extract_all(lower(text), 'tion')) AS n2 FROM documents)""")
 def k1d(t):
-    return t.documents.select("doc_id", F.round(vectors.query_score(F.col("text"), "the tion"), 6).alias("score"))
+    return _docs(t).select("doc_id", F.round(vectors.query_score(F.col("text"), "the tion"), 6).alias("score"))
 
 
 @query("K2_embedding_rank", """
@@ -327,7 +333,7 @@ s AS (SELECT doc_id, CASE WHEN a = b THEN 1.0 WHEN a = '' OR b = '' THEN 0.0
   ELSE len(list_intersect(wa, wb)) / (len(wa) + len(wb) - len(list_intersect(wa, wb))) END AS sim FROM w)
 SELECT doc_id, round(sim, 6) AS similarity, sim >= 0.95 AS is_match FROM s""")
 def m1(t):
-    docs = t.documents.select("doc_id", "source", F.col("text").alias("now"))
+    docs = _docs(t).select("doc_id", "source", F.col("text").alias("now"))
     pairs = previous_in_order(docs, ["source"], ["doc_id"], F.floor(_d() / 1000), ["now"]).filter(F.col("prev_now").isNotNull())
     scored = pairs.withColumn("s", text.word_set_similarity(F.col("now"), F.col("prev_now")))
     return scored.select("doc_id", F.round("s", 6).alias("similarity"), (F.col("s") >= 0.95).alias("is_match"))
@@ -343,7 +349,7 @@ def m2(t):
     old = F.concat("text", F.lit(" 10 20.5 30"))
     third = F.substr("text", F.lit(1), F.floor(F.length("text") / 3).cast("int"))
     new = F.concat(F.when(_mod(3) == 0, old).when(_mod(3) == 1, F.concat("text", F.lit(" 10"))).otherwise(third), F.lit("\n| a |\n| --- |"))
-    q = t.documents.select("doc_id", old.alias("old"), new.alias("new")).select(
+    q = _docs(t).select("doc_id", old.alias("old"), new.alias("new")).select(
         "doc_id", changes.extraction_quality(F.col("new"), F.col("old")).alias("q"))
     return q.select("doc_id", "q.length_ratio", "q.number_ratio", "q.new_tables", "q.verdict")
 
@@ -377,7 +383,7 @@ def v1(t):
     previous = F.when(_mod(4) == 1, F.reverse("text")).when(_mod(4) == 2, F.concat("text", F.lit("§"))).when(
         _mod(4) == 3, F.concat(F.lit(" "), "text", F.lit("\n[iframe](x)")))
     code = F.when(_mod(17) == 0, 404).otherwise(200)
-    return t.documents.select("doc_id", changes.change_status(previous, F.col("text"), code).alias("status"))
+    return _docs(t).select("doc_id", changes.change_status(previous, F.col("text"), code).alias("status"))
 
 
 @query("V2_line_diff", """

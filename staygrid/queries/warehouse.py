@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.text import nearby_item, room_item
 from ..operators import dedup, ordered, records, topk
+from ..operators.rollups import table_counts
 from ..plans import monitor, rag, warehouse
-from ..session import work_path
+from ..session import cut_lineage, work_path
 from ..sources import files, sinks
 from . import derived
 from .derived import SOLD_SQL
@@ -14,6 +16,11 @@ from .registry import query
 RUN_TS = "2026-07-06 00:00:00"
 
 
+def _flat(t):
+    """The flat records as a stored table, which is what the cleaning job reads."""
+    return cut_lineage(derived.flat_hotels(t))
+
+
 def _score_sql(k, name):
     return f"CAST(CASE WHEN s_suppkey % 5 <> 0 THEN (s_suppkey * {k} % 50) / 10.0 + 5 ELSE 0 END AS DOUBLE) AS {name}"
 
@@ -27,7 +34,7 @@ SELECT 's' || s_suppkey AS hotel_id, s_name AS hotel_name, 'Mô tả "' || n_nam
  CASE WHEN s_suppkey % 2 = 0 THEN '06:00' ELSE '00:00' END AS checkout_time_start, CASE WHEN s_suppkey % 2 = 0 THEN '11:30' ELSE '12:00' END AS checkout_time_end
 FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def n1_hotels(t):
-    return warehouse.hotels(derived.flat_hotels(t))
+    return warehouse.hotels(_flat(t))
 
 
 @query("N1_locations", """
@@ -36,14 +43,14 @@ SELECT 's' || s_suppkey AS hotel_id, CASE WHEN a THEN s_suppkey || ' Phố Một
  CAST(CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey / 64 + 10 END AS DECIMAL(10,8)) AS latitude, CAST(CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey / 64 + 100 END AS DECIMAL(11,8)) AS longitude
 FROM (SELECT *, s_suppkey % 6 <> 0 AS a FROM supplier JOIN nation ON s_nationkey = n_nationkey)""")
 def n1_locations(t):
-    return warehouse.locations(derived.flat_hotels(t))
+    return warehouse.locations(_flat(t))
 
 
 @query("N1_facilities", """
 SELECT 's' || s_suppkey AS hotel_id, unnest(['Hồ bơi', 'Wifi miễn phí', upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2))]) AS facility_name
 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 8 <> 0""")
 def n1_facilities(t):
-    return warehouse.facilities(derived.flat_hotels(t))
+    return warehouse.facilities(_flat(t))
 
 
 @query("N1_nearby_places", f"""
@@ -55,7 +62,7 @@ n AS (SELECT DISTINCT l_suppkey, place_name, place_type, distance_value, distanc
 SELECT 's' || l_suppkey AS hotel_id, place_name, place_type, CAST(distance_value AS DOUBLE) AS distance_value, distance_unit, distance_in_meters,
  CAST(row_number() OVER (PARTITION BY l_suppkey, place_type ORDER BY distance_in_meters, place_name) AS INTEGER) AS distance_rank FROM n""")
 def n1_nearby(t):
-    out = warehouse.nearby_places(derived.flat_hotels(t))
+    out = warehouse.nearby_places(_flat(t))
     return out.withColumn("distance_value", F.col("distance_value").cast("double"))
 
 
@@ -63,7 +70,7 @@ def n1_nearby(t):
     _score_sql(3, "staff_score"), _score_sql(7, "facilities_score"), _score_sql(11, "cleanliness_score"), _score_sql(13, "comfort_score"),
     _score_sql(17, "value_for_money_score"), _score_sql(19, "location_score"), _score_sql(23, "free_wifi_score"), _score_sql(3, "average_score")]) + " FROM supplier")
 def n1_reviews(t):
-    out = warehouse.reviews(derived.flat_hotels(t))
+    out = warehouse.reviews(_flat(t))
     return out.select("review_id", "hotel_id", *[F.col(c).cast("double").alias(c) for c in out.columns[2:]])
 
 
@@ -76,7 +83,7 @@ ROOM_ID_SQL = "'s' || l_suppkey || '_' || CASE WHEN p_name = 'Phòng Đơn' THEN
 @query("N1_room_types", f"""
 SELECT {ROOM_ID_SQL} AS room_type_id, 's' || l_suppkey AS hotel_id, p_name AS room_type_name, 'Không xác định' AS bed_types, 2 AS max_guests FROM {ROOMS_SQL}""")
 def n1_room_types(t):
-    return warehouse.room_types(derived.flat_hotels(t))
+    return warehouse.room_types(_flat(t))
 
 
 @query("N1_room_prices", f"""
@@ -85,10 +92,44 @@ SELECT {ROOM_ID_SQL} || '_' || CASE WHEN l_suppkey % 3 <> 2 THEN '2026-08-01' EL
  CASE WHEN l_suppkey % 3 <> 2 THEN DATE '2026-08-01' ELSE DATE '2026-07-06' END AS checkin_date,
  CASE WHEN l_suppkey % 3 <> 2 THEN DATE '2026-08-02' ELSE DATE '2026-07-07' END AS checkout_date FROM {ROOMS_SQL}""")
 def n1_room_prices(t):
-    out = warehouse.room_prices(derived.flat_hotels(t), RUN_TS)
+    out = warehouse.room_prices(_flat(t), RUN_TS)
     return out.withColumns({c: F.col(c).cast("double") for c in ("original_price", "current_price", "discount")})
 
 
+@query("C7_nearby_rows", """
+SELECT p_partkey, p_name AS place_name, p_size / 10.0 AS distance_value, CASE WHEN p_size % 2 = 0 THEN 'km' ELSE 'm' END AS distance_unit,
+ CAST(CASE WHEN p_size % 2 = 0 THEN trunc(CAST(p_size / 10.0 AS DOUBLE) * 1000) ELSE trunc(CAST(p_size / 10.0 AS DOUBLE)) END AS INTEGER) AS distance_in_meters FROM part""")
+def c7(t):
+    unit = F.when(F.pmod("p_size", F.lit(2)) == 0, " KM").otherwise("m")
+    value = F.replace(F.format_string("%.1f", F.col("p_size") / 10), F.lit("."), F.lit(","))
+    item = F.concat("p_name", F.lit("  "), value, unit, F.lit(" "))
+    return t.part.select("p_partkey", nearby_item(item).alias("n")).select("p_partkey", "n.*")
+
+
+@query("C8_room_rows", """
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 3 <> 0 THEN 'Phòng ' || l_partkey END AS room_type_name,
+ CASE l_linenumber % 3 WHEN 1 THEN CAST(floor(l_extendedprice) AS DOUBLE) WHEN 2 THEN 0.0 END AS price FROM lineitem""")
+def c8(t):
+    m = F.pmod("l_linenumber", F.lit(3))
+    name = F.concat(F.lit("Phòng "), "l_partkey")
+    item = F.when(m == 1, F.concat(name, F.lit(" ( "), F.format_number(F.floor("l_extendedprice"), 0), F.lit(" vnd ) "))).when(
+        m == 2, F.concat(name, F.lit(" (1.200.000 VND)"))).otherwise(name)
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", room_item(item).alias("r")).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "r.*")
+
+
+@query("Q2_expected_counts", """
+SELECT 'hotels' AS table_name, count(*) AS n_rows, count(*) AS expected FROM supplier
+UNION ALL SELECT 'room_types', count(*), count(*) FROM (SELECT DISTINCT l_suppkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey
+ UNION ALL SELECT DISTINCT l_suppkey, 'Phòng Đơn' FROM lineitem)""")
+def q2(t):
+    flat = _flat(t)
+    loaded = table_counts({"hotels": warehouse.hotels(flat), "room_types": warehouse.room_types(flat)})
+    listed = flat.agg(F.sum(F.regexp_count("danh_sach_phong_va_gia", F.lit("VND"))).alias("n")).select(F.lit("room_types").alias("table_name"), F.col("n").alias("expected"))
+    known = t.supplier.agg(F.count(F.lit(1)).alias("expected")).select(F.lit("hotels").alias("table_name"), "expected").unionByName(listed)
+    return loaded.join(known, "table_name").select("table_name", "n_rows", "expected")
+
+
 # -------------------------------------------------------------- sources, sinks
 
 @query("S1_S5_flat_csv_round_trip", """
@@ -104,7 +145,7 @@ def s1(t):
 def s3(t):
     # One file per page, as a crawler leaves them.
     path = work_path(t.spark, "html")
-    t.pages.select("html").write.option("maxRecordsPerFile", 1).text(path)
+    t.pages.select("page_id", "html").repartition(32, "page_id").select("html").write.option("maxRecordsPerFile", 1).text(path)
     page = F.regexp_replace("html", r"\n\z", "")
     rows = files.read_html_folder(t.spark, path, ".txt")
     return rows.select(F.sha2(page, 256).alias("html_hash"), F.length(page).alias("n_chars"))
@@ -147,7 +188,6 @@ def s6(t):
     path = work_path(t.spark, "export")
     tables = {n: getattr(t, n) for n in ("nation", "supplier", "labels")}
     names = sinks.export_tables(t.spark, tables, path)
-    from ..operators.rollups import table_counts
     return table_counts({n: t.spark.read.schema(tables[n].schema).options(**files.CSV_OPTIONS).csv(f"{path}/{n}") for n in names})
 
 
@@ -200,7 +240,7 @@ def s10(t):
 def s11(t):
     path = work_path(t.spark, "rebuild")
     for _ in range(2):
-        sinks.rebuild({"hotels": warehouse.hotels(derived.flat_hotels(t))}, path)
+        sinks.rebuild({"hotels": warehouse.hotels(_flat(t))}, path)
     return t.spark.read.parquet(f"{path}/hotels").select("hotel_id", "hotel_name")
 
 

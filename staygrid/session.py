@@ -26,7 +26,9 @@ def build_session(app: str = "staygrid", master: str | None = None, **conf) -> S
         .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
-        b = b.master(master).config("spark.sql.shuffle.partitions", "8")
+        # Small shuffles stay on all local cores instead of being merged into one task.
+        b = (b.master(master).config("spark.sql.shuffle.partitions", "8")
+             .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k"))
     for key, value in conf.items():
         b = b.config(key, value)
     return b.getOrCreate()
@@ -68,3 +70,21 @@ def cut_lineage(df):
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df, *keys: str, bytes_per_task: int = 512 * 1024):
+    """Use all cores for work that is heavy per row, when the reader would not.
+
+    A file with few row groups is read by few tasks.  If the estimated size
+    gives the reader fewer tasks than there are cores, rows are hashed by
+    ``keys`` (unique ids, so evenly).  Large inputs already have enough splits
+    and are returned as they are, without a shuffle.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    cores = spark.sparkContext.defaultParallelism
+    tasks = min(cores, size // bytes_per_task)
+    if size // split >= cores or tasks <= 1:
+        return df
+    return df.repartition(int(tasks), *keys)
