@@ -60,7 +60,7 @@ JUNK_CHARACTERS = (
 )
 
 NUMBER = r"\d+(?:\.\d+)?"
-TABLE_RULE_LINE = r"(?m)^\s*(?:\|\s*:?-+:?\s*)+\|\s*$"
+TABLE_RULE_LINE = r"(?m)^[^\S\n]*+(?:\|\s*:?-+:?\s*)+\|[^\S\n]*+$"
 
 
 @F.pandas_udf(StringType())
@@ -70,7 +70,8 @@ def nfc(s: pd.Series) -> pd.Series:
 
 def strip(c: Column) -> Column:
     """Trim every kind of Unicode white space, not only blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    # The look-behind keeps long inner runs of blanks from being rescanned.
+    return F.regexp_replace(c, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def normalize_text(c: Column) -> Column:
