@@ -9,23 +9,62 @@ last row - is aggregated map-side to one row per (key, bucket) and joined back.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Even:
+    """Buckets of about ``rows`` rows along a numeric ``position`` of the order.
+
+    A key's rows are cut at multiples of ``width``; a piece with more than
+    ``rows`` rows is cut further, into equal widths, as often as its count asks
+    for.  So a sparse key keeps few buckets and a hot key gets as many as it
+    needs.  Only rows with one and the same position cannot be separated.
+    """
+
+    position: Column
+    width: float
+    rows: int = 1_000_000
+
+
+def _bucketed(df: DataFrame, keys: list[str], bucket: Column | Even) -> DataFrame:
+    """``df`` with its bucket in ``_b``."""
+    if not isinstance(bucket, Even):
+        return df.withColumn("_b", bucket)
+    at = df.withColumn("_p", bucket.position.cast("double") / bucket.width).withColumn("_c", F.floor("_p"))
+    # At most (all rows / rows) pieces are crowded, however many keys there are.
+    crowded = at.groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > bucket.rows).select(
+        *[F.col(k).alias(f"_h_{k}") for k in keys], F.col("_c").alias("_hc"), F.ceil(F.col("_n") / bucket.rows).alias("_parts"))
+    same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys] + [F.col("_c").eqNullSafe(F.col("_hc"))]
+    joined = at.join(crowded, _all(same), "left")
+    part = F.least(F.floor((F.col("_p") - F.col("_c")) * F.col("_parts")), F.col("_parts") - 1)
+    return joined.select(*df.columns, F.struct(F.col("_c").alias("c"), F.coalesce(part, F.lit(0)).alias("p")).alias("_b"))
+
+
+def micros(ts: str) -> Column:
+    """Position of a timestamp column."""
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+DAY = 86_400_000_000
+
+
 def _columns(names) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
 
 
 def row_number_in_order(
-    df: DataFrame, keys: list[str], order: list, bucket: Column, out: str
+    df: DataFrame, keys: list[str], order: list, bucket: Column | Even, out: str
 ) -> DataFrame:
     """``row_number() over (partition by keys order by order)``.
 
     ``bucket`` must not decrease along ``order``.
     """
-    d = df.withColumn("_b", bucket)
+    d = _bucketed(df, keys, bucket)
     per_bucket = W.partitionBy(*keys, "_b").orderBy(*_columns(order))
     counts = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -40,10 +79,10 @@ def row_number_in_order(
 
 
 def running_sum_in_order(
-    df: DataFrame, keys: list[str], order: list, bucket: Column, value: Column, out: str
+    df: DataFrame, keys: list[str], order: list, bucket: Column | Even, value: Column, out: str
 ) -> DataFrame:
     """``sum(value) over (partition by keys order by order rows unbounded preceding)``."""
-    d = df.withColumn("_b", bucket).withColumn("_v", value)
+    d = _bucketed(df, keys, bucket).withColumn("_v", value)
     per_bucket = W.partitionBy(*keys, "_b").orderBy(*_columns(order)).rowsBetween(W.unboundedPreceding, 0)
     totals = d.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t"))
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -58,10 +97,10 @@ def running_sum_in_order(
 
 
 def previous_in_order(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, values: list[str], prefix: str = "prev_"
+    df: DataFrame, keys: list[str], order: list[str], bucket: Column | Even, values: list[str], prefix: str = "prev_"
 ) -> DataFrame:
     """``lag(value) over (partition by keys order by order)`` for several values."""
-    d = df.withColumn("_b", bucket)
+    d = _bucketed(df, keys, bucket)
     w = W.partitionBy(*keys, "_b").orderBy(*order)
     row = F.struct(F.lit(True).alias("found"), *[F.col(v) for v in values])
     local = d.withColumn("_lag", F.lag(row).over(w))
@@ -103,11 +142,3 @@ def one_per_key(df: DataFrame, keys: list[str], prefer: Column, keep: str = "min
     grouped = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
     return grouped.agg(pick(row, prefer).alias("_row")).select("_row.*")
 
-
-def span_bucket(df: DataFrame, column: str, buckets: int) -> Column:
-    """Equal-width bucket number of a numeric column, from its global min and max."""
-    ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    lo = ends.select(F.col("lo").cast("double")).scalar()
-    hi = ends.select(F.col("hi").cast("double")).scalar()
-    width = F.greatest((hi - lo) / buckets, F.lit(1e-12))
-    return F.least(F.floor((F.col(column).cast("double") - lo) / width), F.lit(buckets - 1)).cast("int")

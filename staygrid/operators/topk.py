@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from .ordered import newest_per_key, running_sum_in_order
+from .ordered import Even, newest_per_key, running_sum_in_order
 
 MAX_QUERY_BYTES = 64 * 1024 * 1024
 
@@ -83,7 +83,7 @@ def keyset_page(
 
 
 def capped_listing(
-    df: DataFrame, key: list[str], order: str, bucket: Column, size: Column, cap: int,
+    df: DataFrame, key: list[str], order: str, bucket: Column | Even, size: Column, cap: int,
 ) -> DataFrame:
     """Rows of each listing until their sizes reach ``cap``; always at least one."""
     total = running_sum_in_order(df.withColumn("_size", size), key, [order], bucket, F.col("_size"), "bytes_so_far")

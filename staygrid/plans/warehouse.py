@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators.ordered import row_number_in_order
+from ..operators.ordered import Even, row_number_in_order
 from ..session import cut_lineage, spread
 
 # Flat column -> place type, in source order.
@@ -75,7 +75,7 @@ def nearby_places(flat: DataFrame) -> DataFrame:
     # Ranking reads its input twice; the parsed places are written once instead.
     unique = cut_lineage(places.groupBy([c for c in places.columns if c != "_ord"]).agg(F.min("_ord").alias("_ord")))
     ranked = row_number_in_order(
-        unique, ["hotel_id", "place_type"], ["distance_in_meters", "_ord"], F.floor(F.col("distance_in_meters") / 500), "distance_rank")
+        unique, ["hotel_id", "place_type"], ["distance_in_meters", "_ord"], Even(F.col("distance_in_meters"), 1000), "distance_rank")
     return ranked.drop("_ord").withColumn("distance_value", F.col("distance_value").cast("decimal(6,2)"))
 
 

@@ -367,16 +367,14 @@ def j13(t):
 
 
 @query("J16_links_to_known_pages", f"""
-SELECT {sql(HOST)} AS host, count(*) AS n_links, count(*) FILTER (WHERE lower(regexp_extract(link, '^https?://[^/]+')) || '/' || 'en' = '' OR link IN (SELECT url FROM pages)) AS n_known
+SELECT {sql(HOST)} AS host, count(*) AS n_links, count(*) FILTER (WHERE link IN (SELECT url FROM pages)) AS n_known
 FROM {HREFS_SQL} GROUP BY 1""")
 def j16(t):
-    edges = pages.page_links(t.pages, ["page_id"])
-    known = t.pages.select(F.col("url").alias("link"), F.lit(True).alias("known"))
-    return edges.join(known, "link", "left").groupBy(urls.host(F.col("url")).alias("host")).agg(
-        F.count(F.lit(1)).alias("n_links"), F.count_if(F.coalesce("known", F.lit(False))).alias("n_known"))
-
-
-FRONTIER_EQUIV = EQUIV
+    # Counted per (host, link) before the join: a link on every page is one row.
+    edges = pages.page_links(t.pages, ["page_id"]).groupBy(urls.host(F.col("url")).alias("host"), "link").agg(F.count(F.lit(1)).alias("n"))
+    known = t.pages.select(F.col("url").alias("link"), F.lit(True).alias("known")).distinct()
+    return edges.join(known, "link", "left").groupBy("host").agg(
+        F.sum("n").alias("n_links"), F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0)).alias("n_known"))
 
 
 @query("G1_crawl_frontier", f"""

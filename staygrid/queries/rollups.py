@@ -339,14 +339,23 @@ def r7(t):
     return recent.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+TABLE_COLUMNS = {
+    "region": "r_regionkey, r_name", "nation": "n_nationkey, n_name, n_regionkey",
+    "customer": "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment", "supplier": "s_suppkey, s_name, s_nationkey, s_acctbal",
+    "part": "p_partkey, p_name, p_brand, p_type, p_size, p_retailprice",
+    "orders": "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority",
+    "lineitem": "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate",
+    "events": "event_id, ts, user_id, event_type, value, props", "documents": "doc_id, text, lang, source, n_chars",
+    "embeddings": "vec_id, embedding, label", "pages": "page_id, url, html", "benchmark": "item_id, text",
+    "labels": "doc_id, quality, toxic", "conversations": "conv_id, turn, role, text",
+}
+
+
 @query("Q1_table_profile", " UNION ALL ".join(
-    f"SELECT '{n}' AS table_name, count(*) AS n_rows, '{cols}' AS columns FROM {n}" for n, cols in {
-        "region": "r_regionkey, r_name", "nation": "n_nationkey, n_name, n_regionkey",
-        "supplier": "s_suppkey, s_name, s_nationkey, s_acctbal", "labels": "doc_id, quality, toxic"}.items()))
+    f"SELECT '{n}' AS table_name, count(*) AS n_rows, '{cols}' AS columns FROM {n}" for n, cols in TABLE_COLUMNS.items()))
 def q1(t):
     from ..operators.quality import table_profile
-    out = table_profile({n: getattr(t, n) for n in ("region", "nation", "supplier", "labels")})
-    return out.select("table_name", "n_rows", "columns")
+    return table_profile({n: getattr(t, n) for n in ALL_TABLES}).select("table_name", "n_rows", "columns")
 
 
 @query("Q3_key_checks", """

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vectors
 from ..operators import changes
-from ..operators.ordered import previous_in_order
+from ..operators.ordered import DAY, Even, micros, previous_in_order
 from ..plans import chunks, redaction
 from ..session import spread
 from .registry import query
@@ -335,7 +335,7 @@ s AS (SELECT doc_id, CASE WHEN a = b THEN 1.0 WHEN a = '' OR b = '' THEN 0.0
 SELECT doc_id, round(sim, 6) AS similarity, sim >= 0.95 AS is_match FROM s""")
 def m1(t):
     docs = _docs(t).select("doc_id", "source", F.col("text").alias("now"))
-    pairs = previous_in_order(docs, ["source"], ["doc_id"], F.floor(_d() / 1000), ["now"]).filter(F.col("prev_now").isNotNull())
+    pairs = previous_in_order(docs, ["source"], ["doc_id"], Even(_d(), 1_000_000, 100_000), ["now"]).filter(F.col("prev_now").isNotNull())
     scored = pairs.withColumn("s", text.word_set_similarity(F.col("now"), F.col("prev_now")))
     return scored.select("doc_id", F.round("s", 6).alias("similarity"), (F.col("s") >= 0.95).alias("is_match"))
 
@@ -409,7 +409,7 @@ def v3(t):
     doc = F.concat(F.lit('{"plans":[{"price":'), k, F.lit(',"name":"x  y"}],"tags":["a","b"'),
                    F.when(F.pmod(k.cast("int"), F.lit(2)) == 0, ',"c"').otherwise(""), F.lit("]}"))
     rows = t.events.select("user_id", "event_id", "ts", doc.alias("doc"))
-    pairs = previous_in_order(rows, ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), ["doc"]).filter(F.col("prev_doc").isNotNull())
+    pairs = previous_in_order(rows, ["user_id"], ["ts", "event_id"], Even(micros("ts"), 30 * DAY), ["doc"]).filter(F.col("prev_doc").isNotNull())
     return changes.json_diff(pairs, ["event_id"], "prev_doc", "doc")
 
 
@@ -421,5 +421,5 @@ UNION ALL SELECT event_id, 'e', pe, e FROM p WHERE pk IS NOT NULL AND pe <> e"""
 def v4(t):
     doc = F.to_json(F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"), F.col("event_type").alias("e"), F.lit("c").alias("fixed")))
     rows = t.events.select("user_id", "event_id", "ts", doc.alias("doc"))
-    pairs = previous_in_order(rows, ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), ["doc"]).filter(F.col("prev_doc").isNotNull())
+    pairs = previous_in_order(rows, ["user_id"], ["ts", "event_id"], Even(micros("ts"), 30 * DAY), ["doc"]).filter(F.col("prev_doc").isNotNull())
     return changes.top_level_diff(pairs, ["event_id"], "prev_doc", "doc")

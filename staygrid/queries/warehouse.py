@@ -12,6 +12,7 @@ from ..sources import files, sinks
 from . import derived
 from .derived import SOLD_SQL
 from .registry import query
+from .rollups import ALL_TABLES
 
 RUN_TS = "2026-07-06 00:00:00"
 
@@ -183,12 +184,16 @@ def s4(t):
     ).withColumn("n_bookings", F.greatest("n_bookings", F.lit(0)))
 
 
-@query("S6_export_all_tables", "SELECT 'nation' AS table_name, count(*) AS n_rows FROM nation UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'labels', count(*) FROM labels")
+@query("S6_export_all_tables", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in ALL_TABLES))
 def s6(t):
     path = work_path(t.spark, "export")
-    tables = {n: getattr(t, n) for n in ("nation", "supplier", "labels")}
+    tables = {n: getattr(t, n) for n in ALL_TABLES}
     names = sinks.export_tables(t.spark, tables, path)
-    return table_counts({n: t.spark.read.schema(tables[n].schema).options(**files.CSV_OPTIONS).csv(f"{path}/{n}") for n in names})
+
+    def stored(n):
+        return t.spark.read.options(**files.CSV_OPTIONS).schema(", ".join(f"`{c}` string" for c in tables[n].columns)).csv(f"{path}/{n}")
+
+    return table_counts({n: stored(n) for n in names})
 
 
 @query("S7_append_first_wins", """
@@ -278,7 +283,7 @@ def w9(t):
 SELECT doc_id, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS prev_doc_id, length(lag(text) OVER (PARTITION BY source ORDER BY doc_id)) AS prev_chars FROM documents""")
 def w5(t):
     rows = t.documents.select("source", "doc_id", "text")
-    out = ordered.previous_in_order(rows, ["source"], ["doc_id"], F.floor(F.col("doc_id") / 1000), ["doc_id", "text"])
+    out = ordered.previous_in_order(rows, ["source"], ["doc_id"], ordered.Even(F.col("doc_id"), 1_000_000, 100_000), ["doc_id", "text"])
     return out.select("doc_id", "prev_doc_id", F.length("prev_text").alias("prev_chars"))
 
 

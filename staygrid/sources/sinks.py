@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.ordered import one_per_key
 
@@ -18,8 +19,10 @@ def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
     """CSV with header; ``bom`` marks the first header for spreadsheet programs.
 
     Text in Spark 4 is written in any supported charset, so the mark is simply
-    part of the first column's name.
+    part of the first column's name.  Nested columns become JSON texts.
     """
+    nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    df = df.withColumns({c: F.to_json(F.col(c)) for c in nested})
     out = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]) if bom else df
     out.write.option("header", "true").option("escape", '"').option("nullValue", "").csv(path)
 

@@ -89,10 +89,18 @@ def test_null_keys_are_a_group(spark):
     assert {(r.k, r.t): r.rn for r in got} == {(None, 1): 1, (None, 2): 2, ("a", 1): 1}
 
 
-def test_span_bucket(spark):
-    _, df = _skewed(spark)
-    got = df.select("t", ordered.span_bucket(df, "t", 10).alias("b")).groupBy("b").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).orderBy("b").collect()
-    assert len(got) == 10 and all(a.hi < b.lo for a, b in zip(got, got[1:]))
+def test_even_buckets_split_a_hot_key(spark):
+    rows, df = _skewed(spark)
+    even = ordered.Even(F.col("t"), 500, rows=100)
+    sizes = ordered._bucketed(df, ["k"], even).groupBy("k", "_b").count()
+    assert sizes.agg(F.max("count")).first()[0] < 200
+    assert sizes.filter("k = 'k1'").count() <= 2
+    got = ordered.row_number_in_order(df, ["k"], ["t", "id"], even, "rn").collect()
+    want = ordered.row_number_in_order(df, ["k"], ["t", "id"], F.lit(0), "rn").collect()
+    assert {(r.id, r.rn) for r in got} == {(r.id, r.rn) for r in want}
+    prev = ordered.previous_in_order(df, ["k"], ["t", "id"], even, ["id"]).collect()
+    want = ordered.previous_in_order(df, ["k"], ["t", "id"], F.lit(0), ["id"]).collect()
+    assert {(r.id, r.prev_id) for r in prev} == {(r.id, r.prev_id) for r in want}
 
 
 def test_newest_good(spark):
