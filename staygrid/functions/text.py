@@ -312,14 +312,12 @@ def word_set(c: Column) -> Column:
 
 def word_set_similarity(a: Column, b: Column) -> Column:
     """Jaccard of two word sets; equal texts score 1, an empty side 0."""
-    wa, wb = word_set(a), word_set(b)
-    shared = F.size(F.array_intersect(wa, wb))
-    union = F.size(wa) + F.size(wb) - shared
-    return (
-        F.when(a == b, F.lit(1.0))
-        .when((F.length(a) == 0) | (F.length(b) == 0) | (union == 0), F.lit(0.0))
-        .otherwise(shared / union)
-    )
+    def jaccard(w: Column) -> Column:
+        return let(F.size(F.array_intersect(w["a"], w["b"])), lambda n: n / (F.size(w["a"]) + F.size(w["b"]) - n))
+
+    words = F.struct(word_set(a).alias("a"), word_set(b).alias("b"))
+    empty = ~F.regexp_like(a, F.lit(r"\S")) | ~F.regexp_like(b, F.lit(r"\S"))
+    return F.when(a == b, F.lit(1.0)).when(empty, F.lit(0.0)).otherwise(let(words, jaccard))
 
 
 def edit_similarity(gold: Column, other: Column) -> Column:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 @dataclass(frozen=True)
 class Even:
@@ -32,17 +34,25 @@ class Even:
 
 
 def _bucketed(df: DataFrame, keys: list[str], bucket: Column | Even) -> DataFrame:
-    """``df`` with its bucket in ``_b``."""
+    """``df`` with its bucket in ``_b`` and its key in ``_k``.
+
+    The key is one struct: it is never NULL and NULL fields compare as equal, so
+    grouping, windows and plain equi-joins on (_k, _b) share one partitioning.
+    """
+    d = df.withColumn("_k", F.struct(*keys))
     if not isinstance(bucket, Even):
-        return df.withColumn("_b", bucket)
-    at = df.withColumn("_p", bucket.position.cast("double") / bucket.width).withColumn("_c", F.floor("_p"))
+        return d.withColumn("_b", bucket)
+    at = d.withColumn("_p", bucket.position.cast("double") / bucket.width).withColumn("_c", F.floor("_p"))
     # At most (all rows / rows) pieces are crowded, however many keys there are.
-    crowded = at.groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > bucket.rows).select(
-        *[F.col(k).alias(f"_h_{k}") for k in keys], F.col("_c").alias("_hc"), F.ceil(F.col("_n") / bucket.rows).alias("_parts"))
-    same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys] + [F.col("_c").eqNullSafe(F.col("_hc"))]
-    joined = at.join(crowded, _all(same), "left")
+    # They are counted once and stored, so the join below knows their real size;
+    # usually there are none and it is left out.
+    crowded = cut_lineage(at.groupBy("_k", "_c").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > bucket.rows).select(
+        "_k", "_c", F.ceil(F.col("_n") / bucket.rows).alias("_parts")))
+    if crowded.isEmpty():
+        return at.select(*d.columns, F.col("_c").alias("_b"))
     part = F.least(F.floor((F.col("_p") - F.col("_c")) * F.col("_parts")), F.col("_parts") - 1)
-    return joined.select(*df.columns, F.struct(F.col("_c").alias("c"), F.coalesce(part, F.lit(0)).alias("p")).alias("_b"))
+    joined = at.join(crowded, ["_k", "_c"], "left")
+    return joined.select(*d.columns, F.struct(F.col("_c").alias("c"), F.coalesce(part, F.lit(0)).alias("p")).alias("_b"))
 
 
 def micros(ts: str) -> Column:
@@ -65,16 +75,11 @@ def row_number_in_order(
     ``bucket`` must not decrease along ``order``.
     """
     d = _bucketed(df, keys, bucket)
-    per_bucket = W.partitionBy(*keys, "_b").orderBy(*_columns(order))
-    counts = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_ob"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-    )
-    ranked = d.withColumn("_rn", F.row_number().over(per_bucket))
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_b").eqNullSafe(F.col("_ob"))]
-    joined = ranked.join(offsets, _all(same), "inner")
+    counts = d.groupBy("_k", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("_k", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = d.withColumn("_rn", F.row_number().over(W.partitionBy("_k", "_b").orderBy(*_columns(order))))
+    joined = ranked.join(offsets, ["_k", "_b"])
     return joined.select(*df.columns, (F.col("_rn") + F.col("_before")).cast("int").alias(out))
 
 
@@ -83,16 +88,11 @@ def running_sum_in_order(
 ) -> DataFrame:
     """``sum(value) over (partition by keys order by order rows unbounded preceding)``."""
     d = _bucketed(df, keys, bucket).withColumn("_v", value)
-    per_bucket = W.partitionBy(*keys, "_b").orderBy(*_columns(order)).rowsBetween(W.unboundedPreceding, 0)
-    totals = d.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t"))
-    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_ob"),
-        F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"),
-    )
-    local = d.withColumn("_s", F.sum("_v").over(per_bucket))
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_b").eqNullSafe(F.col("_ob"))]
-    joined = local.join(offsets, _all(same), "inner")
+    totals = d.groupBy("_k", "_b").agg(F.sum("_v").alias("_t"))
+    before = W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select("_k", "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
+    inside = W.partitionBy("_k", "_b").orderBy(*_columns(order)).rowsBetween(W.unboundedPreceding, 0)
+    joined = d.withColumn("_s", F.sum("_v").over(inside)).join(offsets, ["_k", "_b"])
     return joined.select(*df.columns, (F.col("_s") + F.col("_before")).alias(out))
 
 
@@ -101,29 +101,16 @@ def previous_in_order(
 ) -> DataFrame:
     """``lag(value) over (partition by keys order by order)`` for several values."""
     d = _bucketed(df, keys, bucket)
-    w = W.partitionBy(*keys, "_b").orderBy(*order)
     row = F.struct(F.lit(True).alias("found"), *[F.col(v) for v in values])
-    local = d.withColumn("_lag", F.lag(row).over(w))
-    last = d.groupBy(*keys, "_b").agg(F.max_by(row, F.struct(*order)).alias("_last"))
-    over = W.partitionBy(*keys).orderBy("_b")
-    carried = last.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_ob"),
-        F.lag("_last").over(over).alias("_carry"),
-    ).filter(F.col("_carry").isNotNull())
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_b").eqNullSafe(F.col("_ob"))]
+    local = d.withColumn("_lag", F.lag(row).over(W.partitionBy("_k", "_b").orderBy(*order)))
+    last = d.groupBy("_k", "_b").agg(F.max_by(row, F.struct(*order)).alias("_last"))
+    carried = last.select("_k", "_b", F.lag("_last").over(W.partitionBy("_k").orderBy("_b")).alias("_carry"))
     # Only the first row of a bucket needs the carried row.
-    joined = local.join(carried, _all(same), "left")
+    joined = local.join(carried.filter(F.col("_carry").isNotNull()), ["_k", "_b"], "left")
     seen = F.coalesce(F.col("_lag"), F.col("_carry"))
     return joined.select(*df.columns, *[seen[v].alias(prefix + v) for v in values])
 
 
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
-
-
 def newest_per_key(df: DataFrame, keys: list[str], order: list, n: int, position: str | None = None) -> DataFrame:
     """First ``n`` rows per key in ``order``.
 

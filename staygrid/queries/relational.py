@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import filters, joins, ordered, topk
 from ..plans.tools import HOTEL_TOOLS
+from ..session import cut_lineage
 from . import derived
 from .derived import (FACILITIES_SQL, HOTELS_SQL, LOCATIONS_SQL, NEARBY_SQL, REVIEWS_SQL, ROOM_PRICES_SQL,
                       ROOM_TYPES_SQL)
@@ -371,7 +372,9 @@ SELECT l_suppkey, l_returnflag, l_quantity, l_orderkey, l_linenumber, l_partkey,
  CAST(row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_quantity, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS INTEGER) AS distance_rank
 FROM (SELECT DISTINCT l_suppkey, l_returnflag, l_quantity, l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem)""")
 def w1(t):
-    rows = t.lineitem.select("l_suppkey", "l_returnflag", "l_quantity", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").dropDuplicates()
+    # Ranking reads its input more than once; the distinct rows are stored first.
+    rows = cut_lineage(t.lineitem.select(
+        "l_suppkey", "l_returnflag", "l_quantity", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").dropDuplicates())
     return ordered.row_number_in_order(
         rows, ["l_suppkey", "l_returnflag"], ["l_quantity", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"],
         ordered.Even(F.col("l_quantity"), 100), "distance_rank")
