@@ -51,14 +51,11 @@ _ZERO_WIDTH = dict.fromkeys([0x200B, 0x200C, 0x200D, 0xFEFF])
 
 
 def _comparable(value):
-    """Key order, Unicode form and white space do not count as a difference."""
+    """A leaf (or a side of another shape) as compared: Unicode form, white space
+    and zero-width characters of a text do not count."""
     if isinstance(value, str):
-        return ("s", " ".join(unicodedata.normalize("NFC", value).translate(_ZERO_WIDTH).split()))
-    if isinstance(value, dict):
-        return ("o", {k: _comparable(v) for k, v in value.items()})
-    if isinstance(value, list):
-        return ("a", [_comparable(v) for v in value])
-    return ("b" if isinstance(value, bool) else "n", value)
+        return " ".join(unicodedata.normalize("NFC", value).translate(_ZERO_WIDTH).split())
+    return (type(value) if isinstance(value, (bool, dict, list)) else float if isinstance(value, int) else type(value), value)
 
 
 def json_changes(previous: str | None, current: str | None) -> list[dict]:
@@ -66,24 +63,27 @@ def json_changes(previous: str | None, current: str | None) -> list[dict]:
 
     Where the two sides have different shapes the whole subtree is one entry.
     """
+    if previous == current:
+        return []
     out = []
     todo = [("", json.loads(previous) if previous else {}, json.loads(current) if current else {})]
     while todo:
-        path, a, b = todo.pop(0)
-        if a is not _ABSENT and b is not _ABSENT and _comparable(a) == _comparable(b):
-            continue
+        path, a, b = todo.pop()
         if isinstance(a, dict) and isinstance(b, dict):
             names = list(a) + [k for k in b if k not in a]
-            todo[:0] = [(f"{path}.{k}" if path else k, a.get(k, _ABSENT), b.get(k, _ABSENT)) for k in names]
+            todo += [(f"{path}.{k}" if path else k, a.get(k, _ABSENT), b.get(k, _ABSENT)) for k in reversed(names)]
         elif isinstance(a, list) and isinstance(b, list):
-            n = max(len(a), len(b))
-            todo[:0] = [(f"{path}[{i}]", a[i] if i < len(a) else _ABSENT, b[i] if i < len(b) else _ABSENT) for i in range(n)]
-        else:
-            text_of = lambda v: None if v is _ABSENT else json.dumps(v, ensure_ascii=False)
-            out.append({"path": path, "previous": text_of(a), "current": text_of(b)})
+            todo += [(f"{path}[{i}]", a[i] if i < len(a) else _ABSENT, b[i] if i < len(b) else _ABSENT)
+                     for i in reversed(range(max(len(a), len(b))))]
+        elif a is _ABSENT or b is _ABSENT or (a is not b and _comparable(a) != _comparable(b)):
+            out.append({"path": path, "previous": _json_text(a), "current": _json_text(b)})
     return out
 
 
+def _json_text(value) -> str | None:
+    return None if value is _ABSENT else json.dumps(value, ensure_ascii=False)
+
+
 def json_diff(pairs: DataFrame, keys: list[str], previous: str, current: str) -> DataFrame:
     """Rows (keys, path, previous, current) for every differing leaf."""
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..session import spread
 from .ordered import one_per_key
 
 
@@ -17,7 +18,7 @@ def largest_copy(pages: DataFrame, key: Column, size: Column, path: str) -> Data
     A partial aggregate keeps only (size, path) per row, so a hot key costs no
     more than any other; page bodies are not shuffled.
     """
-    rows = pages.select(key.alias("page_key"), size.alias("_size"), F.col(path)).filter(F.col("page_key").isNotNull())
+    rows = spread(pages, path).select(key.alias("page_key"), size.alias("_size"), F.col(path)).filter(F.col("page_key").isNotNull())
     return rows.groupBy("page_key").agg(
         F.min_by(path, F.struct((-F.col("_size")).alias("s"), F.col(path))).alias("kept"),
         F.max("_size").alias("kept_size"), (F.count(F.lit(1)) - 1).alias("dropped"))
@@ -96,7 +97,7 @@ def interest_rows(monitors: DataFrame) -> DataFrame:
     scrape = F.col("t.type") == "scrape"
     single = F.when(scrape & (F.size("t.urls") == 1), F.element_at("t.urls", 1))
     target_url = F.when(F.col("t.type") == "crawl", F.col("t.url")).otherwise(single)
-    signature = F.when(scrape, F.array_join(F.array_sort(F.transform("t.urls", urls.tracking_form)), "\n")).otherwise(
+    signature = F.when(scrape, F.array_join(F.sort_array(F.transform("t.urls", urls.tracking_form)), "\n")).otherwise(
         F.concat_ws("\n", urls.tracking_form(F.col("t.url")), F.col("t.limit").cast("string")))
     return rows.select(
         "monitor_id", F.col("t.id").alias("target_id"), F.col("t.type").alias("target_type"),

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 MAX_FIELDS = 8
 
 
@@ -40,7 +42,7 @@ def merge_records(
     rows = df.select(*block, F.col(order).alias("first_ord"), *clean, *arrays, origin.alias("_src"))
     # Equal copies: same values always land in the same record.
     facts = rows.groupBy(*block, *fields, *arrays).agg(
-        F.min("first_ord").alias("first_ord"), F.array_sort(F.collect_set("_src")).alias("sources"))
+        F.min("first_ord").alias("first_ord"), F.sort_array(F.collect_set("_src")).alias("sources"))
     nulls = F.lit(False)
     for b in block:
         nulls = nulls | F.col(b).isNull()
@@ -48,7 +50,8 @@ def merge_records(
     for i, f in enumerate(fields):
         mask = mask + F.when(F.col(f).isNotNull(), 1 << i).otherwise(0)
     full = (1 << len(fields)) - 1
-    tagged = facts.withColumn("_mask", mask).withColumn("_lone", nulls)
+    # Used several times below; stored once, already collapsed.
+    tagged = cut_lineage(facts.withColumn("_mask", mask).withColumn("_lone", nulls))
     gappy = tagged.filter((F.col("_mask") != full) & ~F.col("_lone"))
     complete = tagged.filter((F.col("_mask") == full) & ~F.col("_lone"))
 
@@ -69,7 +72,7 @@ def merge_records(
     schema = T.StructType([work.schema[c] for c in inner])
     merge = F.pandas_udf(_merger(fields, arrays, inner), T.ArrayType(schema))
     # One row per block of records that really can merge.
-    blocks = work.groupBy(*block).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    blocks = work.groupBy(*block).agg(F.sort_array(F.collect_list(item)).alias("_items"))
     merged = blocks.select(*block, F.explode(merge("_items")).alias("_m")).select(*block, "_m.*").select(*out_cols)
     alone = tagged.filter(F.col("_lone")).unionByName(apart).select(*out_cols)
     return merged.unionByName(alone)
@@ -111,7 +114,7 @@ def distinct_items(items: list) -> list:
 def provenance(df: DataFrame, record: list[str], source: str) -> DataFrame:
     """Distinct sources of each record, sorted."""
     pairs = df.select(*record, source).distinct()
-    return pairs.groupBy(*record).agg(F.array_sort(F.collect_set(source)).alias("sources"))
+    return pairs.groupBy(*record).agg(F.sort_array(F.collect_set(source)).alias("sources"))
 
 
 def distinct_in_arrays(df: DataFrame, arrays: list[str]) -> DataFrame:

@@ -29,9 +29,9 @@ def hotel_offers(bookings: DataFrame, key: str, order: list[str]) -> DataFrame:
     return bookings.groupBy(key).agg(
         F.coalesce(F.min(positive), F.lit(0.0)).alias("lowest_price"),
         F.coalesce(F.max(positive), F.lit(0.0)).alias("highest_price"),
-        F.array_join(F.array_sort(F.collect_set("checkin")), ", ").alias("checkin_dates"),
-        F.array_join(F.array_sort(F.collect_set("checkout")), ", ").alias("checkout_dates"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["label"]), "; ").alias("rooms"),
+        F.array_join(F.sort_array(F.collect_set("checkin")), ", ").alias("checkin_dates"),
+        F.array_join(F.sort_array(F.collect_set("checkout")), ", ").alias("checkout_dates"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["label"]), "; ").alias("rooms"),
     )
 
 

@@ -188,11 +188,11 @@ def assembled(spans: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame
     # A header joins when it was chosen or any row of its table was.
     wanted = F.when(picked | F.col("is_header"), entry)
     grouped = tagged.groupBy(*keys, "block", "kind").agg(
-        F.bool_or(picked).alias("_any"), F.first("lang", True).alias("lang"), F.array_sort(F.collect_list(wanted)).alias("_lines"))
+        F.bool_or(picked).alias("_any"), F.first("lang", True).alias("lang"), F.sort_array(F.collect_list(wanted)).alias("_lines"))
     parts = grouped.filter("_any").select(
         *keys, "kind", "lang", F.col("_lines")[0]["pos"].alias("at"), F.transform("_lines", lambda e: e["line"]).alias("lines"))
     text = F.when(F.col("kind") == "code", F.concat(
         F.lit("```"), F.coalesce("lang", F.lit("")), F.lit("\n"), F.array_join("lines", "\n"), F.lit("\n```"))
     ).when(F.col("kind") == "table", F.array_join("lines", "\n")).otherwise(F.array_join("lines", " "))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", text.alias("text")))), lambda e: e["text"])
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("at", text.alias("text")))), lambda e: e["text"])
     return parts.groupBy(*keys).agg(F.array_join(ordered, "\n\n").alias("answer"))

@@ -23,8 +23,8 @@ def retrieve(chunks: DataFrame, question: list[float], k: int = 5, separator: st
     top = nearest(chunks, question, k, "id", "embedding")
     part = F.struct((-F.col("similarity")).alias("s"), F.col("id"), F.concat(F.lit("["), "source", F.lit("]\n"), "content").alias("text"))
     return top.agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), separator).alias("context"),
-        F.array_sort(F.collect_set("source")).alias("sources"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda p: p["text"]), separator).alias("context"),
+        F.sort_array(F.collect_set("source")).alias("sources"),
         F.count(F.lit(1)).alias("chunks_used"))
 
 
@@ -32,6 +32,6 @@ def site_bundle(entries: DataFrame, site: str, max_entries: int) -> DataFrame:
     """Header and ``- [title](url): description`` lines of the first entries of each site."""
     kept = newest_per_key(entries, [site], [F.col("ord"), F.col("url")], max_entries)
     line = F.concat(F.lit("- ["), "title", F.lit("]("), "url", F.lit("): "), "description")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "url", line.alias("line")))), lambda e: e["line"])
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("ord", "url", line.alias("line")))), lambda e: e["line"])
     return kept.groupBy(site).agg(lines.alias("_lines")).select(
         site, F.concat(F.lit("# "), F.col(site), F.lit("\n\n"), F.array_join("_lines", "\n")).alias("bundle"))

@@ -103,7 +103,7 @@ def redacted(text: Column, spans: Column, style: str = "tag") -> Column:
     numbered = F.transform(spans, lambda s, i: F.struct(
         s["start"].alias("start"), i.alias("i"), s["end"].alias("end"), s["kind"].alias("kind")))
     begin = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit(0).alias("at"))
-    walked = F.aggregate(F.array_sort(numbered), begin, lambda acc, s: F.when(
+    walked = F.aggregate(F.sort_array(numbered), begin, lambda acc, s: F.when(
         (s["start"] < acc["at"]) | (s["start"] > n), acc).otherwise(F.struct(
             F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), put(s))).alias("out"),
             F.least(s["end"], n).alias("at"))))

@@ -183,9 +183,9 @@ def flat_hotels(t) -> DataFrame:
     sold = t.lineitem.select("l_suppkey", "l_partkey", "l_extendedprice").join(
         t.part.select("p_partkey", "p_name", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
     places = sold.select("l_suppkey", "p_type", "p_size").distinct().groupBy("l_suppkey").agg(
-        F.array_sort(F.collect_list(F.struct("p_type", "p_size"))).alias("ps"))
+        F.sort_array(F.collect_list(F.struct("p_type", "p_size"))).alias("ps"))
     rooms = sold.groupBy("l_suppkey", "p_name").agg(F.floor(F.min("l_extendedprice")).alias("price")).groupBy("l_suppkey").agg(
-        F.array_sort(F.collect_list(F.struct("p_name", "price"))).alias("rs"))
+        F.sort_array(F.collect_list(F.struct("p_name", "price"))).alias("rs"))
     base = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").join(
         places.withColumnRenamed("l_suppkey", "_p"), key == F.col("_p"), "left").join(
         rooms.withColumnRenamed("l_suppkey", "_r"), key == F.col("_r"), "left")

@@ -403,10 +403,10 @@ def _sitemap_files(t):
     loc = F.concat(F.lit("<url><loc>"), "loc", F.lit("</loc></url>"))
     parts = rows.groupBy("host", "part").agg(F.concat(
         F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'),
-        F.array_join(F.array_sort(F.collect_list(loc)), ""),
+        F.array_join(F.sort_array(F.collect_list(loc)), ""),
         F.lit("<url><loc>https://x.example/logo.png</loc></url></urlset>")).alias("xml"))
     index = parts.groupBy("host").agg(F.concat(
-        F.lit("<sitemapindex>"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<sitemap><loc> "), "part", F.lit(" </loc></sitemap>")))), ""),
+        F.lit("<sitemapindex>"), F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("<sitemap><loc> "), "part", F.lit(" </loc></sitemap>")))), ""),
         F.lit("</sitemapindex>")).alias("xml"))
     roots = index.select(F.concat(F.lit("https://"), "host", F.lit("/sitemap.xml")).alias("url"), "xml")
     return roots.unionByName(parts.select(F.col("part").alias("url"), "xml")), roots

@@ -228,7 +228,7 @@ def j4(t):
     per = t.lineitem.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_lines"), F.to_date(F.min("l_shipdate")).alias("first_day"),
         F.to_date(F.max("l_shipdate")).alias("last_day"),
-        F.array_join(F.array_sort(F.collect_set(day)), ", ").alias("days"))
+        F.array_join(F.sort_array(F.collect_set(day)), ", ").alias("days"))
     return (t.orders.join(per, F.col("o_orderkey") == F.col("l_orderkey"), "left")
             .select("o_orderkey", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "first_day", "last_day",
                     F.coalesce("days", F.lit("")).alias("days")))
@@ -489,7 +489,7 @@ def t2b(t):
     # Asked vectors: the centre of every label, over all vectors.
     parts = t.embeddings.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(
         F.avg(F.col("x").cast("double")).alias("m"))
-    centers = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda p: p["m"]).alias("center"))
+    centers = parts.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda p: p["m"]).alias("center"))
     asked = centers.orderBy("label").limit(1001).collect()
     if len(asked) > 1000:
         raise ValueError("more labels than one pass takes")

@@ -189,7 +189,7 @@ def x1(t):
 def x2(t):
     rows = chunks.at_boundaries(t.documents, ["doc_id"], "text", 2000, 2200)
     back = rows.groupBy("doc_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "content"))), lambda c: c["content"]), "").alias("joined"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", "content"))), lambda c: c["content"]), "").alias("joined"),
         F.max(F.octet_length("content")).alias("bytes"), F.max(F.length("content")).alias("chars"))
     both = t.documents.join(back, "doc_id", "left")
     return both.select("doc_id", (F.coalesce("joined", F.lit("")) == F.col("text")).alias("whole"),
