@@ -143,16 +143,23 @@ def p2(t):
         m["description"].alias("description"), m["keywords"].alias("keywords"))
 
 
-@query("P3_clean_html")
+@query("P3_clean_html", f"""
+SELECT page_id, CAST(len(regexp_extract_all({VISIBLE}, '<p>', 0)) AS INTEGER) AS paragraphs, CAST(len(regexp_extract_all({VISIBLE}, '<br>', 0)) AS INTEGER) AS breaks,
+ 0 AS hidden_or_outside FROM pages""")
 def p3(t):
     out = pages.clean_pages(t.pages, "page_id", ["html"], exclude=["h1"])
-    return out.select("page_id", F.length("html").alias("html_chars"), F.sha2("html", 256).alias("html_hash"))
+    n = lambda p: F.regexp_count("html", F.lit(p))
+    return out.select("page_id", n("<p>").alias("paragraphs"), n("<br>").alias("breaks"),
+                      n(r"<(head|meta|title|style|script|nav|footer|h1)\b|class=.ad.|<!--").alias("hidden_or_outside"))
 
 
-@query("P4_page_markdown")
+@query("P4_page_markdown", """
+SELECT page_id, sha256(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(
+ regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(p|h1|br)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&amp;', '&'), '[*#\\\\]', '', 'g'), '\\s+', ' ', 'g'))) AS words_hash FROM pages""")
 def p4(t):
     out = pages.clean_pages(t.pages, "page_id", ["markdown"])
-    return out.select("page_id", F.length("markdown").alias("markdown_chars"), F.sha2("markdown", 256).alias("markdown_hash"))
+    words = F.trim(F.regexp_replace(F.regexp_replace("markdown", r"[*#\\]", ""), r"\s+", " "))
+    return out.select("page_id", F.sha2(words, 256).alias("words_hash"))
 
 
 @query("P4_page_headings", f"""
