@@ -22,6 +22,16 @@ def sql(template: str, u: str = "url") -> str:
     return "(" + template.replace("{u}", u) + ")"
 
 
+def decoded(x: str) -> str:
+    """Entities as they occur in the pages, the closing ';' being optional."""
+    for entity, mark in (("&quot;?", '"'), ("&lt;?", "<"), ("&gt;?", ">"), ("&#x27;?", "''"), ("&amp;?", "&")):
+        x = f"regexp_replace({x}, '{entity}', '{mark}', 'g')"
+    return x
+
+
+TITLE = decoded(f"regexp_extract({VISIBLE}, '(?s)<title>(.*?)</title>', 1)")
+HEADING = decoded(f"regexp_extract({VISIBLE}, '(?s)<h1>(.*?)</h1>', 1)")
+ARTICLE = decoded("regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(p|h1|br)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')")
 INDEX_FORM = (f"('https://' || {sql(BARE)} || CASE WHEN rtrim_path = '' THEN '/' ELSE rtrim_path END || {sql(QUERY)})")
 WITH_RTRIM = f"""(SELECT *, regexp_replace(regexp_replace({sql(PATH)}, '/index\\.(html|php|htm|shtml|xml)$', '/'), '/$', '') AS rtrim_path FROM pages)"""
 EQUIV = (f"('http://' || CASE WHEN starts_with({sql(HOST)}, 'www.') THEN {sql(HOST)} ELSE 'www.' || {sql(HOST)} END || "
@@ -129,7 +139,7 @@ def p1(t):
 
 
 @query("P2_page_metadata", f"""
-SELECT page_id, replace(regexp_extract({VISIBLE}, '(?s)<title>(.*?)</title>', 1), '&amp;', '&') AS title,
+SELECT page_id, {TITLE} AS title,
  regexp_extract(html, '<html lang="([^"]*)"', 1) AS language, 'Page ' || page_id AS og_title,
  'first ' || page_id || ', second' AS description, '["a","b"]' AS keywords FROM pages""")
 def p2(t):
@@ -153,9 +163,8 @@ def p3(t):
                       n(r"<(head|meta|title|style|script|nav|footer|h1)\b|class=.ad.|<!--").alias("hidden_or_outside"))
 
 
-@query("P4_page_markdown", """
-SELECT page_id, sha256(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(
- regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(p|h1|br)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&amp;', '&'), '[*#\\\\]', '', 'g'), '\\s+', ' ', 'g'))) AS words_hash FROM pages""")
+@query("P4_page_markdown", f"""
+SELECT page_id, sha256(trim(regexp_replace(regexp_replace({ARTICLE}, '[*#\\\\]', '', 'g'), '\\s+', ' ', 'g'))) AS words_hash FROM pages""")
 def p4(t):
     out = pages.clean_pages(t.pages, "page_id", ["markdown"])
     words = F.trim(F.regexp_replace(F.regexp_replace("markdown", r"[*#\\]", ""), r"\s+", " "))
@@ -163,7 +172,7 @@ def p4(t):
 
 
 @query("P4_page_headings", f"""
-SELECT page_id, '# ' || trim(regexp_replace(replace(regexp_extract({VISIBLE}, '(?s)<h1>(.*?)</h1>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) AS heading FROM pages""")
+SELECT page_id, '# ' || trim(regexp_replace({HEADING}, '\\s+', ' ', 'g')) AS heading FROM pages""")
 def p4h(t):
     out = pages.clean_pages(t.pages, "page_id", ["markdown"])
     return out.select("page_id", F.regexp_extract("markdown", r"(?m)^(# .*)$", 1).alias("heading"))
@@ -197,7 +206,7 @@ def p7(t):
 
 
 @query("P6_rule_extraction", f"""
-SELECT page_id, replace(regexp_extract({VISIBLE}, '(?s)<title>(.*?)</title>', 1), '&amp;', '&') AS name,
+SELECT page_id, {TITLE} AS name,
  regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, len(regexp_extract_all({VISIBLE}, '<p>', 0)) AS n_paragraphs,
  'none' AS score FROM pages""")
 def p6(t):
