@@ -206,7 +206,7 @@ def flat_hotels(t) -> DataFrame:
         F.when(m(4) != 0, key / 64 + 10).alias("latitude"), F.when(m(4) != 0, key / 64 + 100).alias("longitude"),
         score(3).alias("review_score"), F.when(m(7) != 0, m(400).cast("int")).alias("review_count"),
         F.lit("Tốt").alias("review_score_word"), none("double").alias("gia_thap_nhat"), none("double").alias("gia_cao_nhat"),
-        F.when(m(6) != 0, F.concat(key, F.lit(" Phố Một, Quận Hai, 550000 "), "n_name", F.lit(", Việt Nam, Đông Nam Á"))).alias("address"),
+        F.when(m(6) != 0, F.concat(m(1000), F.lit(" Phố Một, Quận Hai, 550000 "), "n_name", F.lit(", Việt Nam, Đông Nam Á"))).alias("address"),
         F.when(m(8) != 0, F.concat(F.lit("Hồ bơi, WiFi miễn phí, hồ bơi, "), F.lower("n_name"))).alias("popular_facilities"),
         F.concat(F.lit('Mô tả "'), "n_name", F.lit('"\ndòng hai, hết')).alias("description"),
         F.when(m(2) == 0, "Nhận phòng\nTừ 15:00 - 22:00\nTrả phòng\nTừ 06:00 - 11:30").alias("hotel_policies"),

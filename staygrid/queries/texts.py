@@ -56,17 +56,18 @@ def c4(t):
 
 
 @query("C5_address", """
-SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_custkey || ' Phố Một, Quận Hai' WHEN 1 THEN 'Đường ' || c_custkey WHEN 2 THEN 'Tổ ' || c_custkey ELSE '' END AS street_address,
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_custkey % 1000 || ' Phố Một, Quận Hai' WHEN 1 THEN 'Đường ' || c_custkey % 1000 WHEN 2 THEN 'Tổ ' || c_custkey % 1000 ELSE '' END AS street_address,
  CASE c_custkey % 4 WHEN 0 THEN c_mktsegment WHEN 1 THEN c_mktsegment WHEN 2 THEN 'Đà Nẵng' ELSE '' END AS city,
  CASE c_custkey % 4 WHEN 0 THEN 'VIỆT NAM' WHEN 3 THEN '' ELSE 'Việt Nam' END AS country,
- CASE c_custkey % 4 WHEN 0 THEN c_custkey || ' Phố Một, Quận Hai, ' || c_mktsegment || ', VIỆT NAM' WHEN 1 THEN 'Đường ' || c_custkey || ', ' || c_mktsegment
-  WHEN 2 THEN 'Tổ ' || c_custkey ELSE '' END AS full_address FROM customer""")
+ CASE c_custkey % 4 WHEN 0 THEN c_custkey % 1000 || ' Phố Một, Quận Hai, ' || c_mktsegment || ', VIỆT NAM' WHEN 1 THEN 'Đường ' || c_custkey % 1000 || ', ' || c_mktsegment
+  WHEN 2 THEN 'Tổ ' || c_custkey % 1000 ELSE '' END AS full_address FROM customer""")
 def c5(t):
     key = F.col("c_custkey")
     m = F.pmod(key, F.lit(4))
-    raw = (F.when(m == 0, F.concat(key, F.lit(" Phố Một ,Quận Hai, 550000 "), "c_mktsegment", F.lit(", VIỆT NAM, gần biển")))
-           .when(m == 1, F.concat(F.lit("Đường "), key, F.lit(" ,  "), "c_mktsegment", F.lit(", ")))
-           .when(m == 2, F.concat(F.lit(" Tổ "), key)))
+    number = F.pmod(key, F.lit(1000))  # five digits would be a postal code
+    raw = (F.when(m == 0, F.concat(number, F.lit(" Phố Một ,Quận Hai, 550000 "), "c_mktsegment", F.lit(", VIỆT NAM, gần biển")))
+           .when(m == 1, F.concat(F.lit("Đường "), number, F.lit(" ,  "), "c_mktsegment", F.lit(", ")))
+           .when(m == 2, F.concat(F.lit(" Tổ "), number)))
     return t.customer.select("c_custkey", text.address_fields(raw).alias("a")).select("c_custkey", "a.*")
 
 

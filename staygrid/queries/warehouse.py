@@ -39,8 +39,8 @@ def n1_hotels(t):
 
 
 @query("N1_locations", """
-SELECT 's' || s_suppkey AS hotel_id, CASE WHEN a THEN s_suppkey || ' Phố Một, Quận Hai' END AS street_address, CASE WHEN a THEN n_name END AS city,
- CASE WHEN a THEN 'Việt Nam' END AS country, CASE WHEN a THEN s_suppkey || ' Phố Một, Quận Hai, ' || n_name || ', Việt Nam' END AS full_address,
+SELECT 's' || s_suppkey AS hotel_id, CASE WHEN a THEN s_suppkey % 1000 || ' Phố Một, Quận Hai' END AS street_address, CASE WHEN a THEN n_name END AS city,
+ CASE WHEN a THEN 'Việt Nam' END AS country, CASE WHEN a THEN s_suppkey % 1000 || ' Phố Một, Quận Hai, ' || n_name || ', Việt Nam' END AS full_address,
  CAST(CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey / 64 + 10 END AS DECIMAL(10,8)) AS latitude, CAST(CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey / 64 + 100 END AS DECIMAL(11,8)) AS longitude
 FROM (SELECT *, s_suppkey % 6 <> 0 AS a FROM supplier JOIN nation ON s_nationkey = n_nationkey)""")
 def n1_locations(t):
