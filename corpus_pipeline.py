@@ -1,5 +1,69 @@
-"""Stub."""
-STAGES = []
+"""From raw documents to token ids, in five stages.
+
+``STAGES`` lists (name, function).  A function takes (spark, docs, sf_dir) and returns what it keeps, with the columns
+of ``docs``; the last one returns token ids.  ``run`` writes each stage's rows as Parquet below the shared folder and
+reads them again, so a lost executor costs at most the stage at hand.
+
+A document is known by its doc_id.  Rows without an id are documents like others, and share one unknown id: what
+is decided for one holds for all.  Of rows that repeat an id, exact_dedup keeps one.  Null texts are empty texts; their
+language can't be told, so they go in the first stage.  An empty table passes through as an empty table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from staygrid.llm import decontaminate, exact, language, sentencepieces, simhash
+from staygrid.llm.common import without
+from staygrid.session import cut_lineage
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told (operator 10): ``und`` goes."""
+    marks = language.identify(docs)
+    return without(docs, cut_lineage(marks.filter(F.col("lang_pred") == language.UNKNOWN).select("doc_id").distinct()))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts (operator 6), and one row of each id."""
+    marks = cut_lineage(exact.duplicates(docs).select("doc_id", "kept"))
+    left = without(docs, marks.groupBy("doc_id").agg(F.max("kept").alias("any")).filter(~F.col("any")))
+    repeated = marks.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1")
+    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id"])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies (operator 4)."""
+    marks = simhash.near_duplicates(docs)
+    return without(docs, cut_lineage(marks.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window of words with the benchmark (operator 3)."""
+    marks = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, cut_lineage(marks.filter("contaminated").select("doc_id").distinct()))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether they spell its text again (operator 5)."""
+    return sentencepieces.round_trip(docs)
+
+
+STAGES = [
+    ("language_id", identified),
+    ("exact_dedup", exact_dedup),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminated),
+    ("sentencepiece", encoded),
+]
+
+#: Cross-parsing, SimHash and Viterbi are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return docs
