@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staygrid.llm import decontaminate, exact, simhash
+from staygrid.llm import decontaminate, exact, language, sentencepieces, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -66,3 +66,13 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_simhash_near_dedup")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder))
+
+
+@query("op5_sentencepiece")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepieces.round_trip(documents(spark, folder))
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(documents(spark, folder))
