@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from staygrid.llm import decontaminate, exact, language, sentencepieces, simhash
+from staygrid.llm import attribution, decontaminate, exact, language, licenses, sentencepieces, simhash, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -76,3 +77,24 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_language_id")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(documents(spark, folder))
+
+
+@query("op1_token_attribution")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return attribution.page_tokens(documents(spark, folder))
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    chain = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    return toxicity.score(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"), chain)
+
+
+@query("op8_license_scan")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(documents(spark, folder))
+
+
+@query("op9_token_shards")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return wavelet.token_files(documents(spark, folder))
