@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staygrid.llm import attribution, decontaminate, exact, language, licenses, sentencepieces, simhash, toxicity, wavelet
+from staygrid.llm import attribution, decontaminate, exact, language, licenses, repeats, sentencepieces, simhash, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -98,3 +98,25 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_token_shards")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return wavelet.token_files(documents(spark, folder))
+
+
+@query("op7_repeated_spans", r"""
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    w AS (
+        SELECT doc_id, i, md5_number(substr(h, 2 * i - 1, 200)) AS k
+        FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 - 98)) AS i FROM d)),
+    f AS (SELECT k, min((doc_id, i)) AS first FROM w GROUP BY k HAVING count(*) > 1),
+    s AS (SELECT doc_id, i FROM w JOIN f USING (k) WHERE (doc_id, i) > first),
+    g AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100, true) AS begins FROM s),
+    n AS (SELECT doc_id, i, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+    r AS (SELECT doc_id, run, min(i) AS a, max(i) + 99 AS b FROM n GROUP BY doc_id, run),
+    p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+    m AS (
+        SELECT doc_id, sum(b - a + 1) AS n_removed, count(*) AS n_spans, max(b) AS last,
+               string_agg(substr(h, 2 * before + 1, 2 * (a - before - 1)), '' ORDER BY a) AS kept
+        FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+    FROM d LEFT JOIN m USING (doc_id)""")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, folder))
