@@ -28,12 +28,15 @@ from staygrid.session import work_path
 
 END = 2
 MAGIC = b"WMT1"
-#: A segment is closed at the first document end after so many tokens.
+#: A segment is closed after so many tokens, at the end of the documents that were encoded together.
 SEGMENT = 1 << 21
 #: Bits between two counts of ones.
 BLOCK = 512
-#: Distinct words that a worker remembers; it starts anew beyond.
-REMEMBERED = 600_000
+#: Distinct chunks that a worker remembers; it starts anew beyond.
+REMEMBERED = 1_000_000
+#: Bytes of text that are cut and hashed at a time.
+STRETCH = 1 << 20
+SPACES = b" \t\n\x0b\x0c\r"
 
 
 def tokenizer_path(path: str | None) -> str:
@@ -44,78 +47,206 @@ def tokenizer_path(path: str | None) -> str:
     return path
 
 
+class Clash(Exception):
+    """Two chunks with one hash."""
+
+
 class Words:
-    """Encodes texts word by word with the tokenizers library, each distinct word once.
+    """Encodes texts chunk by chunk with the tokenizers library, each distinct chunk once.
 
-    White space always parts the vocabulary's pre-tokens, so a text's ids are those of its words in a row.  Letters up
-    to Latin-1 are put in lower case, and commas and full stops after letters set apart, as the vocabulary's own rules
-    do, so that fewer distinct words remain; words of letters alone are one pre-token each, and go to the library many
-    at a time.  ``plain`` turns that off for vocabularies with other rules.
+    The vocabulary's pre-tokens never span white space, nor the border of an ASCII letter or digit with a comma or full
+    stop, and it ignores case; so a text's ids are those of the chunks between such borders, in lower case.  Chunks are
+    found, hashed and looked up for a whole batch of texts at once; only those not met before go to the library.  Two
+    64-bit hashes stand for a chunk; where one of them does not tell chunks apart, the texts go to the library whole.
+    ``folds`` off leaves the case as it is, for vocabularies that tell it apart.
     """
 
-    def __init__(self, path: str, plain: bool = True):
+    #: Two odd bases of rolling hashes modulo 2**64.
+    BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+    def __init__(self, path: str, end: int = END, folds: bool = True):
         import tokenizers
 
         self.lib = tokenizers.Tokenizer.from_file(path)
         vocabulary = self.lib.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.plain = plain
-        self.known: dict[str, bytes] = {}
-
-    def _each(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at:at + 4096]
-            for word, found in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-
-    def _letters(self, words: list[str]) -> None:
-        for at in range(0, len(words), 1024):
-            part = words[at:at + 1024]
-            ids = np.array(self.lib.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
-            if len(ends) != len(part) or ends[-1] != 4 * len(ids):
-                self._each(part)
+        self.kind = np.zeros(256, np.int8)  # 0 white space, 1 any other, 2 letter or digit, 3 comma or full stop
+        self.kind[:] = [0 if bytes([c]).isspace() else 2 if bytes([c]).isalnum() else 3 if c in b".," else 1 for c in range(256)]
+        self.plain = np.arange(256, dtype=np.uint8)
+        self.lower = np.array([ord(chr(c).lower()) if folds and c < 128 else c for c in range(256)], np.uint8)
+        self.powers = [self._powers(b) for b in self.BASES]
+        self.inverse = [self._powers(pow(b, -1, 1 << 64)) for b in self.BASES]
+        self.end = end
+        self._forget()
+
+    @staticmethod
+    def _powers(base: int) -> np.ndarray:
+        out, have = np.ones(STRETCH, np.uint64), 1
+        while have < STRETCH:
+            out[have:2 * have] = out[:have] * np.uint64(pow(base, have, 1 << 64))
+            have *= 2
+        return out
+
+    def _forget(self) -> None:
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.full(1 << 16, self.end, np.uint32), 1  # the first is the end of a document
+
+    def _library(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks in a row, and how many each has."""
+        sizes = np.zeros(len(chunks), np.int64)
+        letters = [i for i, c in enumerate(chunks) if c.isalpha()]
+        others = [i for i, c in enumerate(chunks) if not c.isalpha()]
+        found: list[np.ndarray] = []
+        order: list[int] = []
+        for at in range(0, len(letters), 1024):
+            part = letters[at:at + 1024]
+            # Chunks of letters are one pre-token each, so their last ids tell them apart.
+            ids = np.array(self.lib.encode(" ".join([chunks[i] for i in part]), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                others += part
+                continue
+            sizes[part] = np.diff(ends, prepend=0)
+            found.append(ids)
+            order += part
+        for at in range(0, len(others), 4096):
+            part = others[at:at + 4096]
+            each = [e.ids for e in self.lib.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False)]
+            sizes[part] = [len(x) for x in each]
+            found.append(np.array([i for x in each for i in x], np.uint32))
+            order += part
+        ids = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        # Back in the order of the chunks.
+        starts = np.zeros(len(chunks), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return ids[_spread(starts, sizes)], sizes
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, chunks: list[str]) -> None:
+        ids, sizes = self._library(chunks)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        self.pool[self.used:self.used + len(ids)] = ids
+        at = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        where = np.searchsorted(self.keys, keys)
+        self.keys, self.checks, self.at, self.size = (np.insert(a, where, b) for a, b in (
+            (self.keys, keys), (self.checks, checks), (self.at, at), (self.size, sizes)))
+
+    def _slots(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Where chunks are known, -1 elsewhere."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[at] == keys) & (self.checks[at] == checks), at, -1)
+
+    def _stretch(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start of each chunk of less than STRETCH bytes of text, and where its ids are in the pool, and how many."""
+        a = np.frombuffer(raw, np.uint8)
+        kind = self.kind[a]
+        low = (self.plain if b"<|" in raw else self.lower)[a]  # names of special tokens are told by case
+        border = np.ones(len(a) + 1, bool)
+        border[1:-1] = (kind[1:] != kind[:-1]) & ((kind[1:] * kind[:-1] == 0) | (kind[1:] * kind[:-1] == 6))
+        cuts = np.flatnonzero(border)
+        starts, ends = cuts[:-1], cuts[1:]
+        solid = kind[starts] != 0 if len(a) else np.zeros(0, bool)
+        starts, ends = starts[solid], ends[solid]
+        if not len(starts):
+            return starts, starts, starts
+        hashes = []
+        for powers, inverse in zip(self.powers, self.inverse):
+            sums = np.zeros(len(a) + 1, np.uint64)
+            np.cumsum(low * powers[:len(a)], out=sums[1:])
+            hashes.append((sums[ends] - sums[starts]) * inverse[starts])
+        key = hashes[0] ^ (hashes[0] >> np.uint64(32)) ^ ((ends - starts).astype(np.uint64) << np.uint64(40))
+        order = np.argsort(key)
+        ranked, check = key[order], hashes[1]
+        first = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(first) - 1
+        one = order[first]
+        if (check != check[one][group]).any():
+            raise Clash
+        slots = self._slots(key[one], check[one])
+        new = one[slots < 0]
+        if len(new):
+            if len(self.keys) + len(new) > REMEMBERED:
+                self._forget()
+                new = one
+            data = low.tobytes()
+            self._learn(key[new], check[new], [data[i:j].decode("utf-8", "replace") for i, j in zip(starts[new].tolist(), ends[new].tolist())])
+            slots = self._slots(key[one], check[one])
+            if (slots < 0).any():
+                raise Clash
+        return starts, self.at[slots][group], self.size[slots][group]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each text's followed by the end id; and how many each has, with that."""
+        data = [t.encode() for t in texts]
+        out: list[np.ndarray] = []
+        counts = np.ones(len(texts), np.int64)
+        at = 0
+        while at < len(data):
+            if len(data[at]) >= STRETCH:
+                for ids in self._long(data[at]):
+                    out.append(ids)
+                    counts[at] += len(ids)
+                out.append(np.array([self.end], np.uint32))
+                at += 1
+                continue
+            stop, size = at, 0
+            while stop < len(data) and size + len(data[stop]) + 1 < STRETCH:
+                size += len(data[stop]) + 1
+                stop += 1
+            bounds = np.cumsum([len(d) + 1 for d in data[at:stop]])
+            try:
+                starts, places, sizes = self._stretch(b"\n".join(data[at:stop]) + b"\n")
+            except Clash:
+                whole = [np.array([*self.lib.encode(t, add_special_tokens=False).ids, self.end], np.uint32) for t in texts[at:stop]]
+                out += whole
+                counts[at:stop] = [len(x) for x in whole]
+                at = stop
                 continue
-            data, start = ids.tobytes(), 0
-            for word, stop in zip(part, ends.tolist()):
-                self.known[word] = data[start:stop]
-                start = stop
-
-    def _new(self, words: set[str]) -> None:
-        known, letters, others, parts = self.known, set(), set(), []
-        for word in words:
-            core, tail = word, ""
-            if self.plain and (word.isascii() or max(word) < "Ā"):
-                core = word.lower()
-                if not core.isalpha():
-                    cut = core.rstrip(".,")
-                    if cut != core and cut.isalpha():
-                        core, tail = cut, core[len(cut):]
-            (letters if self.plain and core.isalpha() else others).add(core)
-            if tail:
-                others.add(tail)
-            if core is not word:
-                parts.append((word, core, tail))
-        self._letters([x for x in letters if x not in known])
-        self._each([x for x in others if x not in known])
-        for word, core, tail in parts:
-            known[word] = known[core] + known[tail] if tail else known[core]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [t.split() for t in texts]
-        new = set().union(*cut)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        self._new(new.difference(self.known))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+            upto = np.searchsorted(starts, bounds)
+            places, sizes = np.insert(places, upto, 0), np.insert(sizes, upto, 1)
+            out.append(self.pool[_spread(places, sizes)])
+            total = np.concatenate(([0], np.cumsum(sizes)))
+            counts[at:stop] = np.diff(total[np.concatenate(([0], upto + np.arange(1, len(upto) + 1)))])
+            at = stop
+        return np.concatenate(out) if out else np.zeros(0, np.uint32), counts
+
+    def _long(self, data: bytes) -> Iterator[np.ndarray]:
+        """A text of more than a stretch, cut at white space; a chunk longer than that goes to the library as it is."""
+        at = 0
+        while at < len(data):
+            stop = min(at + STRETCH - 1, len(data))
+            if stop < len(data):
+                cut = max(data.rfind(bytes([c]), at, stop) for c in SPACES)
+                if cut <= at:
+                    nexts = [n for c in SPACES if (n := data.find(bytes([c]), stop)) >= 0]
+                    stop = min(nexts, default=len(data))
+                    yield np.array(self.lib.encode(data[at:stop].decode(), add_special_tokens=False).ids, np.uint32)
+                    at = stop
+                    continue
+                stop = cut
+            try:
+                _, places, sizes = self._stretch(data[at:stop])
+                yield self.pool[_spread(places, sizes)]
+            except Clash:
+                yield np.array(self.lib.encode(data[at:stop].decode(), add_special_tokens=False).ids, np.uint32)
+            at = stop
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all runs that begin at ``starts``, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
 @lru_cache(maxsize=2)
-def words(path: str) -> Words:
-    return Words(path)
+def words(path: str, end: int) -> Words:
+    return Words(path, end)
 
 
 class WaveletMatrix:
@@ -251,13 +382,12 @@ class WaveletMatrix:
 
 def _segments(path: str | None, end: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = words(tokenizer_path(path))
+        coder = words(tokenizer_path(path), end)
         shard, no = TaskContext.get().partitionId(), 0
-        stop = np.array([end], "<u4").tobytes()
         ids, sizes, held, total = [], [], [], 0
 
         def closed() -> pa.RecordBatch:
-            matrix = WaveletMatrix.build(np.frombuffer(b"".join(held), "<u4"))
+            matrix = WaveletMatrix.build(np.concatenate(held))
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([no], pa.int32()), pa.array([total], pa.int64()),
                  pa.array([ids], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int64())), pa.array([matrix.to_bytes()], pa.binary())],
@@ -265,15 +395,14 @@ def _segments(path: str | None, end: int, limit: int):
 
         for part in slices(batches):
             kind = part.schema.field("doc_id").type
-            for key, found in zip(part.column("doc_id").to_pylist(), coder.encode([t or "" for t in part.column("text").to_pylist()])):
-                held.append(found)
-                held.append(stop)
-                ids.append(key)
-                sizes.append(len(found) // 4 + 1)
-                total += sizes[-1]
-                if total >= limit:
-                    yield closed()
-                    ids, sizes, held, total, no = [], [], [], 0, no + 1
+            found, counts = coder.encode([t or "" for t in part.column("text").to_pylist()])
+            held.append(found)
+            ids += part.column("doc_id").to_pylist()
+            sizes += counts.tolist()
+            total += len(found)
+            if total >= limit:
+                yield closed()
+                ids, sizes, held, total, no = [], [], [], 0, no + 1
         if ids:
             yield closed()
     return run
