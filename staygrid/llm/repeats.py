@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staygrid.llm.common import columns, slices, without
+from staygrid.llm.common import columns, slices
 from staygrid.session import cut_lineage
 
 SIZE, GRAM = 100, 36
@@ -95,39 +95,46 @@ def reads(a: np.ndarray, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray
     return first[new], last[ends], at[new], h[new]
 
 
+def _packed(first: np.ndarray, last: np.ndarray, lead: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """First window, windows (up to 4096), bytes to the anchor, and whether it is a known repeat, in one number."""
+    return ((first.astype(np.int64) << 12 | (last - first)) << 12 | lead) << 1 | known
+
+
+def _places(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    first = packed >> 25
+    return first, first + (packed >> 13 & 4095), packed >> 1 & 4095, (packed & 1).astype(bool)
+
+
 def _found(size: int, gram: int):
-    """g, r, key, first, last, lead, known: the reads of texts; of equal reads of a batch all but the first are known repeats."""
+    """g, r, key, place: the reads of texts; of equal reads of a batch all but the first are known repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
         for part in slices(batches, 2048):
             cols: list[list[np.ndarray]] = [[] for _ in range(6)]
             for key, text in zip(part.column("key").to_pylist(), part.column("text").to_pylist()):
                 data = (text or "").encode()
                 first, last, at, h = reads(np.frombuffer(data, np.uint8), size, gram)
-                digest = xxhash.xxh3_64_intdigest
                 own = np.fromiter((digest(data[f:e + size], a - f) for f, e, a in zip(first.tolist(), last.tolist(), at.tolist())), np.uint64, len(at))
                 for c, v in zip(cols, (h.view(np.int64), own.view(np.int64), np.full(len(at), key, np.int64), first, last, at - first)):
                     c.append(v)
             g, r, key, first, last, lead = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
             order = np.lexsort((first, key, r, g))
-            g, r, key, first, last, lead = (x[order] for x in (g, r, key, first, last, lead))
             known = np.zeros(len(g), bool)
-            known[1:] = (g[1:] == g[:-1]) & (r[1:] == r[:-1])
+            known[order[1:]] = (g[order[1:]] == g[order[:-1]]) & (r[order[1:]] == r[order[:-1]])
             # Known repeats need no partner: they travel anywhere.
             g = np.where(known, (key * 1_000_003 + first) ^ r, g)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(g), pa.array(r), pa.array(key), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(known)],
-                names=["g", "r", "key", "first", "last", "lead", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(r), pa.array(key), pa.array(_packed(first, last, lead, known))], names=["g", "r", "key", "place"])
     return run
 
 
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by g, r, key, first.  Repeats of a whole read, and the reads that share an anchor with different ones."""
+    """Rows come by g, r, key, place.  Repeats of a whole read, and the reads that share an anchor with different ones."""
     held = None  # first read of the anchor at hand: (g, r of the last row, its columns, different reads so far)
     names = ["g", "key", "first", "last", "lead"]
     for batch in batches:
-        known = batch.column("known").to_numpy(zero_copy_only=False)
-        cols = {n: batch.column(n).to_numpy() for n in ("g", "r", *names[1:])}
+        cols = {n: batch.column(n).to_numpy() for n in ("g", "r", "key")}
+        cols["first"], cols["last"], cols["lead"], known = _places(batch.column("place").to_numpy())
         plain = {n: c[~known] for n, c in cols.items()}
         repeats = [{n: c[known] for n, c in cols.items()}]
         edges = []
@@ -155,8 +162,10 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first = held[2]
             held = (g[-1], r[-1], first, int(different[-1]))
         for rows, kind in ((repeats, False), (edges, True)):
-            out = [np.concatenate([x[n] for x in rows]) if rows else batch.column(n).to_numpy()[:0] for n in names]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in out), pa.array(np.full(len(out[0]), kind))], names=[*names, "edge"])
+            if rows:
+                out = [np.concatenate([x[n] for x in rows]) for n in names]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(out, kinds)), pa.array(np.full(len(out[0]), kind))], names=[*names, "edge"])
 
 
 def _cut(size: int):
@@ -418,8 +427,8 @@ def _removed(size: int):
                     rows.append((len(data), 0, 0, hashlib.sha256(data).hexdigest()))
             cols = list(zip(*rows)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [part.column("key"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())],
-                names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
     return run
 
 
@@ -441,8 +450,8 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def ranges(work: DataFrame, size: int = SIZE, gram: int = GRAM, per: int = READS, limit: int = LIMIT) -> DataFrame:
     """key, first, last: runs of windows of ``work`` (key, text) that occur at an earlier key or place."""
-    rows = work.mapInArrow(_found(size, gram), "g long, r long, key long, first int, last int, lead int, known boolean")
-    met = rows.repartition("g").sortWithinPartitions("g", "r", "key", "first")
+    rows = work.mapInArrow(_found(size, gram), "g long, r long, key long, place long")
+    met = rows.repartition("g").sortWithinPartitions("g", "r", "key", "place")
     marks = cut_lineage(met.mapInArrow(_sorted_out, "g long, key long, first int, last int, lead int, edge boolean"))
     out = marks.filter(~F.col("edge")).select("key", "first", "last")
     edges = marks.filter("edge").groupBy("key").agg(F.collect_list(F.struct("g", "first", "last", "lead")).alias("edges"))
@@ -464,19 +473,10 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, per: int
     the same one.  Rows without an id come last, and rows that repeat an id come in the order of their text.  Null texts
     are empty; texts shorter than a window keep all.  An empty table gives an empty result.
     """
+    if not 0 < gram <= size <= 4096:
+        raise ValueError("windows of at most 4096 bytes, with anchors inside")
     rows = numbered(docs)
-    prints = cut_lineage(rows.select("doc_id", "key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-                                     F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")))
-    # Whole copies: all their windows are repeats, and none of them is the first of any.
-    firsts = cut_lineage(prints.groupBy("sha", "n_bytes").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    copies = cut_lineage(prints.join(firsts, ["sha", "n_bytes"]).filter("key > first").select("doc_id", "key", "n_bytes", "sha"))
-    gone = copies.select(F.col("key").alias("_gone"))
-    work = rows.join(gone, rows["key"] == gone["_gone"], "left_anti")
-    own = ranges(work, size, gram, per, limit).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    left = work.select("key", "text").join(own.hint("shuffle_hash"), "key", "left").mapInArrow(
-        _removed(size), "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    ids = prints.select("doc_id", "key")
-    whole = F.col("n_bytes") >= size
-    return left.join(ids, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").unionByName(copies.select(
-        "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(whole, 1).otherwise(0).cast("long").alias("n_spans"),
-        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.col("sha")).alias("kept_sha256")))
+    own = ranges(rows, size, gram, per, limit).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.join(own.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "ranges").mapInArrow(
+        _removed(size), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
