@@ -68,13 +68,31 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
         "item_id", "size", F.array_join(F.slice("words", F.col("start") + 1, F.col("size")), " ").alias("content")).distinct()
 
 
-def _long_hits(docs: DataFrame, prints: DataFrame, windows: DataFrame, window: int, gram: int) -> DataFrame:
-    """row, start, size, content of the full windows that occur, by fingerprints."""
+def _index(windows: DataFrame, window: int, gram: int) -> DataFrame:
+    """print: the fingerprints of the full windows."""
     full = windows.filter(F.col("size") == window).select("content").distinct()
-    index = cut_lineage(full.select(F.explode(fingerprints(F.split("content", " "), window, gram)).alias("p"))
-                        .select(_print(F.col("p")).alias("print")).distinct())
-    candidates = prints.select("row", F.explode("prints").alias("p")).select("row", _print(F.col("p")).alias("print"), _position(F.col("p")).alias("at"))
-    hits = cut_lineage(candidates.join(index, "print", "left_semi").groupBy("row").agg(F.array_sort(F.collect_set("at")).alias("at")))
+    return cut_lineage(full.select(F.explode(fingerprints(F.split("content", " "), window, gram)).alias("p")).select(_print(F.col("p")).alias("print")).distinct())
+
+
+def _candidates(docs: DataFrame, index: DataFrame, window: int, gram: int) -> DataFrame:
+    """doc_id, row and either n_words (one row per document) or ``at``, where a gram is a fingerprint of the index.
+
+    The words are cut once, and the fingerprints themselves are not kept.
+    """
+    found = _with_words(docs, "doc_id", "row")
+    # The number of words travels as a negative number in front of the fingerprints.
+    packed = F.concat(F.array(-1 - F.size("words").cast("long")), fingerprints(F.col("words"), window, gram))
+    each = found.select("doc_id", "row", F.explode(packed).alias("p"))
+    # It has no partner in the index; its key is as good as random, so that it does not gather anywhere.
+    key = F.when(F.col("p") < 0, F.xxhash64("row").bitwiseOR(F.lit(-(1 << 63)))).otherwise(_print(F.col("p")))
+    joined = each.withColumn("print", key).join(index.withColumn("known", F.lit(True)), "print", "left").filter((F.col("p") < 0) | F.col("known"))
+    return cut_lineage(joined.select("doc_id", "row", F.when(F.col("p") < 0, -1 - F.col("p")).alias("n_words"), F.when(F.col("p") >= 0, _position(F.col("p"))).alias("at")))
+
+
+def _long_hits(docs: DataFrame, candidates: DataFrame, windows: DataFrame, window: int, gram: int) -> DataFrame:
+    """row, start, size, content of the full windows that occur, around their fingerprints."""
+    full = windows.filter(F.col("size") == window).select("content").distinct()
+    hits = cut_lineage(candidates.filter("at is not null").groupBy("row").agg(F.array_sort(F.collect_set("at")).alias("at")))
     back = window - gram
 
     def around(found: Column) -> Column:
@@ -108,14 +126,13 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: i
     """
     rows = columns(docs)
     rows = rows.withColumn("row", F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")))
-    prints = cut_lineage(_with_words(rows, "doc_id", "row").select(
-        "doc_id", "row", F.size("words").cast("long").alias("n_words"), fingerprints(F.col("words"), window, gram).alias("prints")))
     windows = cut_lineage(item_windows(items, window))
-    hits = _long_hits(rows, prints, windows, window, gram).select("row", "start", "size", "content")
+    candidates = _candidates(rows, _index(windows, window, gram), window, gram)
+    hits = _long_hits(rows, candidates, windows, window, gram).select("row", "start", "size", "content")
     short = sorted(r.size for r in windows.filter(F.col("size") < window).select("size").distinct().collect())  # below ``window``, so few
     if short:
         hits = hits.unionByName(_short_hits(rows, windows, short).select("row", "start", "size", "content"))
-    return prints.select("doc_id", "row", "n_words"), cut_lineage(hits.distinct()), windows
+    return candidates.filter("n_words is not null").select("doc_id", "row", "n_words"), cut_lineage(hits.distinct()), windows
 
 
 def hit_spans(hits: DataFrame) -> DataFrame:
