@@ -28,7 +28,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts (operator 6), and one row of each id."""
     marks = cut_lineage(exact.duplicates(docs).select("doc_id", "kept"))
-    left = without(docs, marks.groupBy("doc_id").agg(F.max("kept").alias("any")).filter(~F.col("any")))
+    left = without(docs, cut_lineage(marks.groupBy("doc_id").agg(F.max("kept").alias("any")).filter(~F.col("any")).select("doc_id")))
     repeated = marks.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1")
     return left if repeated.isEmpty() else left.dropDuplicates(["doc_id"])
 

@@ -180,7 +180,8 @@ def duplicates(docs: DataFrame, moduli: tuple[int, ...] = MODULI, huge: int = HU
     # Only where different texts share a fingerprint does the digest part them.
     keyed = prints.join(clash, "print", "left").withColumn("variant", F.when(F.col("clash"), F.col("text_sha256")).otherwise(F.lit("")))
     first = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("null"), "doc_id", "row"))
-    groups = keyed.groupBy("print", "variant").agg(F.count(F.lit(1)).alias("group_size"), first.alias("first")).filter("group_size > 1")
+    # Written, so that the join below has a plain shuffle on both sides, of which Spark splits what is hot.
+    groups = cut_lineage(keyed.groupBy("print", "variant").agg(F.count(F.lit(1)).alias("group_size"), first.alias("first")).filter("group_size > 1"))
     return keyed.join(groups, ["print", "variant"], "left").select(
         "doc_id", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
