@@ -90,8 +90,8 @@ def cells(fps: DataFrame, max_bits: int, limit: int = CELL) -> DataFrame:
         if not left:
             break
         rows = rows.join(crowded, "cell")
-        if largest == before:
-            # One dense ball: deal it out in parts and let every two parts meet.
+        if before and largest > 0.8 * before:
+            # A dense ball, which distances do not part: deal it out in parts and let every two parts meet.
             parts = F.ceil(F.col("n") / limit).cast("long")
             rows = rows.withColumn("part", F.pmod(F.xxhash64("fp"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
             done.append(rows.select(F.xxhash64("cell", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), "fp"))
