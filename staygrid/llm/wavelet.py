@@ -188,7 +188,7 @@ class Words:
         counts = np.ones(len(texts), np.int64)
         at = 0
         while at < len(data):
-            if len(data[at]) >= STRETCH:
+            if len(data[at]) + 1 >= STRETCH:
                 for ids in self._long(data[at]):
                     out.append(ids)
                     counts[at] += len(ids)
