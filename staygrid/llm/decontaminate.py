@@ -40,7 +40,8 @@ def fingerprints(found: Column, window: int = WINDOW, gram: int = GRAM) -> Colum
             F.xxhash64(*[hashes[i + j] for j in range(gram)]).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), 31) + (F.lit(LOW) - i))
 
     def least(packs: Column) -> Column:
-        return F.array_distinct(F.transform(_positions(F.size(packs) - (grams - 1)), lambda i: F.least(*[packs[i + j] for j in range(grams)])))
+        run = F.least if grams > 1 else F.coalesce
+        return F.array_distinct(F.transform(_positions(F.size(packs) - (grams - 1)), lambda i: run(*[packs[i + j] for j in range(grams)])))
 
     # ``let`` keeps each array from being computed anew for every position.
     prints = let(F.transform(found, lambda w: F.xxhash64(w)), lambda h: let(packed(h), least))
@@ -109,9 +110,12 @@ def _long_hits(docs: DataFrame, candidates: DataFrame, windows: DataFrame, windo
 def _short_hits(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
     """The same for items of fewer words than a window: every run of that many words is looked up."""
 
+    def runs_of(found: Column, n: int) -> Column:
+        return F.transform(_positions(F.size(found) - (n - 1)), lambda s: F.struct(
+            s.alias("start"), F.lit(n).alias("size"), F.array_join(F.slice(found, s + 1, n), " ").alias("content")))
+
     def runs(found: Column) -> Column:
-        return F.concat(*[F.transform(_positions(F.size(found) - (n - 1)), lambda s, n=n: F.struct(
-            s.alias("start"), F.lit(n).alias("size"), F.array_join(F.slice(found, s + 1, n), " ").alias("content"))) for n in sizes])
+        return F.concat(*[runs_of(found, n) for n in sizes])
 
     rows = docs.select("row", F.explode(let(words(F.col("text")), runs)).alias("x"))
     return rows.select("row", "x.*").join(windows.select("size", "content").distinct(), ["size", "content"], "left_semi")

@@ -142,7 +142,7 @@ class Scanner:
         found = set()
         last: dict[int, int] = {}
         for no, begin in sorted(starts):
-            if no in last and begin - last[no] <= BAND // 2:
+            if no in last and begin - last[no] < min(BAND // 2 + 1, len(self.templates[no])):
                 continue  # the same find: its band covers this diagonal
             last[no] = begin
             got = self.align(no, ids, begin)
