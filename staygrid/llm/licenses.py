@@ -127,10 +127,12 @@ class Scanner:
                     s, n, f = new[b - 1]
                     cell = (s - 1, n, f)
                 new[b] = cell
-                if 0 <= j < len(ids) and ids[j] == template[i] and (best is None or cell[0] - (m - 1 - i) > best[0]):
-                    best = (cell[0] - (m - 1 - i), cell[1], cell[2], j + 1)
+                if 0 <= j < len(ids) and ids[j] == template[i]:
+                    mark = (cell[0] - (m - 1 - i), -abs(b - BAND))  # of equals the one nearest to the diagonal
+                    if best is None or mark > best[0]:
+                        best = (mark, cell[1], cell[2], j + 1)
             row = new
-        return best
+        return best and (best[0][0], *best[1:])
 
     def scan(self, ids: np.ndarray, grams: np.ndarray, chosen: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(template, words found, first word, word after the last, score), best first where they overlap."""
