@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from .ordered import Even, newest_per_key, running_sum_in_order
+from .ordered import Even, newest_per_key, running_sums_in_order
 
 MAX_QUERY_BYTES = 64 * 1024 * 1024
 
@@ -86,9 +86,9 @@ def capped_listing(
     df: DataFrame, key: list[str], order: str, bucket: Column | Even, size: Column, cap: int,
 ) -> DataFrame:
     """Rows of each listing until their sizes reach ``cap``; always at least one."""
-    total = running_sum_in_order(df.withColumn("_size", size), key, [order], bucket, F.col("_size"), "bytes_so_far")
-    first = F.col("bytes_so_far") == F.col("_size")
-    return total.filter((F.col("bytes_so_far") <= cap) | first).drop("_size")
+    size = F.coalesce(size, F.lit(0))
+    total = running_sums_in_order(df, key, [order], bucket, {"bytes_so_far": size, "_rows": F.lit(1)})
+    return total.filter((F.col("bytes_so_far") <= cap) | (F.col("_rows") == 1)).drop("_rows")
 
 
 def top_by_count(df: DataFrame, group: str, item: str, n: int) -> DataFrame:

@@ -286,7 +286,7 @@ SELECT event_id, lag(event_id) OVER w AS prev_event_id, lag(ts) OVER w AS prev_t
 WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)""")
 def j12(t):
     out = ordered.previous_in_order(
-        t.events, ["user_id", "event_type"], ["ts", "event_id"], ordered.Even(ordered.micros("ts"), 30 * ordered.DAY), ["event_id", "ts"])
+        t.events, ["user_id", "event_type"], ["ts", "event_id"], ordered.Even(ordered.micros("ts"), 30 * ordered.DAY, tie=F.col("event_id")), ["event_id", "ts"])
     return out.select("event_id", "prev_event_id", "prev_ts")
 
 
@@ -377,7 +377,7 @@ def w1(t):
         "l_suppkey", "l_returnflag", "l_quantity", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").dropDuplicates())
     return ordered.row_number_in_order(
         rows, ["l_suppkey", "l_returnflag"], ["l_quantity", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"],
-        ordered.Even(F.col("l_quantity"), 100), "distance_rank")
+        ordered.Even(F.col("l_quantity"), 100, tie=F.col("l_orderkey")), "distance_rank")
 
 
 @query("W2_newest_per_key", """
@@ -508,9 +508,10 @@ def t3(t):
 
 
 @query("T4_byte_capped_listing", """
-SELECT source, doc_id, bytes_so_far FROM (SELECT source, doc_id, length(text) AS n,
-  CAST(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS bytes_so_far FROM documents)
-WHERE bytes_so_far <= 30000 OR bytes_so_far = n""")
+SELECT source, doc_id, bytes_so_far FROM (SELECT source, doc_id,
+  CAST(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS bytes_so_far,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents)
+WHERE bytes_so_far <= 30000 OR rn = 1""")
 def t4(t):
     docs = t.documents.select("source", "doc_id", F.length("text").cast("long").alias("n"))
     bucket = ordered.Even(F.col("doc_id"), 1_000_000)

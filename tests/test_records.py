@@ -2,7 +2,10 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from staygrid.operators import ordered, records
 
@@ -103,6 +106,45 @@ def test_even_buckets_split_a_hot_key(spark):
     assert {(r.id, r.prev_id) for r in prev} == {(r.id, r.prev_id) for r in want}
 
 
+def _bursty(spark):
+    """A burst within a second, a burst on one instant, rows without a position."""
+    rng = random.Random(4)
+    times = [rng.random() for _ in range(1500)] + [2.0] * 1200 + [rng.randrange(3, 100_000) * 1.0 for _ in range(200)] + [None] * 90
+    rng.shuffle(times)
+    return spark.createDataFrame([("k" if i % 7 else None, t, i, i % 5) for i, t in enumerate(times)], "k string, t double, id int, v int")
+
+
+def test_bursts_are_cut_by_count(spark):
+    even = ordered.Even(F.col("t"), 50_000, rows=100, tie=F.col("id"))
+    sizes = ordered._bucketed(_bursty(spark), ["k"], even).groupBy("_k", "_b").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 150
+    assert sizes.count() < 80
+
+
+@pytest.mark.parametrize("nulls_last", [False, True])
+def test_result_does_not_depend_on_bucket_size(spark, nulls_last):
+    df = _bursty(spark)
+    by = [F.asc_nulls_last("t") if nulls_last else F.asc_nulls_first("t"), F.col("id")]
+    plain = W.partitionBy("k").orderBy(*by)
+    want = {r.id: (r.rn, r.s) for r in df.select("id", F.row_number().over(plain).alias("rn"), F.sum("v").over(plain.rowsBetween(W.unboundedPreceding, 0)).alias("s")).collect()}
+    for rows in (1, 100, 1_000_000):
+        for tie in (None, F.col("id")):
+            even = ordered.Even(F.col("t"), 50_000, rows, tie, nulls_last)
+            rn = {r.id: r.rn for r in ordered.row_number_in_order(df, ["k"], by, even, "rn").collect()}
+            assert rn == {i: v[0] for i, v in want.items()}
+    s = {r.id: r.s for r in ordered.running_sum_in_order(df, ["k"], by, ordered.Even(F.col("t"), 50_000, 100, F.col("id"), nulls_last), F.col("v"), "s").collect()}
+    assert s == {i: v[1] for i, v in want.items()}
+
+
+def test_previous_with_null_positions(spark):
+    df = _bursty(spark)
+    plain = W.partitionBy("k").orderBy("t", "id")
+    want = {r.id: r.p for r in df.select("id", F.lag("id").over(plain).alias("p")).collect()}
+    for rows in (1, 100, 1_000_000):
+        got = ordered.previous_in_order(df, ["k"], ["t", "id"], ordered.Even(F.col("t"), 50_000, rows, F.col("id")), ["id"]).collect()
+        assert {r.id: r.prev_id for r in got} == want
+
+
 def test_newest_good(spark):
     from staygrid.operators.windows import newest_good_or_newest
     rows = [("a", 5, 500), ("a", 4, 200), ("b", 9, 500), ("b", 8, 500), ("b", 7, 500), ("b", 6, 200), ("c", 1, 404)]

@@ -180,3 +180,7 @@ def test_capped_listing_keeps_one(spark):
     df = spark.createDataFrame([("c", 1, 50), ("c", 2, 1), ("d", 1, 4), ("d", 2, 5), ("d", 3, 9)], "k string, i int, n int")
     got = {(r.k, r.i) for r in topk.capped_listing(df, ["k"], "i", F.floor(F.col("i") / 2), F.col("n"), 10).collect()}
     assert got == {("c", 1), ("d", 1), ("d", 2)}
+    # Only the first row may be larger than the cap: nothing follows a row of size zero that fills it up.
+    df = spark.createDataFrame([("c", 1, 0), ("c", 2, 50), ("c", 3, 1), ("d", None, 3), ("d", 1, 9)], "k string, i int, n int")
+    got = {(r.k, r.i) for r in topk.capped_listing(df, ["k"], "i", F.col("i"), F.col("n"), 10).collect()}
+    assert got == {("c", 1), ("d", None)}
