@@ -109,17 +109,17 @@ def capture(c: Column, pattern: str, group: int = 1) -> Column:
 
 def star_rating(value: Column, text: Column) -> Column:
     numeric = value.try_cast("double").cast("int")
-    spelled = capture(text, r"(\d+)\s+trên\s+5\s+sao").try_cast("int")
+    spelled = capture(text, r"(?U)(\d+)\s+trên\s+5\s+sao").try_cast("int")
     return F.coalesce(numeric, spelled, F.lit(0))
 
 
 def address_fields(address: Column) -> Column:
     """struct(street_address, city, country, full_address)."""
-    to_country = capture(address, r"(?iu)^(.*?Việt\s+Nam)")
+    to_country = capture(address, r"(?iuU)^(.*?Việt\s+Nam)")
     s = strip(F.coalesce(to_country, address))
     s = F.regexp_replace(s, r"(?U)\b\d{5,6}\b\s*,?\s*", "")
-    s = F.regexp_replace(s, r"\s*,\s*", ", ")
-    full_text = F.btrim(F.regexp_replace(s, r",\s*,", ","), F.lit(", "))
+    s = F.regexp_replace(s, r"(?U)\s*,\s*", ", ")
+    full_text = F.btrim(F.regexp_replace(s, r"(?U),\s*,", ","), F.lit(", "))
 
     def pack(street, city, country, full) -> Column:
         return F.struct(street.alias("street_address"), city.alias("city"), country.alias("country"), full.alias("full_address"))
@@ -146,7 +146,7 @@ def policy_times(policy: Column) -> Column:
     """struct of four HH:mm texts with the house defaults."""
 
     def times(label: str, group: int, default: str) -> Column:
-        pattern = r"(?iu)" + label + r"\s+phòng[^\n]*\nTừ\s*(\d{2}:\d{2})(?:\s*-\s*(\d{2}:\d{2}))?"
+        pattern = r"(?iuU)" + label + r"\s+phòng[^\n]*\nTừ\s*(\d{2}:\d{2})(?:\s*-\s*(\d{2}:\d{2}))?"
         return F.coalesce(capture(policy, pattern, group), F.lit(default))
 
     return F.struct(
@@ -169,7 +169,7 @@ def facility_names(c: Column) -> Column:
 def nearby_item(item: Column) -> Column:
     """struct(place_name, distance_value, distance_unit, distance_in_meters);
     NULL fields when the text has no readable distance."""
-    pattern = r"(?iu)^(.*?)\s+([\d,.]+)\s*(km|m)\s*$"
+    pattern = r"(?iuU)^(.*?)\s+([\d,.]+)\s*(km|m)\s*$"
     value = F.replace(F.regexp_extract(item, pattern, 2), F.lit(","), F.lit(".")).try_cast("double")
     unit = F.lower(capture(item, pattern, 3))
     meters = F.when(unit == "km", (value * 1000).cast("int")).otherwise(value.cast("int"))
@@ -183,7 +183,7 @@ def nearby_item(item: Column) -> Column:
 
 def room_item(item: Column) -> Column:
     """struct(room_type_name, price); name is NULL when the item has no price."""
-    pattern = r"(?iu)^(.*?)\s*\(\s*([\d,.]+)\s*VND\s*\)\s*$"
+    pattern = r"(?iuU)^(.*?)\s*\(\s*([\d,.]+)\s*VND\s*\)\s*$"
     digits = F.replace(F.regexp_extract(item, pattern, 2), F.lit(","), F.lit(""))
     found = F.regexp_like(item, F.lit(pattern))
     return F.struct(
@@ -208,7 +208,7 @@ def price_number(c: Column) -> Column:
             .otherwise(s)
         )
 
-    bare = F.regexp_replace(c, r"(?iu)[VNDđ$US\x{200B}\s]", "")
+    bare = F.regexp_replace(c, r"(?iuU)[VNDđ$US\x{200B}\s]", "")
     return F.coalesce(F.regexp_replace(let(bare, plain), r"[^\d.]", "").try_cast("double"), F.lit(0.0))
 
 
@@ -240,7 +240,7 @@ def sentences_with(c: Column, words: list[str], below: int = 220) -> Column:
     """Sentences naming one of ``words`` and shorter than ``below``, ``"; "`` joined."""
     any_word = "|".join(_quote(w) for w in words)
     hits = F.filter(
-        F.split(c, r"(?<=[.!?])\s+"),
+        F.split(c, r"(?U)(?<=[.!?])\s+"),
         lambda s: F.regexp_like(F.lower(s), F.lit(any_word)) & (F.length(s) < below),
     )
     return F.array_join(F.transform(hits, lambda s: strip(s)), "; ")
@@ -251,7 +251,8 @@ def _quote(word: str) -> str:
 
 
 def sub_score(text: Column, label_pattern: str) -> Column:
-    found = capture(text, r"(?iu)" + label_pattern + r"\s*(\d+[.,]\d+|\d+)")
+    blanks = F.regexp_replace(text, r"(?U)\s+", " ")
+    found = capture(blanks, r"(?iuU)" + label_pattern + r"\s*(\d+[.,]\d+|\d+)")
     return F.coalesce(F.replace(found, F.lit(","), F.lit(".")).try_cast("double"), F.lit(0.0))
 
 

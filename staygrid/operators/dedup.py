@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..session import spread
-from .ordered import one_per_key
+from .ordered import newest_per_key, one_per_key
 
 
 def largest_copy(pages: DataFrame, key: Column, size: Column, path: str) -> DataFrame:
@@ -47,20 +47,29 @@ def equivalent_urls(df: DataFrame, url: str, order: str) -> DataFrame:
     return rows.groupBy("canonical").agg(F.min_by(url, order).alias("first_url"), F.count(F.lit(1)).alias("members"))
 
 
-def unvisited(candidates: DataFrame, visited: DataFrame, url: str, drop_query: bool = False, similar: bool = False, limit: int | None = None, order: str | None = None) -> DataFrame:
-    """URLs not yet visited, by normalised form (or equivalence class); limit counts visited ones too."""
+def unvisited(
+    candidates: DataFrame, visited: DataFrame, url: str, drop_query: bool = False, similar: bool = False, limit: int | None = None,
+    order: str | None = None, crawl: str | None = None,
+) -> DataFrame:
+    """URLs not yet visited, by normalised form (or equivalence class).
+
+    ``limit`` counts visited ones too.  With ``crawl``, a column of both inputs,
+    every crawl has its own visited set and limit.
+    """
     def form(c: Column) -> Column:
         plain = urls.crawl_form(c, drop_query)
         return urls.equivalence_key(plain) if similar else plain
 
-    fresh = candidates.withColumn("_key", form(F.col(url)))
-    seen = visited.select(form(F.col(url)).alias("_key")).distinct()
+    own = F.col(crawl) if crawl else F.lit(0)
+    fresh = candidates.withColumn("_key", form(F.col(url))).withColumn("_crawl", F.struct(own.alias("c")))
+    seen = visited.select(F.struct(own.alias("c")).alias("_crawl"), form(F.col(url)).alias("_key")).distinct()
     pick = F.struct(F.col(order), F.col(url)) if order else F.col(url)
-    out = one_per_key(fresh.join(seen, "_key", "left_anti"), ["_key"], pick)
+    out = one_per_key(fresh.join(seen, ["_crawl", "_key"], "left_anti"), ["_crawl", "_key"], pick)
     if limit is not None:
-        room = max(0, limit - seen.count())
-        out = out.orderBy(*([order] if order else []), url).limit(room)
-    return out.drop("_key")
+        counts = seen.groupBy("_crawl").agg(F.count(F.lit(1)).alias("_seen"))
+        ranked = newest_per_key(out, ["_crawl"], [*([F.col(order)] if order else []), F.col(url)], limit, "_rank")
+        out = ranked.join(counts, "_crawl", "left").filter(F.col("_rank") <= limit - F.coalesce("_seen", F.lit(0))).drop("_rank", "_seen")
+    return out.drop("_key", "_crawl")
 
 
 def concatenated(parts: list[tuple[str, DataFrame]]) -> DataFrame:

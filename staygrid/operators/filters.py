@@ -65,7 +65,7 @@ def search_eligible(status: Column, markdown: Column, has_auth: Column) -> Colum
 def stable_sample(df: DataFrame, key: str, rate: float, grain: int = 10_000) -> DataFrame:
     """The same rows for the same rate in every run."""
     word = F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 8), 16, 10).cast("long")
-    return df.filter(F.pmod(word, F.lit(grain)) < int(rate * grain))
+    return df.filter(F.pmod(word, F.lit(grain)) < round(rate * grain))
 
 
 def has_content(markdown: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import urls, vectors
-from ..operators.ordered import one_per_key
+from ..operators.ordered import newest_per_key, one_per_key
 from ..session import cut_lineage
 
 
@@ -192,7 +192,8 @@ def crawl_frontier(
     url and start_url.  Pages count as one under ``urls.equivalence_key``.
     Returns (visited: crawl_id, url, level) and (denied: crawl_id, url, reason).
     Every level is written to the shared folder, which keeps the plan short and
-    lets a lost executor recompute one level only.
+    lets a lost executor recompute one level only.  ``limit`` is the most pages
+    of one crawl; it cuts a level in the order of the URLs.
     """
     edges = cut_lineage(links.select(
         urls.equivalence_key(F.col("page_url")).alias("_from"), F.col("link").alias("url")))
@@ -201,10 +202,6 @@ def crawl_frontier(
     level_rows = cut_lineage(one_per_key(first, ["crawl_id", "page_key"], F.col("url")))
     visited, denied = level_rows, None
     for level in range(1, max_levels + 1):
-        if limit is not None:
-            room = limit - visited.count()
-            if room <= 0:
-                break
         here = level_rows.select("crawl_id", "start_url", F.col("page_key").alias("_from"))
         out = here.join(edges, "_from").drop("_from").dropDuplicates(["crawl_id", "url"])
         blocked = None
@@ -218,7 +215,9 @@ def crawl_frontier(
         kept = one_per_key(out.filter(F.col("reason").isNull()).drop("reason"), ["crawl_id", "page_key"], F.col("url"))
         new = kept.join(visited.select("crawl_id", "page_key"), ["crawl_id", "page_key"], "left_anti")
         if limit is not None:
-            new = new.orderBy("crawl_id", "url").limit(room)
+            counts = visited.groupBy(F.struct("crawl_id").alias("_crawl")).agg(F.count(F.lit(1)).alias("_seen"))
+            ranked = newest_per_key(new, ["crawl_id"], [F.col("url")], limit, "_rank").withColumn("_crawl", F.struct("crawl_id"))
+            new = ranked.join(counts, "_crawl", "left").filter(F.col("_rank") <= limit - F.coalesce("_seen", F.lit(0))).drop("_rank", "_crawl", "_seen")
         level_rows = cut_lineage(new)
         if level_rows.isEmpty():
             break
@@ -255,15 +254,16 @@ def sitemap_actions(locations: DataFrame) -> DataFrame:
     return locations.withColumn("action", action)
 
 
-def expand_sitemaps(stored: DataFrame, roots: DataFrame, max_levels: int = 5) -> DataFrame:
-    """Pages reachable from root sitemaps through stored sitemap files (url, xml).
+def expand_sitemaps(stored: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pages reachable from root sitemaps through stored sitemap files (url, xml), however deeply nested.
 
-    Every file is parsed once; the levels only join small (file, loc) rows.
+    Every file is parsed once; the levels only join small (file, loc) rows.  A
+    file is read once, so files that name each other end too.
     """
     parsed = cut_lineage(sitemap_actions(sitemap_locations(stored)).select("url", "loc", "action"))
     todo = cut_lineage(roots.select("url").distinct())
     done, pages = todo, None
-    for _ in range(max_levels):
+    while True:
         found = parsed.join(todo, "url")
         part = found.filter(F.col("action") == "process").select(F.col("loc").alias("url"))
         pages = part if pages is None else pages.unionByName(part)
@@ -276,20 +276,22 @@ def expand_sitemaps(stored: DataFrame, roots: DataFrame, max_levels: int = 5) ->
 
 
 def site_map(
-    index: DataFrame, sitemap: DataFrame, results: DataFrame, site: Column, limit: int, search: str | None = None,
-    include_subdomains: bool = True, filter_by_path: bool = True, drop_query: bool = True, cutoff: int = 100_000,
+    index: DataFrame, sitemap: DataFrame, results: DataFrame, site: Column, limit: int | None = None, search: str | None = None,
+    include_subdomains: bool = True, filter_by_path: bool = True, drop_query: bool = True, cutoff: int | None = None,
 ) -> DataFrame:
     """List of a site's URLs: union, cut, rank, normalise, filter, dedup, cut.
 
     Each input has url, title, description and ord.  Search results lead when
-    there is a search text and trail otherwise.
+    there is a search text and trail otherwise.  ``limit`` cuts the list (and its
+    input as well), ``cutoff`` the input alone; without them nothing is cut.
     """
     rank = {"results": 0, "index": 1, "sitemap": 2} if search else {"index": 0, "sitemap": 1, "results": 2}
     union = None
     for name, df in (("index", index), ("sitemap", sitemap), ("results", results)):
         part = df.select("url", "title", "description", F.lit(rank[name]).alias("_src"), F.col("ord").alias("_ord"))
         union = part if union is None else union.unionByName(part)
-    rows = union.orderBy("_src", "_ord", "url").limit(min(cutoff, limit))
+    most = min((n for n in (cutoff, limit) if n is not None), default=None)
+    rows = union if most is None else union.orderBy("_src", "_ord", "url").limit(most)
     score = vectors.query_score(F.col("url"), search) if search else F.lit(0.0)
     rows = rows.withColumn("_score", F.round(score, 9)).withColumn("url", urls.map_form(F.col("url"), drop_query))
     u = F.col("url")
@@ -302,4 +304,5 @@ def site_map(
     kept = rows.filter(keep).groupBy("url").agg(
         F.min(place).alias("_place"),
         F.min_by(F.struct("title", "description"), F.struct(F.col("title").isNull().alias("no_title"), place.alias("p"))).alias("_doc"))
-    return kept.orderBy("_place", "url").limit(limit).select("url", "_doc.title", "_doc.description")
+    placed = kept.orderBy("_place", "url")
+    return (placed if limit is None else placed.limit(limit)).select("url", "_doc.title", "_doc.description")

@@ -410,6 +410,49 @@ def g1(t):
     return visited
 
 
+def _levels_sql(levels: int, limit: int | None) -> str:
+    """The frontier from one seed per host, level by level."""
+    parts = [f"""l AS (SELECT DISTINCT {EQUIV} AS f, link FROM {HREFS_SQL}),
+n0 AS (SELECT {sql(HOST)} AS crawl_id, min(url) AS url FROM pages GROUP BY 1),
+v0 AS (SELECT crawl_id, {EQUIV} AS k, url, 0 AS level FROM n0)"""]
+    for i in range(1, levels + 1):
+        cut = "" if limit is None else f" QUALIFY row_number() OVER (PARTITION BY crawl_id ORDER BY url) <= {limit} - (SELECT count(*) FROM v{i - 1} v WHERE v.crawl_id = w{i}.crawl_id)"
+        parts.append(f"""e{i} AS (SELECT DISTINCT crawl_id, link AS url FROM v{i - 1} JOIN l ON f = k WHERE level = {i - 1}),
+f{i} AS (SELECT crawl_id, {EQUIV} AS k, min(url) AS url FROM e{i} WHERE NOT ({sql(DEPTH, 'url')} > 3) AND NOT starts_with({sql(PATH, 'url')}, '/the') GROUP BY 1, 2),
+w{i} AS (SELECT * FROM f{i} WHERE (crawl_id, k) NOT IN (SELECT (crawl_id, k) FROM v{i - 1})),
+v{i} AS (SELECT * FROM v{i - 1} UNION ALL SELECT * FROM (SELECT crawl_id, k, url, {i} AS level FROM w{i}{cut}))""")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT crawl_id, url, level FROM v{levels}"
+
+
+def _frontier(t, levels: int, limit: int | None):
+    links = pages.page_links(t.pages, ["page_id"]).select(F.col("url").alias("page_url"), "link")
+    u = F.col("url")
+    seeds = t.pages.groupBy(urls.host(u).alias("crawl_id")).agg(F.min("url").alias("url")).select(
+        "crawl_id", "url", F.concat(urls.scheme(u), F.lit("://"), urls.host(u), F.lit("/")).alias("start_url"))
+    return crawl.crawl_frontier(links, seeds, crawl.LinkRules(max_depth=3, excludes=["^/the"]), max_levels=levels, limit=limit)[0]
+
+
+@query("G1_three_levels", _levels_sql(3, None))
+def g1_levels(t):
+    return _frontier(t, 3, None)
+
+
+@query("G1_limit", _levels_sql(3, 5))
+def g1_limit(t):
+    return _frontier(t, 3, 5)
+
+
+@query("D8_limit", f"""
+WITH c AS (SELECT {sql(BARE)} AS host, url, ord, regexp_replace(url, '[?#].*$', '') AS k FROM {VARIANTS_SQL}),
+v AS (SELECT DISTINCT {sql(BARE)} AS host, regexp_replace(url, '[?#].*$', '') AS k FROM pages WHERE page_id % 9 = 1),
+n AS (SELECT host, k, arg_min(url, (ord, url)) AS url, min(ord) AS ord FROM c WHERE (host, k) NOT IN (SELECT (host, k) FROM v) GROUP BY 1, 2)
+SELECT host, url FROM n QUALIFY row_number() OVER (PARTITION BY host ORDER BY ord, url) <= 20 - (SELECT count(*) FROM v WHERE v.host = n.host)""")
+def d8_limit(t):
+    host = urls.bare_host(F.col("url")).alias("host") if hasattr(urls, "bare_host") else urls.host(F.col("url")).alias("host")
+    visited = t.pages.filter(F.pmod("page_id", F.lit(9)) == 1).select(host, "url")
+    return dedup.unvisited(_variants(t).withColumn("host", host), visited, "url", drop_query=True, limit=20, order="ord", crawl="host").select("host", "url")
+
+
 def _sitemap_files(t):
     """Stored sitemaps: part files of at most 1000 URLs per host, one index file per host."""
     u = F.col("url")
@@ -441,7 +484,15 @@ def s13(t):
 @query("G2_sitemap_expansion", "SELECT DISTINCT replace(url, '&', '&amp;') AS url FROM pages")
 def g2(t):
     files, roots = _sitemap_files(t)
-    return crawl.expand_sitemaps(files, roots.select("url"))
+    # Six index files stand between the root and the file that lists the parts; the last names the first again.
+    home, k = F.regexp_replace("url", "/sitemap.xml$", ""), F.col("k")
+    down = roots.select(home.alias("home"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("k"))
+    entry = lambda to: F.concat(F.lit("<sitemapindex><sitemap><loc>"), to, F.lit("</loc></sitemap></sitemapindex>"))
+    nested = down.select(
+        F.concat("home", F.lit("/down-"), k, F.lit(".xml")).alias("url"),
+        entry(F.when(k < 6, F.concat("home", F.lit("/down-"), k + 1, F.lit(".xml</loc></sitemap><sitemap><loc>"), "home", F.lit("/down-0.xml"))).otherwise(
+            F.concat("home", F.lit("/sitemap.xml")))).alias("xml"))
+    return crawl.expand_sitemaps(files.unionByName(nested), roots.select(F.regexp_replace("url", "/sitemap.xml$", "/down-0.xml").alias("url")))
 
 
 @query("G3_site_map", f"""
@@ -458,4 +509,4 @@ def g3(t):
     index = t.pages.select("url", F.when(F.pmod(k, F.lit(2)) == 0, F.concat(F.lit("T"), k)).alias("title"), none.alias("description"), k.alias("ord"))
     listed = t.pages.select(F.concat(F.regexp_replace("url", "^http:", "https:"), F.lit("/")).alias("url"), none.alias("title"), none.alias("description"), k.alias("ord"))
     results = t.pages.filter(F.pmod(k, F.lit(5)) == 0).select("url", F.concat(F.lit("R"), k).alias("title"), F.concat(F.lit("D"), k).alias("description"), k.alias("ord"))
-    return crawl.site_map(index, listed, results, F.lit(SITE + "/en"), limit=100_000)
+    return crawl.site_map(index, listed, results, F.lit(SITE + "/en"))

@@ -19,7 +19,7 @@ def con():
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     status, n, _, note = oracle_check.compare(spark, con, name, QUERIES[name], ORACLE.get(name), FOLDER)
-    assert status in ("ok", "rows-only", "EMPTY"), f"{status} {note}"
+    assert status in ("ok", "rows-only"), f"{status} {note}"  # an empty result proves nothing
 
 
 def test_registry():
