@@ -327,6 +327,13 @@ def edit_similarity(gold: Column, other: Column) -> Column:
     return F.when(longest > 0, 1 - F.levenshtein(gold, other) / longest).otherwise(F.lit(1.0))
 
 
+def edit_similar(gold: Column, other: Column, least: float) -> Column:
+    """Whether ``edit_similarity`` is at least ``least``; the distance is only followed as far as that allows."""
+    longest = F.greatest(F.octet_length(gold), F.octet_length(other))
+    distance = F.call_function("levenshtein", gold, other, F.ceil((1 - least) * longest).cast("int"))
+    return F.when(longest > 0, (distance >= 0) & (1 - distance / longest >= least)).otherwise(F.lit(least <= 1))
+
+
 def bucket_label(seconds: Column) -> Column:
     """Name of a schedule interval."""
     limits = [(900, "15m"), (1800, "30m"), (3600, "hourly"), (21600, "sub_daily"), (86400, "daily"), (604800, "weekly")]

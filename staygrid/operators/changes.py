@@ -126,11 +126,11 @@ def extraction_quality(new: Column, old: Column) -> Column:
 def site_verdict(captures: DataFrame, site: list[str], gold: str, light: str, similar: float = 0.95, enough: float = 0.8, too_many_failed: float = 0.5) -> DataFrame:
     """Whether light captures are as good as full ones, per site."""
     full_ok = F.coalesce(F.col(gold) != "", F.lit(False))
-    score = F.when(full_ok & F.coalesce(F.col(light) != "", F.lit(False)), text.edit_similarity(F.col(gold), F.col(light)))
-    rows = captures.select(*site, full_ok.alias("_full"), score.alias("_score"))
+    close = F.when(full_ok & F.coalesce(F.col(light) != "", F.lit(False)), text.edit_similar(F.col(gold), F.col(light), similar))
+    rows = captures.select(*site, full_ok.alias("_full"), F.coalesce(close, F.lit(False)).alias("_close"))
     per = rows.groupBy(*site).agg(
         F.count(F.lit(1)).alias("urls"), F.count_if(~F.col("_full")).alias("full_failed"),
-        F.count_if(F.col("_full") & F.coalesce(F.col("_score") >= similar, F.lit(False))).alias("light_ok"))
+        F.count_if(F.col("_full") & F.col("_close")).alias("light_ok"))
     comparable = F.col("urls") - F.col("full_failed")
     return per.withColumn("verdict", F.when(
         (F.col("full_failed") / F.col("urls") > too_many_failed) | (comparable == 0), "uncertain").when(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,9 +48,16 @@ class ToolSet:
     def run(self, spark: SparkSession, name: str, tables: dict[str, DataFrame], **args) -> DataFrame:
         tool = self.get(name)
         bound = tool.checked(args)
-        for table, df in tables.items():
-            df.createOrReplaceTempView(table)
-        return spark.sql(tool.statement, args=bound)
+        # Views of its own for this call: the caller's views, and those of a call at the same time, stay as they are.
+        own = {table: f"{table}_{uuid.uuid4().hex}" for table in tables}
+        statement = re.sub(r"(?i)\b(from|join)(\s+)(\w+)", lambda m: m[1] + m[2] + own.get(m[3], m[3]), tool.statement)
+        try:
+            for table, df in tables.items():
+                df.createOrReplaceTempView(own[table])
+            return spark.sql(statement, args=bound)  # the plan is resolved here, the views are not needed later
+        finally:
+            for view in own.values():
+                spark.catalog.dropTempView(view)
 
 
 # The search statements of the hotel warehouse.  Unordered or tied results get

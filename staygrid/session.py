@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "staygrid", master: str | None = None, **conf) -> SparkSession:
@@ -31,7 +34,32 @@ def build_session(app: str = "staygrid", master: str | None = None, **conf) -> S
              .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k"))
     for key, value in conf.items():
         b = b.config(key, value)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application.
+
+    Python workers import the modules whose functions they run; this makes that
+    work from any folder and on any node.  Where the package is installed on the
+    nodes, the copy is the same.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    # addPyFile serves the file to the executors; only the driver reads it from here.
+    target = os.path.join(tempfile.mkdtemp(prefix="staygrid-"), "staygrid.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.join("staygrid", os.path.relpath(path, package)))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -6,6 +6,7 @@ writing a new path, which the caller then publishes.
 
 from __future__ import annotations
 
+import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,7 +67,21 @@ def load_warehouse(tables: dict[str, DataFrame], folder: str, facts: dict[str, l
         if name in facts:
             append_first_wins(df.sparkSession, df, path, facts[name], partition_by=(partition_by or {}).get(name))
         else:
-            df.write.mode(DIMENSIONS_OVERWRITE).parquet(path)
+            replace_folder(df, path)
+
+
+def replace_folder(df: DataFrame, path: str) -> None:
+    """Write beside ``path`` and then swap, so that a failed write leaves the old data in place."""
+    spark = df.sparkSession
+    fresh, old = f"{path}-new-{uuid.uuid4().hex}", f"{path}-old-{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    had = fs.exists(at(path))
+    if had and not fs.rename(at(path), at(old)) or not fs.rename(at(fresh), at(path)):
+        raise OSError(f"could not put {fresh} in the place of {path}")
+    if had:
+        fs.delete(at(old), True)
 
 
 def _read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -106,7 +121,7 @@ def replaced_by_key(stored: DataFrame, incoming: DataFrame, key: str, batch_keys
 def rebuild(tables: dict[str, DataFrame], folder: str) -> None:
     """Throw away the warehouse and write it again from its sources."""
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        replace_folder(df, f"{folder}/{name}")
 
 
 def with_new_columns(stored: DataFrame, incoming: DataFrame) -> DataFrame:

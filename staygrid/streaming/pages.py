@@ -28,7 +28,7 @@ def page_events(
     idle = pd.Timedelta(forget_after) if forget_after else None
     slim = captures.select(
         *keys, F.col(ts).cast("timestamp").alias("_ts"), F.col(row_id).alias("_id"),
-        change_signature(F.col(content)).alias("_sig"), F.coalesce(status_code, F.lit(200)).alias("_code"),
+        change_signature(F.coalesce(content, F.lit(""))).alias("_sig"), F.coalesce(status_code, F.lit(200)).alias("_code"),
     ).withWatermark("_ts", lateness)
     out = ", ".join([f"`{k}` {types[k]}" for k in keys]) + f", {row_id} {types[row_id]}, status string, first_seen timestamp, seen_at timestamp"
     names = [*keys, row_id, "status", "first_seen", "seen_at"]

@@ -102,3 +102,24 @@ def test_bucket_and_jitter(val):
 def test_property_type(val):
     assert val(text.property_type, n="Sea Resort Villa") == "Resort"
     assert val(text.property_type, n="Nhà") == "Khách sạn"
+
+
+def test_all_blanks_count_as_blanks(val):
+    """The crawled pages put non-breaking blanks between numbers and words."""
+    b = "\u00a0"
+    assert val(text.star_rating, a=None, b=f"4{b}trên{b}5{b}sao") == 4
+    near = val(text.nearby_item, i=f"Cầu Rồng{b}1,2{b}km{b}")
+    assert (near.place_name, near.distance_in_meters) == ("Cầu Rồng", 1200)
+    room = val(text.room_item, i=f"Phòng Đôi{b}({b}1,200,000{b}VND{b}){b}")
+    assert (room.room_type_name, room.price) == ("Phòng Đôi", 1200000.0)
+    assert val(text.price_number, p=f"86,58{b}") == 86.58
+    assert val(text.policy_times, p=f"Nhận{b}phòng\nTừ{b}15:00{b}-{b}23:00").checkin_time_start == "15:00"
+    assert val(text.address_fields, a=f"1 Phố Một{b},{b}Đà Nẵng, Việt{b}Nam thêm").full_address.startswith("1 Phố Một, Đà Nẵng")
+
+
+def test_edit_similar_is_the_verdict_of_edit_similarity(spark):
+    rows = [("abcdefghij" * 3, "abcdefghij" * 3), ("abcdefghij" * 3, "abcdefghiX" * 3), ("éa", "ea"), ("", ""), ("a", ""), ("a" * 20, "a" * 19)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for least in (0.5, 0.9, 0.95, 1.0):
+        got = df.select((text.edit_similarity(F.col("a"), F.col("b")) >= least).alias("w"), text.edit_similar(F.col("a"), F.col("b"), least).alias("g")).collect()
+        assert all(r.w == r.g for r in got), (least, got)
