@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 import oracle_check
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+LARGER = "/root/testdata/sf0.01"
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 
@@ -19,6 +20,8 @@ def con():
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     status, n, _, note = oracle_check.compare(spark, con, name, QUERIES[name], ORACLE.get(name), FOLDER)
+    if status == "EMPTY":  # nothing to compare on the smallest tables
+        status, n, _, note = oracle_check.compare(spark, oracle_check.connect(LARGER), name, QUERIES[name], ORACLE.get(name), LARGER)
     assert status in ("ok", "rows-only"), f"{status} {note}"  # an empty result proves nothing
 
 
