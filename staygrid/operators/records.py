@@ -11,8 +11,6 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
-MAX_FIELDS = 8
-
 
 def merge_records(
     df: DataFrame, block: list[str], order: str, fields: list[str], arrays: list[str] | None = None, source: str | None = None,
@@ -28,14 +26,14 @@ def merge_records(
     Only records that can merge reach the grouped step: equal copies collapse
     first, and a complete record is only sent there when some gappy record of
     its block agrees with it - found by an equi-join on (block, which fields are
-    present, their values), not by pairing rows.  A hot block of copies or of
-    complete records therefore never gathers in one task.
+    present, their values), not by pairing rows.  A record without any value
+    contradicts none, so it always joins the record that begins with the
+    block's earliest row, and brings no other there.  So a hot block gathers
+    its gappy records and what agrees with them, not its other complete ones.
 
     Output: block, fields, arrays, first position, and the sorted sources.
     """
     arrays = arrays or []
-    if len(fields) > MAX_FIELDS:
-        raise ValueError(f"at most {MAX_FIELDS} fillable fields")
     kinds = dict(df.dtypes)
     clean = [F.when(F.col(f) != "null", F.col(f)).alias(f) if kinds[f] == "string" else F.col(f) for f in fields]
     origin = F.col(source).cast("string") if source else F.lit(None).cast("string")
@@ -46,23 +44,26 @@ def merge_records(
     nulls = F.lit(False)
     for b in block:
         nulls = nulls | F.col(b).isNull()
-    mask = F.lit(0)
-    for i, f in enumerate(fields):
-        mask = mask + F.when(F.col(f).isNotNull(), 1 << i).otherwise(0)
-    full = (1 << len(fields)) - 1
+    mask = F.concat(*[F.when(F.col(f).isNotNull(), "1").otherwise("0") for f in fields])
+    full, empty = "1" * len(fields), "0" * len(fields)
     # Used several times below; stored once, already collapsed.
     tagged = cut_lineage(facts.withColumn("_mask", mask).withColumn("_lone", nulls))
     gappy = tagged.filter((F.col("_mask") != full) & ~F.col("_lone"))
     complete = tagged.filter((F.col("_mask") == full) & ~F.col("_lone"))
 
     def signature(m: Column) -> Column:
-        return F.xxhash64(m, *[F.when(m.bitwiseAND(1 << i) != 0, F.col(f)) for i, f in enumerate(fields)])
+        return F.xxhash64(m, *[F.when(F.substring(m, i + 1, 1) == "1", F.col(f)) for i, f in enumerate(fields)])
 
-    probes = gappy.select(*block, F.col("_mask").alias("_m"), signature(F.col("_mask")).alias("_sig")).distinct()
+    probes = gappy.filter(F.col("_mask") != empty).select(*block, F.col("_mask").alias("_m"), signature(F.col("_mask")).alias("_sig")).distinct()
     row_key = F.xxhash64(*block, *fields, *[F.to_json(F.col(a)) for a in arrays])
     keyed = complete.withColumn("_row", row_key)
-    exploded = keyed.withColumn("_m", F.explode(F.array(*[F.lit(m) for m in range(full)]))).withColumn("_sig", signature(F.col("_m")))
-    touched = exploded.join(probes, [*block, "_m", "_sig"], "left_semi").select(*block, "_row").distinct()
+    # Only the kinds of gaps that a block has are tried on its complete records.
+    tried = keyed.join(probes.select(*block, "_m").distinct(), block).withColumn("_sig", signature(F.col("_m")))
+    touched = tried.join(probes, [*block, "_m", "_sig"], "left_semi").select(*block, "_row")
+    firsts = tagged.filter((F.col("_mask") != empty) & ~F.col("_lone")).join(
+        gappy.filter(F.col("_mask") == empty).select(*block).distinct(), block, "left_semi").groupBy(*block).agg(F.min("first_ord").alias("_first"))
+    earliest = keyed.join(firsts, block).filter(F.col("first_ord") == F.col("_first")).select(*block, "_row")
+    touched = touched.unionByName(earliest).distinct()
     apart = keyed.join(touched, [*block, "_row"], "left_anti").drop("_row")
     joined = keyed.join(touched, [*block, "_row"], "left_semi").drop("_row")
     out_cols = [*block, *fields, *arrays, "first_ord", "sources"]

@@ -43,6 +43,28 @@ def test_merge_matches_greedy(spark):
         assert have == want, name
 
 
+@pytest.mark.parametrize("at", [0, 37, 5000])
+def test_record_without_values_brings_no_others(spark, at):
+    rng = random.Random(at)
+    rows = [("hot", 10 + i, f"e{i}", "t", i, [rng.choice("xyz")], rng.choice(["u1", "u2"])) for i in range(60)]
+    rows += [("hot", at, None, "null", None, ["q"], "u3"), ("hot", at + 1, None, None, None, ["r"], "u4"), ("hot", 90, "e7", None, None, ["s"], "u5")]
+    rows += [("none", 1, None, None, None, ["a"], "u1"), ("none", 2, None, "null", None, ["b"], "u2")]
+    df = spark.createDataFrame(rows, "name string, ord int, email string, title string, phone int, areas array<string>, src string")
+    got = records.merge_records(df, ["name"], "ord", ["email", "title", "phone"], ["areas"], "src").collect()
+    for name in ("hot", "none"):
+        want = greedy([(r[1], r[2:5], r[5], r[6]) for r in rows if r[0] == name], 3)
+        assert {((r.email, r.title, r.phone), tuple(sorted(r.areas)), tuple(r.sources)) for r in got if r.name == name} == want
+
+
+def test_merge_of_many_fields(spark):
+    rng = random.Random(9)
+    fields = [f"f{i}" for i in range(12)]
+    rows = [("b", i, *[rng.choice([None, "1", "1"]) if i % 3 else str(i % 2) for _ in fields]) for i in range(40)]
+    df = spark.createDataFrame(rows, "name string, ord int, " + ", ".join(f"{f} string" for f in fields))
+    got = {tuple(r[f] for f in fields) for r in records.merge_records(df, ["name"], "ord", fields).collect()}
+    assert got == {v for v, _, _ in greedy([(r[1], r[2:], [], "") for r in rows], fields)}
+
+
 def test_merge_examples(spark):
     df = spark.createDataFrame([("n", 0, "1", None), ("n", 1, "1", "2"), ("n", 2, "1", "3"), (None, 3, "1", None)], "k string, ord int, a string, b string")
     got = {(r.k, r.a, r.b) for r in records.merge_records(df, ["k"], "ord", ["a", "b"]).collect()}
