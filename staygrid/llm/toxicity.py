@@ -22,11 +22,11 @@ from staygrid.session import cut_lineage
 
 #: Labelled rows that the chain is fitted on, about; words and beginnings kept per category; folds.
 ROWS, FEATURES, FOLDS = 10_000, 1500, 5
-#: Documents that must have a feature, in training.
-LEAST = 5
+#: Documents that must have a feature, in training, and how far it must be from chance (chi-square, one degree).
+LEAST, FAR = 5, 40.0
 #: Beginnings of words, in letters.
 BEGINNINGS = (4, 5, 6)
-PENALTY, STEPS = 0.1, 300
+PENALTY, STEPS = 0.02, 400
 #: Distinct words that a worker remembers; it starts anew beyond.
 REMEMBERED = 400_000
 WORD = re.compile(r"\w+")
@@ -68,24 +68,29 @@ def _tallied(categories: int):
     return run
 
 
-def choose(train: DataFrame, categories: int, keep: int = FEATURES, least: int = LEAST) -> list[str]:
-    """The features that tell most about each category, by chi-square: at most ``keep`` per category."""
+def choose(train: DataFrame, categories: int, keep: int = FEATURES, least: int = LEAST) -> list[list[str]]:
+    """Per category the features that speak for it most, by chi-square: at most ``keep`` that are over-represented in its rows.
+
+    What is commoner in other rows is left out: it would let a long text's ordinary words outweigh what is wrong with it.
+    """
     total, *positive = train.agg(F.count(F.lit(1)), *(F.sum(F.col(f"y{k}")) for k in range(categories))).first()
     if not total:
-        return []
+        return [[] for _ in range(categories)]
     counts = "".join(f", n{k} long" for k in range(categories))
     tally = train.mapInArrow(_tallied(categories), f"feature string, n long{counts}").groupBy("feature").agg(
         F.sum("n").alias("n"), *(F.sum(f"n{k}").alias(f"n{k}") for k in range(categories))).filter(F.col("n") >= least)
     tally = cut_lineage(tally)
-    chosen: set[str] = set()
+    chosen: list[list[str]] = []
     for k in range(categories):
         p, a, n = float(positive[k] or 0), F.col(f"n{k}").cast("double"), F.col("n").cast("double")
         if not 0 < p < total:
+            chosen.append([])
             continue
         gap = a * (total - p) - (n - a) * p
         chi = gap * gap * total / (n * (total - n + F.lit(1e-9)) * p * (total - p))
-        chosen |= {r.feature for r in tally.orderBy(chi.desc(), "feature").limit(keep).select("feature").collect()}
-    return sorted(chosen)
+        over = tally.withColumn("chi", chi).filter((a * total > n * p) & (F.col("chi") >= FAR))
+        chosen.append([r.feature for r in over.orderBy(F.desc("chi"), "feature").limit(keep).select("feature").collect()])
+    return chosen
 
 
 class Lookup:
@@ -121,8 +126,9 @@ def _numbered(names: tuple[str, ...]):
     return run
 
 
-def fit(found: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
-    """Weights of ``size`` features, the earlier probabilities and a constant, by Adam on the penalised loss."""
+def fit(found: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Weights of the features (0 but for the category's own ones), the earlier probabilities and a constant, by Adam on the penalised loss."""
+    size = len(own)
     width = size + earlier.shape[1] + 1
     lengths = np.array([len(f) for f in found])
     at = np.concatenate(found).astype(np.int64) if lengths.sum() else np.zeros(0, np.int64)
@@ -133,7 +139,7 @@ def fit(found: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, size: int)
     for step in range(1, STEPS + 1):
         z = np.bincount(row, weights=w[at], minlength=len(y)) + earlier @ w[size:-1] + w[-1]
         gap = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / len(y)
-        g = np.concatenate((np.bincount(at, weights=gap[row], minlength=size)[:size], earlier.T @ gap, [gap.sum()]))
+        g = np.concatenate((np.bincount(at, weights=gap[row], minlength=size)[:size] * own, earlier.T @ gap, [gap.sum()]))
         g[:-1] += PENALTY * w[:-1] / len(y)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-9)
@@ -145,24 +151,24 @@ def probability(w: np.ndarray, found: list[int] | np.ndarray, earlier: list[floa
     return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
-def train_chain(train: DataFrame, names: list[str], categories: int, folds: int = FOLDS) -> tuple[list[np.ndarray], list[float]]:
-    """(weights of each category's model on all rows, its out-of-fold accuracy).
+def train_chain(train: DataFrame, names: list[str], chosen: list[list[str]], folds: int = FOLDS) -> tuple[list[np.ndarray], list[float]]:
+    """(weights of each category's model on all rows, its out-of-fold accuracy); ``chosen`` has the features of each category.
 
     ``train`` has text, fold and y0, y1, ...; it is a bounded sample.  The models of a category (one without each fold and
     one on all rows) are fitted side by side, one task each.
     """
-    size = len(names)
+    size, categories = len(names), len(chosen)
     rows = cut_lineage(train.select("text", "fold", *(f"y{k}" for k in range(categories))).mapInArrow(
         _numbered(tuple(names)), "fold int, " + "".join(f"y{k} int, " for k in range(categories)) + "found array<int>"))
     rows = rows.withColumn("earlier", F.array().cast("array<double>"))
     out, accuracy = [], []
     for k in range(categories):
-        label = f"y{k}"
+        label, own = f"y{k}", np.isin(names, chosen[k])
 
         def fitted(part: pd.DataFrame) -> pd.DataFrame:
             model = int(part["model"].iloc[0])
             earlier = np.array(part["earlier"].tolist(), float).reshape(len(part), -1)
-            w = fit([np.asarray(f) for f in part["found"]], earlier, part[label].to_numpy(float), size)
+            w = fit([np.asarray(f) for f in part["found"]], earlier, part[label].to_numpy(float), own)
             return pd.DataFrame({"model": [model], "w": [w.tolist()]})
 
         models = F.filter(F.sequence(F.lit(0), F.lit(folds)), lambda m: m != F.col("fold"))  # model ``folds`` sees all rows
@@ -211,11 +217,12 @@ def score(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], row
     chosen = cut_lineage(sample_of(marked.withColumnRenamed("_id", "doc_id"), rows).dropDuplicates(["doc_id"]))
     known = texts.filter(F.col("text").isNotNull()).join(chosen.hint("shuffle_hash"), "doc_id")
     train = cut_lineage(known.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int")).drop("doc_id").repartition(8 * folds, "text"))
-    terms = choose(train, len(names))
+    chosen_terms = choose(train, len(names))
+    terms = sorted({t for ts in chosen_terms for t in ts})
     if train.isEmpty():
         weights = [np.concatenate((np.zeros(len(terms) + k), [-35.0])) for k in range(len(names))]
     else:
-        weights, _ = train_chain(train, terms, len(names), folds)
+        weights, _ = train_chain(train, terms, chosen_terms, folds)
     kind = texts.schema["doc_id"].dataType.simpleString()
     scored = texts.mapInArrow(_scored(tuple(terms), weights, names), f"doc_id {kind}" + "".join(f", `p_{c}` double" for c in names))
     return scored.withColumn(names[-1], F.col(f"p_{names[-1]}") >= 0.5)

@@ -144,8 +144,9 @@ def test_chain_uses_earlier_categories(spark):
         a = rng.random() < 0.5
         rows.append((" ".join([rng.choice(["red", "blue"]) if a else "green", rng.choice(["x", "y"])]), i % 3, int(a), int(a)))
     train = spark.createDataFrame(rows, "text string, fold int, y0 int, y1 int")
-    weights, accuracy = toxicity.train_chain(train, ["blue", "green", "red"], 2, 3)
+    weights, accuracy = toxicity.train_chain(train, ["blue", "green", "red"], [["green"], ["red"]], 3)
     assert len(weights[0]) == 4 and len(weights[1]) == 5 and weights[1][3] > 0 and min(accuracy) == 1.0
+    assert not weights[0][[0, 2]].any() and not weights[1][[0, 1]].any()  # each model has its own features
 
 
 def test_toxicity_odd_rows(spark):
