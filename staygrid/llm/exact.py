@@ -177,8 +177,9 @@ def duplicates(docs: DataFrame, moduli: tuple[int, ...] = MODULI, huge: int = HU
     """
     prints = cut_lineage(fingerprints(docs, moduli, huge, piece).withColumn("row", F.monotonically_increasing_id()))
     clash = cut_lineage(collisions(docs, prints, piece)).withColumn("clash", F.lit(True))
-    # Only where different texts share a fingerprint does the digest part them.
-    keyed = prints.join(clash, "print", "left").withColumn("variant", F.when(F.col("clash"), F.col("text_sha256")).otherwise(F.lit("")))
+    # Only where different texts share a fingerprint does the digest part them; mostly none do, and the join is left out.
+    marked = prints.withColumn("clash", F.lit(False)) if clash.isEmpty() else prints.join(clash, "print", "left")
+    keyed = marked.withColumn("variant", F.when(F.col("clash"), F.col("text_sha256")).otherwise(F.lit("")))
     first = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("null"), "doc_id", "row"))
     # Written, so that the join below has a plain shuffle on both sides, of which Spark splits what is hot.
     groups = cut_lineage(keyed.groupBy("print", "variant").agg(F.count(F.lit(1)).alias("group_size"), first.alias("first")).filter("group_size > 1"))
