@@ -186,14 +186,14 @@ def x1(t):
         "doc_id", "chunk_no", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("content_hash"))
 
 
-@query("X2_boundary_chunks", "SELECT doc_id, true AS whole, true AS within_limit FROM documents")
+@query("X2_boundary_chunks", "SELECT doc_id, md5(text) AS joined_md5, true AS within_limit FROM documents")
 def x2(t):
     rows = chunks.at_boundaries(t.documents, ["doc_id"], "text", 2000, 2200)
     back = rows.groupBy("doc_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", "content"))), lambda c: c["content"]), "").alias("joined"),
         F.max(F.octet_length("content")).alias("bytes"), F.max(F.length("content")).alias("chars"))
     both = t.documents.join(back, "doc_id", "left")
-    return both.select("doc_id", (F.coalesce("joined", F.lit("")) == F.col("text")).alias("whole"),
+    return both.select("doc_id", F.md5(F.coalesce("joined", F.lit(""))).alias("joined_md5"),
                        ((F.coalesce("bytes", F.lit(0)) <= 2200) & (F.coalesce("chars", F.lit(0)) <= 2000)).alias("within_limit"))
 
 
@@ -205,11 +205,13 @@ def _markdown(t):
 
 
 @query("X3_markdown_spans", """
-SELECT doc_id, 1 AS headings, 3 AS table_rows, 2 AS code_lines FROM documents""")
+SELECT doc_id, 1 AS headings, 3 AS table_rows, 2 AS code_lines, md5(regexp_replace(regexp_replace(text, '[#*_`|\\[\\]<>&>~\\-+]|(?m)^\\s*\\d+[.)]\\s', ' ', 'g'), '\\s', '', 'g')) AS text_md5 FROM documents""")
 def x3(t):
     n = lambda k: F.count_if(F.col("kind") == k).cast("int")
     return chunks.spans_of(_markdown(t), ["doc_id"], "md").groupBy("doc_id").agg(
-        n("heading").alias("headings"), n("table").alias("table_rows"), n("code").alias("code_lines"))
+        n("heading").alias("headings"), n("table").alias("table_rows"), n("code").alias("code_lines"),
+        F.md5(F.regexp_replace(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(
+            ~F.col("kind").isin("heading", "table", "code"), F.struct("pos", "text")))), lambda x: x["text"]), ""), r"\s", "")).alias("text_md5"))
 
 
 @query("X4_assembled_answer", """
@@ -248,10 +250,15 @@ def _sql_regex(kind):
 
 
 @query("X5_sensitive_spans", " UNION ALL ".join(
-    f"SELECT doc_id, '{kind}' AS kind, '{redaction.KIND_ENTITY[kind]}' AS entity, CAST(len(regexp_extract_all(body, '{_sql_regex(kind)}')) AS BIGINT) AS n FROM {PII_SQL} WHERE len(regexp_extract_all(body, '{_sql_regex(kind)}')) > 0"
+    f"SELECT doc_id, '{kind}' AS kind, '{redaction.KIND_ENTITY[kind]}' AS entity, CAST(len(regexp_extract_all(body, '{_sql_regex(kind)}')) AS BIGINT) AS n, array_to_string(regexp_extract_all(body, '{_sql_regex(kind)}'), '|') AS found FROM {PII_SQL} WHERE len(regexp_extract_all(body, '{_sql_regex(kind)}')) > 0"
     for kind in redaction.PATTERNS))
 def x5(t):
-    return redaction.span_rows(_pii_docs(t), ["doc_id"], "body").groupBy("doc_id", "kind", "entity").agg(F.count(F.lit(1)).alias("n"))
+    # What stands between the offsets, in order, is what the pattern matches.
+    docs = _pii_docs(t).select("doc_id", "body")
+    spans = redaction.span_rows(docs, ["doc_id"], "body").groupBy("doc_id", "kind", "entity").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("at"))
+    body = F.col("body")
+    cut = F.transform("at", lambda s: F.substr(body, s["start"] + 1, s["end"] - s["start"]))
+    return spans.join(docs, "doc_id").select("doc_id", "kind", "entity", F.size("at").cast("long").alias("n"), F.array_join(cut, "|").alias("found"))
 
 
 @query("A16_spans_per_entity", "SELECT doc_id, entity, CAST(sum(n) AS BIGINT) AS n FROM (" + " UNION ALL ".join(
@@ -404,12 +411,14 @@ def v1(t):
 
 
 @query("V2_line_diff", """
-SELECT doc_id, 1 AS added, 1 AS deleted, CAST(len(string_split(text, chr(10))) AS INTEGER) AS kept FROM documents""")
+SELECT doc_id, n + 2 AS n_lines, md5('del|1||§ old head' || chr(10) || string_agg('normal|' || (i + 1) || '|' || i || '|' || line, chr(10) ORDER BY i) || chr(10) || 'add||' || (n + 1) || '|§ new tail') AS diff_md5
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents) GROUP BY doc_id, n""")
 def v2(t):
     pairs = t.documents.select("doc_id", F.concat(F.lit("§ old head\n"), "text").alias("a"), F.concat("text", F.lit("\n§ new tail")).alias("b"))
-    n = lambda k: F.count_if(F.col("type") == k).cast("int")
-    return changes.line_diff(pairs, ["doc_id"], "a", "b").groupBy("doc_id").agg(
-        n("add").alias("added"), n("del").alias("deleted"), n("normal").alias("kept"))
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    line = F.concat_ws("|", "type", number("old_line"), number("new_line"), "content")
+    rows = changes.line_diff(pairs, ["doc_id"], "a", "b").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))).alias("lines"))
+    return rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines.line", "\n")).alias("diff_md5"))
 
 
 EVENT_K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
