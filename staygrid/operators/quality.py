@@ -31,14 +31,15 @@ def null_report(df: DataFrame, required: list[str]) -> DataFrame:
 
 
 def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows, column list and one sample row (as JSON) per table."""
-    parts = []
-    for name, df in tables.items():
-        key = F.struct(*df.columns)
-        sample = df.agg(F.count(F.lit(1)).alias("n_rows"), F.to_json(F.min(key)).alias("sample_row"))
-        parts.append(sample.select(F.lit(name).alias("table_name"), "n_rows",
-                                   F.lit(", ".join(df.columns)).alias("columns"), "sample_row"))
-    return reduce(DataFrame.unionByName, parts)
+    """Rows, column list and some row as a sample (as JSON) per table.
+
+    The count reads no column and the sample one row.
+    """
+    counts = reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit(name).alias("table_name"), "n_rows", F.lit(", ".join(df.columns)).alias("columns")) for name, df in tables.items()])
+    samples = reduce(DataFrame.unionByName, [df.limit(1).select(
+        F.lit(name).alias("table_name"), F.to_json(F.struct(*df.columns)).alias("sample_row")) for name, df in tables.items()])
+    return counts.join(samples, "table_name", "left").select("table_name", "n_rows", "columns", "sample_row")
 
 
 def check_counts(counts: DataFrame, expected: dict[str, int]) -> None:

@@ -310,10 +310,11 @@ def c22(t):
 SELECT title AS page_key, arg_min(url, (-length(html), url)) AS kept, max(length(html)) AS kept_size, count(*) - 1 AS dropped FROM (
  SELECT url, html, regexp_extract({VISIBLE}, '(?s)<title>(.*?)</title>', 1) AS title FROM pages) GROUP BY 1""")
 def d3(t):
-    vis = html.visible(F.col("html"))
-    canonical = html.first_attr(vis, "link", "href", lambda a: F.coalesce(html.attr(a, "rel") == "canonical", F.lit(False)))
-    key = F.coalesce(F.substring_index(canonical, "?", 1), html.title(vis))
-    return dedup.largest_copy(t.pages, key, F.length("html"), "url")
+    def key(visible):
+        canonical = html.first_attr(visible, "link", "href", lambda a: F.coalesce(html.attr(a, "rel") == "canonical", F.lit(False)))
+        return F.coalesce(F.substring_index(canonical, "?", 1), html.title(visible))
+
+    return dedup.largest_copy(t.pages, urls.let(html.visible(F.col("html")), key), F.length("html"), "url")
 
 
 @query("D4_url_union", f"SELECT link FROM {ALL_LINKS_SQL}")
