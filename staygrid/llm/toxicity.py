@@ -216,7 +216,7 @@ def score(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], row
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     chosen = cut_lineage(sample_of(marked.withColumnRenamed("_id", "doc_id"), rows).dropDuplicates(["doc_id"]))
     known = texts.filter(F.col("text").isNotNull()).join(chosen.hint("shuffle_hash"), "doc_id")
-    train = cut_lineage(known.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int")).drop("doc_id").repartition(8 * folds, "text"))
+    train = cut_lineage(known.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int")).repartition(8 * folds, "doc_id").drop("doc_id"))
     chosen_terms = choose(train, len(names))
     terms = sorted({t for ts in chosen_terms for t in ts})
     if train.isEmpty():
