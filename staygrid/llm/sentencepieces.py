@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from staygrid.llm import chunks
+from staygrid.llm.chunks import Chunks, Clash, spread
 from staygrid.llm.common import slices
 
 MARK = "▁"
 #: What a character without a piece costs beyond the worst piece.
 PENALTY = 10
 #: Distinct words that a worker remembers; it starts anew beyond.
-REMEMBERED = 150_000
+REMEMBERED = 1_000_000
 
 
 def model_path(path: str | None) -> str:
@@ -38,8 +40,11 @@ def model_path(path: str | None) -> str:
     return path
 
 
-class Model:
-    """Pieces of a SentencePiece model file, and the words encoded so far."""
+class Model(Chunks):
+    """Pieces of a SentencePiece model file, and the words encoded so far.
+
+    Words are found and looked up for a whole batch of texts at once; only those not met before are walked.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
@@ -71,8 +76,9 @@ class Model:
         # Words may be cut where no piece can cross.
         crossing = any(MARK in p.lstrip(MARK) for p in plain)
         breaks = "" if any("\n" in p for p in plain) else "\n"
-        self.cut = re.compile(f"{MARK}*[^{MARK}{breaks}]+|{MARK}+" + (f"|{breaks}" if breaks else "")) if not crossing else re.compile("(?s).+")
-        self.known: dict[str, bytes] = {}
+        self.pattern = re.compile(f"{MARK}*[^{MARK}{breaks}]+|{MARK}+" + (f"|{breaks}" if breaks else "")) if not crossing else re.compile("(?s).+")
+        self.batched = bool(breaks) and not crossing  # a line break parts texts as well
+        super().__init__(0, REMEMBERED)
 
     def unknown_ids(self, char: str) -> list[int]:
         ids = [self.byte[b] for b in char.encode()]
@@ -126,20 +132,54 @@ class Model:
             ids.reverse()
             yield word, ids
 
-    def words(self, text: str) -> list[str]:
-        return self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
+    def cut(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a = np.frombuffer(raw, np.uint8)
+        space, line = a == 32, a == 10
+        border = np.ones(len(a) + 1, bool)
+        border[1:-1] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+        cuts = np.flatnonzero(border)
+        return cuts[:-1], cuts[1:], a
+
+    def ids_of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        marked = [c.replace(" ", MARK) for c in chunks]
+        ids = dict(self.walk(sorted(set(marked))))
+        return np.array([i for w in marked for i in ids[w]], np.uint32), np.array([len(ids[w]) for w in marked], np.int64)
+
+    def _alone(self, text: str) -> bytes:
+        """One text, its words in a row."""
+        words = self.pattern.findall(MARK + text.replace(" ", MARK)) if text else []
+        ids = dict(self.walk(sorted(set(words))))
+        return np.array([i for w in words for i in ids[w]], "<i4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        cut = [self.words(t) for t in texts]
-        known = self.known
-        new = {w for words in cut for w in words if w not in known}
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = {w for words in cut for w in words}
-        for word, ids in self.walk(sorted(new)):
-            known[word] = np.array(ids, "<i4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in cut]
+        if not self.batched:
+            return [self._alone(t) for t in texts]
+        # A line break of its own stands before each text, then the mark that every text begins with.
+        data = [b"\n " + t.encode() if t else b"\n" for t in texts]
+        out: list[bytes] = []
+        while len(out) < len(data):
+            at = stop = len(out)
+            size = 0
+            while stop < len(data) and size + len(data[stop]) < chunks.STRETCH:
+                size += len(data[stop])
+                stop += 1
+            try:
+                if stop == at:
+                    raise Clash  # longer than a stretch
+                starts, places, sizes = self.stretch(b"".join(data[at:stop]))
+            except Clash:
+                stop = max(stop, at + 1)
+                out += [self._alone(t) for t in texts[at:stop]]
+                continue
+            breaks = np.searchsorted(starts, np.cumsum([0, *(len(d) for d in data[at:stop - 1])]))
+            sizes = sizes.copy()
+            sizes[breaks] = 0
+            ids = self.pool[spread(places, sizes)].astype("<i4").tobytes()
+            ends = np.concatenate(([0], np.cumsum(sizes))) * 4
+            edges = ends[np.append(breaks, len(sizes))].tolist()
+            out += [ids[a:b] for a, b in zip(edges, edges[1:])]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         out = b"".join(map(self.text.__getitem__, ids.tolist())).decode("utf-8", "replace")

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from staygrid.llm import chunks
+from staygrid.llm.chunks import Chunks, Clash, spread
 from staygrid.llm.common import slices
 from staygrid.session import work_path
 
@@ -34,8 +36,6 @@ SEGMENT = 1 << 21
 BLOCK = 512
 #: Distinct chunks that a worker remembers; it starts anew beyond.
 REMEMBERED = 1_000_000
-#: Bytes of text that are cut and hashed at a time.
-STRETCH = 1 << 20
 SPACES = b" \t\n\x0b\x0c\r"
 
 
@@ -47,23 +47,15 @@ def tokenizer_path(path: str | None) -> str:
     return path
 
 
-class Clash(Exception):
-    """Two chunks with one hash."""
-
-
-class Words:
+class Words(Chunks):
     """Encodes texts chunk by chunk with the tokenizers library, each distinct chunk once.
 
     The vocabulary's pre-tokens never span white space, nor the border of an ASCII letter or digit with a comma or full
-    stop, and it ignores case; so a text's ids are those of the chunks between such borders, in lower case.  Chunks are
-    found, hashed and looked up for a whole batch of texts at once; only those not met before go to the library.  Two
-    64-bit hashes stand for a chunk; where one of them does not tell chunks apart, the texts go to the library whole.
-    ``folds`` off leaves the case as it is, for vocabularies that tell it apart.
+    stop, and it ignores case; so a text's ids are those of the chunks between such borders, in lower case.  Where a hash
+    does not tell chunks apart, the texts go to the library whole.  ``folds`` off leaves the case as it is, for
+    vocabularies that tell it apart.
     """
 
-    #: Two odd bases of rolling hashes modulo 2**64.
-    BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-
     def __init__(self, path: str, end: int = END, folds: bool = True):
         import tokenizers
 
@@ -75,26 +67,20 @@ class Words:
         self.kind[:] = [0 if bytes([c]).isspace() else 2 if bytes([c]).isalnum() else 3 if c in b".," else 1 for c in range(256)]
         self.plain = np.arange(256, dtype=np.uint8)
         self.lower = np.array([ord(chr(c).lower()) if folds and c < 128 else c for c in range(256)], np.uint8)
-        self.powers = [self._powers(b) for b in self.BASES]
-        self.inverse = [self._powers(pow(b, -1, 1 << 64)) for b in self.BASES]
-        self.end = end
-        self._forget()
+        super().__init__(end, REMEMBERED)
 
-    @staticmethod
-    def _powers(base: int) -> np.ndarray:
-        out, have = np.ones(STRETCH, np.uint64), 1
-        while have < STRETCH:
-            out[have:2 * have] = out[:have] * np.uint64(pow(base, have, 1 << 64))
-            have *= 2
-        return out
-
-    def _forget(self) -> None:
-        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.used = np.full(1 << 16, self.end, np.uint32), 1  # the first is the end of a document
-
-    def _library(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of chunks in a row, and how many each has."""
+    def cut(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a = np.frombuffer(raw, np.uint8)
+        kind = self.kind[a]
+        low = (self.plain if b"<|" in raw else self.lower)[a]  # names of special tokens are told by case
+        border = np.ones(len(a) + 1, bool)
+        border[1:-1] = (kind[1:] != kind[:-1]) & ((kind[1:] * kind[:-1] == 0) | (kind[1:] * kind[:-1] == 6))
+        cuts = np.flatnonzero(border)
+        starts, ends = cuts[:-1], cuts[1:]
+        solid = kind[starts] != 0 if len(a) else np.zeros(0, bool)
+        return starts[solid], ends[solid], low
+
+    def ids_of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.zeros(len(chunks), np.int64)
         letters = [i for i, c in enumerate(chunks) if c.isalpha()]
         others = [i for i, c in enumerate(chunks) if not c.isalpha()]
@@ -121,65 +107,7 @@ class Words:
         # Back in the order of the chunks.
         starts = np.zeros(len(chunks), np.int64)
         starts[order] = np.cumsum(sizes[order]) - sizes[order]
-        return ids[_spread(starts, sizes)], sizes
-
-    def _learn(self, keys: np.ndarray, checks: np.ndarray, chunks: list[str]) -> None:
-        ids, sizes = self._library(chunks)
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        self.pool[self.used:self.used + len(ids)] = ids
-        at = self.used + np.cumsum(sizes) - sizes
-        self.used += len(ids)
-        where = np.searchsorted(self.keys, keys)
-        self.keys, self.checks, self.at, self.size = (np.insert(a, where, b) for a, b in (
-            (self.keys, keys), (self.checks, checks), (self.at, at), (self.size, sizes)))
-
-    def _slots(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
-        """Where chunks are known, -1 elsewhere."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where((self.keys[at] == keys) & (self.checks[at] == checks), at, -1)
-
-    def _stretch(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start of each chunk of less than STRETCH bytes of text, and where its ids are in the pool, and how many."""
-        a = np.frombuffer(raw, np.uint8)
-        kind = self.kind[a]
-        low = (self.plain if b"<|" in raw else self.lower)[a]  # names of special tokens are told by case
-        border = np.ones(len(a) + 1, bool)
-        border[1:-1] = (kind[1:] != kind[:-1]) & ((kind[1:] * kind[:-1] == 0) | (kind[1:] * kind[:-1] == 6))
-        cuts = np.flatnonzero(border)
-        starts, ends = cuts[:-1], cuts[1:]
-        solid = kind[starts] != 0 if len(a) else np.zeros(0, bool)
-        starts, ends = starts[solid], ends[solid]
-        if not len(starts):
-            return starts, starts, starts
-        hashes = []
-        for powers, inverse in zip(self.powers, self.inverse):
-            sums = np.zeros(len(a) + 1, np.uint64)
-            np.cumsum(low * powers[:len(a)], out=sums[1:])
-            hashes.append((sums[ends] - sums[starts]) * inverse[starts])
-        key = hashes[0] ^ (hashes[0] >> np.uint64(32)) ^ ((ends - starts).astype(np.uint64) << np.uint64(40))
-        order = np.argsort(key)
-        ranked, check = key[order], hashes[1]
-        first = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-        group = np.empty(len(order), np.int64)
-        group[order] = np.cumsum(first) - 1
-        one = order[first]
-        if (check != check[one][group]).any():
-            raise Clash
-        slots = self._slots(key[one], check[one])
-        new = one[slots < 0]
-        if len(new):
-            if len(self.keys) + len(new) > REMEMBERED:
-                self._forget()
-                new = one
-            data = low.tobytes()
-            self._learn(key[new], check[new], [data[i:j].decode("utf-8", "replace") for i, j in zip(starts[new].tolist(), ends[new].tolist())])
-            slots = self._slots(key[one], check[one])
-            if (slots < 0).any():
-                raise Clash
-        return starts, self.at[slots][group], self.size[slots][group]
+        return ids[spread(starts, sizes)], sizes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each text's followed by the end id; and how many each has, with that."""
@@ -188,7 +116,7 @@ class Words:
         counts = np.ones(len(texts), np.int64)
         at = 0
         while at < len(data):
-            if len(data[at]) + 1 >= STRETCH:
+            if len(data[at]) + 1 >= chunks.STRETCH:
                 for ids in self._long(data[at]):
                     out.append(ids)
                     counts[at] += len(ids)
@@ -196,12 +124,12 @@ class Words:
                 at += 1
                 continue
             stop, size = at, 0
-            while stop < len(data) and size + len(data[stop]) + 1 < STRETCH:
+            while stop < len(data) and size + len(data[stop]) + 1 < chunks.STRETCH:
                 size += len(data[stop]) + 1
                 stop += 1
             bounds = np.cumsum([len(d) + 1 for d in data[at:stop]])
             try:
-                starts, places, sizes = self._stretch(b"\n".join(data[at:stop]) + b"\n")
+                starts, places, sizes = self.stretch(b"\n".join(data[at:stop]) + b"\n")
             except Clash:
                 whole = [np.array([*self.lib.encode(t, add_special_tokens=False).ids, self.end], np.uint32) for t in texts[at:stop]]
                 out += whole
@@ -210,7 +138,7 @@ class Words:
                 continue
             upto = np.searchsorted(starts, bounds)
             places, sizes = np.insert(places, upto, 0), np.insert(sizes, upto, 1)
-            out.append(self.pool[_spread(places, sizes)])
+            out.append(self.pool[spread(places, sizes)])
             total = np.concatenate(([0], np.cumsum(sizes)))
             counts[at:stop] = np.diff(total[np.concatenate(([0], upto + np.arange(1, len(upto) + 1)))])
             at = stop
@@ -220,7 +148,7 @@ class Words:
         """A text of more than a stretch, cut at white space; a chunk longer than that goes to the library as it is."""
         at = 0
         while at < len(data):
-            stop = min(at + STRETCH - 1, len(data))
+            stop = min(at + chunks.STRETCH - 1, len(data))
             if stop < len(data):
                 cut = max(data.rfind(bytes([c]), at, stop) for c in SPACES)
                 if cut <= at:
@@ -231,19 +159,13 @@ class Words:
                     continue
                 stop = cut
             try:
-                _, places, sizes = self._stretch(data[at:stop])
-                yield self.pool[_spread(places, sizes)]
+                _, places, sizes = self.stretch(data[at:stop])
+                yield self.pool[spread(places, sizes)]
             except Clash:
                 yield np.array(self.lib.encode(data[at:stop].decode(), add_special_tokens=False).ids, np.uint32)
             at = stop
 
 
-def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The numbers of all runs that begin at ``starts``, one after the other."""
-    ends = np.cumsum(sizes)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
-
-
 @lru_cache(maxsize=2)
 def words(path: str, end: int) -> Words:
     return Words(path, end)

@@ -9,7 +9,7 @@ import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
-from staygrid.llm import attribution, decontaminate, language, licenses, sentencepieces, toxicity, wavelet
+from staygrid.llm import attribution, chunks, decontaminate, language, licenses, sentencepieces, toxicity, wavelet
 from staygrid.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -272,8 +272,8 @@ def test_chunks_are_what_the_library_makes(monkeypatch):
     pool = ["The", "end.", "<|endoftext|>", "<|ENDOFTEXT|>", "I'll", "a.b,c", "é.", "É,", "5,000.00", "\x1c", "\xa0", " ", "\n\n", "漢字。", "İ.", "ΑΣ.", "...", "x" * 50, ".A", "'s."]
     texts = ["".join(rng.choice(pool) + rng.choice(["", " "]) for _ in range(rng.randrange(30))) for _ in range(200)]
     want = [[*lib.encode(t, add_special_tokens=False).ids, 2] for t in texts]
-    for stretch, remembered in ((wavelet.STRETCH, wavelet.REMEMBERED), (64, 50)):
-        monkeypatch.setattr(wavelet, "STRETCH", stretch)
+    for stretch, remembered in ((chunks.STRETCH, wavelet.REMEMBERED), (64, 50)):
+        monkeypatch.setattr(chunks, "STRETCH", stretch)
         monkeypatch.setattr(wavelet, "REMEMBERED", remembered)
         ids, counts = wavelet.Words(wavelet.tokenizer_path(None)).encode(texts)
         ends = np.cumsum(counts)
