@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import urls, vectors
+from ..operators.domains import with_registered_domain
 from ..operators.ordered import newest_per_key, one_per_key
 from ..session import cut_lineage
 
@@ -148,20 +149,25 @@ def keyword_allowed(url: Column, keywords: list[str]) -> Column:
 
 def with_block_reason(
     links: DataFrame, blocklist: DataFrame, allow_keywords: list[str], unblocked: list[str] | None = None,
-    url: str = "url", suffixes: list[str] = urls.TWO_LABEL_SUFFIXES,
+    url: str = "url", suffixes: list[str] | DataFrame = urls.TWO_LABEL_SUFFIXES,
 ) -> DataFrame:
     """Adds ``block_reason``: domain, suffix, other_tld or NULL.
 
     ``blocklist`` has one column ``blocked``.  Domains are matched once each
     and joined back; all three tests are equi-joins on the distinct domains.
+    ``suffixes`` is a list of two-label suffixes, or a table with any (column
+    ``suffix``).
     """
     listed = blocklist.select("blocked").distinct()
     if unblocked:
         listed = listed.filter(~F.col("blocked").isin(unblocked))
     bases = listed.groupBy(F.split("blocked", r"\.")[0].alias("_base")).agg(
         F.count(F.lit(1)).alias("_n"), F.min("blocked").alias("_only"))
-    domain = urls.registered_domain(urls.host(F.lower(F.trim(F.col(url)))), suffixes)
-    tagged = links.withColumn("_domain", domain)
+    host = urls.host(F.lower(F.trim(F.col(url))))
+    if isinstance(suffixes, DataFrame):
+        tagged = with_registered_domain(links.withColumn("_site", host), "_site", suffixes, "_domain").drop("_site")
+    else:
+        tagged = links.withColumn("_domain", urls.registered_domain(host, suffixes))
     domains = tagged.select("_domain").filter(F.col("_domain").isNotNull()).distinct()
     labels = F.split("_domain", r"\.")
     parents = domains.select("_domain", F.explode(F.transform(

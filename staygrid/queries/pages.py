@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import html, text, urls
-from ..operators import dedup
+from ..operators import dedup, domains
 from ..plans import crawl, pages
 from .registry import query
 
@@ -76,6 +76,21 @@ def u5(t):
     return t.pages.select("page_id", F.explode(urls.domain_splits(urls.host(F.col("url")))).alias("domain"))
 
 
+@query("U6_suffix_table", f"""
+WITH h AS (SELECT DISTINCT {sql(HOST)} AS host, string_split({sql(HOST)}, '.') AS p FROM pages),
+s AS (SELECT DISTINCT array_to_string(p[-2:], '.') AS rule FROM (SELECT string_split({sql(HOST)}, '.') AS p FROM pages WHERE page_id % 2 = 0)
+ UNION SELECT array_to_string(p[-3:], '.') FROM (SELECT string_split({sql(HOST)}, '.') AS p FROM pages WHERE page_id % 7 = 0)),
+m AS (SELECT host, max(len(string_split(rule, '.'))) AS size FROM h JOIN s ON host = rule OR ends_with(host, '.' || rule) GROUP BY host)
+SELECT host, array_to_string(p[-coalesce(size, 1):], '.') AS suffix, CASE WHEN len(p) > coalesce(size, 1) THEN array_to_string(p[-(coalesce(size, 1) + 1):], '.') END AS domain
+FROM h LEFT JOIN m USING (host)""")
+def u6_table(t):
+    hosts = t.pages.select("page_id", urls.host(F.col("url")).alias("host"))
+    tail = lambda k: F.array_join(F.slice(F.split("host", r"\."), F.greatest(F.size(F.split("host", r"\.")) - (k - 1), F.lit(1)), F.lit(k)), ".").alias("suffix")
+    # Two- and three-label suffixes, taken from the pages themselves.
+    table = hosts.filter(F.pmod("page_id", F.lit(2)) == 0).select(tail(2)).unionByName(hosts.filter(F.pmod("page_id", F.lit(7)) == 0).select(tail(3)))
+    return domains.registered_domains(hosts, "host", table)
+
+
 @query("U6_base_domain", f"""
 SELECT page_id, {sql(BARE)} = array_to_string(string_split({sql(HOST)}, '.')[-2:], '.') AND {sql(PATH)} = '/' AS is_base,
  array_to_string(string_split({sql(HOST)}, '.')[-2:], '.') AS base_domain FROM pages""")

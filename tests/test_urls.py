@@ -148,3 +148,19 @@ def test_site_map_prefers_titles_and_keeps_order(spark):
     assert [(r.url, r.title) for r in got] == [("https://x.com/a", "A"), ("https://x.com/b", "B")]
     ranked = crawl.site_map(index, empty, results, F.lit("https://x.com/"), 10, search="b").collect()
     assert ranked[0].url == "https://x.com/b"
+
+
+def test_public_suffix_table(spark):
+    from staygrid.operators import domains
+    rules = spark.createDataFrame([(r,) for r in ("com", "co.uk", "*.ck", "!www.ck", "a.b.c", "UK ", None, "")], "suffix string")
+    hosts = ["x.com", "a.x.com", "com", "co.uk", "x.co.uk", "y.x.co.uk", "uk", "x.uk", "foo.ck", "x.foo.ck", "www.ck", "y.www.ck", "q.a.b.c", "a.b.c", "b.c", "z.zz", "one"]
+    df = spark.createDataFrame([(h,) for h in [*hosts, None, "x.com"]], "h string")
+    got = {r.host: r.domain for r in domains.registered_domains(df, "h", rules).collect()}
+    assert got == {
+        "x.com": "x.com", "a.x.com": "x.com", "com": None, "co.uk": None, "x.co.uk": "x.co.uk", "y.x.co.uk": "x.co.uk", "uk": None, "x.uk": "x.uk",
+        "foo.ck": None, "x.foo.ck": "x.foo.ck", "www.ck": "www.ck", "y.www.ck": "www.ck", "q.a.b.c": "q.a.b.c", "a.b.c": None, "b.c": "b.c", "z.zz": "z.zz", "one": None}
+    assert domains.with_registered_domain(df, "h", rules).count() == len(hosts) + 2
+    links = spark.createDataFrame([("https://a.evil.a.b.c/x",), ("https://ok.com/",)], "url string")
+    blocked = spark.createDataFrame([("evil.a.b.c",)], "blocked string")
+    assert {r.url: r.block_reason for r in crawl.with_block_reason(links, blocked, [], suffixes=rules).collect()} == {
+        "https://a.evil.a.b.c/x": "domain", "https://ok.com/": None}
