@@ -4,14 +4,15 @@
 of ``docs``; the last one returns token ids.  ``run`` writes each stage's rows as Parquet below the shared folder and
 reads them again, so a lost executor costs at most the stage at hand.
 
-A document is known by its doc_id.  Rows without an id are documents like others, and share one unknown id: what
-is decided for one holds for all.  Of rows that repeat an id, exact_dedup keeps one.  Null texts are empty texts; their
-language can't be told, so they go in the first stage.  An empty table passes through as an empty table.
+A document is a row, known by its doc_id and a digest of its text (``key``).  Rows without an id, and rows that repeat
+an id with another text, are documents like others.  Rows that agree in both are copies, of which the stages that remove
+copies keep one.  Null texts are empty texts; their language can't be told, so they go in the first stage.  An empty
+table passes through as an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staygrid.llm import decontaminate, exact, language, sentencepieces, simhash
@@ -19,6 +20,32 @@ from staygrid.llm.common import without
 from staygrid.session import cut_lineage
 
 
+def key() -> Column:
+    """What tells documents apart; without an id they come last."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id (the key) and text, for an operator."""
+    return docs.select(key().alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def one_of_each(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """One row for each key that ``marks`` (doc_id: the key of a row, kept) keeps.
+
+    Rows of one key differ in other columns at most; the first by these, as JSON, stays.
+    """
+    keys = cut_lineage(marks.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
+    rows = without(docs.select(key().alias("doc_id"), F.struct("*").alias("doc")), keys.filter(~F.col("kept")))
+    repeated = keys.filter(F.col("kept") & (F.col("n") > 1)).select("doc_id")
+    if repeated.isEmpty():
+        return rows.select("doc.*")
+    copies = rows.join(repeated.withColumnRenamed("doc_id", "_key"), F.col("doc_id").eqNullSafe(F.col("_key")), "left_semi")
+    first = copies.groupBy("doc_id").agg(F.min_by("doc", F.to_json("doc")).alias("doc"))
+    return without(rows, repeated).unionByName(first).select("doc.*")
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told (operator 10): ``und`` goes."""
     marks = language.identify(docs)
@@ -26,17 +53,14 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts (operator 6), and one row of each id."""
-    marks = cut_lineage(exact.duplicates(docs).select("doc_id", "kept"))
-    left = without(docs, cut_lineage(marks.groupBy("doc_id").agg(F.max("kept").alias("any")).filter(~F.col("any")).select("doc_id")))
-    repeated = marks.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id"])
+    """One document of each group of equal texts (operator 6)."""
+    return one_of_each(docs, exact.duplicates(keyed(docs)).select("doc_id", "kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (operator 4)."""
-    marks = simhash.near_duplicates(docs)
-    return without(docs, cut_lineage(marks.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()))
+    """The document with the smallest id of each group of near copies (operator 4), one without an id if none has one."""
+    marks = simhash.near_duplicates(keyed(docs))
+    return one_of_each(docs, marks.select("doc_id", (F.col("component_id") == F.col("doc_id")).alias("kept")))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
