@@ -31,6 +31,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(key().alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def leave_out(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose key is in ``marks`` (doc_id)."""
+    rows = docs.select(key().alias("doc_id"), F.struct("*").alias("doc"))
+    return without(rows, cut_lineage(marks.select("doc_id").distinct())).select("doc.*")
+
+
 def one_of_each(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """One row for each key that ``marks`` (doc_id: the key of a row, kept) keeps.
 
@@ -48,8 +54,8 @@ def one_of_each(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told (operator 10): ``und`` goes."""
-    marks = language.identify(docs)
-    return without(docs, cut_lineage(marks.filter(F.col("lang_pred") == language.UNKNOWN).select("doc_id").distinct()))
+    marks = language.identify(keyed(docs), labelled=docs)
+    return leave_out(docs, marks.filter(F.col("lang_pred") == language.UNKNOWN))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +71,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with the benchmark (operator 3)."""
-    marks = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, cut_lineage(marks.filter("contaminated").select("doc_id").distinct()))
+    marks = decontaminate.contamination(keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return leave_out(docs, marks.filter("contaminated"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -200,15 +200,18 @@ def _predicted(samples: tuple[tuple[str, str], ...]):
     return run
 
 
-def identify(docs: DataFrame, sample: int = SAMPLE, rows: int = SAMPLE_ROWS) -> DataFrame:
+def identify(docs: DataFrame, sample: int = SAMPLE, rows: int = SAMPLE_ROWS, labelled: DataFrame | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per row of ``docs`` (doc_id, text, lang).
 
     ``lang_pred`` is a learned language, of ties the first by name, or ``und`` (score 0) where the text is null or has
     no letter, or no language could be learned.  ``score`` is the runner-up's share of the bits of the best two, 0.5
-    for a tie; 1 if there is one language only.  An empty table gives an empty result.
+    for a tie; 1 if there is one language only.  An empty table gives an empty result.  Languages are learned from
+    ``labelled`` (doc_id, text, lang) if given; then ``docs`` needs no lang.
     """
-    rows_in = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    samples = tuple(sorted(learn(rows_in, sample, rows).items()))
+    known = docs if labelled is None else labelled
+    known = known.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    samples = tuple(sorted(learn(known, sample, rows).items()))
+    rows_in = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows_in.schema["doc_id"].dataType.simpleString()
     return rows_in.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
         _predicted(samples), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

@@ -70,6 +70,17 @@ def test_near_dedup_judges_rows(spark):
     assert rows_of(corpus_pipeline.near_dedup(spark, cases.odd(spark, [(None, FOX), (None, FOX), (4, SEA), (4, SEA)]), "")) == [(4, SEA), (None, FOX)]
 
 
+def test_language_judges_rows(spark):
+    docs = [(None, FOX), (None, None), (None, "12 + 34"), (5, SEA), (5, "!!"), (5, None), (9, OAK)]
+    assert rows_of(corpus_pipeline.identified(spark, cases.odd(spark, docs), "")) == [(5, SEA), (9, OAK), (None, FOX)]
+
+
+def test_decontaminated_judges_rows(spark, tmp_path):
+    cases.benchmark(spark, [(1, FOX)]).write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = [(None, "Here: " + FOX), (None, SEA), (None, None), (5, FOX), (5, OAK)]
+    assert rows_of(corpus_pipeline.decontaminated(spark, cases.odd(spark, docs), str(tmp_path))) == [(5, OAK), (None, SEA), (None, None)]
+
+
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "simhash_near_dedup", "benchmark_decontamination", "sentencepiece"]
     assert language.UNKNOWN == "und"
