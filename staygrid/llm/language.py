@@ -23,12 +23,11 @@ from staygrid.llm.common import slices
 
 #: Letters of labelled text that a language is learned from, and rows they are taken from at most.
 SAMPLE, SAMPLE_ROWS = 32768, 64
-#: Letters that have a symbol of their own; rarer ones share one that no automaton knows.
+#: Letters whose transitions are in a full table; those of rarer ones are in a sorted list.
 LETTERS = 94
 #: Long texts are parsed in pieces of so many symbols; a phrase ends with its piece.
 PIECE = 1024
 UNKNOWN = "und"
-_SKIP = 255
 
 
 def held_out(doc_id: Column) -> Column:
@@ -95,41 +94,53 @@ class Parser:
     """Counts phrases of many texts at once, all languages side by side.
 
     A table entry is ``next row << 2 | phrases that end``: a symbol that a phrase can't go on with ends it and starts
-    the next one; a symbol the sample lacks is a phrase of its own.
+    the next one; a symbol the sample lacks is a phrase of its own.  Every letter of any sample has its own symbol; the
+    one symbol ``width - 1`` stands for letters that are in no sample.  Symbols from ``width`` on, of the letters beyond
+    the LETTERS most common ones, go by ``rare`` (sorted ``row << 32 | symbol``, with an entry each).
     """
 
     def __init__(self, samples: dict[str, str]):
         self.names = sorted(samples)
         count = Counter("".join(samples.values()))
         count.pop(" ", None)
-        letters = sorted(count, key=lambda c: (-count[c], c))[:LETTERS]
-        self.width = len(letters) + 2
-        symbol = {c: i + 1 for i, c in enumerate(letters)} | {" ": 0}
-        self.symbols = np.zeros(0x110000, np.uint8)
+        letters = sorted(count, key=lambda c: (-count[c], c))
+        self.width = min(len(letters), LETTERS) + 2
+        symbol = {c: i + 1 + (i >= LETTERS) for i, c in enumerate(letters)} | {" ": 0}
+        total = len(letters) + 2
+        kind = np.min_scalar_type(total)
+        self.skip = int(np.iinfo(kind).max)
+        self.symbols = np.zeros(0x110000, kind)
         for c in range(0x110000):
             x = chr(c)
             if x.isalpha():
                 self.symbols[c] = symbol.get(x, self.width - 1)
             elif unicodedata.category(x)[0] == "M":
-                self.symbols[c] = _SKIP
-        tables, self.roots, base = [], [], 0
-        for name in self.names:
-            moves = automaton([symbol.get(c, self.width - 1) for c in samples[name]])
-            for m in moves:
-                m.pop(self.width - 1, None)
-            start = np.full(self.width, base * self.width << 2 | 2, np.int64)
-            for c, to in moves[0].items():
-                start[c] = (base + to) * self.width << 2 | 1
-            table = np.tile(start, (len(moves), 1))
-            table[0] -= 1
+                self.symbols[c] = self.skip
+        tables, self.roots, base, keys, entries = [], [], 0, [], []
+        #: Where a rare symbol leads that a phrase can't go on with.
+        self.restart = np.zeros((len(self.names), total - self.width), np.int64)
+        for k, name in enumerate(self.names):
+            moves = automaton([symbol[c] for c in samples[name]])
             at = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
-            table[at, np.fromiter((c for m in moves for c in m), np.int64, len(at))] = (
-                (np.fromiter((to for m in moves for to in m.values()), np.int64, len(at)) + base) * self.width) << 2
+            by = np.fromiter((c for m in moves for c in m), np.int64, len(at))
+            to = (np.fromiter((to for m in moves for to in m.values()), np.int64, len(at)) + base) * self.width << 2
+            full = by < self.width
+            start = np.full(total, base * self.width << 2 | 2, np.int64)
+            start[by[at == 0]] = to[at == 0] | 1
+            table = np.tile(start[:self.width], (len(moves), 1))
+            table[0] -= 1
+            table[at[full], by[full]] = to[full]
             tables.append(table)
+            self.restart[k] = start[self.width:]
+            keys.append(((at[~full] + base) * self.width << 32) + by[~full])
+            entries.append(to[~full])
             self.roots.append(base * self.width)
             base += len(moves)
         flat = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int64)
         self.table = flat.astype(np.int32) if not len(flat) or flat.max() < 1 << 31 else flat
+        rare = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        order = np.argsort(rare)
+        self.rare, self.entries = rare[order], np.concatenate(entries)[order] if keys else rare
         self.bits = np.log2([max(2, len(samples[n])) for n in self.names])
 
     def fold(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,10 +148,10 @@ class Parser:
         low = [t.lower() for t in texts]
         ends = np.cumsum([len(t) for t in low])
         s = self.symbols[np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), "<u4")]
-        letter = (s != 0) & (s != _SKIP)
+        letter = (s != 0) & (s != self.skip)
         place = np.concatenate(([0], ends))
         letters = np.diff(np.concatenate(([0], np.cumsum(letter)))[place])
-        marks = s != _SKIP
+        marks = s != self.skip
         kept = np.concatenate(([0], np.cumsum(marks)))[place]
         s = s[marks]
         # One blank of a run stays.
@@ -149,6 +160,22 @@ class Parser:
         keep[kept[:-1][kept[:-1] < len(s)]] = True
         return s[keep], np.concatenate(([0], np.cumsum(keep)))[kept], letters
 
+    def look_up(self, state: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Entries per language and piece, for the state and the symbol of each."""
+        far = np.flatnonzero(s >= self.width)
+        if not len(far):
+            return self.table[state + s]
+        near = s.copy()
+        near[far] = 0
+        found = self.table[state + near]
+        at, by = state[:, far].astype(np.int64), s[far].astype(np.int64)
+        wanted = (at << 32) + by
+        place = np.minimum(np.searchsorted(self.rare, wanted), len(self.rare) - 1)
+        # At the start no phrase ends.
+        again = self.restart[:, by - self.width] - (at == np.array(self.roots)[:, None])
+        found[:, far] = np.where(self.rare[place] == wanted, self.entries[place], again)
+        return found
+
     def phrases(self, s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Phrases per language and text."""
         sizes = np.diff(bounds)
@@ -163,7 +190,7 @@ class Parser:
         count = np.zeros(state.shape, np.int32)
         active = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), side="left")
         for t, m in enumerate(active.tolist()):
-            found = self.table[state[:, :m] + s[start[:m] + t]]
+            found = self.look_up(state[:, :m], s[start[:m] + t])
             count[:, :m] += found & 3
             state[:, :m] = found >> 2
         count += state != np.array(self.roots)[:, None]

@@ -309,3 +309,32 @@ def test_token_files(spark, tmp_path):
     assert {(r.place, r.id) for r in wavelet.read_tokens(spark, target, [min(ends), total - 1, total + 5]).collect()} == {(min(ends), 2), (total - 1, 2)}
     wavelet.write_shards(cases.none(spark), target + "-none")
     assert wavelet.read_documents(spark, target + "-none").count() == 0
+
+
+def test_many_scripts():
+    rng = random.Random(3)
+    alphabets = {"ar": range(0x627, 0x64B), "de": range(0x61, 0x7B), "el": range(0x3B1, 0x3CA), "he": range(0x5D0, 0x5EB), "hi": range(0x915, 0x93A),
+                 "ja": range(0x3041, 0x3097), "ko": range(0xAC00, 0xAE00), "ru": range(0x430, 0x450), "th": range(0xE01, 0xE2F), "zh": range(0x4E00, 0x5200)}
+    lexicon = {n: ["".join(chr(rng.choice(a)) for _ in range(rng.randrange(1, 6))) for _ in range(300)] for n, a in alphabets.items()}
+
+    def text(name, size):
+        return " ".join(rng.choice(lexicon[name]) for _ in range(size))
+
+    # The rarer a script in the samples, the less of it would have a symbol.
+    samples = {n: language.folded(text(n, 200 + 150 * i)) for i, n in enumerate(sorted(alphabets))}
+    parser = language.Parser(samples)
+    texts = [(n, text(n, 30)) for n in alphabets for _ in range(5)]
+    assert parser.predict([t for _, t in texts])[0] == [n for n, _ in texts]
+
+    def plain(text, sample):
+        n = i = 0
+        while i < len(text):
+            size = 0
+            while i + size < len(text) and text[i:i + size + 1] in sample:
+                size += 1
+            i, n = i + max(size, 1), n + 1
+        return n
+
+    mixed = [language.folded(text("zh", 9) + text("de", 9) + text("ko", 9) + "ǂᨀ" + text("ar", 5)), language.folded(text("ko", 60))]
+    s, bounds, _ = parser.fold(mixed)
+    assert parser.phrases(s, bounds).tolist() == [[plain(t, samples[n]) for t in mixed] for n in parser.names]
