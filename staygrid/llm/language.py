@@ -2,7 +2,8 @@
 
 For each language a suffix automaton of a bounded sample of labelled text answers "how far does the text go on as
 somewhere in the sample".  A text is cut greedily into longest such phrases; the language that needs the fewest,
-normalised by the sample's size and the text's length (bits per letter), wins.
+normalised by the sample's size and the text's length (bits per letter), wins.  A letter that the sample lacks costs
+the bits of a phrase in the largest sample, so a small sample is not cheap for texts it says nothing about.
 """
 
 from __future__ import annotations
@@ -45,13 +46,15 @@ def learn(docs: DataFrame, sample: int = SAMPLE, rows: int = SAMPLE_ROWS) -> dic
     """language -> folded sample text, from documents that are not held out.
 
     Bounded: per language at most ``rows`` whole rows, in the order of a hash of their id, and of these the first
-    ``sample`` letters.  Rows without id, language or text are not learned from.
+    ``sample`` letters.  Rows without id, language or a letter are not learned from, and take no place.
     """
-    usable = docs.select("doc_id", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    # Code points that Java does not know may be letters to Python.
+    docs = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"[\p{L}\p{Cn}]"))
+    usable = docs.select("doc_id", "lang")
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = usable.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows).collect()
     ids = {(r.lang, r.doc_id): r["rank"] for r in chosen}
-    texts = docs.select("doc_id", "lang", "text").filter(F.col("doc_id").isin([i for _, i in ids]) & F.col("text").isNotNull()).collect() if ids else []
+    texts = docs.select("doc_id", "lang", "text").filter(F.col("doc_id").isin([i for _, i in ids])).collect() if ids else []
     out: dict[str, str] = {}
     for r in sorted((r for r in texts if (r.lang, r.doc_id) in ids), key=lambda r: (r.lang, ids[r.lang, r.doc_id], r.text)):
         have = out.get(r.lang, "")
@@ -142,6 +145,9 @@ class Parser:
         order = np.argsort(rare)
         self.rare, self.entries = rare[order], np.concatenate(entries)[order] if keys else rare
         self.bits = np.log2([max(2, len(samples[n])) for n in self.names])
+        self.lacks = np.ones((len(self.names), total), bool)
+        for k, name in enumerate(self.names):
+            self.lacks[k, [symbol[c] for c in set(samples[name])]] = False
 
     def fold(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of all texts, where each text's begin (and the last's end), and letters per text."""
@@ -199,11 +205,19 @@ class Parser:
             out[k] = np.bincount(text, weights=count[k], minlength=len(sizes))
         return out
 
+    def literals(self, s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Symbols that the sample lacks, per language and text."""
+        out = np.zeros((len(self.names), len(bounds) - 1))
+        for k, lacks in enumerate(self.lacks):
+            out[k] = np.bincount(np.searchsorted(bounds, np.flatnonzero(lacks[s]), side="right") - 1, minlength=len(bounds) - 1)
+        return out
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         s, bounds, letters = self.fold([t or "" for t in texts])
         if not self.names:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        cost = self.phrases(s, bounds) * self.bits[:, None] / np.maximum(np.diff(bounds), 1)
+        alone = self.literals(s, bounds)
+        cost = ((self.phrases(s, bounds) - alone) * self.bits[:, None] + alone * self.bits.max()) / np.maximum(np.diff(bounds), 1)
         ranked = np.argsort(cost, axis=0, kind="stable")  # ties: the first name
         best = np.take_along_axis(cost, ranked[:1], 0)[0]
         second = np.take_along_axis(cost, ranked[1:2], 0)[0] if len(self.names) > 1 else np.full(len(texts), np.inf)

@@ -338,3 +338,14 @@ def test_many_scripts():
     mixed = [language.folded(text("zh", 9) + text("de", 9) + text("ko", 9) + "ǂᨀ" + text("ar", 5)), language.folded(text("ko", 60))]
     s, bounds, _ = parser.fold(mixed)
     assert parser.phrases(s, bounds).tolist() == [[plain(t, samples[n]) for t in mixed] for n in parser.names]
+
+
+def test_small_sample_takes_no_other_texts(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang")
+    one = next(i for i in range(10 ** 6, 2 * 10 ** 6) if language.remainder(i) != 2)
+    odd = spark.createDataFrame([(one, "ok", "aa")], "doc_id long, text string, lang string")
+    # Rows of German without a letter, more than are learned from.
+    empty = spark.range(2 * 10 ** 6, 2 * 10 ** 6 + 20000).selectExpr("id as doc_id", "if(id % 2 = 0, null, '12 !') as text", "'de' as lang")
+    got = language.identify(docs.union(odd).union(empty)).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got)
+    assert {r.lang_pred for r in language.identify(docs.union(odd)).filter(F.col("doc_id") == one).collect()} == {"aa"}
