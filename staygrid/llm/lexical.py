@@ -31,7 +31,7 @@ from staygrid.session import cut_lineage
 #: Postings and documents that a shard holds, about; queries that are searched side by side.
 POSTINGS, DOCS, QUERIES = 1 << 20, 1 << 15, 1024
 #: An interval with so few postings is scored whole.
-LEAF = 1024
+LEAF = 4096
 #: One in so many shards is searched first.
 FIRST = 16
 #: Documents leave out terms whose place in a table of so many bits no query term has; it is as large for any number of queries.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staygrid.llm import attribution, decontaminate, exact, language, lexical, licenses, negatives, repeats, sentencepieces, simhash, toxicity, wavelet
+from staygrid.llm import attribution, decontaminate, exact, language, lexical, licenses, negatives, pagetrees, repeats, sentencepieces, simhash, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -163,3 +163,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     SELECT * FROM r WHERE rank <= 10""")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@query("op12_html_extraction")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return pagetrees.extract(spark.read.parquet(f"{folder}/pages.parquet"))
