@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from .ordered import Even, newest_per_key, running_sums_in_order
 
-MAX_QUERY_BYTES = 64 * 1024 * 1024
+#: Queries and vectors that one task compares.
+QUERY_ROWS, VECTOR_ROWS = 4096, 32768
 
 
 def nearest(vectors_df: DataFrame, query: list[float], k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -22,37 +23,52 @@ def nearest(vectors_df: DataFrame, query: list[float], k: int = 5, id_col: str =
 
 
 def nearest_batch(
-    vectors_df: DataFrame, queries: list[tuple[object, list[float]]], k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
+    vectors_df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
+    query_id: str = "query_id", query_vec: str = "query", query_rows: int = QUERY_ROWS, vector_rows: int = VECTOR_ROWS,
 ) -> DataFrame:
-    """Top ``k`` per query for a batch of queries, without pairing rows.
+    """Top ``k`` rows by cosine similarity for every query of a table: (query_id, id, similarity, position).
 
-    Each Arrow batch is scored against the query matrix by one matrix product
-    and keeps its own best ``k`` per query, so only k rows per query and batch
-    are shuffled.  The matrix travels with the task, so its size is checked.
+    A block-wise join.  Both tables are dealt into slices of bounded size; every slice of queries meets every slice of
+    vectors in one task, which scores them by one matrix product and keeps ``k`` rows per query, so only those are
+    shuffled again.  Any number of queries works: the vectors travel once per slice of queries, the queries once per
+    slice of vectors, and a task never holds more than one slice of each.  Rows and queries without a vector never
+    match; a vector without length has similarity 0 to all, ties go to the smaller id.  Vectors have equal lengths.
     """
-    ids = [q for q, _ in queries]
-    matrix = np.asarray([v for _, v in queries], dtype="float64")
-    if matrix.nbytes > MAX_QUERY_BYTES:
-        raise ValueError("too many query vectors for one pass; split the batch")
-    lengths = np.linalg.norm(matrix, axis=1)
-    id_type = dict(vectors_df.dtypes)[id_col]
-    schema = f"query_id long, {id_col} {id_type}, similarity double"
-
-    def best(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            rows = np.stack(pdf[vec_col].to_numpy()).astype("float64")
-            size = np.outer(np.linalg.norm(rows, axis=1), lengths)
+    rows = vectors_df.filter(F.col(vec_col).isNotNull()).select(F.col(id_col), F.col(vec_col).cast("array<double>").alias("_v"))
+    asked = queries.filter(F.col(query_vec).isNotNull()).select(F.col(query_id), F.col(query_vec).cast("array<double>").alias("_q"))
+    over, across = (max(1, -(-df.count() // n)) for df, n in ((asked, query_rows), (rows, vector_rows)))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def slice_of(key: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+    left = asked.select(query_id, "_q", slice_of(query_id, over).alias("_a"), every(across).alias("_b"))
+    right = rows.select(id_col, "_v", every(over).alias("_a"), slice_of(id_col, across).alias("_b"))
+
+    def best(asked_part: pd.DataFrame, row_part: pd.DataFrame) -> pd.DataFrame:
+        if asked_part.empty or row_part.empty:
+            return pd.DataFrame({query_id: [], id_col: [], "similarity": []})
+        matrix, vecs = np.stack(asked_part["_q"].to_numpy()), np.stack(row_part["_v"].to_numpy())
+        ids, lengths = row_part[id_col].to_numpy(), np.linalg.norm(vecs, axis=1)
+        out = []
+        for at in range(0, len(matrix), 256):  # scores of some queries at a time
+            some = matrix[at:at + 256]
+            size = np.outer(np.linalg.norm(some, axis=1), lengths)
             with np.errstate(divide="ignore", invalid="ignore"):
-                sim = np.where(size == 0, 0.0, rows @ matrix.T / size)
-            row_ids = pdf[id_col].to_numpy()
-            for j, qid in enumerate(ids):
-                top = np.lexsort((row_ids, -sim[:, j]))[:k]
-                yield pd.DataFrame({"query_id": qid, id_col: row_ids[top], "similarity": sim[top, j]})
-
-    partial = vectors_df.filter(F.col(vec_col).isNotNull()).select(id_col, vec_col).mapInPandas(best, schema)
-    return newest_per_key(partial, ["query_id"], [F.desc("similarity"), F.col(id_col)], k, "position")
+                sim = np.where(size == 0, 0.0, some @ vecs.T / size)
+            least = np.partition(sim, -k, axis=1)[:, -k] if sim.shape[1] > k else np.full(len(sim), -np.inf)
+            for j, qid in enumerate(asked_part[query_id].to_numpy()[at:at + 256]):
+                near = np.flatnonzero(sim[j] >= least[j])
+                top = near[np.lexsort((ids[near], -sim[j, near]))[:k]]
+                out.append(pd.DataFrame({query_id: qid, id_col: ids[top], "similarity": sim[j, top]}))
+        return pd.concat(out)
+
+    kinds = dict(queries.dtypes), dict(vectors_df.dtypes)
+    schema = f"{query_id} {kinds[0][query_id]}, {id_col} {kinds[1][id_col]}, similarity double"
+    partial = left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(best, schema)
+    return newest_per_key(partial, [query_id], [F.desc("similarity"), F.col(id_col)], k, "position")
 
 
 def ranked(links: DataFrame, score: Column, order: str) -> DataFrame:

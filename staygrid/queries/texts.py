@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from ..operators import changes
+from ..operators import changes, similarity
 from ..operators.ordered import DAY, Even, micros, previous_in_order
 from ..plans import chunks, redaction
 from ..session import spread
@@ -363,6 +363,29 @@ def m1(t):
     return scored.select("doc_id", F.round("s", 6).alias("similarity"), (F.col("s") >= 0.95).alias("is_match"))
 
 
+CLASSES_SQL = """w AS (SELECT doc_id, text, list_sort(list_distinct(regexp_extract_all(lower(text), '\\S+'))) AS ws FROM documents WHERE text IS NOT NULL),
+c AS (SELECT *, min(doc_id) OVER (PARTITION BY ws, CASE WHEN len(ws) = 0 THEN text END) AS class_id FROM w),
+r AS (SELECT class_id, ws, len(ws) AS n FROM c WHERE doc_id = class_id AND len(ws) > 0),
+p AS (SELECT a, b, k / (na + nb - k) AS s FROM (
+  SELECT x.class_id AS a, y.class_id AS b, x.n AS na, y.n AS nb, len(list_intersect(x.ws, y.ws)) AS k
+  FROM r x JOIN r y ON x.class_id < y.class_id AND least(x.n, y.n) >= {least} * greatest(x.n, y.n) - 1e-6))"""
+
+
+@query("M1_similar_pairs", "WITH " + CLASSES_SQL.format(least=0.95) + " SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.95")
+def m1_pairs(t):
+    _, pairs = similarity.similar_texts(t.documents, "doc_id", "text", 0.95)
+    return pairs.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("M1_similar_members", "WITH " + CLASSES_SQL.format(least=0.7) + """,
+l AS (SELECT k AS class_id, count(*) AS n_links FROM (SELECT a AS k FROM p WHERE s >= 0.7 UNION ALL SELECT b FROM p WHERE s >= 0.7) GROUP BY 1)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, coalesce(n_links, 0) AS n_links FROM c LEFT JOIN l USING (class_id)""")
+def m1_members(t):
+    members, pairs = similarity.similar_texts(t.documents, "doc_id", "text", 0.7)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    return members.join(links, "class_id", "left").select(F.col("id").alias("doc_id"), "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 @query("M2_extraction_quality", """
 WITH p AS (SELECT doc_id, text || ' 10 20.5 30' AS old, CASE doc_id % 3 WHEN 0 THEN text || ' 10 20.5 30' WHEN 1 THEN text || ' 10' ELSE substr(text, 1, CAST(length(text) // 3 AS BIGINT)) END || chr(10) || '| a |' || chr(10) || '| --- |' AS new FROM documents),
 n AS (SELECT doc_id, CAST(length(new) AS DOUBLE) / length(old) AS r, list_distinct(regexp_extract_all(new, '\\d+(?:\\.\\d+)?')) AS a, list_distinct(regexp_extract_all(old, '\\d+(?:\\.\\d+)?')) AS b FROM p),
