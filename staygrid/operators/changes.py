@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import difflib
-import json
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import spread
+from ..session import cut_lineage, spread
 
 
 def change_status(previous: Column, current: Column, status_code: Column, strict: bool = False) -> Column:
@@ -46,53 +44,79 @@ def line_diff(pairs: DataFrame, keys: list[str], previous: str, current: str) ->
     return rows.select(*keys, "pos", "_d.type", "_d.old_line", "_d.new_line", "_d.content")
 
 
-_ABSENT = object()
-_ZERO_WIDTH = dict.fromkeys([0x200B, 0x200C, 0x200D, 0xFEFF])
+#: Characters without width.
+ZERO_WIDTH = "[​‌‍﻿]"
+#: Levels of nesting that one plan opens; deeper documents are written in between.
+LEVELS_AT_ONCE = 8
 
 
-def _comparable(value):
-    """A leaf (or a side of another shape) as compared: Unicode form, white space
-    and zero-width characters of a text do not count."""
-    if isinstance(value, str):
-        return " ".join(unicodedata.normalize("NFC", value).translate(_ZERO_WIDTH).split())
-    return (type(value) if isinstance(value, (bool, dict, list)) else float if isinstance(value, int) else type(value), value)
+def _document(c: str) -> str:
+    """VARIANT of a JSON text column, as SQL; nothing is an empty object, a text that is not JSON is a string."""
+    return f"coalesce(try_parse_json(if(coalesce({c}, '') = '', '{{}}', {c})), variant_get(parse_json(to_json(array({c}))), '$[0]'))"
 
 
-def json_changes(previous: str | None, current: str | None) -> list[dict]:
-    """Differing leaves as (path, previous, current); a small per-pair helper.
+def _nesting(c: Column) -> Column:
+    """How deep the brackets of a JSON text go."""
+    brackets = F.regexp_replace(F.regexp_replace(c, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]+", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
-    Where the two sides have different shapes the whole subtree is one entry.
-    """
-    if previous == current:
-        return []
-    out = []
-    todo = [("", json.loads(previous) if previous else {}, json.loads(current) if current else {})]
-    while todo:
-        path, a, b = todo.pop()
-        if isinstance(a, dict) and isinstance(b, dict):
-            names = list(a) + [k for k in b if k not in a]
-            todo += [(f"{path}.{k}" if path else k, a.get(k, _ABSENT), b.get(k, _ABSENT)) for k in reversed(names)]
-        elif isinstance(a, list) and isinstance(b, list):
-            todo += [(f"{path}[{i}]", a[i] if i < len(a) else _ABSENT, b[i] if i < len(b) else _ABSENT)
-                     for i in reversed(range(max(len(a), len(b))))]
-        elif a is _ABSENT or b is _ABSENT or (a is not b and _comparable(a) != _comparable(b)):
-            out.append({"path": path, "previous": _json_text(a), "current": _json_text(b)})
-    return out
+    def step(acc: Column, x: Column) -> Column:
+        now = acc["now"] + F.when(x.isin("[", "{"), 1).when(x.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
 
+    return F.aggregate(F.split(brackets, ""), start, step)["most"]
 
-def _json_text(value) -> str | None:
-    return None if value is _ABSENT else json.dumps(value, ensure_ascii=False)
 
+def _opened(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One level deeper: the members of both sides where both are objects or both are arrays, all else as it is."""
+    kind = F.when(F.expr("schema_of_variant(a) LIKE 'OBJECT%' AND schema_of_variant(b) LIKE 'OBJECT%'"), 1).when(
+        F.expr("schema_of_variant(a) LIKE 'ARRAY%' AND schema_of_variant(b) LIKE 'ARRAY%'"), 2)
+    typed = rows.withColumn("_kind", kind).withColumns({
+        "_oa": F.expr("if(_kind = 1, cast(a AS map<string, variant>), NULL)"), "_ob": F.expr("if(_kind = 1, cast(b AS map<string, variant>), NULL)"),
+        "_la": F.expr("if(_kind = 2, cast(a AS array<variant>), NULL)"), "_lb": F.expr("if(_kind = 2, cast(b AS array<variant>), NULL)")})
+    members = F.expr("""
+        CASE _kind
+        WHEN 1 THEN transform(array_union(map_keys(_oa), map_keys(_ob)),
+            k -> named_struct('path', if(path = '', k, concat(path, '.', k)), 'a', try_element_at(_oa, k), 'b', try_element_at(_ob, k)))
+        WHEN 2 THEN transform(slice(sequence(0, greatest(size(_la), size(_lb))), 1, greatest(size(_la), size(_lb))),
+            i -> named_struct('path', concat(path, '[', i, ']'), 'a', get(_la, i), 'b', get(_lb, i)))
+        ELSE array(named_struct('path', path, 'a', a, 'b', b)) END""")
+    return typed.select(*keys, F.explode(members).alias("_m")).select(*keys, "_m.path", "_m.a", "_m.b")
 
-def json_diff(pairs: DataFrame, keys: list[str], previous: str, current: str) -> DataFrame:
-    """Rows (keys, path, previous, current) for every differing leaf."""
 
-    @F.pandas_udf("array<struct<path:string,previous:string,current:string>>")
-    def diff(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([json_changes(x, y) for x, y in zip(a, b)])
+def json_diff(pairs: DataFrame, keys: list[str], previous: str, current: str) -> DataFrame:
+    """Rows (keys, path, previous, current) for every differing leaf, with its JSON text on both sides (NULL: not there).
 
-    rows = spread(pairs, *keys).select(*keys, F.explode(diff(previous, current)).alias("_d"))
-    return rows.select(*keys, "_d.path", "_d.previous", "_d.current")
+    Both documents are VARIANTs that are opened side by side, level by level, inside the row: no shuffle and no Python.
+    Where the sides have different shapes the whole subtree is one entry.  White space, characters without width and the
+    Unicode form of a string do not count, nor does the way a number is written.
+    """
+    changed = spread(pairs, *keys).filter(~F.col(previous).eqNullSafe(F.col(current)))
+    levels = changed.agg(F.max(F.least(_nesting(F.col(previous)), _nesting(F.col(current))))).first()[0] or 0
+    rows = changed.select(*keys, F.lit("").alias("path"), F.expr(_document(f"`{previous}`")).alias("a"), F.expr(_document(f"`{current}`")).alias("b"))
+    for level in range(levels):
+        rows = _opened(rows, keys)
+        if (level + 1) % LEVELS_AT_ONCE == 0:
+            # Equal members need no further look.
+            rows = cut_lineage(rows.filter(~F.expr("coalesce(to_json(a), '') = coalesce(to_json(b), '')") | F.col("a").isNull() | F.col("b").isNull()))
+    staged = rows.select(*keys, "path", F.expr("to_json(a)").alias("previous"), F.expr("to_json(b)").alias("current"),
+                         F.expr("schema_of_variant(a)").alias("_ka"), F.expr("schema_of_variant(b)").alias("_kb"),
+                         F.expr("try_variant_get(a, '$', 'string')").alias("_ta"), F.expr("try_variant_get(b, '$', 'string')").alias("_tb"))
+    differing = staged.filter(~F.col("previous").eqNullSafe(F.col("current")))
+    numeric = lambda k: F.col(k).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    same_number = numeric("_ka") & numeric("_kb") & ((F.col("_ka") == "DOUBLE") | (F.col("_kb") == "DOUBLE")) & (
+        F.col("previous").try_cast("double") == F.col("current").try_cast("double"))
+    texts = (F.col("_ka") == "STRING") & (F.col("_kb") == "STRING")
+    squeezed = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, ZERO_WIDTH, ""), r"(?U)\s+", " "))
+    out = [*keys, "path", "previous", "current"]
+    known = F.coalesce(texts, F.lit(False))
+    others = differing.filter(~known & ~F.coalesce(same_number, F.lit(False)))
+    plain = differing.filter(known & (squeezed(F.col("_ta")) != squeezed(F.col("_tb"))))
+    beyond = plain.filter(~F.col("_ta").rlike(r"^\p{ASCII}*$") | ~F.col("_tb").rlike(r"^\p{ASCII}*$"))
+    # Letters with marks can be written in two ways; only texts that differ and have letters beyond ASCII are asked.
+    spelled = beyond.filter(text.nfc(squeezed(F.col("_ta"))) != text.nfc(squeezed(F.col("_tb"))))
+    ascii_only = plain.filter(F.col("_ta").rlike(r"^\p{ASCII}*$") & F.col("_tb").rlike(r"^\p{ASCII}*$"))
+    return others.select(out).unionByName(ascii_only.select(out)).unionByName(spelled.select(out))
 
 
 def top_level_diff(pairs: DataFrame, keys: list[str], previous: str, current: str) -> DataFrame:

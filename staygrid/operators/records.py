@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 
 import pandas as pd
@@ -10,10 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
+from .components import components
+
+#: Records of one block that one task merges without looking for parts of the block.
+CROWDED = 5000
 
 
 def merge_records(
     df: DataFrame, block: list[str], order: str, fields: list[str], arrays: list[str] | None = None, source: str | None = None,
+    crowded: int = CROWDED,
 ) -> DataFrame:
     """Fill gaps between records of one block that do not contradict each other.
 
@@ -29,7 +35,10 @@ def merge_records(
     present, their values), not by pairing rows.  A record without any value
     contradicts none, so it always joins the record that begins with the
     block's earliest row, and brings no other there.  So a hot block gathers
-    its gappy records and what agrees with them, not its other complete ones.
+    its gappy records and what agrees with them, not its other complete ones;
+    with more than ``crowded`` of these it falls into components of records
+    that agree pairwise, which merge apart from each other.  A task takes
+    one component, and looks records up by their values.
 
     Output: block, fields, arrays, first position, and the sorted sources.
     """
@@ -55,7 +64,7 @@ def merge_records(
         return F.xxhash64(m, *[F.when(F.substring(m, i + 1, 1) == "1", F.col(f)) for i, f in enumerate(fields)])
 
     probes = gappy.filter(F.col("_mask") != empty).select(*block, F.col("_mask").alias("_m"), signature(F.col("_mask")).alias("_sig")).distinct()
-    row_key = F.xxhash64(*block, *fields, *[F.to_json(F.col(a)) for a in arrays])
+    row_key = F.xxhash64(*block, *fields)
     keyed = complete.withColumn("_row", row_key)
     # Only the kinds of gaps that a block has are tried on its complete records.
     tried = keyed.join(probes.select(*block, "_m").distinct(), block).withColumn("_sig", signature(F.col("_m")))
@@ -68,33 +77,106 @@ def merge_records(
     joined = keyed.join(touched, [*block, "_row"], "left_semi").drop("_row")
     out_cols = [*block, *fields, *arrays, "first_ord", "sources"]
     work = gappy.unionByName(joined).select(*out_cols)
+    work = _parted(work, block, fields, mask, empty, crowded)
     inner = [c for c in out_cols if c not in block]
     item = F.struct("first_ord", *[F.col(c) for c in inner if c != "first_ord"])
     schema = T.StructType([work.schema[c] for c in inner])
     merge = F.pandas_udf(_merger(fields, arrays, inner), T.ArrayType(schema))
-    # One row per block of records that really can merge.
-    blocks = work.groupBy(*block).agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    # One row per block, or part of a crowded one, of records that really can merge.
+    blocks = work.groupBy(*block, "_part").agg(F.sort_array(F.collect_list(item)).alias("_items"))
     merged = blocks.select(*block, F.explode(merge("_items")).alias("_m")).select(*block, "_m.*").select(*out_cols)
-    alone = tagged.filter(F.col("_lone")).unionByName(apart).select(*out_cols)
+    # Complete records with the same values differ in their arrays at most; these are put together in order.
+    in_order = F.sort_array(F.collect_list(F.struct("first_ord", *arrays)))
+    whole = apart.groupBy(*block, *fields).agg(
+        in_order.alias("_all"), F.min("first_ord").alias("first_ord"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+    for a in arrays:
+        present = F.filter(F.col("_all").getField(a), lambda v: v.isNotNull())
+        whole = whole.withColumn(a, F.when(F.size(present) > 0, F.array_distinct(F.flatten(present))))
+    alone = tagged.filter(F.col("_lone")).select(*out_cols).unionByName(whole.select(*out_cols))
     return merged.unionByName(alone)
 
 
+def _parted(work: DataFrame, block: list[str], fields: list[str], mask: Column, empty: str, crowded: int) -> DataFrame:
+    """Adds ``_part``: blocks of more than ``crowded`` records fall into the components of records that agree pairwise.
+
+    A record only ever joins one that holds values of records it agrees with, so merging stays inside a component.  Two
+    records agree if the fields both have are equal: they share the hub of their kinds of gaps and those values, found
+    by an equi-join.  A record without values goes where the block's earliest other one is.
+    """
+    rows = cut_lineage(work.withColumn("_mask", mask).withColumn("_node", F.monotonically_increasing_id()))
+    hot = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > crowded).select(*block)
+    hot = cut_lineage(hot)
+    if hot.isEmpty():
+        return rows.drop("_mask", "_node").withColumn("_part", F.lit(0).cast("long"))
+    busy = rows.join(hot, block, "left_semi").filter(F.col("_mask") != empty)
+    kinds = busy.select(*block, "_mask").distinct()
+    pairs = kinds.join(kinds.withColumnRenamed("_mask", "_other"), block)
+    common = [F.when((F.substring("_mask", i + 1, 1) == "1") & (F.substring("_other", i + 1, 1) == "1"), F.col(f)) for i, f in enumerate(fields)]
+    hub = F.struct(*block, F.least("_mask", "_other").alias("_a"), F.greatest("_mask", "_other").alias("_b"), *[c.alias(f"_v{i}") for i, c in enumerate(common)])
+    links = cut_lineage(busy.join(pairs, [*block, "_mask"]).select(F.col("_node").alias("node"), "_mask", hub.alias("hub")))
+    # A hub joins its members if both kinds are there.
+    shared = links.groupBy("hub").agg(F.min("_mask").alias("_lo"), F.max("_mask").alias("_hi"), F.min("node").alias("_first"), F.max("node").alias("_last"))
+    shared = shared.filter((F.col("_lo") == F.col("hub._a")) & (F.col("_hi") == F.col("hub._b")) & (F.col("_first") < F.col("_last"))).select("hub")
+    found = components(links.join(shared, "hub", "left_semi").select("node", "hub"))
+    named = rows.join(found.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_part", F.coalesce("component", "_node"))
+    named = cut_lineage(named.drop("component"))
+    firsts = named.join(hot, block, "left_semi").filter(F.col("_mask") != empty).groupBy(*block).agg(F.min_by("_part", F.struct("first_ord", "_node")).alias("_home"))
+    marked = named.join(firsts, block, "left").join(hot.withColumn("_hot", F.lit(True)), block, "left")
+    part = F.when(F.col("_hot").isNull(), F.lit(-1)).when(F.col("_mask") == empty, F.coalesce("_home", F.lit(-1))).otherwise(F.col("_part"))
+    return marked.withColumn("_part", part.cast("long")).drop("_mask", "_node", "_home", "_hot")
+
+
 def _merger(fields: list[str], arrays: list[str], columns: list[str]):
+    """First fit, with kept records found by their values: per kind of gaps, and the fields it has in common with the row."""
+    bits = {f: 1 << i for i, f in enumerate(fields)}
+
     def merge_block(rows) -> list[dict]:
         kept: list[dict] = []
+        kinds: list[int] = []  # which fields each kept record has
+        places: dict[int, dict[int, dict[tuple, list[int]]]] = {}  # kind -> common fields -> values -> numbers of records
+
+        def values(record, common: int) -> tuple:
+            return tuple(record[f] for f in fields if common & bits[f])
+
+        def file(number: int) -> None:
+            for common, by in places.setdefault(kinds[number], {}).items():
+                heapq.heappush(by.setdefault(values(kept[number], common), []), number)
+
+        def first(row, kind: int) -> int | None:
+            best = None
+            for other, tables in places.items():
+                common = kind & other
+                if common not in tables:
+                    by = tables[common] = {}
+                    for number, k in enumerate(kinds):
+                        if k == other:
+                            by.setdefault(values(kept[number], common), []).append(number)
+                found = tables[common].get(values(row, common), [])
+                while found and kinds[found[0]] != other:  # has got more fields since
+                    heapq.heappop(found)
+                if found and (best is None or found[0] < best):
+                    best = found[0]
+            return best
+
         for row in rows:
-            home = next((k for k in kept if all(
-                row[f] is None or k[f] is None or row[f] == k[f] for f in fields)), None)
+            kind = sum(bits[f] for f in fields if row[f] is not None)
+            home = first(row, kind)
             if home is None:
-                kept.append({c: (list(row[c]) if c in arrays and row[c] is not None else row[c]) for c in columns})
+                kept.append({c: (list(row[c]) if c in arrays and row[c] is not None else row[c]) for c in columns} | {"sources": set(row["sources"])})
+                kinds.append(kind)
+                file(len(kept) - 1)
                 continue
+            record = kept[home]
             for f in fields:
-                home[f] = row[f] if row[f] is not None else home[f]
+                record[f] = row[f] if row[f] is not None else record[f]
             for a in arrays:
                 if row[a] is not None:
-                    home[a] = distinct_items([*(home[a] or []), *row[a]])
-            home["sources"] = sorted({*home["sources"], *row["sources"]})
-        return kept
+                    record[a] = distinct_items([*(record[a] or []), *row[a]])
+            record["sources"].update(row["sources"])
+            if kinds[home] | kind != kinds[home]:
+                kinds[home] |= kind
+                file(home)
+        return [record | {"sources": sorted(record["sources"])} for record in kept]
 
     def run(blocks: pd.Series) -> pd.Series:
         return blocks.map(merge_block)

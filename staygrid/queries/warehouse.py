@@ -327,7 +327,31 @@ def _contact_records(t):
         F.array(F.col("event_type")).alias("areas"), F.concat(F.lit("https://x.example/"), "event_type").alias("url"))
 
 
-@query("D10_merged_records")
+MERGED_SQL = f"""
+WITH RECURSIVE r AS (
+ SELECT user_id, date_trunc('day', ts) AS day, event_id, CASE WHEN {K} % 3 = 1 THEN 'mail' || ({K} % 2) END AS email,
+  CASE WHEN {K} % 5 < 3 THEN 'title' || ({K} % 2) END AS title, CASE WHEN {K} % 2 = 0 THEN {K} % 4 END AS phone,
+  event_type AS area, 'https://x.example/' || event_type AS url, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY event_id) AS i FROM events),
+f AS (
+ SELECT user_id, day, i, [{{'email': email, 'title': title, 'phone': phone, 'areas': [area], 'first_ord': event_id, 'sources': [url]}}] AS kept FROM r WHERE i = 1
+ UNION ALL
+ SELECT user_id, day, i, CASE WHEN coalesce(home, 0) = 0 THEN list_append(kept, {{'email': email, 'title': title, 'phone': phone, 'areas': [area], 'first_ord': event_id, 'sources': [url]}})
+  ELSE list_transform(kept, lambda k, j: CASE WHEN j = home THEN {{'email': coalesce(email, k.email), 'title': coalesce(title, k.title), 'phone': coalesce(phone, k.phone),
+   'areas': CASE WHEN list_contains(k.areas, area) THEN k.areas ELSE list_append(k.areas, area) END, 'first_ord': k.first_ord, 'sources': list_sort(list_distinct(list_append(k.sources, url)))}} ELSE k END) END
+ FROM (SELECT f.user_id, f.day, r.i, f.kept, r.email, r.title, r.phone, r.area, r.event_id, r.url, list_position(list_transform(f.kept, lambda k:
+   (k.email IS NULL OR r.email IS NULL OR k.email = r.email) AND (k.title IS NULL OR r.title IS NULL OR k.title = r.title) AND (k.phone IS NULL OR r.phone IS NULL OR k.phone = r.phone)), true) AS home
+  FROM f JOIN r ON r.user_id = f.user_id AND r.day = f.day AND r.i = f.i + 1)),
+u AS (SELECT user_id, day, unnest(kept) AS k FROM f QUALIFY i = max(i) OVER (PARTITION BY user_id, day))
+SELECT user_id, CAST(day AS TIMESTAMP) AS day, k.email AS email, k.title AS title, k.phone AS phone, k.areas AS areas, k.first_ord AS first_ord, k.sources AS sources FROM u"""
+
+
+@query("D10_crowded_block", MERGED_SQL)
+def d10_crowded(t):
+    # Every block counts as crowded.
+    return records.merge_records(_contact_records(t), ["user_id", "day"], "event_id", ["email", "title", "phone"], ["areas"], "url", crowded=1)
+
+
+@query("D10_merged_records", MERGED_SQL)
 def d10(t):
     return records.merge_records(_contact_records(t), ["user_id", "day"], "event_id", ["email", "title", "phone"], ["areas"], "url")
 

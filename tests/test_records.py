@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from staygrid.operators import ordered, records
+from staygrid.operators import changes, ordered, records, similarity
 
 
 def greedy(rows, fields):
@@ -182,11 +182,70 @@ def test_price_drop(spark):
     assert [r.k for r in got] == ["p"]
 
 
-def test_json_changes():
-    from staygrid.operators.changes import json_changes
-    diff = lambda a, b: {d["path"]: (d["previous"], d["current"]) for d in json_changes(a, b)}
-    assert diff('{"plans":[{"price":"$19","n":1}]}', '{"plans":[{"price":"$24","n":1}]}') == {"plans[0].price": ('"$19"', '"$24"')}
-    assert diff('{"tags":["a","b"]}', '{"tags":["a","b","c"]}') == {"tags[2]": (None, '"c"')}
-    assert diff('{"o":{"x":1}}', '{"o":"s"}') == {"o": ('{"x": 1}', '"s"')}
-    assert diff('{"a":1,"b":"é  x"}', '{"b":"é x​","a":1}') == {}
-    assert diff('{"f":1}', '{"f":true}') == {"f": ("1", "true")}
+def test_json_changes(spark):
+    cases = [
+        ('{"plans":[{"price":"$19","n":1}]}', '{"plans":[{"price":"$24","n":1}]}', {"plans[0].price": ('"$19"', '"$24"')}),
+        ('{"tags":["a","b"]}', '{"tags":["a","b","c"]}', {"tags[2]": (None, '"c"')}),
+        ('{"o":{"x":1}}', '{"o":"s"}', {"o": ('{"x":1}', '"s"')}),
+        ('{"a":1,"b":"e\u0301  x"}', '{"b":"\u00e9 x\u200b","a":1}', {}),
+        ('{"f":1}', '{"f":true}', {"f": ("1", "true")}),
+        ('{"f":1000}', '{"f":1e3,"g":null}', {"g": (None, "null")}),
+        ('{"n":null}', '{"n":0}', {"n": ("null", "0")}),
+        (None, '{"a":{"b":[1]}}', {"a": (None, '{"b":[1]}')}),
+        ('{"a":[[1,2],[3]]}', '{"a":[[1],[3,4]]}', {"a[0][1]": ("2", None), "a[1][1]": (None, "4")}),
+        ("{bad", "{worse", {"": ('"{bad"', '"{worse"')}),
+        ('{"t":"[{\\""}', '{"t":"[["}', {"t": ('"[{\\""', '"[["')}),
+        ('{"x":' * 20 + "1" + "}" * 20, '{"x":' * 20 + "2" + "}" * 20, {".".join("x" * 20): ("1", "2")}),
+        ('{"\u00e9":"\u00e9a"}', '{"\u00e9":"\u00e9b"}', {"\u00e9": ('"\u00e9a"', '"\u00e9b"')}),
+        ("[]", "{}", {"": ("[]", "{}")}),
+    ]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "id int, a string, b string")
+    got = {}
+    for r in changes.json_diff(df, ["id"], "a", "b").collect():
+        got.setdefault(r.id, {})[r.path] = (r.previous, r.current)
+    assert got == {i: want for i, (_, _, want) in enumerate(cases) if want}
+
+
+@pytest.mark.parametrize("crowded", [1, 5000])
+def test_merge_by_components(spark, crowded):
+    rng = random.Random(crowded)
+    rows = [("hot", i, rng.choice([None, f"e{i // 8}"]), f"t{i // 8}", rng.choice([None, i // 8, i // 8 + 1]), [rng.choice("xyz")], "u1") for i in range(400)]
+    rows += [("c", i, "e", f"t{i % 2}", 1, [rng.choice("xyz")], "u1") for i in range(12)]
+    rows += [("hot", -1, None, None, None, ["q"], "u3"), ("b", 1, "e", None, None, ["q"], "u3"), ("b", 2, None, "t", None, [], "u3")]
+    df = spark.createDataFrame(rows, "name string, ord int, email string, title string, phone int, areas array<string>, src string")
+    got = records.merge_records(df, ["name"], "ord", ["email", "title", "phone"], ["areas"], "src", crowded=crowded).collect()
+    for name in ("hot", "b", "c"):
+        want = greedy([(r[1], r[2:5], r[5], r[6]) for r in rows if r[0] == name], 3)
+        assert {((r.email, r.title, r.phone), tuple(sorted(r.areas)), tuple(r.sources)) for r in got if r.name == name} == want
+    assert len(got) == len({(r.name, r.email, r.title, r.phone) for r in got})
+
+
+def test_merge_of_a_hot_block(spark):
+    """100 000 records of one block, each with gaps; groups of four belong together."""
+    k = F.col("id")
+    rows = spark.range(100_000).select(F.lit("b").alias("name"), k.alias("ord"), F.concat(F.lit("n"), F.floor(k / 4)).alias("a"),
+                                       F.when(k % 2 == 0, F.floor(k / 4)).alias("b"), F.when(k % 2 == 1, "x").alias("c"))
+    got = records.merge_records(rows, ["name"], "ord", ["a", "b", "c"])
+    assert got.filter(F.col("b").isNotNull() & (F.col("c") == "x")).count() == got.count() == 25_000
+
+
+def test_similar_texts_against_all_pairs(spark):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.sample(base[:rng.choice([3, 8, 30])], rng.randint(1, 3)) + ["the"] * rng.randint(0, 1)) for _ in range(150)]
+    for i in range(100):
+        words = base + [f"v{i % 7}"]
+        words[rng.randrange(30)] = f"x{i % 5}"
+        texts.append(" ".join(rng.sample(words, len(words))))
+    texts += ["", "", " ", None, "The THE the", "the"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for least, hot in ((0.9, 64), (0.9, 1), (0.5, 3), (0.34, 1), (1.0, 1)):
+        members, pairs = similarity.similar_texts(df, "id", "t", least, hot)
+        classes = {r.id: r.class_id for r in members.collect()}
+        sets = {i: frozenset(t.lower().split()) for i, t in enumerate(texts) if t is not None}
+        assert all((classes[i] == classes[j]) == (sets[i] == sets[j] if sets[i] else texts[i] == texts[j]) for i in sets for j in sets)
+        named = {c: sets[c] for c in classes.values() if sets[c]}
+        want = {(a, b): len(named[a] & named[b]) / len(named[a] | named[b]) for a in named for b in named if a < b}
+        assert {(r.a, r.b): r.similarity for r in pairs.collect()} == {k: v for k, v in want.items() if v >= least}
+
+

@@ -130,8 +130,11 @@ def test_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, None)], "vec_id int, embedding array<float>")
     got = topk.nearest(df, [1.0, 0.0], 2).collect()
     assert [(r.vec_id, round(r.similarity, 4)) for r in got] == [(1, 1.0), (3, 0.7071)]
-    batch = topk.nearest_batch(df, [(9, [1.0, 0.0])], 2).orderBy("position").collect()
-    assert [(r.vec_id, round(r.similarity, 4)) for r in batch] == [(1, 1.0), (3, 0.7071)]
+    asked = spark.createDataFrame([(9, [1.0, 0.0]), (8, [0.0, 0.0]), (7, None)], "query_id int, query array<double>")
+    for query_rows, vector_rows in ((4096, 32768), (1, 1)):
+        batch = topk.nearest_batch(df, asked, 2, query_rows=query_rows, vector_rows=vector_rows).orderBy("query_id", "position").collect()
+        assert [(r.query_id, r.vec_id, round(r.similarity, 4)) for r in batch] == [(8, 1, 0.0), (8, 2, 0.0), (9, 1, 1.0), (9, 3, 0.7071)]
+    assert topk.nearest_batch(df, asked.limit(0), 2).count() == 0 and topk.nearest_batch(df.limit(0), asked, 2).count() == 0
 
 
 def test_months(spark):
