@@ -86,7 +86,8 @@ def robots_rules(robots: DataFrame, host: str = "host", body: str = "robots_txt"
     grouped = parsed.withColumn("_start", starts.cast("int")).withColumn(
         "_g", F.sum("_start").over(w.rowsBetween(W.unboundedPreceding, 0)))
     rule = F.struct(
-        F.length("value").alias("weight"), (F.col("name") == "allow").alias("allow"), _rule_regex(F.col("value")).alias("regex"))
+        F.length("value").alias("weight"), (F.col("name") == "allow").alias("allow"), _rule_regex(F.col("value")).alias("regex"),
+        F.regexp_extract("value", r"^(?:[^*$]|\$(?!$))*", 0).alias("head"))
     per_group = grouped.groupBy(host, "_g").agg(
         F.collect_list(F.when(is_agent, F.lower("value"))).alias("agents"),
         F.collect_list(F.when(~is_agent & (F.col("value") != ""), rule)).alias("rules"))
@@ -100,30 +101,30 @@ def _rule_regex(value: Column) -> Column:
     return F.concat(F.lit("^"), inner)
 
 
-def _allowed_by(rules: Column, target: Column) -> Column:
-    """Longest matching rule decides, allow wins a tie, no match allows."""
-    hits = F.filter(rules, lambda r: F.regexp_like(target, r["regex"]))
-    best = F.array_max(F.transform(hits, lambda r: F.struct(r["weight"].alias("weight"), r["allow"].alias("allow"))))
-    return F.coalesce(best["allow"], F.lit(True))
-
-
 def with_robots(links: DataFrame, rules: DataFrame, agents: list[str], url: str = "link", out: str = "robots_allowed") -> DataFrame:
-    """Adds whether any of ``agents`` may fetch the link.
+    """Adds whether any of ``agents`` may fetch the link: the longest matching rule decides, allow wins a tie, no match allows.
 
-    The rules of a host arrive as one array per host, so links never multiply
-    and a hot host is an ordinary skewed join that AQE can split.  A link
-    without a trailing slash is also tested with one.
+    An agent that a host's file does not name goes by its rules for ``*``.  A link without a trailing slash is also
+    tested with one.  Rules are found by the literal text they begin with: a target has one key for each length that the
+    beginnings of its host's rules have, equal keys are joined, and only rules with wildcards are then tried as patterns.
+    So a target costs as many look-ups as there are lengths, however many rules its host has; each URL is judged once.
     """
-    named = F.map_from_entries(F.collect_list(F.struct("agent", "rules")))
-    per_host = rules.groupBy("host").agg(named.alias("_by_agent")).withColumnRenamed("host", "_rh")
-    joined = links.join(per_host, urls.host(F.col(url)) == F.col("_rh"), "left")
-    target = F.concat(urls.path(F.col(url)), urls.query(F.col(url)))
-    slashed = F.when(F.col(url).endswith("/"), target).otherwise(F.concat(target, F.lit("/")))
-    allowed = F.lit(False)
-    for agent in agents:
-        mine = F.coalesce(F.try_element_at("_by_agent", F.lit(agent.lower())), F.try_element_at("_by_agent", F.lit("*")))
-        allowed = allowed | (_allowed_by(mine, target) & _allowed_by(mine, slashed))
-    return joined.withColumn(out, F.col("_rh").isNull() | allowed).drop("_rh", "_by_agent")
+    named = rules.groupBy(F.col("host").alias("_rh")).agg(F.collect_set("agent").alias("_named"))
+    index = rules.select(F.col("host").alias("_rh"), F.col("agent").alias("_agent"), F.explode("rules").alias("_r")).select("_rh", "_agent", "_r.*")
+    lengths = index.groupBy("_rh", "_agent").agg(F.collect_set(F.length("head")).alias("_lengths"))
+    asked = F.array_distinct(F.array(*[F.when(F.array_contains("_named", a.lower()), F.lit(a.lower())).otherwise(F.lit("*")) for a in agents]))
+    target = F.concat(urls.path(F.col("_url")), urls.query(F.col("_url")))
+    forms = F.array_distinct(F.array(target, F.when(F.col("_url").endswith("/"), target).otherwise(F.concat(target, F.lit("/")))))
+    judged = links.select(F.col(url).alias("_url")).distinct().withColumn("_rh", urls.host(F.col("_url"))).join(named, "_rh")
+    judged = judged.select("_url", "_rh", F.size(asked).alias("_asked"), F.explode(asked).alias("_agent"), forms.alias("_forms"))
+    tried = judged.join(lengths, ["_rh", "_agent"]).select("_url", "_rh", "_agent", "_asked", "_lengths", F.explode("_forms").alias("_form"))
+    heads = F.transform(F.filter("_lengths", lambda n: n <= F.length("_form")), lambda n: F.substring(F.col("_form"), F.lit(1), n))
+    met = tried.select("_url", "_rh", "_agent", "_asked", "_form", F.explode(heads).alias("head")).join(index, ["_rh", "_agent", "head"])
+    hits = met.filter((F.length("head") == F.col("weight")) | F.regexp_like("_form", F.col("regex")))
+    best = hits.groupBy("_url", "_agent", "_asked", "_form").agg(F.max(F.struct("weight", "allow")).alias("_best"))
+    closed = best.filter(~F.col("_best.allow")).groupBy("_url", "_asked").agg(F.count_distinct("_agent").alias("_closed"))
+    shut = closed.filter(F.col("_closed") == F.col("_asked")).select(F.col("_url").alias(url), F.lit(True).alias("_shut"))
+    return links.join(shut, url, "left").withColumn(out, F.col("_shut").isNull()).drop("_shut").select(*links.columns, out)
 
 
 # ----------------------------------------------------------------- blocklist

@@ -7,6 +7,7 @@ from ..operators import usage
 from ..session import work_path
 from ..streaming import events as stream
 from ..streaming.pages import page_events
+from ..streaming.stale import STORE, stale_jobs
 from . import derived
 from .derived import USAGE_SQL
 from .registry import query
@@ -78,3 +79,29 @@ def r5(t):
     path = work_path(t.spark, "rows")
     _finish(stream.append_rows(_StreamTables(t).events, path, work_path(t.spark, "rows-cp")))
     return t.spark.read.parquet(path).select("event_id", "user_id", "value")
+
+
+@query("R6_stale_stream", """
+WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, bool_or(event_type = 'purchase') AS ended FROM events GROUP BY 1, 2),
+n AS (SELECT *, lead(ms) OVER (PARTITION BY user_id ORDER BY ms) AS next_ms, max(ms) OVER () AS last_ms FROM e)
+SELECT user_id, make_timestamp(ms * 1000) AS last_seen, make_timestamp((ms + 3600000) * 1000) AS stale_at FROM n
+WHERE NOT ended AND coalesce(next_ms > ms + 3600000, true) AND ms + 3600000 < last_ms - 600000""")
+def r6_stream(t):
+    # Three files, which are one micro-batch each; rows near a border come up to eight minutes late, in the next one.
+    folder = work_path(t.spark, "signs")
+    first, last = t.events.agg(F.min("ts"), F.max("ts")).first()
+    arrives = F.col("ts") + F.make_dt_interval(mins=F.pmod("event_id", F.lit(9)).cast("int"))
+    place = F.least(F.floor((F.unix_micros(arrives.cast("timestamp")) - F.unix_micros(F.lit(first).cast("timestamp")))
+                            / (F.unix_micros(F.lit(last).cast("timestamp")) - F.unix_micros(F.lit(first).cast("timestamp")) + 1) * 3), F.lit(2))
+    for k in range(3):
+        t.events.filter(place == k).coalesce(1).write.mode("append").parquet(folder)
+    rows = stream.table_stream(t.spark, folder, "*.parquet", schemas.EVENTS, files_per_batch=1)
+    out = stale_jobs(rows, ["user_id"], "ts", F.col("event_type") == "purchase")
+    path = work_path(t.spark, "stale")
+    before = t.spark.conf.get(STORE[0])
+    t.spark.conf.set(*STORE)
+    try:
+        _finish(stream.append_rows(out, path, work_path(t.spark, "stale-cp")))
+    finally:
+        t.spark.conf.set(STORE[0], before)
+    return t.spark.read.parquet(path).select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("last_seen", "stale_at")])

@@ -241,6 +241,31 @@ def s10(t):
     return sinks.replaced_by_key(stored, batch, "l_suppkey", keys)
 
 
+@query("S10_partition_overwrite", """
+SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_extendedprice AS price FROM lineitem WHERE l_suppkey % 4 <> 0
+UNION ALL SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * 2, 2) FROM lineitem WHERE l_suppkey % 4 = 0 AND l_returnflag = 'R'""")
+def s10_partitions(t):
+    path = work_path(t.spark, "by-key")
+    columns = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"]
+    sinks.store_by_key(t.lineitem.select(*columns, F.col("l_extendedprice").alias("price")), path, "l_suppkey", 8)
+    mine = F.pmod("l_suppkey", F.lit(4)) == 0
+    batch = t.lineitem.filter(mine & (F.col("l_returnflag") == "R")).select(*columns, F.round(F.col("l_extendedprice") * 2, 2).alias("price"))
+    for _ in range(2):  # the second time changes nothing
+        sinks.replace_partitions(batch, path, "l_suppkey", 8, t.lineitem.filter(mine).select("l_suppkey"))
+    return t.spark.read.parquet(path).drop("_bucket")
+
+
+@query("Q2_observed_load", """
+SELECT 'hotels' AS table_name, count(*) AS n_rows, 0 AS null_keys, 0 AS bad_keys FROM supplier
+UNION ALL SELECT 'events', count(*), count(*) FILTER (WHERE k IS NULL), count(*) FILTER (WHERE k = '' OR k <> trim(k)) FROM (
+ SELECT CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN ' ' || event_type ELSE event_type END AS k FROM events)""")
+def q2_observed(t):
+    m = F.pmod("event_id", F.lit(5))
+    name = F.when(m == 1, "").when(m == 2, F.concat(F.lit(" "), "event_type")).when(m > 2, F.col("event_type"))
+    tables = {"hotels": warehouse.hotels(_flat(t)), "events": t.events.select("event_id", name.alias("kind"))}
+    return sinks.load_observed(tables, work_path(t.spark, "observed"), {"hotels": "hotel_id", "events": "kind"}, {"events": t.events.count()})
+
+
 @query("S11_rebuild", "SELECT 's' || s_suppkey AS hotel_id, s_name AS hotel_name FROM supplier")
 def s11(t):
     path = work_path(t.spark, "rebuild")

@@ -7,11 +7,14 @@ writing a new path, which the caller then publishes.
 from __future__ import annotations
 
 import uuid
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordered import one_per_key
+from ..session import cut_lineage
 
 DIMENSIONS_OVERWRITE, FACTS_APPEND = "overwrite", "append"
 
@@ -70,11 +73,13 @@ def load_warehouse(tables: dict[str, DataFrame], folder: str, facts: dict[str, l
             replace_folder(df, path)
 
 
-def replace_folder(df: DataFrame, path: str) -> None:
-    """Write beside ``path`` and then swap, so that a failed write leaves the old data in place."""
+def replace_folder(df: DataFrame, path: str, check: Callable[[], None] | None = None) -> None:
+    """Write beside ``path`` and then swap, so that a failed write (or ``check`` after it) leaves the old data in place."""
     spark = df.sparkSession
     fresh, old = f"{path}-new-{uuid.uuid4().hex}", f"{path}-old-{uuid.uuid4().hex}"
     df.write.parquet(fresh)
+    if check is not None:
+        check()
     at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
     fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
     had = fs.exists(at(path))
@@ -118,6 +123,62 @@ def replaced_by_key(stored: DataFrame, incoming: DataFrame, key: str, batch_keys
     return stored.join(keys, key, "left_anti").select(*stored.columns).unionByName(incoming.select(*stored.columns))
 
 
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def store_by_key(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """A table in ``buckets`` partitions by a hash of the key, for ``replace_partitions``."""
+    df.withColumn("_bucket", _bucket(key, buckets)).repartition("_bucket", F.xxhash64(*df.columns) % 8).write.partitionBy("_bucket").parquet(path)
+
+
+def replace_partitions(incoming: DataFrame, path: str, key: str, buckets: int = 64, batch_keys: DataFrame | None = None) -> None:
+    """All stored rows of the batch's keys replaced, in the partitions these keys are in; other partitions keep their files.
+
+    The new content is worked out from the affected partitions alone and written aside, then swapped in by a dynamic
+    partition overwrite; a partition that loses its last row is removed.  A repeated batch changes nothing.  A null key
+    is a key like others.
+    """
+    spark = incoming.sparkSession
+    keys = cut_lineage((batch_keys if batch_keys is not None else incoming).select(key).distinct().withColumn("_bucket", _bucket(key, buckets)))
+    # At most ``buckets`` numbers.
+    affected = [r["_bucket"] for r in keys.select("_bucket").distinct().collect()]
+    stored = spark.read.parquet(path).filter(F.col("_bucket").isin(affected))
+    gone = keys.select(F.col(key).alias("_key"))
+    kept = stored.join(gone, stored[key].eqNullSafe(gone["_key"]), "left_anti").drop("_bucket")
+    content = cut_lineage(kept.unionByName(incoming.select(*kept.columns)).withColumn("_bucket", _bucket(key, buckets)))
+    content.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+    filled = {r["_bucket"] for r in content.select("_bucket").distinct().collect()}
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for bucket in set(affected) - filled:
+        fs.delete(at(f"{path}/_bucket={bucket}"), True)
+
+
+def load_observed(tables: dict[str, DataFrame], folder: str, keys: dict[str, str], expected: dict[str, int] | None = None) -> DataFrame:
+    """Writes every table and reports (table_name, n_rows, null_keys, bad_keys) as the write itself saw them.
+
+    The figures are observed while the rows pass on their way to the files, so nothing is read a second time.  ``keys``
+    names each table's key; a bad one is blank or has white space around it.  With ``expected`` a table with another
+    number of rows is an error, raised before its folder is swapped in.
+    """
+    report = []
+    for name, df in tables.items():
+        key = F.col(keys[name]).cast("string")
+        seen = Observation(f"load-{name}-{uuid.uuid4().hex}")
+        watched = df.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.count_if(key.isNull()).alias("null_keys"),
+                             F.count_if((key == "") | (key != F.trim(key))).alias("bad_keys"))
+
+        def check(name: str = name, seen: Observation = seen) -> None:
+            if expected and name in expected and seen.get["n_rows"] != expected[name]:
+                raise AssertionError(f"{name}: {seen.get['n_rows']} rows, expected {expected[name]}")
+
+        replace_folder(watched, f"{folder}/{name}", check)
+        report.append((name, seen.get["n_rows"], seen.get["null_keys"], seen.get["bad_keys"]))
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(report, "table_name string, n_rows long, null_keys long, bad_keys long")
+
+
 def rebuild(tables: dict[str, DataFrame], folder: str) -> None:
     """Throw away the warehouse and write it again from its sources."""
     for name, df in tables.items():
