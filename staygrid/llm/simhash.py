@@ -2,10 +2,13 @@
 
 Two fingerprints within r bits agree on at least one of r + 1 blocks of bits (the zero-distance shell of that
 block), so the tree has one root per block, and its first branch is the block's value.  A cell that holds more
-fingerprints than a task should compare gets a vantage point; the distances to it cut the cell into shells.  By the
-triangle inequality a pair within r bits lies in the same shell or within r of the border between two, so a
-fingerprint that close to the border below is also sent to the shell below.  Inside a task the tree goes on with
-median cuts.  The search is exact; only a spanning forest of the links found in a cell leaves its task.
+fingerprints than a task should compare branches again: its members agree on the block, so they must also agree on
+one of r + 1 blocks of the other bits.  A fingerprint thus goes r + 1 ways per level, however many there are, and a
+level parts ordinary cells by a thousand and more.  A cell that this does not part is a dense one; it gets a vantage
+point, and the distances to it cut the cell into shells.  By the triangle inequality a pair within r bits lies in the
+same shell or within r of the border between two, so a fingerprint that close to the border below is also sent to the
+shell below.  Inside a task the tree goes on with median cuts.  The search is exact; only a spanning forest of the
+links found in a cell leaves its task.
 
 A tree on the whole 64 bits alone prunes badly: distances from any vantage point crowd around 32, so each halving
 would send about two thirds of the fingerprints both ways.
@@ -30,6 +33,8 @@ SHINGLE, MAX_BITS, SEED = 4, 4, 42
 CELL = 4096
 #: Cells of at most so many are compared outright.
 LEAF = 128
+#: Most ways (one for each choice of blocks) that cells branch into by blocks, and the share of a cell that its largest branch may keep.
+WAYS, PARTED = 1024, 0.5
 
 
 def shingle_hashes(text: str | None, size: int) -> list[int]:
@@ -69,19 +74,63 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(_fingerprints(shingle), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def blocks(fp: Column, count: int) -> list[Column]:
-    """``count`` blocks of neighbouring bits, each with its number in front."""
-    cuts = [64 * i // count for i in range(count + 1)]
-    return [F.shiftleft(F.lit(i).cast("long"), 40) + F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long"))
-            for i, (a, b) in enumerate(zip(cuts, cuts[1:]))] if count > 1 else [F.lit(0).cast("long")]
+def parts_of(mask: int, count: int) -> list[int]:
+    """The set bits of ``mask`` in ``count`` runs of neighbours, as masks."""
+    bits = [b for b in range(64) if mask >> b & 1]
+    return [sum(1 << b for b in bits[len(bits) * i // count:len(bits) * (i + 1) // count]) for i in range(count)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def cells(fps: DataFrame, max_bits: int, limit: int = CELL) -> DataFrame:
-    """cell, fp: every pair within ``max_bits`` shares a cell; cells of one fingerprint are left out."""
-    done: list[DataFrame] = []
+    """cell, fp: every pair within ``max_bits`` shares a cell; cells of one fingerprint are left out.
+
+    Up to the limit of ``WAYS`` cells branch by blocks, ``max_bits`` + 1 ways each time.  The rest, and cells that do not
+    part that way, are cut by vantage points.
+    """
     count = min(max_bits + 1, 63)
-    rows = cut_lineage(fps.select(F.explode(F.array(*blocks(F.col("fp"), count))).alias("cell"), "fp"))
-    before = None
+    done: list[DataFrame] = []
+    dense: list[DataFrame] = []
+    # The bits that members of a cell agree on, for each way there: block by block.
+    ways = [0]
+    rows = fps.select(F.lit(0).alias("way"), F.lit(None).cast("long").alias("before"), "fp")
+    while count > 1 and len(ways) * count <= max(WAYS, count):
+        added = [[known | part for part in parts_of(~known & (1 << 64) - 1, count)] for known in ways]
+        masks = F.element_at(F.array(*[F.array(*[F.lit(_signed(m)).cast("long") for m in of]) for of in added]), F.col("way") + 1)
+        ways = [m for of in added for m in of]
+        branches = F.transform(masks, lambda m, j: F.struct((F.col("way") * count + j).cast("int").alias("way"), F.col("fp").bitwiseAND(m).alias("bits")))
+        rows = rows.select("before", "fp", F.explode(branches).alias("b")).select(F.xxhash64("b.way", "b.bits").alias("cell"), "b.way", "before", "fp")
+        rows = cut_lineage(rows)
+        sizes = cut_lineage(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("before").alias("was")).filter(F.col("n") > 1))
+        done.append(rows.join(sizes.filter(F.col("n") <= limit).select("cell"), "cell", "left_semi").select("cell", "fp"))
+        stuck = F.coalesce(F.col("n") > PARTED * F.col("was"), F.lit(False))
+        crowded = sizes.filter(F.col("n") > limit)
+        whole, left = crowded.agg(F.count_if(stuck), F.count_if(~stuck)).first()
+        if whole:
+            dense.append(rows.join(crowded.filter(stuck).select("cell"), "cell", "left_semi").select("cell", "fp"))
+        rows = rows.join(crowded.filter(~stuck).select("cell", "n"), "cell").select("cell", "way", F.col("n").alias("before"), "fp")
+        if not left:
+            break
+    else:
+        dense.append(rows.select("cell" if count > 1 else F.lit(0).cast("long").alias("cell"), "fp"))
+    if dense:
+        done.append(_shells(_union(dense), max_bits, limit))
+    return _union(done)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _shells(rows: DataFrame, max_bits: int, limit: int) -> DataFrame:
+    """cell, fp: crowded cells cut by vantage points, as long as that parts them; what is left is dealt out in parts."""
+    done: list[DataFrame] = []
+    rows, before = cut_lineage(rows), None
     while True:
         sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("vantage"))
         done.append(rows.join(sizes.filter(F.col("n").between(2, limit)).select("cell"), "cell", "left_semi"))
@@ -103,10 +152,7 @@ def cells(fps: DataFrame, max_bits: int, limit: int = CELL) -> DataFrame:
         # Within max_bits of the border below: also a guest of the shell below.
         homes = F.when((far % width < max_bits) & (shell > 0), F.array(shell, shell - 1)).otherwise(F.array(shell))
         rows = cut_lineage(rows.withColumn("shell", F.explode(homes)).select(F.xxhash64("cell", "vantage", "shell").alias("cell"), "fp"))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    return _union(done)
 
 
 class Forest:

@@ -113,6 +113,42 @@ def test_components_of_a_chain(spark):
     assert graph.components(links.limit(0)).count() == 0
 
 
+def test_crowded_cells_of_far_fingerprints(spark):
+    """Rows per fingerprint do not grow with the number of fingerprints, once cells are crowded."""
+    each = []
+    for n in (20_000, 40_000, 80_000):
+        fps = spark.range(n).select(F.xxhash64("id").alias("fp"))
+        each.append(simhash.cells(fps, 4, 2).count() / n)
+    assert max(each) <= 25 and each[2] < 1.5 * each[1] < 3 * each[0]
+
+
+@pytest.mark.parametrize("bits", [0, 1, 3])
+def test_dense_cells_against_all_pairs(spark, bits):
+    """Fingerprints that differ in few bits only, which blocks do not part, among far ones."""
+    rng = random.Random(bits)
+    fps = {sum(1 << 5 * k for k in range(9) if rng.random() < 0.5) for _ in range(300)} | {rng.getrandbits(64) for _ in range(200)}
+    fps |= {f ^ 1 << rng.randrange(64) for f in list(fps)[:80]}
+    prints = [(f, f) for f in fps]
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+    roots = {}
+
+    def find(x):
+        while roots.get(x, x) != x:
+            x = roots[x]
+        return x
+
+    for r in simhash.links(spark.createDataFrame(signed, "fp long"), bits, 8).collect():
+        roots[find(r.a)] = find(r.b)
+    want = cases.groups(prints, bits)
+    got = {}
+    for f, (v,) in zip(fps, signed):
+        got.setdefault(find(v), set()).add(f)
+    expected = {}
+    for f, least in want.items():
+        expected.setdefault(least, set()).add(f)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
+
+
 def test_simhash_odd_rows(spark):
     got = simhash.near_duplicates(cases.odd(spark)).collect()
     assert len(got) == len(cases.TEXTS)
