@@ -46,7 +46,7 @@ def sample_of(labelled: DataFrame, rows: int = ROWS) -> DataFrame:
     have = labelled.count()
     if have <= rows:
         return labelled
-    return labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < round(rows / have * 1_000_000))
+    return labelled.filter(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 1) < int(rows / have * 2.0 ** 63))
 
 
 def _tallied(categories: int):
@@ -209,13 +209,21 @@ def score(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], row
 
     ``categories`` maps names, in the order of the chain, to conditions on ``labels`` (doc_id and their columns); rows of
     ``labels`` where a condition is null, or without an id or text, are not learned from.  The fit uses about ``rows``
-    labelled rows.  Without labels of both kinds a category gets its share of the labels (0 without any) everywhere.  Null texts are scored as empty ones.
+    labelled ids.  An id with several rows of labels counts once where they agree and is not learned from where they
+    don't; of several texts with one id the first by a hash of its content is learned from.  So the result does not
+    depend on how rows are dealt to tasks.  Without labels of both kinds a category gets its share of the labels (0
+    without any) everywhere.  Null texts are scored as empty ones; every row of ``docs`` is scored, repeated ones too.
     """
     names = list(categories)
     marked = labels.select(F.col("doc_id").alias("_id"), *(c.cast("int").alias(f"y{k}") for k, c in enumerate(categories.values()))).dropna()
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    chosen = cut_lineage(sample_of(marked.withColumnRenamed("_id", "doc_id"), rows).dropDuplicates(["doc_id"]))
-    known = texts.filter(F.col("text").isNotNull()).join(chosen.hint("shuffle_hash"), "doc_id")
+    ys = [f"y{k}" for k in range(len(names))]
+    agreed = marked.groupBy("_id").agg(*(F.min(y).alias(y) for y in ys), *(F.max(y).alias(f"_{y}") for y in ys))
+    for y in ys:
+        agreed = agreed.filter(F.col(y) == F.col(f"_{y}"))
+    chosen = cut_lineage(sample_of(agreed.select(F.col("_id").alias("doc_id"), *ys), rows))
+    found = texts.filter(F.col("text").isNotNull()).join(chosen.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    known = found.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).join(chosen.hint("shuffle_hash"), "doc_id")
     train = cut_lineage(known.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int")).repartition(8 * folds, "doc_id").drop("doc_id"))
     chosen_terms = choose(train, len(names))
     terms = sorted({t for ts in chosen_terms for t in ts})
