@@ -45,18 +45,22 @@ def folded(text: str) -> str:
 def learn(docs: DataFrame, sample: int = SAMPLE, rows: int = SAMPLE_ROWS) -> dict[str, str]:
     """language -> folded sample text, from documents that are not held out.
 
-    Bounded: per language at most ``rows`` whole rows, in the order of a hash of their id, and of these the first
-    ``sample`` letters.  Rows without id, language or a letter are not learned from, and take no place.
+    Bounded: per language at most ``rows`` rows, in the order of a hash of their id, and of these the first ``sample``
+    letters; of a row at most its first ``4 * sample`` characters come to the driver.  A row that repeats language, id
+    and text counts once.  Rows without id, language or a letter are not learned from, and take no place.
+
+    No task ranks a whole language: with n ids, only rows whose hash lies in the first 8 ``rows`` / n of all hashes do.
     """
     # Code points that Java does not know may be letters to Python.
     docs = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"[\p{L}\p{Cn}]"))
-    usable = docs.select("doc_id", "lang")
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows).collect()
-    ids = {(r.lang, r.doc_id): r["rank"] for r in chosen}
-    texts = docs.select("doc_id", "lang", "text").filter(F.col("doc_id").isin([i for _, i in ids])).collect() if ids else []
+    place = F.xxhash64("doc_id")
+    sizes = docs.groupBy(F.col("lang").alias("_lang")).agg(F.approx_count_distinct("doc_id").alias("_ids"))
+    first = docs.join(sizes, docs["lang"] == sizes["_lang"]).filter((place / 2.0 ** 64 + 0.5) * F.col("_ids") <= 8 * rows)
+    keyed = first.select("lang", "doc_id", place.alias("place"), F.xxhash64("text").alias("digest"), F.substring("text", 1, 4 * sample).alias("text"))
+    order = W.partitionBy("lang").orderBy("place", "doc_id", "digest")
+    texts = keyed.dropDuplicates(["lang", "doc_id", "digest"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows).collect()
     out: dict[str, str] = {}
-    for r in sorted((r for r in texts if (r.lang, r.doc_id) in ids), key=lambda r: (r.lang, ids[r.lang, r.doc_id], r.text)):
+    for r in sorted(texts, key=lambda r: (r.lang, r["rank"])):
         have = out.get(r.lang, "")
         if len(have) < sample:
             out[r.lang] = (have + " " + folded(r.text)).strip()[:sample]
@@ -246,7 +250,8 @@ def identify(docs: DataFrame, sample: int = SAMPLE, rows: int = SAMPLE_ROWS, lab
 
     ``lang_pred`` is a learned language, of ties the first by name, or ``und`` (score 0) where the text is null or has
     no letter, or no language could be learned.  ``score`` is the runner-up's share of the bits of the best two, 0.5
-    for a tie; 1 if there is one language only.  An empty table gives an empty result.  Languages are learned from
+    for a tie; 1 if there is one language only.  A text of more than ``PIECE`` symbols is parsed in pieces of that many,
+    and a phrase ends with its piece, in every language alike.  An empty table gives an empty result.  Languages are learned from
     ``labelled`` (doc_id, text, lang) if given; then ``docs`` needs no lang.
     """
     known = docs if labelled is None else labelled
