@@ -349,3 +349,39 @@ def test_small_sample_takes_no_other_texts(spark):
     got = language.identify(docs.union(odd).union(empty)).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got)
     assert {r.lang_pred for r in language.identify(docs.union(odd)).filter(F.col("doc_id") == one).collect()} == {"aa"}
+
+
+def test_long_texts_are_cut_like_short_ones():
+    """A text that is encoded by itself has the ids it has in a batch."""
+    model = sentencepieces.load(sentencepieces.model_path(None))
+    texts = ["", "a", "one  two\nthree \n\n four", "x\u2581y \u2581\u2581 z", " \u2581 a", "\n", "  ", "\u2581", "tab\tand\rmore", "漢字 x\U0001f600"]
+    rng = random.Random(8)
+    texts += ["".join(rng.choice("ab \n\u2581é ") for _ in range(rng.randrange(60))) for _ in range(200)]
+    assert [model._alone(t) for t in texts] == model.encode(texts)
+
+
+def test_labels_that_differ(spark):
+    """Contradicting and repeated labels give one result for any partitioning."""
+    docs = spark.createDataFrame([(i, ("bad awful words " if i % 2 else "kind fine words ") + f"n{i % 7}") for i in range(400)], "doc_id long, text string")
+    docs = docs.unionByName(docs.limit(50)).unionByName(spark.createDataFrame([(1, f"other text {i}") for i in range(300)], "doc_id long, text string"))
+    rows = [(i, i % 2, i % 2) for i in range(400)] + [(i, 1 - i % 2, 1 - i % 2) for i in range(0, 400, 5)] + [(i, i % 2, i % 2) for i in range(1, 50)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    chain = {"low": F.col("quality") == 1, "toxic": F.col("toxic") == 1}
+    results = []
+    for n in (1, 7):
+        got = toxicity.score(docs.repartition(n), labels.repartition(n), chain).collect()
+        results.append(sorted((r.doc_id, round(r.p_toxic, 6)) for r in got))
+    assert results[0] == results[1] and len(results[0]) == 750
+    by = dict(results[0])
+    assert by[3] > 0.9 and by[2] < 0.1
+
+
+def test_sample_of_a_hot_id(spark):
+    """A doc_id that many rows share brings a bounded number of them to the driver, and languages with few rows stay."""
+    rows = [(1, f"hello world number {i}", "en") for i in range(3000)] + [(i, f"bonjour le monde {i}", "fr") for i in range(2, 40)] + [(7, "bonjour", "fr")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language.learn(docs, 400, 8)
+    assert set(learned) <= {"en", "fr"} and "fr" in learned and all(len(v) <= 400 for v in learned.values())
+    assert language.learn(docs.repartition(5), 400, 8) == learned
+    if not any(language.remainder(1) == 2 for _ in (0,)):
+        assert len(learned["en"].split("hello")) - 1 <= 8
