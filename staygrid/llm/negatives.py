@@ -271,7 +271,9 @@ class Index:
     def __init__(self, rows: DataFrame, sample: int = SAMPLE, shard: int = SHARD):
         """``rows`` has id, label (longs) and q (array of longs); it is read more than once, so it should be stored."""
         count, width = rows.agg(F.count(F.lit(1)), F.max(F.size("q"))).first()
-        some = rows.select("id", "q").orderBy(F.xxhash64("id", "q"), "id").limit(sample).select("q").collect()
+        # About ``sample`` distinct vectors by a hash, so that no task sends more than its share of them.
+        chance = F.shiftrightunsigned(F.xxhash64("q"), 1) < int(min(1.0, sample / max(1, count)) * (2.0 ** 63 - 1024))
+        some = rows.filter(chance).select("q").distinct().limit(2 * sample).collect()
         words = int(min(MOST_WORDS, max(LEAST_WORDS, (4 * count / shard) ** 0.5)))
         books = self.books = Books(matrix(pa.array([r.q for r in some], pa.list_(pa.int64())), max(2, width or 0)), words)
         celled = cut_lineage(rows.select("id", "label", "q").mapInArrow(_celled(books), "id long, label long, q array<long>, cell long, r double, s double"))

@@ -484,12 +484,16 @@ def extract(pages: DataFrame, sample: int = SAMPLE, composed: int = COMPOSED) ->
 
     Null html is empty.  Blocks come in page order, joined by empty lines; inside a block white space, also from line breaks,
     is one space; character references are decoded.  Repeated rows are pages of their own; other columns are not read; an empty table gives an empty result.
-    The model is trained on at most ``sample`` pages of at most ``LARGEST`` characters, the first by a hash of their content,
+    The model is trained on at most ``sample`` pages of at most ``LARGEST`` characters, chosen by a hash of their content,
     and ``composed`` pages made of their text.
     """
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
-    some = rows.filter(F.length("html") <= LARGEST).select("html", F.xxhash64("html").alias("h")).orderBy("h").limit(sample).collect()
-    model = learn(sorted({r.html for r in some}), composed)
+    place = F.shiftrightunsigned(F.xxhash64("html"), 1).alias("place")
+    few = int(min(1.0, 4 * sample / max(1, rows.count())) * (2.0 ** 63 - 1024))
+    # Only numbers are compared at large; the pages themselves come from the few chosen rows.
+    places = [r.place for r in rows.filter(F.length("html") <= LARGEST).select(place).filter(F.col("place") < few).distinct().orderBy("place").limit(sample).collect()]
+    some = rows.withColumn("place", place).filter(F.col("place").isin(places) & (F.length("html") <= LARGEST)).groupBy("place").agg(F.min("html").alias("html")).collect()
+    model = learn(sorted(r.html for r in some), composed)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     found = rows.mapInArrow(_extracted(model), f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
     return found.withColumn("n_chars", F.length("text").cast("long"))
