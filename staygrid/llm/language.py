@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from staygrid.llm.common import slices
+from staygrid.session import cut_lineage
 
 #: Letters of labelled text that a language is learned from, and rows they are taken from at most.
 SAMPLE, SAMPLE_ROWS = 32768, 64
@@ -54,7 +55,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE, rows: int = SAMPLE_ROWS) -> dic
     # Code points that Java does not know may be letters to Python.
     docs = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"[\p{L}\p{Cn}]"))
     place = F.xxhash64("doc_id")
-    sizes = docs.groupBy(F.col("lang").alias("_lang")).agg(F.approx_count_distinct("doc_id").alias("_ids"))
+    # Stored, so that its size is known before the join is planned: a few rows are not worth moving the texts for.
+    sizes = cut_lineage(docs.groupBy(F.col("lang").alias("_lang")).agg(F.approx_count_distinct("doc_id").alias("_ids")))
     first = docs.join(sizes, docs["lang"] == sizes["_lang"]).filter((place / 2.0 ** 64 + 0.5) * F.col("_ids") <= 8 * rows)
     keyed = first.select("lang", "doc_id", place.alias("place"), F.xxhash64("text").alias("digest"), F.substring("text", 1, 4 * sample).alias("text"))
     order = W.partitionBy("lang").orderBy("place", "doc_id", "digest")
