@@ -1,11 +1,14 @@
-"""Splitting documents: overlapping chunks, boundary chunks, Markdown spans."""
+"""Splitting documents: overlapping chunks, boundary chunks, Markdown spans.
+
+``register_table_functions`` makes the two splitters callable in SQL, with LATERAL.
+"""
 
 from __future__ import annotations
 
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, strip
@@ -196,3 +199,37 @@ def assembled(spans: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame
     ).when(F.col("kind") == "table", F.array_join("lines", "\n")).otherwise(F.array_join("lines", " "))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("at", text.alias("text")))), lambda e: e["text"])
     return parts.groupBy(*keys).agg(F.array_join(ordered, "\n\n").alias("answer"))
+
+
+# ------------------------------------------------------------ table functions
+
+def _check_limits(max_chars: int, max_bytes: int) -> None:
+    if max_chars is None or max_bytes is None or max_chars <= 0 or max_bytes < 4:
+        raise ValueError("max_chars must be positive, max_bytes must hold one character")
+
+
+class _ChunkMarkdown:
+    def eval(self, body: str, max_chars: int = MAX_CHARS, max_bytes: int = MAX_BYTES):
+        _check_limits(max_chars, max_bytes)
+        for no, (start, piece) in enumerate(boundary_pieces(body or "", max_chars, max_bytes)):
+            yield no, start, piece
+
+
+class _MarkdownSpans:
+    def eval(self, body: str):
+        for pos, s in enumerate(markdown_spans(body or "")):
+            yield pos, s["block"], s["kind"], s["text"], s["lang"], s["is_header"]
+
+
+chunk_markdown = F.udtf(_ChunkMarkdown, returnType="chunk_no int, start int, content string", useArrow=True)
+md_spans = F.udtf(_MarkdownSpans, returnType="pos int, block int, kind string, text string, lang string, is_header boolean", useArrow=True)
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    """``chunk_markdown(text[, max_chars, max_bytes])`` and ``md_spans(text)`` for this session's SQL.
+
+    Rows of the first are those of ``at_boundaries``, rows of the second those of ``spans_of``.  NULL and empty texts
+    give no row; Spark evaluates table functions without outer rows, so LEFT JOIN LATERAL drops their documents too.
+    """
+    spark.udtf.register("chunk_markdown", chunk_markdown)
+    spark.udtf.register("md_spans", md_spans)

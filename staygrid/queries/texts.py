@@ -197,30 +197,84 @@ def x2(t):
                        ((F.coalesce("bytes", F.lit(0)) <= 2200) & (F.coalesce("chars", F.lit(0)) <= 2000)).alias("within_limit"))
 
 
-def _markdown(t):
-    """Documents as Markdown: a heading, a table, a code block, then the text."""
-    return t.documents.select("doc_id", F.concat(
-        F.lit("# Title "), _d(), F.lit("\n\n| name | size |\n| --- | --- |\n| a"), _d(), F.lit(" | 1 |\n| b | 2 |\n\n```sql\nselect 1\n  from t\n```\n\n"),
-        F.regexp_replace("text", r"[#*_`|\[\]<>&>~\-+]|(?m)^\s*\d+[.)]\s", " ")).alias("md"))
+def _tail(piece, end):
+    """SQL: characters up to the last place in ``piece`` where ``end`` ends; 0 if nowhere."""
+    return f"nullif(length(regexp_extract({piece}, '(?s)^{end}')), 0)"
+
+
+# One step per chunk: the window's upper half is searched for the last paragraph, line, sentence and blank in turn.
+CUTS_SQL = f"""
+WITH RECURSIVE cuts(doc_id, chunk_no, start, size, rest) AS (
+ SELECT doc_id, -1, 0, 0, text FROM documents
+ UNION ALL
+ SELECT doc_id, chunk_no + 1, start + size, CASE WHEN strlen(substr(rest, 1, n)) <= 165 THEN n ELSE
+   list_max(list_filter(range(1, n + 1), lambda k: strlen(substr(rest, 1, k)) <= 165)) END, rest
+ FROM (
+  SELECT doc_id, chunk_no, start, size, rest, CASE WHEN length(rest) <= 160 THEN length(rest) ELSE 80 + coalesce(
+   {_tail('upper_half', '.+' + chr(10) * 2)}, {_tail('upper_half', '.+' + chr(10))}, {_tail('upper_half', '.*[.!?][' + chr(92) + 's' + chr(92) + 'v]')}, {_tail('upper_half', '.+ ')}, 80) END AS n
+  FROM (SELECT doc_id, chunk_no, start, size, rest, substr(rest, 81, 80) AS upper_half FROM (
+   SELECT doc_id, chunk_no, start, size, substr(rest, size + 1) AS rest FROM cuts) WHERE rest <> '')))
+SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(start AS INTEGER) AS start, sha256(substr(rest, 1, size)) AS content_hash FROM cuts WHERE chunk_no >= 0"""
+
+
+@query("X2_cut_points", CUTS_SQL)
+def x2_cuts(t):
+    chunks.register_table_functions(t.spark)
+    return t.spark.sql("""
+        SELECT doc_id, chunk_no, start, sha2(content, 256) AS content_hash
+        FROM {docs} AS d, LATERAL chunk_markdown(d.text, 160, 165)""", docs=_docs(t))
 
 
-@query("X3_markdown_spans", """
-SELECT doc_id, 1 AS headings, 3 AS table_rows, 2 AS code_lines, md5(regexp_replace(regexp_replace(text, '[#*_`|\\[\\]<>&>~\\-+]|(?m)^\\s*\\d+[.)]\\s', ' ', 'g'), '\\s', '', 'g')) AS text_md5 FROM documents""")
+def _markdown(t):
+    """Every document's words as Markdown: tens of them as heading, paragraph, table, code block and list in turn."""
+    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 10).cast("int")), lambda i: F.struct(
+        F.pmod(i, F.lit(5)).alias("kind"), F.array_join(F.slice("w", i * 10 + 1, F.lit(10)), " ").alias("run")))
+
+    def block(e):
+        run, is_ = e["run"], lambda k: e["kind"] == k
+        return (F.when(is_(0), F.concat(F.lit("## "), run))
+                .when(is_(1), F.concat(F.lit("Say "), run, F.lit(". Then "), run, F.lit("!")))
+                .when(is_(2), F.concat(F.lit("| left | "), run, F.lit(" |\n| --- | :-: |\n| "), run, F.lit(" | x |")))
+                .when(is_(3), F.concat(F.lit("```py\n"), run, F.lit("\n\n  "), run, F.lit("\n```")))
+                .otherwise(F.concat(F.lit("- "), run, F.lit("\n- "), run, F.lit("."))))
+
+    return _docs(t).select("doc_id", words.alias("w")).filter(F.size("w") > 0).select(
+        "doc_id", F.array_join(F.transform(runs, block), "\n\n").alias("md"))
+
+
+# The spans of that Markdown, from the words; five runs give nine spans in six blocks.
+SPANS_SQL = """
+WITH runs AS (SELECT doc_id, i, array_to_string(list_slice(w, i * 10 + 1, i * 10 + 10), ' ') AS run FROM (
+  SELECT doc_id, w, unnest(range(0, (len(w) + 9) // 10)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS w FROM documents))),
+ spans AS (SELECT doc_id, CAST(i // 5 * 9 + [0, 1, 3, 5, 7][i % 5 + 1] + k AS INTEGER) AS pos, CAST(i // 5 * 6 + i % 5 + CASE WHEN i % 5 = 4 THEN k ELSE 0 END AS INTEGER) AS block,
+  ['heading', 'text', 'table', 'code', 'text'][i % 5 + 1] AS kind, CASE WHEN i % 5 = 3 THEN 'py' END AS lang, i % 5 = 2 AND k = 0 AS is_header,
+  CASE i % 5 WHEN 1 THEN CASE k WHEN 0 THEN 'Say ' || run || '.' ELSE 'Then ' || run || '!' END WHEN 2 THEN CASE k WHEN 0 THEN 'left | ' || run ELSE run || ' | x' END
+   WHEN 4 THEN CASE k WHEN 0 THEN run ELSE run || '.' END ELSE run END AS text
+  FROM (SELECT *, unnest([0, 1]) AS k FROM runs) WHERE i % 5 > 0 OR k = 0)"""
+
+
+@query("X3_markdown_spans", SPANS_SQL + """
+SELECT doc_id, pos, block, kind, sha256(text) AS text_hash, lang, is_header FROM spans""")
 def x3(t):
-    n = lambda k: F.count_if(F.col("kind") == k).cast("int")
-    return chunks.spans_of(_markdown(t), ["doc_id"], "md").groupBy("doc_id").agg(
-        n("heading").alias("headings"), n("table").alias("table_rows"), n("code").alias("code_lines"),
-        F.md5(F.regexp_replace(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(
-            ~F.col("kind").isin("heading", "table", "code"), F.struct("pos", "text")))), lambda x: x["text"]), ""), r"\s", "")).alias("text_md5"))
-
-
-@query("X4_assembled_answer", """
-SELECT doc_id, 'Title ' || doc_id || chr(10) || chr(10) || '| name | size |' || chr(10) || '| --- | --- |' || chr(10) || '| b | 2 |' || chr(10) || chr(10)
- || '```sql' || chr(10) || 'from t' || chr(10) || '```' AS answer FROM documents""")
+    chunks.register_table_functions(t.spark)
+    return t.spark.sql("""
+        SELECT doc_id, pos, block, kind, sha2(s.text, 256) AS text_hash, lang, is_header
+        FROM {docs} AS d, LATERAL md_spans(d.md) AS s""", docs=_markdown(t))
+
+
+@query("X4_assembled_answer", SPANS_SQL + """,
+ marked AS (SELECT *, (pos * 7 + doc_id) % 4 = 0 AS chosen FROM spans),
+ blocks AS (SELECT doc_id, block, kind, min(pos) FILTER (chosen OR is_header) AS place,
+   string_agg(line, chr(10) ORDER BY pos) FILTER (chosen OR is_header) AS lines, string_agg(line, ' ' ORDER BY pos) FILTER (chosen) AS prose
+  FROM (SELECT *, CASE WHEN is_header THEN '| ' || text || ' |' || chr(10) || '| --- | --- |' WHEN kind = 'table' THEN '| ' || text || ' |' ELSE text END AS line FROM marked)
+  GROUP BY ALL HAVING bool_or(chosen))
+SELECT doc_id, sha256(string_agg(CASE kind WHEN 'code' THEN '```py' || chr(10) || lines || chr(10) || '```' WHEN 'table' THEN lines ELSE prose END, chr(10) || chr(10) ORDER BY place)) AS answer_hash
+FROM blocks GROUP BY doc_id""")
 def x4(t):
     spans = chunks.spans_of(_markdown(t), ["doc_id"], "md")
-    chosen = t.documents.select("doc_id", F.explode(F.array(F.lit(0), F.lit(3), F.lit(5))).alias("pos"))
-    return chunks.assembled(spans, chosen, ["doc_id"])
+    chosen = spans.filter(F.pmod(F.col("pos") * 7 + _d(), F.lit(4)) == 0).select("doc_id", "pos")
+    return chunks.assembled(spans, chosen, ["doc_id"]).select("doc_id", F.sha2("answer", 256).alias("answer_hash"))
 
 
 @query("X8_site_bundle", """

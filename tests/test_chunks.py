@@ -84,3 +84,22 @@ def test_assembled(spark):
     chosen = spark.createDataFrame([(1, p) for p in (0, 1, 2, 10, 11, 12, 99)], "id int, pos int")
     assert chunks.assembled(spans, chosen, ["id"]).first().answer == (
         "H x\n\nOne. Two [l](u)!\n\n| a | b\\* |\n| --- | --- |\n| 3 | 4 |\n\n```py\nx = 1\ny\n```")
+
+
+def test_table_functions_in_sql(spark):
+    """Rows of the SQL functions are those of the DataFrame forms; NULL and empty texts give none."""
+    chunks.register_table_functions(spark)
+    texts = [MD, "aaaa bbbb\n\ncc. dd ee é漢😀" * 9, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, md string")
+    got = spark.sql("SELECT id, c.* FROM {d} AS d, LATERAL chunk_markdown(d.md, 16, 20) AS c", d=docs)
+    assert sorted(got.collect()) == sorted(chunks.at_boundaries(docs, ["id"], "md", 16, 20).collect())
+    spans = spark.sql("SELECT id, s.* FROM {d} AS d, LATERAL md_spans(d.md) AS s", d=docs)
+    key = lambda r: r[:2]
+    assert sorted(map(tuple, spans.collect()), key=key) == sorted(map(tuple, chunks.spans_of(docs, ["id"], "md").collect()), key=key)
+    assert {r.id for r in got.collect()} == {0, 1}
+
+
+def test_table_function_limits(spark):
+    chunks.register_table_functions(spark)
+    with pytest.raises(Exception, match="max_chars must be positive"):
+        spark.sql("SELECT * FROM chunk_markdown('abc', 0, 10)").collect()
