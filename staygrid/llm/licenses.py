@@ -1,14 +1,16 @@
-"""License notices in documents.
+"""License texts and notices in documents.
 
 Templates are words; the winnowed hashes of their word grams form an inverted index (gram -> template, place).  A
 document's winnowed grams that are in the index give candidates, each with the place where the template would
-begin.  A banded alignment around that diagonal then counts the template's words that the document has, in order, and
-where; of overlapping finds the one with the best score stays.
+begin; a long template must be pointed to by several grams there.  A banded alignment around that diagonal then counts the
+template's words that the document has, in order, and where.  Words that tell a license from its neighbours may neither be
+missing nor be torn apart.  Of overlapping finds the one with the best score stays.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,40 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from staygrid.llm.common import columns, slices
+from staygrid.llm.license_texts import TEMPLATES
 
 GRAM, WINDOW = 3, 3
 #: Words by which an alignment may leave the diagonal; share of a template's words that must be found.
 BAND, COVERAGE = 6, 0.8
+#: A template needs one winnowed gram in the band for each so many of its words (one at least).
+WORDS_PER_HIT = 40
 #: Templates are shipped to every task: so many characters at most in all.
 TEMPLATE_CHARS = 4 << 20
 WORD = re.compile(r"[^\W_]+")
 
-# Common license notices, as their publishers word them.
-NOTICES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
-                   "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Licensed under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "either version 3 of the License, or (at your option) any later version"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("CC0-1.0", "released into the public domain under CC0 1.0"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain"),
-    ("all-rights-reserved", "All rights reserved"),
-)
-
-
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -65,15 +44,30 @@ def winnowed(grams: np.ndarray) -> np.ndarray:
     return chosen
 
 
+def marked(text: str) -> tuple[list[str], list[bool], list[bool]]:
+    """Words of a template; which of them are required (in braces); which must follow the word before at once."""
+    out: list[str] = []
+    required: list[bool] = []
+    follows: list[bool] = []
+    for n, part in enumerate(re.split(r"[{}]", text)):
+        cut = words(part)
+        out += cut
+        required += [n % 2 == 1] * len(cut)
+        follows += [n % 2 == 1 and k > 0 for k in range(len(cut))]
+    return out, required, follows
+
+
 class Scanner:
     """Templates with their index."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...]):
         self.names = [n for n, _ in templates]
-        cut = [words(t) for _, t in templates]
-        self.vocabulary = {w: i for i, w in enumerate(sorted({w for t in cut for w in t}))}
+        cut = [marked(t) for _, t in templates]
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for t, _, _ in cut for w in t}))}
         self.base = len(self.vocabulary) + 1
-        self.templates = [np.array([self.vocabulary[w] for w in t], np.int64) for t in cut]
+        self.templates = [np.array([self.vocabulary[w] for w in t], np.int64) for t, _, _ in cut]
+        self.required = [r for _, r, _ in cut]
+        self.follows = [f for _, _, f in cut]
         self.index: dict[int, list[tuple[int, int]]] = {}
         self.short: dict[int, list[tuple[int, int]]] = {}
         for no, ids in enumerate(self.templates):
@@ -100,50 +94,60 @@ class Scanner:
         return np.where(known, (out >> np.uint64(2)).astype(np.int64), np.iinfo(np.int64).max)
 
     def align(self, no: int, ids: np.ndarray, begin: int) -> tuple[int, int, int, int] | None:
-        """(score, words found, first word, word after the last) of the best alignment near a diagonal.
+        """(score, words found, first word, word after the last) of the best alignment near a diagonal; None if there is none.
 
         The score is the words found less template words missing less document words in between.
         """
-        template = self.templates[no]
+        template, required, follows = self.templates[no].tolist(), self.required[no], self.follows[no]
         m, width = len(template), 2 * BAND + 1
-        bad = -(1 << 30)
-        # Per cell of the band: score, words found, first document word (-1 before any).
-        row = [(0, 0, -1)] * width
+        first = required.index(True) if any(required) else m - 1
+        last = max((i for i in range(m) if required[i]), default=0)
+        # What the band can reach; places outside the document hold no word.
+        from_, to = max(0, begin - BAND), min(len(ids), begin + m + BAND)
+        near = [-2] * (from_ - (begin - BAND)) + ids[from_:to].tolist()
+        near += [-2] * (m + 2 * BAND - len(near))
         best = None
+        row: list[tuple[int, int, int] | None] = [None] * width  # score, words found, first document word
         for i in range(m):
-            new = [(bad, 0, -1)] * width
+            new: list[tuple[int, int, int] | None] = [None] * width
+            may_miss, may_stretch = not required[i], i + 1 == m or not follows[i + 1]
             for b in range(width):
-                j = begin + i + b - BAND
-                cell = (bad, 0, -1)
-                s, n, f = row[b]  # the word and the template word differ, or match
-                if 0 <= j < len(ids) and ids[j] == template[i]:
-                    cell = (s + 1, n + 1, j if f < 0 else f)
-                elif s > bad:
-                    cell = (s - 1 - (f >= 0), n, f)
-                if b + 1 < width and row[b + 1][0] - 1 > cell[0]:  # the template word is missing
-                    s, n, f = row[b + 1]
-                    cell = (s - 1, n, f)
-                if b and new[b - 1][2] >= 0 and new[b - 1][0] - 1 > cell[0]:  # a document word in between
-                    s, n, f = new[b - 1]
-                    cell = (s - 1, n, f)
+                j, old, cell = begin + i + b - BAND, row[b], None
+                if near[i + b] == template[i]:
+                    if old:
+                        cell = (old[0] + 1, old[1] + 1, old[2])
+                    if i <= first and (cell is None or 1 - i > cell[0]):  # the first word found
+                        cell = (1 - i, 1, j)
+                    if cell and i >= last:
+                        mark = (cell[0] - (m - 1 - i), -abs(b - BAND))  # of equals the one nearest to the diagonal
+                        if best is None or mark > best[0]:
+                            best = (mark, cell[1], cell[2], j + 1)
+                elif old and may_miss:  # another word stands in its place
+                    cell = (old[0] - 2, *old[1:])
+                if may_miss and b + 1 < width and row[b + 1] and (cell is None or row[b + 1][0] - 1 > cell[0]):  # the template word is missing
+                    cell = (row[b + 1][0] - 1, *row[b + 1][1:])
+                if may_stretch and b and new[b - 1] and (cell is None or new[b - 1][0] - 1 > cell[0]):  # a document word in between
+                    cell = (new[b - 1][0] - 1, *new[b - 1][1:])
                 new[b] = cell
-                if 0 <= j < len(ids) and ids[j] == template[i]:
-                    mark = (cell[0] - (m - 1 - i), -abs(b - BAND))  # of equals the one nearest to the diagonal
-                    if best is None or mark > best[0]:
-                        best = (mark, cell[1], cell[2], j + 1)
             row = new
         return best and (best[0][0], *best[1:])
 
     def scan(self, ids: np.ndarray, grams: np.ndarray, chosen: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(template, words found, first word, word after the last, score), best first where they overlap."""
-        starts = set()
+        hits = set()
         for at in np.flatnonzero(chosen & np.isin(grams, self.keys)).tolist():
-            starts |= {(no, at - place) for no, place in self.index[int(grams[at])]}
+            hits |= {(no, at - place, place) for no, place in self.index[int(grams[at])]}
         for at in np.flatnonzero(np.isin(grams, self.short_keys)).tolist():
-            starts |= {(no, at - place) for no, place in self.short[int(grams[at])]}
+            hits |= {(no, at - place, place) for no, place in self.short[int(grams[at])]}
+        diagonals: dict[int, list[int]] = {}
+        for no, begin, _ in sorted(hits):
+            diagonals.setdefault(no, []).append(begin)
         found = set()
         last: dict[int, int] = {}
-        for no, begin in sorted(starts):
+        for no, begin in ((no, b) for no, begins in sorted(diagonals.items()) for b in begins):
+            begins = diagonals[no]
+            if bisect_right(begins, begin + BAND) - bisect_left(begins, begin - BAND) < len(self.templates[no]) // WORDS_PER_HIT:
+                continue
             if no in last and begin - last[no] < min(BAND // 2 + 1, len(self.templates[no])):
                 continue  # the same find: its band covers this diagonal
             last[no] = begin
@@ -177,26 +181,27 @@ def _scanned(templates: tuple[tuple[str, str], ...]):
                 hits = tool.scan(ids, grams, winnowed(grams))
                 if hits:
                     spans = [m.span() for m in WORD.finditer(low)]
-                    rows += [(at, tool.names[no], n / len(tool.templates[no]), n, spans[a][0], spans[b - 1][1]) for no, n, a, b, _ in hits]
-            cols = list(zip(*rows)) if rows else [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+                    rows += [(at, tool.names[no], n / len(tool.templates[no]), n, len(tool.templates[no]), spans[a][0], spans[b - 1][1]) for no, n, a, b, _ in hits]
+            cols = list(zip(*rows)) if rows else [()] * 7
+            kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(arrays[0]), *arrays[1:]],
-                                             names=["doc_id", "license_id", "coverage", "n_matched", "start", "end"])
+                                             names=["doc_id", "license_id", "coverage", "n_matched", "n_words", "start", "end"])
     return run
 
 
-def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = NOTICES) -> DataFrame:
-    """doc_id, license_id, coverage, n_matched, start, end: a row per notice found.
+def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+    """doc_id, license_id, coverage, n_matched, n_words, start, end: a row per license text, notice or name found.
 
-    ``coverage`` is the share of the template's words that the document has in order, at least COVERAGE; the place is in
-    characters of the text in lower case.  Of notices that overlap the best stays, of equals the first template.  Documents
-    without a notice, null and empty texts give no row; a repeated row gives its rows again.  Templates of fewer than
-    GRAM words are refused, as are more than TEMPLATE_CHARS characters of them.
+    ``coverage`` is the share of the template's ``n_words`` words that the document has in order, at least COVERAGE; words in
+    braces must all be there, in a row.  An alignment leaves its diagonal by at most BAND words, so a clause more or less makes
+    another license.  The place is in characters of the text in lower case.  Of finds that overlap the best stays, of equals the
+    first template.  Documents without a license, null and empty texts give no row; a repeated row gives its rows again.
+    Templates of fewer than GRAM words are refused, as are more than TEMPLATE_CHARS characters of them.
     """
     templates = tuple(templates)
     if sum(len(t) for _, t in templates) > TEMPLATE_CHARS or any(len(words(t)) < GRAM for _, t in templates):
         raise ValueError("templates too large in all, or one too short")
     rows = columns(docs)
     return rows.mapInArrow(_scanned(templates), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, license_id string, coverage double, "
-                           "n_matched long, start long, end long")
+                           "n_matched long, n_words long, start long, end long")
