@@ -209,7 +209,11 @@ def subdomain_labels(h: Column, domain: Column) -> Column:
 
 def domain_splits(h: Column, suffixes: list[str] = TWO_LABEL_SUFFIXES) -> Column:
     """Every suffix of a host from its registered domain up to the host itself."""
-    domain = registered_domain(h, suffixes)
+    return splits_from(h, registered_domain(h, suffixes))
+
+
+def splits_from(h: Column, domain: Column) -> Column:
+    """``domain_splits`` where the registered domain is known."""
     subs = subdomain_labels(h, domain)
     n = F.size(subs)
     only_www = (n == 1) & (F.try_element_at(subs, F.lit(1)) == "www")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.urls import splits_from
+
 
 def registered_domains(hosts: DataFrame, host: str, suffixes: DataFrame, suffix: str = "suffix") -> DataFrame:
     """host, suffix, domain of each distinct host: the longest matching suffix, and one label more.
@@ -34,3 +36,21 @@ def with_registered_domain(df: DataFrame, host: str, suffixes: DataFrame, out: s
     """``df`` with the registered domain of its host column; worked out once per distinct host."""
     domains = registered_domains(df, host, suffixes).select(F.col("host").alias("_host"), F.col("domain").alias(out))
     return df.join(domains, F.col(host) == F.col("_host"), "left").drop("_host")
+
+
+def with_domain_splits(df: DataFrame, host: str, suffixes: DataFrame, out: str = "domains") -> DataFrame:
+    """Adds every suffix of the host from its registered domain up to the host itself; none for a bare suffix."""
+    return with_registered_domain(df, host, suffixes, "_registered").withColumn(out, splits_from(F.col(host), F.col("_registered"))).drop("_registered")
+
+
+def same_registered_domain(df: DataFrame, host: str, other: str, suffixes: DataFrame, out: str = "same_domain") -> DataFrame:
+    """Adds whether two host columns belong to one registered domain; false where either has none.
+
+    Domains are worked out once per distinct host of both columns together.
+    """
+    hosts = df.select(F.explode(F.array(host, other)).alias("host"))
+    known = registered_domains(hosts, "host", suffixes).select("host", "domain")
+    one = known.select(F.col("host").alias("_h1"), F.col("domain").alias("_d1"))
+    two = known.select(F.col("host").alias("_h2"), F.col("domain").alias("_d2"))
+    met = df.join(one, F.col(host) == F.col("_h1"), "left").join(two, F.col(other) == F.col("_h2"), "left")
+    return met.withColumn(out, F.coalesce(F.col("_d1") == F.col("_d2"), F.lit(False))).drop("_h1", "_d1", "_h2", "_d2")

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import urls, vectors
-from ..operators.domains import with_registered_domain
+from ..operators.domains import same_registered_domain, with_registered_domain
 from ..operators.ordered import newest_per_key, one_per_key
-from ..session import cut_lineage
+from ..session import cut_lineage, work_path
 
 
 @dataclass(frozen=True)
@@ -32,11 +33,16 @@ def _any_match(target: Column, patterns: list[str]) -> Column:
     return hit
 
 
-def denial_reason(url: Column, base: Column, start: Column, rules: LinkRules, robots_blocked: Column | None = None, listing: bool = True) -> Column:
+def denial_reason(
+    url: Column, base: Column, start: Column, rules: LinkRules, robots_blocked: Column | None = None, listing: bool = True,
+    same_domain: Column | None = None,
+) -> Column:
     """Why a resolved link is not followed; NULL when it is.
 
     ``listing=False`` is the reduced rule set for a single URL: no depth, file
-    type, backward or include rule.
+    type, backward or include rule.  ``same_domain`` says whether link and base
+    are of one registered domain, as ``with_same_domain`` finds it by a suffix
+    table; without it the built-in two-label suffixes decide.
     """
     path = urls.path(url)
     internal = urls.bare_host(url) == urls.bare_host(base)
@@ -60,13 +66,21 @@ def denial_reason(url: Column, base: Column, start: Column, rules: LinkRules, ro
     if rules.allow_external:
         out = out.when(start_internal & ~urls.is_root_page(url), F.lit(None))
     if rules.allow_subdomains:
-        sub = F.coalesce(urls.registered_domain(urls.host(url)) == urls.registered_domain(urls.host(base)), F.lit(False))
+        if same_domain is None:
+            same_domain = urls.registered_domain(urls.host(url)) == urls.registered_domain(urls.host(base))
+        sub = F.coalesce(same_domain, F.lit(False))
         if rules.includes and listing:
             out = out.when(sub & ~_any_match(target, rules.includes), "INCLUDE_PATTERN")
         out = out.when(sub, F.lit(None))
     return out.otherwise("EXTERNAL_LINK")
 
 
+def with_same_domain(links: DataFrame, url: Column, base: Column, suffixes: DataFrame, out: str = "same_domain") -> DataFrame:
+    """Adds whether link and base belong to one registered domain by a table of public suffixes."""
+    hosts = links.withColumn("_link_host", urls.host(url)).withColumn("_base_host", urls.host(base))
+    return same_registered_domain(hosts, "_link_host", "_base_host", suffixes, out).drop("_link_host", "_base_host")
+
+
 # -------------------------------------------------------------------- robots
 
 def robots_rules(robots: DataFrame, host: str = "host", body: str = "robots_txt") -> DataFrame:
@@ -189,9 +203,51 @@ def with_block_reason(
 
 # ------------------------------------------------------------------ frontier
 
+class VisitedPages:
+    """The pages that crawls have seen: a table in buckets of (crawl_id, page_key), one partition per level.
+
+    Each level is appended in the bucket layout, so looking candidates up shuffles them alone, never the pages seen so far,
+    and a level is written once: it is read back as its partition.  Rows a page is known by are one per (crawl, page), so a
+    large crawl or a popular page spreads over all buckets.
+    """
+
+    KEYS = ("crawl_id", "page_key")
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None):
+        self.spark = spark
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"visited_{uuid.uuid4().hex}"
+        self.path = work_path(spark, "visited")
+        self.counts: DataFrame | None = None
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def bucketed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` shuffled into the table's buckets."""
+        return rows.repartition(self.buckets, *self.KEYS)
+
+    def unseen(self, candidates: DataFrame) -> DataFrame:
+        """The candidates, already in buckets, that no earlier level holds."""
+        return candidates.join(self.rows().select(*self.KEYS), list(self.KEYS), "left_anti")
+
+    def append(self, rows: DataFrame, level: int) -> DataFrame:
+        """Store a level's new pages; returns them as stored."""
+        writer = rows.withColumn("level", F.lit(level)).write.mode("append").format("parquet").option("path", self.path)
+        writer.partitionBy("level").bucketBy(self.buckets, *self.KEYS).saveAsTable(self.name)
+        return self.rows().filter(F.col("level") == level)
+
+    def count(self, level_rows: DataFrame) -> DataFrame:
+        """Pages per crawl so far, carried on from level to level: only the new level is counted."""
+        new = level_rows.groupBy("crawl_id").agg(F.count(F.lit(1)).alias("_seen"))
+        both = new if self.counts is None else self.counts.unionByName(new).groupBy("crawl_id").agg(F.sum("_seen").alias("_seen"))
+        self.counts = cut_lineage(both)
+        return self.counts
+
+
 def crawl_frontier(
     links: DataFrame, seeds: DataFrame, rules: LinkRules, max_levels: int, limit: int | None = None,
-    robots: DataFrame | None = None, agents: list[str] | None = None,
+    robots: DataFrame | None = None, agents: list[str] | None = None, suffixes: DataFrame | None = None, buckets: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Level-by-level expansion over stored pages.
 
@@ -199,39 +255,47 @@ def crawl_frontier(
     url and start_url.  Pages count as one under ``urls.equivalence_key``.
     Returns (visited: crawl_id, url, level) and (denied: crawl_id, url, reason).
     Every level is written to the shared folder, which keeps the plan short and
-    lets a lost executor recompute one level only.  ``limit`` is the most pages
-    of one crawl; it cuts a level in the order of the URLs.
+    lets a lost executor recompute one level only; the pages seen so far are a
+    bucketed table that no level shuffles again.  The edges are not in buckets,
+    since one page may hold a large share of them and a bucket cannot be split.
+    ``limit`` is the most pages of one crawl; it cuts a level in the order of
+    the URLs.  ``suffixes`` is a table of public suffixes for the subdomain rule.
     """
     edges = cut_lineage(links.select(
         urls.equivalence_key(F.col("page_url")).alias("_from"), F.col("link").alias("url")))
     key = urls.equivalence_key(F.col("url"))
-    first = seeds.select("crawl_id", "url", "start_url", F.lit(0).alias("level"), key.alias("page_key"))
-    level_rows = cut_lineage(one_per_key(first, ["crawl_id", "page_key"], F.col("url")))
-    visited, denied = level_rows, None
+    url, start = F.col("url"), F.col("start_url")
+    visited = VisitedPages(seeds.sparkSession, buckets)
+    first = seeds.select("crawl_id", "url", "start_url", key.alias("page_key"))
+    level_rows = visited.append(one_per_key(visited.bucketed(first), list(visited.KEYS), url), 0)
+    denied = None
     for level in range(1, max_levels + 1):
         here = level_rows.select("crawl_id", "start_url", F.col("page_key").alias("_from"))
         out = here.join(edges, "_from").drop("_from").dropDuplicates(["crawl_id", "url"])
-        blocked = None
+        blocked = same = None
         if robots is not None:
             out = with_robots(out, robots, agents or ["*"], url="url")
             blocked = ~F.col("robots_allowed")
-        reason = denial_reason(F.col("url"), F.col("start_url"), F.col("start_url"), rules, blocked)
-        out = cut_lineage(out.select("crawl_id", "url", "start_url", F.lit(level).alias("level"), key.alias("page_key"), reason.alias("reason")))
+        if suffixes is not None and rules.allow_subdomains:
+            out = with_same_domain(out, url, start, suffixes, "_same_domain")
+            same = F.col("_same_domain")
+        reason = denial_reason(url, start, start, rules, blocked, same_domain=same)
+        out = cut_lineage(out.select("crawl_id", "url", "start_url", key.alias("page_key"), reason.alias("reason")))
         refused = out.filter(F.col("reason").isNotNull()).select("crawl_id", "url", "reason")
         denied = refused if denied is None else denied.unionByName(refused)
-        kept = one_per_key(out.filter(F.col("reason").isNull()).drop("reason"), ["crawl_id", "page_key"], F.col("url"))
-        new = kept.join(visited.select("crawl_id", "page_key"), ["crawl_id", "page_key"], "left_anti")
+        found = visited.bucketed(out.filter(F.col("reason").isNull()).drop("reason"))
+        new = one_per_key(visited.unseen(found), list(visited.KEYS), url)
         if limit is not None:
-            counts = visited.groupBy(F.struct("crawl_id").alias("_crawl")).agg(F.count(F.lit(1)).alias("_seen"))
-            ranked = newest_per_key(new, ["crawl_id"], [F.col("url")], limit, "_rank").withColumn("_crawl", F.struct("crawl_id"))
-            new = ranked.join(counts, "_crawl", "left").filter(F.col("_rank") <= limit - F.coalesce("_seen", F.lit(0))).drop("_rank", "_crawl", "_seen")
-        level_rows = cut_lineage(new)
+            counts = visited.count(level_rows).withColumn("_crawl", F.struct("crawl_id")).drop("crawl_id")
+            ranked = newest_per_key(new, ["crawl_id"], [url], limit, "_rank").withColumn("_crawl", F.struct("crawl_id"))
+            new = visited.bucketed(ranked.join(counts, "_crawl", "left").filter(
+                F.col("_rank") <= limit - F.coalesce("_seen", F.lit(0))).drop("_rank", "_crawl", "_seen"))
+        level_rows = visited.append(new, level)
         if level_rows.isEmpty():
             break
-        visited = visited.unionByName(level_rows)
     if denied is None:
         denied = first.limit(0).select("crawl_id", "url", F.lit("").alias("reason"))
-    return visited.select("crawl_id", "url", "level"), denied.dropDuplicates(["crawl_id", "url"])
+    return visited.rows().select("crawl_id", "url", "level"), denied.dropDuplicates(["crawl_id", "url"])
 
 
 # ------------------------------------------------------------------ site map

@@ -91,6 +91,41 @@ def u6_table(t):
     return domains.registered_domains(hosts, "host", table)
 
 
+def _suffix_table(t):
+    """Two- and three-label suffixes, taken from the hosts of the pages themselves."""
+    labels = F.split(urls.host(F.col("url")), r"\.")
+    tail = lambda k: F.array_join(F.slice(labels, F.greatest(F.size(labels) - (k - 1), F.lit(1)), F.lit(k)), ".").alias("suffix")
+    return t.pages.filter(F.pmod("page_id", F.lit(2)) == 0).select(tail(2)).unionByName(t.pages.filter(F.pmod("page_id", F.lit(7)) == 0).select(tail(3)))
+
+
+def _domain_sql(hosts):
+    """CTEs giving the registered domain d (NULL for a bare suffix) of each host in ``hosts`` by that table."""
+    return f"""h AS (SELECT DISTINCT host, string_split(host, '.') AS p FROM ({hosts})),
+s AS (SELECT DISTINCT array_to_string(string_split({sql(HOST)}, '.')[-2:], '.') AS rule FROM pages WHERE page_id % 2 = 0
+ UNION SELECT array_to_string(string_split({sql(HOST)}, '.')[-3:], '.') FROM pages WHERE page_id % 7 = 0),
+m AS (SELECT host, max(len(string_split(rule, '.'))) AS size FROM h JOIN s ON host = rule OR ends_with(host, '.' || rule) GROUP BY host),
+r AS (SELECT host, p, len(p) - coalesce(size, 1) AS subs, CASE WHEN len(p) > coalesce(size, 1) THEN array_to_string(p[-(coalesce(size, 1) + 1):], '.') END AS d
+ FROM h LEFT JOIN m USING (host))"""
+
+
+# Hosts get up to three labels in front, by the page's id.
+DEEP_HOST_SQL = f"SELECT page_id, ['', 'www.', 'a.b.', 'x.y.z.'][page_id % 4 + 1] || {sql(HOST)} AS host FROM pages"
+
+
+def _deep_host():
+    front = F.element_at(F.array(*map(F.lit, ("", "www.", "a.b.", "x.y.z."))), (F.pmod("page_id", F.lit(4)) + 1).cast("int"))
+    return F.concat(front, urls.host(F.col("url"))).alias("host")
+
+
+@query("U5_suffix_table", f"""
+WITH g AS ({DEEP_HOST_SQL}), {_domain_sql("SELECT host FROM g")}
+SELECT page_id, unnest(CASE WHEN d IS NULL THEN [] WHEN subs = 2 AND p[1] = 'www' THEN [d]
+ ELSE list_transform(range(1, subs + 1), lambda k: array_to_string(p[k:], '.')) END) AS domain FROM g JOIN r USING (host)""")
+def u5_table(t):
+    hosts = t.pages.select("page_id", _deep_host())
+    return domains.with_domain_splits(hosts, "host", _suffix_table(t)).select("page_id", F.explode("domains").alias("domain"))
+
+
 @query("U6_base_domain", f"""
 SELECT page_id, {sql(BARE)} = array_to_string(string_split({sql(HOST)}, '.')[-2:], '.') AND {sql(PATH)} = '/' AS is_base,
  array_to_string(string_split({sql(HOST)}, '.')[-2:], '.') AS base_domain FROM pages""")
@@ -280,6 +315,25 @@ def f7(t):
     return _links_and_pages(t).select("link", reason.alias("denial_reason"))
 
 
+DEEP_LINKS_SQL = f"""SELECT page_id, host AS link_host, lead(host) OVER (ORDER BY page_id) AS base_host FROM ({DEEP_HOST_SQL}) QUALIFY base_host IS NOT NULL"""
+
+
+@query("F7_suffix_table", f"""
+WITH g AS ({DEEP_LINKS_SQL}), {_domain_sql("SELECT link_host AS host FROM g UNION ALL SELECT base_host FROM g")}
+SELECT page_id, CASE WHEN regexp_replace(link_host, '^(www\\.)+', '') = regexp_replace(base_host, '^(www\\.)+', '') THEN NULL
+ WHEN a.d = b.d THEN NULL ELSE 'EXTERNAL_LINK' END AS denial_reason
+FROM g JOIN r a ON a.host = link_host JOIN r b ON b.host = base_host""")
+def f7_table(t):
+    # Every page's host, with more labels in front, as a link from the next page's host.
+    hosts = t.pages.select("page_id", _deep_host())
+    following = t.pages.select((F.col("page_id") - 1).alias("page_id"), _deep_host()).withColumnRenamed("host", "base_host")
+    site = lambda c: F.concat(F.lit("https://"), F.col(c), F.lit("/p"))
+    links = hosts.join(following, "page_id").select("page_id", site("host").alias("link"), site("base_host").alias("base"))
+    judged = crawl.with_same_domain(links, F.col("link"), F.col("base"), _suffix_table(t))
+    rules = crawl.LinkRules(allow_subdomains=True)
+    return judged.select("page_id", crawl.denial_reason(F.col("link"), F.col("base"), F.col("base"), rules, listing=False, same_domain=F.col("same_domain")).alias("denial_reason"))
+
+
 @query("F10_robots_filter", f"""
 SELECT page_id, CASE WHEN regexp_matches(p || q, '^/.*\\.html$') THEN false WHEN starts_with(p, '/en/1') THEN true WHEN starts_with(p || '/', '/en/') AND contains(h, '.com') THEN false
  WHEN starts_with(p, '/fr/') THEN false ELSE true END AS robots_allowed
@@ -453,6 +507,25 @@ def g1_levels(t):
     return _frontier(t, 3, None)
 
 
+# Every page starts a crawl; page i links to pages 3i+1, 3i+2 and 3i+3.  A crawl does not follow sections of its own host.
+FOUR_LEVELS_SQL = ",\n".join([f"""WITH p AS (SELECT page_id, url, {EQUIV} AS k, {sql(BARE)} AS host, contains(url, '#') AND NOT (length(split_part(url, '#', 2)) > 1
+  AND contains(split_part(url, '#', 2), '/')) AS section FROM pages),
+l AS (SELECT DISTINCT a.k AS f, b.k, b.url, b.host, b.section FROM p a JOIN p b ON (b.page_id - 1) // 3 = a.page_id AND b.page_id > 0),
+v0 AS (SELECT page_id AS crawl_id, k, url, 0 AS level FROM p)"""] + [f"""
+v{i} AS (SELECT * FROM v{i - 1} UNION ALL SELECT crawl_id, k, min(url), {i} FROM (SELECT crawl_id, l.k, l.url FROM v{i - 1} v JOIN l ON f = v.k JOIN p ON p.page_id = crawl_id WHERE level = {i - 1} AND NOT (l.section AND l.host = p.host))
+ WHERE (crawl_id, k) NOT IN (SELECT (crawl_id, k) FROM v{i - 1}) GROUP BY 1, 2)""" for i in range(1, 5)]) + "\nSELECT crawl_id, url, level FROM v4"
+
+
+@query("G1_four_levels", FOUR_LEVELS_SQL)
+def g1_four(t):
+    u = F.col("url")
+    child = t.pages.filter(F.col("page_id") > 0).select(F.floor((F.col("page_id") - 1) / 3).alias("page_id"), u.alias("link"))
+    links = t.pages.select("page_id", u.alias("page_url")).join(child, "page_id").select("page_url", "link")
+    seeds = t.pages.select(F.col("page_id").alias("crawl_id"), "url", F.concat(urls.scheme(u), F.lit("://"), urls.host(u), F.lit("/")).alias("start_url"))
+    rules = crawl.LinkRules(allow_external=True, allow_backward=True)
+    return crawl.crawl_frontier(links, seeds, rules, max_levels=4)[0]
+
+
 @query("G1_limit", _levels_sql(3, 5))
 def g1_limit(t):
     return _frontier(t, 3, 5)
@@ -464,7 +537,7 @@ v AS (SELECT DISTINCT {sql(BARE)} AS host, regexp_replace(url, '[?#].*$', '') AS
 n AS (SELECT host, k, arg_min(url, (ord, url)) AS url, min(ord) AS ord FROM c WHERE (host, k) NOT IN (SELECT (host, k) FROM v) GROUP BY 1, 2)
 SELECT host, url FROM n QUALIFY row_number() OVER (PARTITION BY host ORDER BY ord, url) <= 20 - (SELECT count(*) FROM v WHERE v.host = n.host)""")
 def d8_limit(t):
-    host = urls.bare_host(F.col("url")).alias("host") if hasattr(urls, "bare_host") else urls.host(F.col("url")).alias("host")
+    host = urls.bare_host(F.col("url")).alias("host")
     visited = t.pages.filter(F.pmod("page_id", F.lit(9)) == 1).select(host, "url")
     return dedup.unvisited(_variants(t).withColumn("host", host), visited, "url", drop_query=True, limit=20, order="ord", crawl="host").select("host", "url")
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from staygrid.functions import urls
 from staygrid.operators import dedup
+from staygrid.operators.ordered import one_per_key
 from staygrid.plans import crawl
 
 
@@ -164,3 +165,32 @@ def test_public_suffix_table(spark):
     blocked = spark.createDataFrame([("evil.a.b.c",)], "blocked string")
     assert {r.url: r.block_reason for r in crawl.with_block_reason(links, blocked, [], suffixes=rules).collect()} == {
         "https://a.evil.a.b.c/x": "domain", "https://ok.com/": None}
+
+
+def test_visited_pages_stay_in_their_buckets(spark):
+    """A level shuffles its candidates once and never the pages seen so far; hosts and levels as in the crawl."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        visited = crawl.VisitedPages(spark, 4)
+        seen = spark.createDataFrame([("c", f"u{i}", f"k{i}") for i in range(50)], "crawl_id string, url string, page_key string")
+        for level in range(3):
+            assert visited.append(visited.bucketed(seen.withColumn("page_key", F.concat("page_key", F.lit(f"-{level}")))), level).count() == 50
+        new = visited.bucketed(spark.createDataFrame([("c", "x", "k1-2"), ("c", "y", "new"), ("d", "z", "k1-2")], "crawl_id string, url string, page_key string"))
+        unseen = one_per_key(visited.unseen(new), list(visited.KEYS), F.col("url"))
+        plan = unseen._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        assert {tuple(r) for r in unseen.select("crawl_id", "url").collect()} == {("c", "y"), ("d", "z")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_frontier_by_suffix_table(spark):
+    """The suffix table decides what a subdomain is: a.co.zz and b.co.zz are two sites if co.zz is a suffix."""
+    links = spark.createDataFrame([("https://a.co.zz/", "https://b.co.zz/p"), ("https://a.co.zz/", "https://s.a.co.zz/p")], "page_url string, link string")
+    seeds = spark.createDataFrame([("c", "https://a.co.zz/", "https://a.co.zz/")], "crawl_id string, url string, start_url string")
+    rules = crawl.LinkRules(allow_subdomains=True)
+    for rows, want in ((["co.zz"], {"https://s.a.co.zz/p"}), (["zz"], {"https://s.a.co.zz/p", "https://b.co.zz/p"})):
+        suffixes = spark.createDataFrame([(r,) for r in rows], "suffix string")
+        visited, denied = crawl.crawl_frontier(links, seeds, rules, 2, suffixes=suffixes)
+        assert {r.url for r in visited.collect()} == want | {"https://a.co.zz/"}
+        assert denied.count() == 2 - len(want)
