@@ -6,6 +6,8 @@ and matches' lengths add up to each match's position.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,19 +48,43 @@ def source_class(raw: Column, model_name: str) -> Column:
     return F.when(raw == model_name, "model").when(raw.endswith("Recognizer"), "heuristics").otherwise("unknown")
 
 
+def _walked(
+    items: Column, empty: Column, step: Callable[[Column, Column, Column], Column], close: Callable[[Column], Column], closed: str,
+    shared: Callable[[Column, Column], Column] = lambda at, block: F.lit(0),
+) -> Column:
+    """Folds ``items`` into struct(at, out), where ``step`` appends to ``out``; ``out`` ends as a list of ``close``d parts.
+
+    Appending copies the list, so the items are taken in blocks of the root of their number: each block fills a list of its
+    own, which is closed and appended once.  ``shared`` is worked out once per block, for its steps.  There must be an item.
+    """
+    n = F.greatest(F.size(items), F.lit(1))
+    width = F.ceil(F.sqrt(n)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")), lambda k: F.slice(items, k * width + 1, width))
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{closed}>)").alias("out"))
+
+    def add(acc: Column, block: Column) -> Column:
+        inside = let(shared(acc["at"], block), lambda c: F.aggregate(
+            block, F.struct(acc["at"].alias("at"), empty.alias("out")), lambda a, s: step(a, s, c)))
+        return let(inside, lambda w: F.struct(w["at"].alias("at"), F.concat(acc["out"], F.array(close(w["out"]))).alias("out")))
+
+    return F.aggregate(blocks, start, add)
+
+
 def pattern_spans(text: Column, kind: str, pattern: str) -> Column:
     """array<struct<start, end, kind>> of all matches, offsets in characters."""
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)")
+    span = "struct<start:int,end:int,kind:string>"
+    empty = F.expr(f"cast(array() as array<{span}>)")
+
+    def step(acc: Column, s: Column, _: Column) -> Column:
+        end = acc["at"] + s["gap"] + s["size"]
+        found = F.struct((acc["at"] + s["gap"]).alias("start"), end.alias("end"), F.lit(kind).alias("kind"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
 
     def located(m: Column) -> Column:
         gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)), F.length)
         sized = F.zip_with(gaps, F.transform(m, F.length), lambda g, n: F.struct(g.alias("gap"), n.alias("size")))
-        start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-        walked = F.aggregate(sized, start, lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + s["size"]).alias("at"),
-            F.concat(acc["spans"], F.array(F.struct(
-                (acc["at"] + s["gap"]).alias("start"), (acc["at"] + s["gap"] + s["size"]).alias("end"), F.lit(kind).alias("kind")))).alias("spans")))
-        return F.when(F.size(m) == 0, empty).otherwise(walked["spans"])
+        spans = let(sized, lambda z: F.flatten(_walked(z, empty, step, lambda out: out, f"array<{span}>")["out"]))
+        return F.when(F.size(m) == 0, empty).otherwise(spans)
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), located)
 
@@ -90,8 +116,6 @@ def redacted(text: Column, spans: Column, style: str = "tag") -> Column:
     """Text with spans replaced by a tag, a mask or nothing; overlaps are skipped."""
     if style not in ("tag", "mask", "remove"):
         raise ValueError("style must be tag, mask or remove")
-    n = F.length(text)
-
     def put(s: Column) -> Column:
         if style == "tag":
             return F.concat(F.lit("<"), s["kind"], F.lit(">"))
@@ -102,11 +126,18 @@ def redacted(text: Column, spans: Column, style: str = "tag") -> Column:
     # By start only, keeping the given order among equals.
     numbered = F.transform(spans, lambda s, i: F.struct(
         s["start"].alias("start"), i.alias("i"), s["end"].alias("end"), s["kind"].alias("kind")))
-    begin = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit(0).alias("at"))
-    walked = F.aggregate(F.sort_array(numbered), begin, lambda acc, s: F.when(
-        (s["start"] < acc["at"]) | (s["start"] > n), acc).otherwise(F.struct(
-            F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), put(s))).alias("out"),
-            F.least(s["end"], n).alias("at"))))
+    # A place in a text is found by counting from its beginning, so each block has its stretch of the text.
+    def stretch(at: Column, block: Column) -> Column:
+        return F.struct(at.alias("base"), F.substr(text, at + 1, F.greatest(F.lit(0), F.element_at(block, -1)["start"] - at)).alias("text"))
+
+    def step(n: Column, acc: Column, s: Column, c: Column) -> Column:
+        kept = F.array(F.substr(c["text"], acc["at"] - c["base"] + 1, s["start"] - acc["at"]), put(s))
+        return F.when((s["start"] < acc["at"]) | (s["start"] > n), acc).otherwise(F.struct(
+            F.least(s["end"], n).alias("at"), F.concat(acc["out"], kept).alias("out")))
+
+    empty = F.expr("cast(array() as array<string>)")
+    walked = let(F.sort_array(numbered), lambda z: let(F.length(text), lambda n: _walked(
+        z, empty, lambda acc, s, c: step(n, acc, s, c), lambda out: F.array_join(out, ""), "string", stretch)))
     tail = lambda w: F.concat(F.array_join(w["out"], ""), F.substr(text, w["at"] + 1))
     return F.when(F.size(spans) == 0, text).otherwise(let(walked, tail))
 

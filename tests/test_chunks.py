@@ -103,3 +103,33 @@ def test_table_function_limits(spark):
     chunks.register_table_functions(spark)
     with pytest.raises(Exception, match="max_chars must be positive"):
         spark.sql("SELECT * FROM chunk_markdown('abc', 0, 10)").collect()
+
+
+def _plain_redaction(text, spans):
+    out, at = [], 0
+    for start, end, kind in sorted(spans, key=lambda s: s[0]):
+        if start < at or start > len(text):
+            continue
+        out += [text[at:start], f"<{kind}>"]
+        at = min(end, len(text))
+    return "".join(out) + text[at:]
+
+
+def test_redaction_of_many_spans(spark):
+    """Overlapping, equal, empty and far spans in any number, against a plain loop; block borders change nothing."""
+    import random
+    r = random.Random(5)
+    rows = []
+    for i, n in enumerate([1, 2, 3, 4, 5, 9, 10, 50, 300]):
+        text = "".join(r.choice("ab é漢😀\n") for _ in range(200))
+        spans = [(s, s + r.randrange(6), r.choice("AB")) for s in (r.randrange(205) for _ in range(n))]
+        rows.append((i, text, spans))
+    df = spark.createDataFrame(rows, "id int, t string, s array<struct<start:int,end:int,kind:string>>")
+    got = {x.id: x.out for x in df.select("id", redaction.redacted(F.col("t"), F.col("s")).alias("out")).collect()}
+    assert got == {i: _plain_redaction(t, s) for i, t, s in rows}
+
+
+def test_spans_of_a_text_full_of_matches(spark):
+    body = " ".join(f"a{i}@b.co" for i in range(3000))
+    rows = redaction.span_rows(spark.createDataFrame([(1, body)], "id int, t string"), ["id"], "t").collect()
+    assert [body[x.start:x.end] for x in rows] == body.split(" ")
