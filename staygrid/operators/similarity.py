@@ -3,10 +3,13 @@
 Two sets whose Jaccard similarity is at least t share one of their rarest words: of n words, the first
 n - ceil(t n) + 1 in the order of rising frequency.  So texts meet by equi-joins on those words alone, and only in
 neighbouring size bands, since similar sets are of similar size.  Where the two words stand in their sets bounds the
-overlap that is still possible, which drops most candidates before any set is compared.  A word that many texts have
+overlap that is still possible, which drops most candidates before any set is compared.  A word that many texts of a band have
 among their rarest is not a key by itself: there, texts must share a second word as well (similar sets share two of
 their n - ceil(t n) + 2 rarest), so hot words split into rare word pairs.
 
+Words travel as hashes.  Candidates are first compared by sketches, two to four parity bits per word: where two sketches
+differ, at least as many words do, so only pairs that may be similar get their words.
+
 Texts with equal word sets are one class.  Pairs are reported between classes, membership apart, so a thousand copies
 are a thousand rows and not half a million pairs.
 """
@@ -19,21 +22,26 @@ from pyspark.sql import functions as F
 from ..functions.text import word_set
 from ..session import cut_lineage
 
-#: Classes that may have a word among their rarest before it only counts together with another one.
+#: Classes of one size band that may have a word among their rarest before it only counts together with another one.
 HOT = 64
 
 
-def text_classes(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(id, class_id, words) for every row with a text; ``class_id`` is the smallest id with the same word set.
+def text_classes(df: DataFrame, row_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(members, sets): (id, class_id) for every row with a text, and (class_id, words) for every class with words.
 
-    Texts without a word are in one class only if they are equal.  Stored, since several steps read it.
+    ``class_id`` is the smallest id with the same word set.  Texts without a word are in one class only if they are
+    equal.  Stored, since several steps read it; the words are shuffled once.
     """
     words = F.array_sort(word_set(F.col(text)))
     key = F.sha2(F.when(F.size("words") > 0, F.to_json("words")).otherwise(F.col(text)), 256)
     rows = df.filter(F.col(text).isNotNull() & F.col(row_id).isNotNull()).select(F.col(row_id).alias("id"), F.col(text), words.alias("words"))
     keyed = cut_lineage(rows.select("id", "words", key.alias("_key")))
-    named = keyed.groupBy("_key").agg(F.min("id").alias("class_id"))
-    return cut_lineage(keyed.join(named, "_key").select("id", "class_id", "words"))
+    named = cut_lineage(keyed.groupBy("_key").agg(F.min("id").alias("class_id")))
+    members = keyed.select("id", "_key").join(named, "_key").select("id", "class_id")
+    # An id that comes with several texts has one set.
+    chosen = named.groupBy("class_id").agg(F.min("_key").alias("_key"))
+    own = keyed.filter(F.size("words") > 0).join(chosen, "_key").filter(F.col("id") == F.col("class_id"))
+    return members, cut_lineage(own.groupBy("_key").agg(F.first("class_id").alias("class_id"), F.first("words").alias("words")).select("class_id", "words"))
 
 
 def _least_overlap(a: Column, b: Column, least: float) -> Column:
@@ -41,36 +49,67 @@ def _least_overlap(a: Column, b: Column, least: float) -> Column:
     return F.ceil((a + b) * (least / (1 + least)) - 1e-9)
 
 
-def similar_classes(classes: DataFrame, least: float = 0.95, hot: int = HOT) -> DataFrame:
-    """(a, b, similarity) for all pairs a < b of classes (class_id, words) with a similarity of at least ``least``."""
+def _sketches(listed: DataFrame) -> DataFrame:
+    """(class_id, n, sketch) for (class_id, n, word hash): how many words fall on each bit, odd or even, as 64 bits a slot.
+
+    The number of slots is a power of two, so that a longer sketch folds onto a shorter one.
+    """
+    slots = F.greatest(F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / 32))), F.lit(1)).cast("int")
+    word = F.col("word")
+    bits = listed.select("class_id", "n", F.pmod(F.shiftright(word, 6), slots).cast("int").alias("slot"), F.expr("shiftleft(1L, cast(word & 63L as int))").alias("bit"))
+    filled = bits.groupBy("class_id", "n", "slot").agg(F.bit_xor("bit").alias("bits"))
+    grouped = filled.groupBy("class_id", "n").agg(F.map_from_entries(F.collect_list(F.struct("slot", "bits"))).alias("_at"))
+    sketch = F.transform(F.sequence(F.lit(0), slots - 1), lambda i: F.coalesce(F.try_element_at("_at", i), F.lit(0).cast("long")))
+    return grouped.select("class_id", "n", sketch.alias("sketch"))
+
+
+def _flips(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ; no more than the words that only one of the sets has."""
+    slots = F.least(F.size(a), F.size(b))
+
+    def folded(s: Column, i: Column) -> Column:
+        places = F.sequence(i, F.size(s) - 1, slots)
+        return F.aggregate(places, F.lit(0).cast("long"), lambda acc, p: acc.bitwiseXOR(F.get(s, p)))
+
+    each = F.transform(F.sequence(F.lit(0), slots - 1), lambda i: F.bit_count(folded(a, i).bitwiseXOR(folded(b, i))))
+    return F.aggregate(each, F.lit(0), lambda acc, x: acc + x)
+
+
+def similar_classes(sets: DataFrame, least: float = 0.95, hot: int = HOT) -> DataFrame:
+    """(a, b, similarity) for all pairs a < b of stored sets (class_id, words) with a similarity of at least ``least``."""
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
-    sets = classes.filter((F.col("id") == F.col("class_id")) & (F.size("words") > 0)).select("class_id", "words").dropDuplicates(["class_id"])
     n = F.size("words")
-    listed = sets.select("class_id", n.alias("n"), F.explode("words").alias("word"))
+    listed = sets.select("class_id", n.alias("n"), F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("word"))
     frequency = listed.groupBy("word").agg(F.count(F.lit(1)).alias("f"))
     # One more word than the prefix, for pairs of words.
     size = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 2
     rarest = listed.join(frequency, "word").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "word"))).alias("_by"))
     rarest = cut_lineage(rarest.select("class_id", "n", F.slice("_by", F.lit(1), size.cast("int")).alias("first"), (size - 1).alias("prefix")))
-    common = rarest.select(F.explode(F.slice("first", F.lit(1), F.col("prefix").cast("int"))).alias("w")).groupBy(F.col("w.word").alias("word")).agg(
-        F.count(F.lit(1)).alias("in_prefix"))
-    placed = rarest.select("class_id", "n", "first", "prefix", F.posexplode("first").alias("at", "w")).filter(F.col("at") < F.col("prefix"))
-    marked = placed.withColumn("word", F.col("w.word")).join(common.filter(F.col("in_prefix") > hot), "word", "left")
-    later = F.transform(F.slice("first", F.col("at") + 2, F.greatest(F.size("first") - F.col("at") - 1, F.lit(0))), lambda x: x["word"])
-    alone = F.array(F.lit(""))
-    # Sets so small that one common word makes them similar have no second one.
-    second = F.when(F.col("in_prefix").isNull(), alone).when(F.col("n") * least <= 1 + 1e-9, F.concat(alone, later)).otherwise(later)
     # Sizes of similar sets differ by less than one band; a set visits the band above its own.
     band = F.floor(F.log("n") / F.log(F.lit(1 / (least - 1e-6)))).cast("long")
-    keyed = marked.select("class_id", "n", "at", "word", band.alias("band"), F.explode(second).alias("second"))
-    home = keyed.select("word", "second", "band", F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
-    guests = keyed.select("word", "second", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("own"),
-                          F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    placed = rarest.select("class_id", "n", "prefix", F.posexplode("first").alias("at", "w")).filter(F.col("at") < F.col("prefix"))
+    visits = placed.select("class_id", "n", "at", F.col("w.word").alias("word"), band.alias("own")).withColumn(
+        "band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    common = cut_lineage(visits.groupBy("word", "band").agg(F.count(F.lit(1)).alias("_in")).filter(F.col("_in") > hot).select("word", "band"))
+    alone = visits.join(common, ["word", "band"], "left_anti").withColumn("second", F.lit(0).cast("long"))
+    # Only the places of common words need the words that follow them.
+    busy = visits.join(common, ["word", "band"], "left_semi").join(rarest.select("class_id", "first"), "class_id")
+    later = F.transform(F.slice("first", F.col("at") + 2, F.greatest(F.size("first") - F.col("at") - 1, F.lit(0))), lambda x: x["word"])
+    # Sets so small that one common word makes them similar have no second one.
+    second = F.when(F.col("n") * least <= 1 + 1e-9, F.concat(F.array(F.lit(0).cast("long")), later)).otherwise(later)
+    keyed = alone.unionByName(busy.select(*visits.columns, F.explode(second).alias("second")))
+    home = keyed.filter(F.col("own") == F.col("band")).select("word", "second", "band", F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    guests = keyed.select("word", "second", "band", "own", F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
     met = guests.join(home, ["word", "second", "band"]).filter((F.col("own") < F.col("band")) | (F.col("a") < F.col("b")))
     possible = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
     close = met.filter((possible >= _least_overlap(F.col("na"), F.col("nb"), least)) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9))
     pairs = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sketches = cut_lineage(_sketches(listed))
+    first, other = (sketches.select(F.col("class_id").alias(c), F.col("n").alias(f"_n{c}"), F.col("sketch").alias(f"_s{c}")) for c in "ab")
+    apart = F.col("_na") + F.col("_nb") - 2 * _least_overlap(F.col("_na"), F.col("_nb"), least)
+    # Stored: few pairs are left, and the next joins know how few.
+    pairs = cut_lineage(pairs.join(first, "a").join(other, "b").filter(_flips(F.col("_sa"), F.col("_sb")) <= apart).select("a", "b"))
     left, right = sets.select(F.col("class_id").alias("a"), F.col("words").alias("_wa")), sets.select(F.col("class_id").alias("b"), F.col("words").alias("_wb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("_n", F.size(F.array_intersect("_wa", "_wb")))
     scored = both.withColumn("similarity", F.col("_n") / (F.size("_wa") + F.size("_wb") - F.col("_n")))
@@ -83,7 +122,7 @@ def similar_texts(df: DataFrame, row_id: str, text: str, least: float = 0.95, ho
     The similarity is that of ``functions.text.word_set_similarity``; members of one class have 1.  Rows without an id or
     a text are left out.  ``hot`` changes the work, not the result.
     """
-    classes = text_classes(df, row_id, text)
+    classes, sets = text_classes(df, row_id, text)
     sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    members = classes.select("id", "class_id").join(sizes, "class_id").select("id", "class_id", "class_size")
-    return members, similar_classes(classes, least, hot)
+    members = classes.join(sizes, "class_id").select("id", "class_id", "class_size")
+    return members, similar_classes(sets, least, hot)
