@@ -50,7 +50,8 @@ def locations(flat: DataFrame) -> DataFrame:
     fields = ["street_address", "city", "country", "full_address"]
     return parts.select(
         "hotel_id", *[_null_if_empty(F.col(f"_a.{f}")).alias(f) for f in fields],
-        F.col("latitude").cast("decimal(10,8)").alias("latitude"), F.col("longitude").cast("decimal(11,8)").alias("longitude"),
+        # What these types cannot hold is no place on earth and becomes NULL; the record stays.
+        F.col("latitude").try_cast("decimal(10,8)").alias("latitude"), F.col("longitude").try_cast("decimal(11,8)").alias("longitude"),
     ).dropDuplicates()
 
 
