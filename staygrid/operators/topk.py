@@ -36,7 +36,12 @@ def nearest_batch(
     """
     rows = vectors_df.filter(F.col(vec_col).isNotNull()).select(F.col(id_col), F.col(vec_col).cast("array<double>").alias("_v"))
     asked = queries.filter(F.col(query_vec).isNotNull()).select(F.col(query_id), F.col(query_vec).cast("array<double>").alias("_q"))
-    over, across = (max(1, -(-df.count() // n)) for df, n in ((asked, query_rows), (rows, vector_rows)))
+    n_asked, n_rows = asked.count(), rows.count()
+    # Slices double while there are more pairs of them than the cores need, up to what a task may hold: they travel less.
+    enough = 16 * vectors_df.sparkSession.sparkContext.defaultParallelism
+    while -(-n_asked // query_rows) * -(-n_rows // vector_rows) > enough and (query_rows < QUERY_ROWS or vector_rows < VECTOR_ROWS):
+        query_rows, vector_rows = max(query_rows, min(2 * query_rows, QUERY_ROWS)), max(vector_rows, min(2 * vector_rows, VECTOR_ROWS))
+    over, across = (max(1, -(-n // size)) for n, size in ((n_asked, query_rows), (n_rows, vector_rows)))
 
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -51,6 +56,7 @@ def nearest_batch(
         if asked_part.empty or row_part.empty:
             return pd.DataFrame({query_id: [], id_col: [], "similarity": []})
         matrix, vecs = np.stack(asked_part["_q"].to_numpy()), np.stack(row_part["_v"].to_numpy())
+        asked_ids = asked_part[query_id].to_numpy()
         ids, lengths = row_part[id_col].to_numpy(), np.linalg.norm(vecs, axis=1)
         out = []
         for at in range(0, len(matrix), 256):  # scores of some queries at a time
@@ -59,11 +65,15 @@ def nearest_batch(
             with np.errstate(divide="ignore", invalid="ignore"):
                 sim = np.where(size == 0, 0.0, some @ vecs.T / size)
             least = np.partition(sim, -k, axis=1)[:, -k] if sim.shape[1] > k else np.full(len(sim), -np.inf)
-            for j, qid in enumerate(asked_part[query_id].to_numpy()[at:at + 256]):
-                near = np.flatnonzero(sim[j] >= least[j])
-                top = near[np.lexsort((ids[near], -sim[j, near]))[:k]]
-                out.append(pd.DataFrame({query_id: qid, id_col: ids[top], "similarity": sim[j, top]}))
-        return pd.concat(out)
+            # All rows that may be among the first k, of all these queries at once.
+            asks, near = np.nonzero(sim >= least[:, None])
+            score = sim[asks, near]
+            order = np.lexsort((ids[near], -score, asks))
+            asks, near, score = asks[order], near[order], score[order]
+            place = np.arange(len(asks)) - np.searchsorted(asks, asks)
+            asks, near, score = asks[place < k], near[place < k], score[place < k]
+            out.append((asked_ids[at + asks], ids[near], score))
+        return pd.DataFrame({name: np.concatenate(part) for name, part in zip((query_id, id_col, "similarity"), zip(*out))})
 
     kinds = dict(queries.dtypes), dict(vectors_df.dtypes)
     schema = f"{query_id} {kinds[0][query_id]}, {id_col} {kinds[1][id_col]}, similarity double"
