@@ -33,6 +33,11 @@ def page_events(
     out = ", ".join([f"`{k}` {types[k]}" for k in keys]) + f", {row_id} {types[row_id]}, status string, first_seen timestamp, seen_at timestamp"
     names = [*keys, row_id, "status", "first_seen", "seen_at"]
 
+    def in_order(row):
+        # Missing values last.
+        at, rid = row[:2]
+        return (at is pd.NaT, 0 if at is pd.NaT else at.value, pd.isna(rid), 0 if pd.isna(rid) else rid)
+
     def step(key, batches, state: GroupState):
         rows = []
         signature, first, last, removed = state.get if state.exists else (None, None, None, False)
@@ -41,8 +46,9 @@ def page_events(
             state.remove()
             yield pd.DataFrame(rows, columns=names)
             return
-        captured = pd.concat(list(batches)).sort_values(["_ts", "_id"])
-        for at, rid, sig, code in zip(captured["_ts"], captured["_id"], captured["_sig"], captured["_code"]):
+        # Plain rows: most pages have a few, for which another data frame costs more than the work.
+        captured = [row for part in batches for row in zip(part["_ts"], part["_id"], part["_sig"], part["_code"])]
+        for at, rid, sig, code in sorted(captured, key=in_order):
             first = first if first is not None else at
             if code == 404:
                 status = "removed"
