@@ -146,7 +146,9 @@ def s1(t):
 def s3(t):
     # One file per page, as a crawler leaves them.
     path = work_path(t.spark, "html")
-    t.pages.select("page_id", "html").repartition(32, "page_id").select("html").write.option("maxRecordsPerFile", 1).text(path)
+    # Tasks put their files in place themselves; by default the driver would rename them all, one after the other.
+    t.pages.select("page_id", "html").repartition(32, "page_id").select("html").write.option("maxRecordsPerFile", 1).option(
+        "mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
     page = F.regexp_replace("html", r"\n\z", "")
     rows = files.read_html_folder(t.spark, path, ".txt")
     return rows.select(F.sha2(page, 256).alias("html_hash"), F.length(page).alias("n_chars"))
