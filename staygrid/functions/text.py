@@ -1,14 +1,14 @@
 """Text expressions: ``Column -> Column``.
 
 Everything is a JVM-side expression except NFC normalisation, which Spark has
-no built-in for and which runs as one Arrow-batched function.
+no built-in for and which runs as one function on Arrow batches.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -63,9 +63,16 @@ NUMBER = r"\d+(?:\.\d+)?"
 TABLE_RULE_LINE = r"(?m)^[^\S\n]*+(?:\|\s*:?-+:?\s*)+\|[^\S\n]*+$"
 
 
-@F.pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
+#: Texts of a batch that are Python objects at a time.
+NFC_ROWS = 64
+
+
+@F.arrow_udf(StringType())
+def nfc(s: pa.Array) -> pa.Array:
+    # The batch itself stays in Arrow, a few texts at a time leave it.
+    parts = (s.slice(at, NFC_ROWS).to_pylist() for at in range(0, len(s), NFC_ROWS))
+    done = [pa.array([None if v is None else unicodedata.normalize("NFC", v) for v in part], pa.string()) for part in parts]
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
 
 def strip(c: Column) -> Column:
