@@ -87,11 +87,12 @@ def _opened(rows: DataFrame, keys: list[str]) -> DataFrame:
 def json_diff(pairs: DataFrame, keys: list[str], previous: str, current: str) -> DataFrame:
     """Rows (keys, path, previous, current) for every differing leaf, with its JSON text on both sides (NULL: not there).
 
-    Both documents are VARIANTs that are opened side by side, level by level, inside the row: no shuffle and no Python.
+    Both documents are VARIANTs that are opened side by side, level by level, inside the row, without a shuffle.
     Where the sides have different shapes the whole subtree is one entry.  White space, characters without width and the
     Unicode form of a string do not count, nor does the way a number is written.
     """
-    changed = spread(pairs, *keys).filter(~F.col(previous).eqNullSafe(F.col(current)))
+    # Stored, since the pairs are looked at twice; so are the differing leaves below, of which there are three kinds.
+    changed = cut_lineage(spread(pairs, *keys).filter(~F.col(previous).eqNullSafe(F.col(current))).select(*keys, previous, current))
     levels = changed.agg(F.max(F.least(_nesting(F.col(previous)), _nesting(F.col(current))))).first()[0] or 0
     rows = changed.select(*keys, F.lit("").alias("path"), F.expr(_document(f"`{previous}`")).alias("a"), F.expr(_document(f"`{current}`")).alias("b"))
     for level in range(levels):
@@ -102,7 +103,7 @@ def json_diff(pairs: DataFrame, keys: list[str], previous: str, current: str) ->
     staged = rows.select(*keys, "path", F.expr("to_json(a)").alias("previous"), F.expr("to_json(b)").alias("current"),
                          F.expr("schema_of_variant(a)").alias("_ka"), F.expr("schema_of_variant(b)").alias("_kb"),
                          F.expr("try_variant_get(a, '$', 'string')").alias("_ta"), F.expr("try_variant_get(b, '$', 'string')").alias("_tb"))
-    differing = staged.filter(~F.col("previous").eqNullSafe(F.col("current")))
+    differing = cut_lineage(staged.filter(~F.col("previous").eqNullSafe(F.col("current"))))
     numeric = lambda k: F.col(k).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
     same_number = numeric("_ka") & numeric("_kb") & ((F.col("_ka") == "DOUBLE") | (F.col("_kb") == "DOUBLE")) & (
         F.col("previous").try_cast("double") == F.col("current").try_cast("double"))
