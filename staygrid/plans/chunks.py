@@ -178,15 +178,20 @@ def assembled(spans: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame
     A chosen table row brings its header, code lines get their fence back, text
     spans of one block become one paragraph.  A group is one document's block.
     """
-    marks = chosen.select(*keys, "pos", F.lit(True).alias("_chosen")).distinct()
-    tagged = spans.join(marks, [*keys, "pos"], "left")
+    # Joined by document, so that one shuffle of the spans serves the join and both groupings: 64 places a bit set.
+    marks = chosen.select(*keys, F.floor(F.col("pos") / 64).cast("int").alias("_slot"), F.expr("shiftleft(1L, cast(pmod(pos, 64) as int))").alias("_bit"))
+    slots = marks.groupBy(*keys, "_slot").agg(F.bit_or("_bit").alias("_bits")).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("_slot", "_bits"))).alias("_marks"))
+    slot = F.try_element_at("_marks", F.floor(F.col("pos") / 64).cast("int"))
+    bit = slot.bitwiseAND(F.expr("shiftleft(1L, cast(pmod(pos, 64) as int))")) != 0
+    tagged = spans.join(slots, keys, "left").withColumn("_chosen", F.coalesce(bit, F.lit(False))).drop("_marks")
     cells = F.split("text", r" \| ")
     header = F.concat(
         F.lit("| "), F.array_join(F.transform(cells, lambda c: F.replace(c, F.lit("*"), F.lit("\\*"))), " | "), F.lit(" |\n| "),
         F.array_join(F.transform(cells, lambda c: F.lit("---")), " | "), F.lit(" |"))
     line = F.when(F.col("kind") != "table", F.col("text")).when(F.col("is_header"), header).otherwise(
         F.concat(F.lit("| "), "text", F.lit(" |")))
-    picked = F.coalesce("_chosen", F.lit(False))
+    picked = F.col("_chosen")
     entry = F.struct("pos", line.alias("line"))
     # A header joins when it was chosen or any row of its table was.
     wanted = F.when(picked | F.col("is_header"), entry)

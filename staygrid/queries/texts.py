@@ -6,7 +6,7 @@ from ..functions import text, vectors
 from ..operators import changes, similarity
 from ..operators.ordered import DAY, Even, micros, previous_in_order
 from ..plans import chunks, redaction
-from ..session import spread
+from ..session import cut_lineage, spread
 from .registry import query
 
 FROM_LETTERS = "".join(text.FOLDED_LETTERS.values())
@@ -272,7 +272,7 @@ def x3(t):
 SELECT doc_id, sha256(string_agg(CASE kind WHEN 'code' THEN '```py' || chr(10) || lines || chr(10) || '```' WHEN 'table' THEN lines ELSE prose END, chr(10) || chr(10) ORDER BY place)) AS answer_hash
 FROM blocks GROUP BY doc_id""")
 def x4(t):
-    spans = chunks.spans_of(_markdown(t), ["doc_id"], "md")
+    spans = cut_lineage(chunks.spans_of(_markdown(t), ["doc_id"], "md"))  # read twice
     chosen = spans.filter(F.pmod(F.col("pos") * 7 + _d(), F.lit(4)) == 0).select("doc_id", "pos")
     return chunks.assembled(spans, chosen, ["doc_id"]).select("doc_id", F.sha2("answer", 256).alias("answer_hash"))
 
