@@ -227,7 +227,8 @@ class _MarkdownSpans:
 
 
 chunk_markdown = F.udtf(_ChunkMarkdown, returnType="chunk_no int, start int, content string", useArrow=True)
-md_spans = F.udtf(_MarkdownSpans, returnType="pos int, block int, kind string, text string, lang string, is_header boolean", useArrow=True)
+# Not in Arrow: a batch of it is 10,000 texts with all their rows, here it is 100 texts.
+md_spans = F.udtf(_MarkdownSpans, returnType="pos int, block int, kind string, text string, lang string, is_header boolean", useArrow=False)
 
 
 def register_table_functions(spark: SparkSession) -> None:
