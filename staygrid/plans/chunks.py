@@ -67,8 +67,13 @@ def boundary_pieces(text: str, max_chars: int = MAX_CHARS, max_bytes: int = MAX_
     return out
 
 
-def at_boundaries(docs: DataFrame, keys: list[str], body: str, max_chars: int = MAX_CHARS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Non-overlapping chunks cut at natural boundaries (keys, chunk_no, start, content)."""
+def at_boundaries(
+    docs: DataFrame, keys: list[str], body: str, max_chars: int = MAX_CHARS, max_bytes: int = MAX_BYTES, dealt: bool = False,
+) -> DataFrame:
+    """Non-overlapping chunks cut at natural boundaries (keys, chunk_no, start, content).
+
+    ``dealt``: the rows are on all cores already, and texts that were made since then are not shuffled.
+    """
     if max_chars <= 0 or max_bytes <= 0:
         raise ValueError("max_chars and max_bytes must be positive")
     if max_bytes < 4:
@@ -78,7 +83,7 @@ def at_boundaries(docs: DataFrame, keys: list[str], body: str, max_chars: int =
     def split(s: pd.Series) -> pd.Series:
         return s.map(lambda v: [{"start": a, "content": p} for a, p in boundary_pieces(v, max_chars, max_bytes)], na_action="ignore")
 
-    rows = spread(docs, *keys).select(*keys, F.posexplode(split(body)).alias("chunk_no", "_c"))
+    rows = (docs if dealt else spread(docs, *keys)).select(*keys, F.posexplode(split(body)).alias("chunk_no", "_c"))
     return rows.select(*keys, "chunk_no", "_c.start", "_c.content")
 
 
