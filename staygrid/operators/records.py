@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,35 +56,35 @@ def merge_records(
     mask = F.concat(*[F.when(F.col(f).isNotNull(), "1").otherwise("0") for f in fields])
     full, empty = "1" * len(fields), "0" * len(fields)
     # Used several times below; stored once, already collapsed.
-    tagged = cut_lineage(facts.withColumn("_mask", mask).withColumn("_lone", nulls))
+    tagged = cut_lineage(facts.withColumn("_mask", mask).withColumn("_lone", nulls).withColumn("_node", F.monotonically_increasing_id()))
     gappy = tagged.filter((F.col("_mask") != full) & ~F.col("_lone"))
     complete = tagged.filter((F.col("_mask") == full) & ~F.col("_lone"))
 
     def signature(m: Column) -> Column:
-        return F.xxhash64(m, *[F.when(F.substring(m, i + 1, 1) == "1", F.col(f)) for i, f in enumerate(fields)])
+        return F.xxhash64(*block, m, *[F.when(F.substring(m, i + 1, 1) == "1", F.col(f)) for i, f in enumerate(fields)])
 
-    probes = gappy.filter(F.col("_mask") != empty).select(*block, F.col("_mask").alias("_m"), signature(F.col("_mask")).alias("_sig")).distinct()
-    row_key = F.xxhash64(*block, *fields)
-    keyed = complete.withColumn("_row", row_key)
+    # Keys are hashed: where two are hashed alike, one more record is merged with the others, which changes no result.
+    some = gappy.filter(F.col("_mask") != empty)
+    probes = some.select(signature(F.col("_mask")).alias("_sig")).distinct()
+    keyed = complete.withColumn("_row", F.xxhash64(*block, *fields))
     # Only the kinds of gaps that a block has are tried on its complete records.
-    tried = keyed.join(probes.select(*block, "_m").distinct(), block).withColumn("_sig", signature(F.col("_m")))
-    touched = tried.join(probes, [*block, "_m", "_sig"], "left_semi").select(*block, "_row")
+    tried = keyed.join(some.select(*block, F.col("_mask").alias("_m")).distinct(), block).select("_row", signature(F.col("_m")).alias("_sig"))
+    agreeing = tried.join(probes, "_sig", "left_semi").select("_row")
     firsts = tagged.filter((F.col("_mask") != empty) & ~F.col("_lone")).join(
         gappy.filter(F.col("_mask") == empty).select(*block).distinct(), block, "left_semi").groupBy(*block).agg(F.min("first_ord").alias("_first"))
-    earliest = keyed.join(firsts, block).filter(F.col("first_ord") == F.col("_first")).select(*block, "_row")
-    touched = touched.unionByName(earliest).distinct()
-    apart = keyed.join(touched, [*block, "_row"], "left_anti").drop("_row")
-    joined = keyed.join(touched, [*block, "_row"], "left_semi").drop("_row")
+    earliest = keyed.join(firsts, block).filter(F.col("first_ord") == F.col("_first")).select("_row")
+    touched = cut_lineage(agreeing.unionByName(earliest).distinct())
+    apart = keyed.join(touched, "_row", "left_anti").drop("_row")
+    joined = keyed.join(touched, "_row", "left_semi").drop("_row")
     out_cols = [*block, *fields, *arrays, "first_ord", "sources"]
-    work = gappy.unionByName(joined).select(*out_cols)
-    work = _parted(work, block, fields, mask, empty, crowded)
-    inner = [c for c in out_cols if c not in block]
-    item = F.struct("first_ord", *[F.col(c) for c in inner if c != "first_ord"])
+    work = _parted(gappy.unionByName(joined), block, fields, empty, crowded)
+    inner = ["first_ord", *[c for c in out_cols if c not in block and c != "first_ord"]]
     schema = T.StructType([work.schema[c] for c in inner])
-    merge = F.pandas_udf(_merger(fields, arrays, inner), T.ArrayType(schema))
-    # One row per block, or part of a crowded one, of records that really can merge.
-    blocks = work.groupBy(*block, "_part").agg(F.sort_array(F.collect_list(item)).alias("_items"))
-    merged = blocks.select(*block, F.explode(merge("_items")).alias("_m")).select(*block, "_m.*").select(*out_cols)
+    merge = F.arrow_udf(_merger(fields, arrays), T.ArrayType(schema))
+    # One row per block, or part of a crowded one, of records that really can merge; a record alone stays as it is.
+    blocks = work.groupBy(*block, "_part").agg(F.sort_array(F.collect_list(F.struct(*inner))).alias("_items"))
+    several = F.size("_items") > 1
+    merged = blocks.select(*block, F.explode(F.when(several, merge(F.when(several, F.col("_items")))).otherwise(F.col("_items"))).alias("_m")).select(*block, "_m.*").select(*out_cols)
     # Complete records with the same values differ in their arrays at most; these are put together in order.
     in_order = F.sort_array(F.collect_list(F.struct("first_ord", *arrays)))
     whole = apart.groupBy(*block, *fields).agg(
@@ -96,53 +96,55 @@ def merge_records(
     return merged.unionByName(alone)
 
 
-def _parted(work: DataFrame, block: list[str], fields: list[str], mask: Column, empty: str, crowded: int) -> DataFrame:
+def _parted(work: DataFrame, block: list[str], fields: list[str], empty: str, crowded: int) -> DataFrame:
     """Adds ``_part``: blocks of more than ``crowded`` records fall into the components of records that agree pairwise.
 
     A record only ever joins one that holds values of records it agrees with, so merging stays inside a component.  Two
     records agree if the fields both have are equal: they share the hub of their kinds of gaps and those values, found
-    by an equi-join.  A record without values goes where the block's earliest other one is.
+    by an equi-join.  Hubs are hashed; where two are hashed alike, two components are merged as one, with the same
+    result.  A record without values goes where the block's earliest other one is.
     """
-    rows = cut_lineage(work.withColumn("_mask", mask).withColumn("_node", F.monotonically_increasing_id()))
-    hot = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > crowded).select(*block)
-    hot = cut_lineage(hot)
-    if hot.isEmpty():
-        return rows.drop("_mask", "_node").withColumn("_part", F.lit(0).cast("long"))
-    busy = rows.join(hot, block, "left_semi").filter(F.col("_mask") != empty)
-    kinds = busy.select(*block, "_mask").distinct()
-    pairs = kinds.join(kinds.withColumnRenamed("_mask", "_other"), block)
+    counted = work.groupBy(*block, "_mask").agg(F.count(F.lit(1)).alias("_n"))
+    hot = counted.groupBy(*block).agg(F.sum("_n").alias("_n")).filter(F.col("_n") > crowded).select(*block)
+    kinds = cut_lineage(counted.join(hot, block, "left_semi").select(*block, "_mask"))
+    if kinds.isEmpty():
+        return work.drop("_mask", "_node").withColumn("_part", F.lit(0).cast("long"))
+    filled, bare = F.col("_mask") != empty, F.col("_mask") == empty
+    links = work.filter(filled).join(kinds.filter(filled).select(*block, F.col("_mask").alias("_other")), block)
+    low, high = F.least("_mask", "_other"), F.greatest("_mask", "_other")
     common = [F.when((F.substring("_mask", i + 1, 1) == "1") & (F.substring("_other", i + 1, 1) == "1"), F.col(f)) for i, f in enumerate(fields)]
-    hub = F.struct(*block, F.least("_mask", "_other").alias("_a"), F.greatest("_mask", "_other").alias("_b"), *[c.alias(f"_v{i}") for i, c in enumerate(common)])
-    links = cut_lineage(busy.join(pairs, [*block, "_mask"]).select(F.col("_node").alias("node"), "_mask", hub.alias("hub")))
+    links = cut_lineage(links.select(F.col("_node").alias("node"), F.xxhash64(*block, low, high, *common).alias("hub"),
+                                     (F.col("_mask") == low).alias("_is_low"), (F.col("_mask") == high).alias("_is_high")))
     # A hub joins its members if both kinds are there.
-    shared = links.groupBy("hub").agg(F.min("_mask").alias("_lo"), F.max("_mask").alias("_hi"), F.min("node").alias("_first"), F.max("node").alias("_last"))
-    shared = shared.filter((F.col("_lo") == F.col("hub._a")) & (F.col("_hi") == F.col("hub._b")) & (F.col("_first") < F.col("_last"))).select("hub")
-    found = components(links.join(shared, "hub", "left_semi").select("node", "hub"))
-    named = rows.join(found.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_part", F.coalesce("component", "_node"))
-    named = cut_lineage(named.drop("component"))
-    firsts = named.join(hot, block, "left_semi").filter(F.col("_mask") != empty).groupBy(*block).agg(F.min_by("_part", F.struct("first_ord", "_node")).alias("_home"))
-    marked = named.join(firsts, block, "left").join(hot.withColumn("_hot", F.lit(True)), block, "left")
-    part = F.when(F.col("_hot").isNull(), F.lit(-1)).when(F.col("_mask") == empty, F.coalesce("_home", F.lit(-1))).otherwise(F.col("_part"))
-    return marked.withColumn("_part", part.cast("long")).drop("_mask", "_node", "_home", "_hot")
-
-
-def _merger(fields: list[str], arrays: list[str], columns: list[str]):
+    shared = links.groupBy("hub").agg(F.max("_is_low").alias("_low"), F.max("_is_high").alias("_high"), F.min("node").alias("_first"), F.max("node").alias("_last"))
+    shared = shared.filter(F.col("_low") & F.col("_high") & (F.col("_first") < F.col("_last"))).select("hub")
+    found = components(links.join(shared, "hub", "left_semi").select("node", "hub")).withColumnRenamed("node", "_node")
+    part = F.coalesce("component", "_node")
+    others = work.filter(filled).join(kinds.filter(bare).select(*block), block, "left_semi").join(found, "_node", "left")
+    homes = others.groupBy(*block).agg(F.min_by(part, F.struct("first_ord", "_node")).alias("_home"))
+    crowds = kinds.select(*block).distinct().join(homes, block, "left").withColumn("_hot", F.lit(True))
+    marked = work.join(found, "_node", "left").join(crowds, block, "left")
+    at = F.when(F.col("_hot").isNull(), F.lit(-1)).when(bare, F.coalesce("_home", F.lit(-1))).otherwise(part)
+    return marked.withColumn("_part", at.cast("long")).drop("_mask", "_node", "component", "_home", "_hot")
+
+
+def _merger(fields: list[str], arrays: list[str]):
     """First fit, with kept records found by their values: per kind of gaps, and the fields it has in common with the row."""
-    bits = {f: 1 << i for i, f in enumerate(fields)}
+    bits = [1 << i for i in range(len(fields))]
 
-    def merge_block(rows) -> list[dict]:
-        kept: list[dict] = []
+    def merge_block(start: int, end: int, values: list[list], lists: list[list], sources: list) -> list[tuple]:
+        kept: list[tuple] = []  # rows that gave the fields, values, arrays and sources of each record
         kinds: list[int] = []  # which fields each kept record has
         places: dict[int, dict[int, dict[tuple, list[int]]]] = {}  # kind -> common fields -> values -> numbers of records
 
-        def values(record, common: int) -> tuple:
-            return tuple(record[f] for f in fields if common & bits[f])
+        def key(record: list, common: int) -> tuple:
+            return tuple([v for v, bit in zip(record, bits) if common & bit])
 
         def file(number: int) -> None:
             for common, by in places.setdefault(kinds[number], {}).items():
-                heapq.heappush(by.setdefault(values(kept[number], common), []), number)
+                heapq.heappush(by.setdefault(key(kept[number][1], common), []), number)
 
-        def first(row, kind: int) -> int | None:
+        def first(record: list, kind: int) -> int | None:
             best = None
             for other, tables in places.items():
                 common = kind & other
@@ -150,41 +152,65 @@ def _merger(fields: list[str], arrays: list[str], columns: list[str]):
                     by = tables[common] = {}
                     for number, k in enumerate(kinds):
                         if k == other:
-                            by.setdefault(values(kept[number], common), []).append(number)
-                found = tables[common].get(values(row, common), [])
+                            by.setdefault(key(kept[number][1], common), []).append(number)
+                found = tables[common].get(key(record, common), [])
                 while found and kinds[found[0]] != other:  # has got more fields since
                     heapq.heappop(found)
                 if found and (best is None or found[0] < best):
                     best = found[0]
             return best
 
-        for row in rows:
-            kind = sum(bits[f] for f in fields if row[f] is not None)
-            home = first(row, kind)
+        for row in range(start, end):
+            record = [v[row] for v in values]
+            kind = sum([bit for v, bit in zip(record, bits) if v is not None])
+            home = first(record, kind)
             if home is None:
-                kept.append({c: (list(row[c]) if c in arrays and row[c] is not None else row[c]) for c in columns} | {"sources": set(row["sources"])})
+                kept.append(([row] * (len(fields) + 1), record, [a[row] for a in lists], set(sources[row])))
                 kinds.append(kind)
                 file(len(kept) - 1)
                 continue
-            record = kept[home]
-            for f in fields:
-                record[f] = row[f] if row[f] is not None else record[f]
-            for a in arrays:
-                if row[a] is not None:
-                    record[a] = distinct_items([*(record[a] or []), *row[a]])
-            record["sources"].update(row["sources"])
-            if kinds[home] | kind != kinds[home]:
+            origins, known, gathered, seen = kept[home]
+            new = kind & ~kinds[home]
+            for i, bit in enumerate(bits):
+                if new & bit:
+                    known[i], origins[i + 1] = record[i], row
+            for i, a in enumerate(lists):
+                if a[row] is not None:
+                    gathered[i] = distinct_items([*(gathered[i] or []), *a[row]])
+            seen.update(sources[row])
+            if new:
                 kinds[home] |= kind
                 file(home)
-        return [record | {"sources": sorted(record["sources"])} for record in kept]
-
-    def run(blocks: pd.Series) -> pd.Series:
-        return blocks.map(merge_block)
+        return kept
+
+    def run(blocks: pa.Array) -> pa.Array:
+        items, ends = blocks.values, blocks.offsets.to_pylist()
+        column = {f.name: items.field(i) for i, f in enumerate(items.type)}
+        values, lists, sources = [column[f].to_pylist() for f in fields], [_lists(column[a]) for a in arrays], _lists(column["sources"])
+        kept, offsets = [], [0]
+        for ok, start, end in zip(blocks.is_valid().to_pylist(), ends, ends[1:]):
+            if ok:
+                kept += merge_block(start, end, values, lists, sources)
+            offsets.append(len(kept))
+        # What is one row's value is taken over in Arrow.
+        out = {c: column[c].take(pa.array([k[0][i] for k in kept], pa.int64())) for i, c in enumerate(["first_ord", *fields])}
+        out |= {a: pa.array([k[2][i] for k in kept], column[a].type) for i, a in enumerate(arrays)}
+        out["sources"] = pa.array([sorted(k[3]) for k in kept], column["sources"].type)
+        whole = pa.StructArray.from_arrays([out[f.name] for f in items.type], fields=list(items.type))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), whole)
 
     return run
 
 
+def _lists(column: pa.Array) -> list[list | None]:
+    """Like ``to_pylist``, with the items of all lists taken out at once."""
+    items, ends = column.values.to_pylist(), column.offsets.to_pylist()
+    return [items[start:end] if ok else None for ok, start, end in zip(column.is_valid().to_pylist(), ends, ends[1:])]
+
+
 def distinct_items(items: list) -> list:
+    if all([type(item) is str for item in items]):
+        return list(dict.fromkeys(items))
     seen, out = set(), []
     for item in items:
         key = json.dumps(item, sort_keys=True, default=str)

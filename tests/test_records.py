@@ -249,3 +249,37 @@ def test_similar_texts_against_all_pairs(spark):
         assert {(r.a, r.b): r.similarity for r in pairs.collect()} == {k: v for k, v in want.items() if v >= least}
 
 
+
+
+def test_components_leave_out_what_is_done(spark, monkeypatch):
+    """2,000 pairs and a chain of 200: rounds for the chain do not take the pairs along."""
+    from staygrid.operators import components as module
+    stored = []
+
+    def counted(df, write=module.cut_lineage):
+        out = write(df)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "cut_lineage", counted)
+    rows = [(i, i // 2) for i in range(4000)] + [(5000 + i + d, 9000 + i) for i in range(199) for d in (0, 1)]
+    found = module.components(spark.createDataFrame(rows, "node long, hub long")).collect()
+    names = {r.node: r.component for r in found}
+    assert len(found) == len(names) == 4200 and len(set(names.values())) == 2001
+    assert all(names[i] == names[i + 1] for i in range(0, 4000, 2)) and len({names[5000 + i] for i in range(200)}) == 1
+    assert sum(stored) < 20_000
+
+
+def test_merge_keeps_kinds_of_values(spark):
+    """Dates, decimals, nested arrays and records alone in their block come out as they went in."""
+    kinds = "name string, ord long, a date, b decimal(10,2), c double, items array<struct<x:int,y:string>>, more array<array<int>>, src string"
+    from datetime import date
+    from decimal import Decimal
+    day, price = date(2024, 2, 29), Decimal("1.50")
+    rows = [("n", 5, day, None, None, [(1, "p")], None, "u2"), ("n", 6, None, price, None, [(1, "p"), (2, None)], [[1], [1]], "u1"), ("n", 7, day, price, 0.5, None, [[2, 3]], None),
+            ("alone", 1, None, price, None, [(1, "p"), (1, "p")], [[1], [1]], None), ("other", 2, None, None, None, None, None, "u9")]
+    for crowded in (1, 5000):
+        got = records.merge_records(spark.createDataFrame(rows, kinds), ["name"], "ord", ["a", "b", "c"], ["items", "more"], "src", crowded=crowded)
+        assert {r.name: tuple(r)[1:] for r in got.collect()} == {
+            "n": (day, price, 0.5, [(1, "p"), (2, None)], [[1], [2, 3]], 5, ["u1", "u2"]),
+            "alone": (None, price, None, [(1, "p"), (1, "p")], [[1], [1]], 1, []), "other": (None, None, None, None, None, 2, ["u9"])}
