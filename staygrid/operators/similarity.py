@@ -1,14 +1,16 @@
 """Similar texts among all texts: a set-similarity join on word sets.
 
 Two sets whose Jaccard similarity is at least t share one of their rarest words: of n words, the first
-n - ceil(t n) + 1 in the order of rising frequency.  So texts meet by equi-joins on those words alone, and only in
-neighbouring size bands, since similar sets are of similar size.  Where the two words stand in their sets bounds the
-overlap that is still possible, which drops most candidates before any set is compared.  A word that many texts of a band have
-among their rarest is not a key by itself: there, texts must share a second word as well (similar sets share two of
-their n - ceil(t n) + 2 rarest), so hot words split into rare word pairs.
+n - ceil(t n) + 1 in the order of rising frequency.  So texts meet by those words alone.  Rarity is counted in slots of
+hashes: any order will do if it is the same in all sets.  The sizes of two sets, and where the word stands in them, bound the
+overlap that is still possible, which drops most candidates before any set is compared; a pair comes with its first common word,
+not with all of them.  A word that many texts of a size band have among their rarest is not a key by itself: there, texts must
+share a second word as well (similar sets share two of their n - ceil(t n) + 2 rarest), so hot words split into rare word pairs.
 
-Words travel as hashes.  Candidates are first compared by sketches, two to four parity bits per word: where two sketches
-differ, at least as many words do, so only pairs that may be similar get their words.
+Words travel as hashes, and places of words, candidates and sketches in packed blocks (``setpairs``).  Candidates are first
+compared by sketches, two to four parity bits per word: where two sketches differ, at least as many words do, so only
+sets that may be similar get their words.  Sets are cut into blocks, and a pair is looked at in the tile of its two blocks: a
+set travels once for each block it may meet, not once for each pair.
 
 Texts with equal word sets are one class.  Pairs are reported between classes, membership apart, so a thousand copies
 are a thousand rows and not half a million pairs.
@@ -21,27 +23,39 @@ from pyspark.sql import functions as F
 
 from ..functions.text import word_set
 from ..session import cut_lineage
+from . import setpairs
 
-#: Classes of one size band that may have a word among their rarest before it only counts together with another one.
-HOT = 64
+#: Classes of one size band that may have a word among their rarest before it only counts together with another one.  Word pairs
+#: cost up to a shuffled row for each two words, comparing sizes and places a few nanoseconds a pair.
+HOT = 4096
+#: Places of words, sketches and words that a task holds.
+PLACES, SKETCHES, WORDS = 400_000, 262_144, 1_000_000
 
 
-def text_classes(df: DataFrame, row_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(members, sets): (id, class_id) for every row with a text, and (class_id, words) for every class with words.
+def text_classes(df: DataFrame, row_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, sets, names): (id, class_id) for every row with a text, (_key, words) for every such row, and (class_id, _key).
 
-    ``class_id`` is the smallest id with the same word set.  Texts without a word are in one class only if they are
-    equal.  Stored, since several steps read it; the words are shuffled once.
+    ``class_id`` is the smallest id with the same word set, which is known by its ``_key``.  Texts without a word are in one
+    class only if they are equal.  The sets are stored, since several steps read them; the words are not shuffled.
     """
     words = F.array_sort(word_set(F.col(text)))
-    key = F.sha2(F.when(F.size("words") > 0, F.to_json("words")).otherwise(F.col(text)), 256)
+    key = F.unhex(F.sha2(F.when(F.size("words") > 0, F.to_json("words")).otherwise(F.col(text)), 256))
     rows = df.filter(F.col(text).isNotNull() & F.col(row_id).isNotNull()).select(F.col(row_id).alias("id"), F.col(text), words.alias("words"))
     keyed = cut_lineage(rows.select("id", "words", key.alias("_key")))
     named = cut_lineage(keyed.groupBy("_key").agg(F.min("id").alias("class_id")))
     members = keyed.select("id", "_key").join(named, "_key").select("id", "class_id")
     # An id that comes with several texts has one set.
-    chosen = named.groupBy("class_id").agg(F.min("_key").alias("_key"))
-    own = keyed.filter(F.size("words") > 0).join(chosen, "_key").filter(F.col("id") == F.col("class_id"))
-    return members, cut_lineage(own.groupBy("_key").agg(F.first("class_id").alias("class_id"), F.first("words").alias("words")).select("class_id", "words"))
+    return members, keyed.select("_key", "words"), named.groupBy("class_id").agg(F.min("_key").alias("_key"))
+
+
+def _counted(rows: DataFrame, tally=setpairs.tallied()) -> dict[int, bytes]:
+    """How many of the numbers, an array per row, fall into each slot: as levels, a byte for each of a fixed number of slots."""
+    pieces = rows.mapInArrow(tally, "piece int, data binary").repartition(8, "piece").mapInArrow(setpairs.totals, "piece int, data binary")
+    return {r.piece: bytes(r.data) for r in pieces.collect()}
+
+
+def _tiled(rows: DataFrame, tiles: setpairs.Tiles) -> DataFrame:
+    return rows.repartition(min(tiles.blocks * (tiles.blocks + 1) // 2, 8 * tiles.blocks), "tile").sortWithinPartitions("tile", "kind")
 
 
 def _least_overlap(a: Column, b: Column, least: float) -> Column:
@@ -75,45 +89,76 @@ def _flips(a: Column, b: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda acc, x: acc + x)
 
 
-def similar_classes(sets: DataFrame, least: float = 0.95, hot: int = HOT) -> DataFrame:
-    """(a, b, similarity) for all pairs a < b of stored sets (class_id, words) with a similarity of at least ``least``."""
-    if not 0 < least <= 1:
-        raise ValueError("least must be above 0 and at most 1")
-    n = F.size("words")
-    listed = sets.select("class_id", n.alias("n"), F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("word"))
-    frequency = listed.groupBy("word").agg(F.count(F.lit(1)).alias("f"))
-    # One more word than the prefix, for pairs of words.
-    size = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 2
-    rarest = listed.join(frequency, "word").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "word"))).alias("_by"))
-    rarest = cut_lineage(rarest.select("class_id", "n", F.slice("_by", F.lit(1), size.cast("int")).alias("first"), (size - 1).alias("prefix")))
+def _hashes() -> Column:
+    return F.transform("words", lambda w: F.hash(w)).alias("words")
+
+
+def _by_hot_words(placed: DataFrame, least: float, hot: int) -> DataFrame:
+    """(a, b) for places (no, n, at, word, later) of words that may be hot."""
     # Sizes of similar sets differ by less than one band; a set visits the band above its own.
     band = F.floor(F.log("n") / F.log(F.lit(1 / (least - 1e-6)))).cast("long")
-    placed = rarest.select("class_id", "n", "prefix", F.posexplode("first").alias("at", "w")).filter(F.col("at") < F.col("prefix"))
-    visits = placed.select("class_id", "n", "at", F.col("w.word").alias("word"), band.alias("own")).withColumn(
-        "band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    visits = placed.withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
     common = cut_lineage(visits.groupBy("word", "band").agg(F.count(F.lit(1)).alias("_in")).filter(F.col("_in") > hot).select("word", "band"))
-    alone = visits.join(common, ["word", "band"], "left_anti").withColumn("second", F.lit(0).cast("long"))
-    # Only the places of common words need the words that follow them.
-    busy = visits.join(common, ["word", "band"], "left_semi").join(rarest.select("class_id", "first"), "class_id")
-    later = F.transform(F.slice("first", F.col("at") + 2, F.greatest(F.size("first") - F.col("at") - 1, F.lit(0))), lambda x: x["word"])
+    alone = visits.join(common, ["word", "band"], "left_anti").drop("later").withColumn("second", F.lit(0))
+    busy = visits.join(common, ["word", "band"], "left_semi")
     # Sets so small that one common word makes them similar have no second one.
-    second = F.when(F.col("n") * least <= 1 + 1e-9, F.concat(F.array(F.lit(0).cast("long")), later)).otherwise(later)
-    keyed = alone.unionByName(busy.select(*visits.columns, F.explode(second).alias("second")))
-    home = keyed.filter(F.col("own") == F.col("band")).select("word", "second", "band", F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
-    guests = keyed.select("word", "second", "band", "own", F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
-    met = guests.join(home, ["word", "second", "band"]).filter((F.col("own") < F.col("band")) | (F.col("a") < F.col("b")))
-    possible = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    close = met.filter((possible >= _least_overlap(F.col("na"), F.col("nb"), least)) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9))
-    pairs = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sketches = cut_lineage(_sketches(listed))
-    first, other = (sketches.select(F.col("class_id").alias(c), F.col("n").alias(f"_n{c}"), F.col("sketch").alias(f"_s{c}")) for c in "ab")
-    apart = F.col("_na") + F.col("_nb") - 2 * _least_overlap(F.col("_na"), F.col("_nb"), least)
-    # Stored: few pairs are left, and the next joins know how few.
-    pairs = cut_lineage(pairs.join(first, "a").join(other, "b").filter(_flips(F.col("_sa"), F.col("_sb")) <= apart).select("a", "b"))
-    left, right = sets.select(F.col("class_id").alias("a"), F.col("words").alias("_wa")), sets.select(F.col("class_id").alias("b"), F.col("words").alias("_wb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("_n", F.size(F.array_intersect("_wa", "_wb")))
-    scored = both.withColumn("similarity", F.col("_n") / (F.size("_wa") + F.size("_wb") - F.col("_n")))
-    return scored.filter(F.col("similarity") >= least).select("a", "b", "similarity")
+    second = F.when(F.col("n") * least <= 1 + 1e-9, F.concat(F.array(F.lit(0)), "later")).otherwise(F.col("later"))
+    keyed = alone.unionByName(busy.withColumn("second", F.explode(second)).drop("later"))
+    home = keyed.filter(F.col("own") == F.col("band")).select("word", "second", "band", F.col("no").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    guests = keyed.select("word", "second", "band", "own", F.col("no").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    met = guests.join(home, ["word", "second", "band"]).filter((F.col("a") != F.col("b")) & ((F.col("own") < F.col("band")) | (F.col("a") < F.col("b"))))
+    possible = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    near = met.filter((possible >= _least_overlap(F.col("na"), F.col("nb"), least)) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar_classes(sets: DataFrame, names: DataFrame, least: float = 0.95, hot: int = HOT) -> DataFrame:
+    """(a, b, similarity) for all pairs a < b of classes with a similarity of at least ``least``.
+
+    ``sets`` (_key, words) is stored and may have a set more than once; ``names`` (class_id, _key) has the sets to compare.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    sets = sets.filter(F.size("words") > 0)
+    context = sets.sparkSession.sparkContext
+    rarity = context.broadcast(_counted(sets.select(_hashes())))
+    ordered = sets.select("_key", _hashes()).mapInArrow(setpairs.in_order(rarity, least), "_key binary, near int, n int, first array<int>, sketch array<long>")
+    stored = cut_lineage(ordered.repartition("near").dropDuplicates(["near", "_key"]).drop("near").withColumn("no", F.monotonically_increasing_id()))
+    # Numbered almost without gaps, similar sets mostly close together.
+    task, row = F.shiftright("no", 33), F.col("no").bitwiseAND((1 << 33) - 1)
+    size = stored.agg(F.max(task).alias("tasks"), F.max(row).alias("rows"), F.sum(F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).alias("places")).first()
+    each, places = (size.rows or 0) + 1, int(size.places or 0)
+    top = ((size.tasks or 0) + 1) * each
+    classes = stored.withColumn("no", task * each + row)
+    cores = context.defaultParallelism
+    tiles = setpairs.Tiles(top, max(-(-top // SKETCHES), min(4, 1 + top // 10_000)))
+    block = "tile int, kind int, data binary"
+
+    crowd = context.broadcast(_counted(classes.select("n", "first"), setpairs.tallied(setpairs.prefixes(least))))
+    parts = max(1, places // PLACES, min(2 * cores, places // 20_000))
+    placed = classes.select("no", "n", "first").mapInArrow(setpairs.placed(crowd, hot, least, parts), "part int, data binary")
+    met = placed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(setpairs.met(least, tiles), block)
+    if setpairs.table(crowd.value).max() >= setpairs.level(hot + 1):
+        busy = classes.select("no", "n", "first").mapInArrow(setpairs.crowded(crowd, hot, least), "no long, n int, at int, word int, later array<int>")
+        met = met.unionByName(_by_hot_words(busy, least, hot).mapInArrow(setpairs.listed(tiles), block))
+    sketched = classes.select("no", "n", "sketch").mapInArrow(setpairs.sketched(tiles), block)
+    close = cut_lineage(_tiled(sketched.unionByName(met), tiles).mapInArrow(setpairs.close(least, tiles), "tile int, data binary"))
+
+    words = close.mapInArrow(setpairs.in_pairs(tiles, tiles), "tile int, no long").select("no").distinct().join(classes.select("no", "n"), "no").agg(F.sum("n")).first()[0] or 0
+    halves = setpairs.Tiles(top, -(-words // WORDS) or 1)
+    again = close.mapInArrow(setpairs.dealt_again(tiles, halves), block)
+    wanted = close.mapInArrow(setpairs.in_pairs(tiles, halves), "tile int, no long").groupBy("no").agg(F.collect_set("tile").alias("tiles"))
+    wanted = cut_lineage(wanted.join(classes.select("no", "_key"), "no").join(names, "_key"))
+    # Most sets have no pair; these are left out before words are shuffled.
+    slots = setpairs.table(_counted(wanted.select(F.array(F.hash("_key"))))) > 0
+    slots = sets.sparkSession.createDataFrame([(slots.tobytes(),)], "slots binary").scalar()
+    found = F.substring(slots, F.hash("_key").bitwiseAND((1 << setpairs.SLOT_BITS) - 1) + 1, F.lit(1)) == F.lit(b"\1")
+    known = sets.filter(found).dropDuplicates(["_key"]).join(wanted, "_key")
+    kind = names.schema["class_id"].dataType
+    known = known.select(F.explode("tiles").alias("tile"), F.lit(0).alias("kind"), "no", "class_id", "words", F.lit(None).cast("binary").alias("data"))
+    again = again.select("tile", "kind", F.lit(None).cast("long").alias("no"), F.lit(None).cast(kind).alias("class_id"), F.lit(None).cast("array<string>").alias("words"), "data")
+    scored = _tiled(known.unionByName(again), halves).mapInArrow(setpairs.scored(least, halves), f"a {kind.simpleString()}, b {kind.simpleString()}, similarity double")
+    return scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
 def similar_texts(df: DataFrame, row_id: str, text: str, least: float = 0.95, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +167,7 @@ def similar_texts(df: DataFrame, row_id: str, text: str, least: float = 0.95, ho
     The similarity is that of ``functions.text.word_set_similarity``; members of one class have 1.  Rows without an id or
     a text are left out.  ``hot`` changes the work, not the result.
     """
-    classes, sets = text_classes(df, row_id, text)
+    classes, sets, names = text_classes(df, row_id, text)
     sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
     members = classes.join(sizes, "class_id").select("id", "class_id", "class_size")
-    return members, similar_classes(sets, least, hot)
+    return members, similar_classes(sets, names, least, hot)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from staygrid.functions import text
-from staygrid.operators import changes, similarity, topk
+from staygrid.operators import changes, setpairs, similarity, topk
 from staygrid.plans import chunks, warehouse
 from staygrid.streaming.stale import _Silence
 
@@ -147,3 +147,86 @@ def test_long_gated_texts_are_made_after_the_shuffle(spark, monkeypatch, tmp_pat
     shuffled = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "RepartitionByExpression" in line]
     assert shuffled and not any("body" in line for line in shuffled)
     assert out.count() == 40
+
+
+def _near_copies(count, changed):
+    """Texts of 120 words each, ``changed`` of them their own."""
+    rng = np.random.default_rng(7)
+    base = [f"word{i:03}{'x' * (i % 7)}" for i in range(120)]
+    texts = []
+    for i in range(count):
+        own = base.copy()
+        for at in rng.choice(120, changed, replace=False):
+            own[at] = f"own{i}-{at}"
+        texts.append(" ".join(own))
+    return texts
+
+
+def test_pairs_of_similar_texts_travel_without_their_words(spark):
+    texts = _near_copies(160, 8)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(4)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        every = disk.getAllFiles()
+        return {every.apply(i).getPath(): every.apply(i).length() for i in range(every.size())}
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = files()
+        pairs = similarity.similar_texts(df, "id", "t", 0.7)[1]
+        assert pairs.count() == 160 * 159 // 2
+        shuffled = sum(size for path, size in files().items() if path not in before and "shuffle_" in path)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Each text meets 159 others.
+    assert shuffled < 10 * sum(map(len, texts))
+
+
+def test_similar_pairs_are_the_same_in_many_tiles(spark, monkeypatch):
+    for name, size in (("PLACES", 300), ("SKETCHES", 9), ("WORDS", 700)):
+        monkeypatch.setattr(similarity, name, size)
+    rng = np.random.default_rng(5)
+    texts = [*_near_copies(30, 12), *_near_copies(5, 1), *(" ".join(f"w{x}" for x in rng.integers(0, 40, rng.integers(1, 30))) for _ in range(60)), "w1", " ", "", None]
+    rows = [(f"t{i:03}", x) for i, x in enumerate(texts)]
+    # An id with two texts, a text that comes twice, a row without an id.
+    rows += [("t003", "some other text"), ("t900", texts[0]), rows[7], (None, "w2")]
+    df = spark.createDataFrame(rows, "id string, t string").repartition(3)
+    sets = {}
+    for i, x in rows:
+        if i is not None and x is not None:
+            sets.setdefault(i, set()).add(frozenset(x.lower().split()))
+    members, pairs = similarity.similar_texts(df, "id", "t", 0.6)
+    named = {r.class_id for r in members.collect()}
+    single = {i: next(iter(sets[i])) for i in named if len(sets[i]) == 1 and next(iter(sets[i]))}
+    want = {(a, b): len(single[a] & single[b]) / len(single[a] | single[b]) for a in single for b in single if a < b}
+    got = [(r.a, r.b, r.similarity) for r in pairs.collect()]
+    assert len(got) == len({x[:2] for x in got}) > 400
+    assert {(a, b): s for a, b, s in got if a in single and b in single} == {k: v for k, v in want.items() if v >= 0.6}
+
+
+def test_blocks_of_numbers_come_back():
+    rng = np.random.default_rng(1)
+    columns = [rng.integers(0, top, 1000) for top in (1, 200, 60_000, 1 << 24, 1 << 40)] + [np.zeros(0, np.int64)]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(columns, setpairs.unpacked(setpairs.packed(*columns))))
+
+
+def test_a_pair_meets_at_its_first_common_word_only():
+    # Two sets with the same 20 words, all of which are in their prefixes: one meeting, not 20.
+    n, at = np.full(40, 60), np.tile(np.arange(20), 2)
+    no = np.repeat([0, 1], 20)
+    met = list(setpairs.meeting(n, at, at + 100, np.where(at > 0, at + 99, 0), no, 0.5))
+    assert [(a.tolist(), b.tolist()) for a, b in met] == [([0], [1])]
+
+
+def test_packed_sketches_bound_the_difference():
+    rng = np.random.default_rng(2)
+    sets = [rng.choice(1 << 20, size, replace=False).astype(np.int32) for size in (5, 40, 200, 900)]
+    sets += [np.concatenate([x[: len(x) * 3 // 4], x[-1:] + (1 << 21)]) for x in sets]
+    n = np.array([len(x) for x in sets])
+    slots = setpairs.slots_of(n)
+    bits = np.split(setpairs.sketches(n, np.concatenate(sets)), np.cumsum(slots)[:-1])
+    for x, one in zip(sets, bits):
+        for y, other in zip(sets, bits):
+            differ = int(setpairs.flips(one[None, :], other[None, :])[0])
+            assert differ <= len(set(x.tolist()) ^ set(y.tolist())) and (differ == 0) == (x is y)
