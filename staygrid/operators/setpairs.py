@@ -52,9 +52,18 @@ def unpacked(data: bytes, kind: type = np.int64) -> list[np.ndarray]:
 
 
 def _slices(batches: Batches, rows: int = ROWS) -> Batches:
+    """Batches of so many rows, whatever the size of those that come."""
+    waiting: list[pa.RecordBatch] = []
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        waiting.append(batch)
+        if sum(x.num_rows for x in waiting) >= rows:
+            batch = pa.concat_batches(waiting)
+            whole = batch.num_rows - batch.num_rows % rows
+            for at in range(0, whole, rows):
+                yield batch.slice(at, rows)
+            waiting = [batch.slice(whole)] if whole < batch.num_rows else []
+    if sum(x.num_rows for x in waiting):
+        yield pa.concat_batches(waiting)
 
 
 def _steps(x: np.ndarray) -> np.ndarray:
@@ -348,7 +357,7 @@ def in_pairs(old: Tiles, new: Tiles):
 def sketched(tiles: Tiles):
     """(tile, kind, data) for (no, n, sketch): the sketches of a block, for each tile of it."""
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in _slices(batches):
             slots, bits = _lists(batch.column("sketch"))
             no, n = batch.column("no").to_numpy(), batch.column("n").to_numpy()
             block = no // tiles.width
@@ -482,7 +491,7 @@ def scored(least: float, tiles: Tiles):
     """(a, b, similarity) by class, from rows (tile, kind, no, class_id, words, data) sorted by tile and kind."""
     def run(batches: Batches) -> Batches:
         sets = None
-        for batch in batches:
+        for batch in _slices(batches):
             tile, kind = batch.column("tile").to_numpy(), batch.column("kind").to_numpy()
             edges = np.flatnonzero((np.diff(tile) != 0) | (np.diff(kind) != 0)) + 1
             for own in np.split(np.arange(batch.num_rows), edges):

@@ -18,7 +18,9 @@ are a thousand rows and not half a million pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import word_set
@@ -54,6 +56,18 @@ def _counted(rows: DataFrame, tally=setpairs.tallied()) -> dict[int, bytes]:
     return {r.piece: bytes(r.data) for r in pieces.collect()}
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int = 256):
+    """Packed blocks are large rows, of which an Arrow batch of 10,000 may be a whole task's input."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _tiled(rows: DataFrame, tiles: setpairs.Tiles) -> DataFrame:
     return rows.repartition(min(tiles.blocks * (tiles.blocks + 1) // 2, 8 * tiles.blocks), "tile").sortWithinPartitions("tile", "kind")
 
@@ -119,7 +133,11 @@ def similar_classes(sets: DataFrame, names: DataFrame, least: float = 0.95, hot:
     """
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
-    sets = sets.filter(F.size("words") > 0)
+    with _small_batches(sets.sparkSession):
+        return _similar_classes(sets.filter(F.size("words") > 0), names, least, hot)
+
+
+def _similar_classes(sets: DataFrame, names: DataFrame, least: float, hot: int) -> DataFrame:
     context = sets.sparkSession.sparkContext
     rarity = context.broadcast(_counted(sets.select(_hashes())))
     ordered = sets.select("_key", _hashes()).mapInArrow(setpairs.in_order(rarity, least), "_key binary, near int, n int, first array<int>, sketch array<long>")
@@ -131,7 +149,7 @@ def similar_classes(sets: DataFrame, names: DataFrame, least: float = 0.95, hot:
     top = ((size.tasks or 0) + 1) * each
     classes = stored.withColumn("no", task * each + row)
     cores = context.defaultParallelism
-    tiles = setpairs.Tiles(top, max(-(-top // SKETCHES), min(4, 1 + top // 10_000)))
+    tiles = setpairs.Tiles(top, max(-(-top // SKETCHES), min(8, 1 + top // 10_000)))
     block = "tile int, kind int, data binary"
 
     crowd = context.broadcast(_counted(classes.select("n", "first"), setpairs.tallied(setpairs.prefixes(least))))
@@ -158,7 +176,8 @@ def similar_classes(sets: DataFrame, names: DataFrame, least: float = 0.95, hot:
     known = known.select(F.explode("tiles").alias("tile"), F.lit(0).alias("kind"), "no", "class_id", "words", F.lit(None).cast("binary").alias("data"))
     again = again.select("tile", "kind", F.lit(None).cast("long").alias("no"), F.lit(None).cast(kind).alias("class_id"), F.lit(None).cast("array<string>").alias("words"), "data")
     scored = _tiled(known.unionByName(again), halves).mapInArrow(setpairs.scored(least, halves), f"a {kind.simpleString()}, b {kind.simpleString()}, similarity double")
-    return scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    # Stored, while batches are small.
+    return cut_lineage(scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"))
 
 
 def similar_texts(df: DataFrame, row_id: str, text: str, least: float = 0.95, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
