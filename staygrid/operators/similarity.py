@@ -78,7 +78,9 @@ def _least_overlap(a: Column, b: Column, least: float) -> Column:
 
 
 def _sketches(listed: DataFrame) -> DataFrame:
-    """(class_id, n, sketch) for (class_id, n, word hash): how many words fall on each bit, odd or even, as 64 bits a slot.
+    """(class_id, n, sketch) for (class_id, n, word hash): ``setpairs.sketches`` in expressions.
+
+    How many words fall on each bit, odd or even, as 64 bits a slot.
 
     The number of slots is a power of two, so that a longer sketch folds onto a shorter one.
     """
